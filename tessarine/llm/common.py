@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import shared_dir, staged  # noqa: F401
+
 #: A word of the text contracts: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The ASCII white space that separates such words.
@@ -22,27 +20,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path below the folder that driver and executors share.
-
-    The session's ``spark.checkpoint.dir`` names that folder. Where it is unset (tests, local mode) a
-    temporary folder of this machine is set for the session.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.gettempdir()}/tessarine-{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, path: str | None = None) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read back: what follows neither repeats
-    its work nor needs its executors."""
-    path = path or shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, _UPPER, _LOWER)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_store
+from . import simhash, token_store
 from .common import documents
 
 #: Id that ends a document in the token store.
@@ -17,11 +17,16 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.simhash_components(documents(spark, sf_dir), width=3, radius=2)
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read back from a store written with its ids."""
     path = token_store.write_store(documents(spark, sf_dir), tokenizer_file(), END_ID)
     return token_store.read_store(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {"op9_token_store": op9_token_store}
+QUERIES = {"op5_simhash": op5_simhash, "op9_token_store": op9_token_store}
 ORACLES: dict[str, str] = {}
