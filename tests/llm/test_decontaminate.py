@@ -55,8 +55,8 @@ def test_recall_and_exactness(spark):
 def test_embedding_has_the_bits_of_its_definition():
     rng = np.random.default_rng(2)
     block = rng.integers(1, 9, (5, 12))
-    every = decontaminate.cgk_samples(block, np.arange(30), 4)
-    for row, out in zip(block, every, strict=True):
+    every = decontaminate.cgk_embedding(block, 30, 6)
+    for row, out in zip(block, every[4], strict=True):
         at, word, want = 0, [*row.tolist(), 0], []
         for step in range(30):
             want.append(word[min(at, 12)])
@@ -66,6 +66,13 @@ def test_embedding_has_the_bits_of_its_definition():
         assert out.tolist() == want
 
 
+def test_words_are_the_same_by_either_path():
+    import re
+
+    for text in ("The thing, re-done_x 3rd!", "ÉQUE eaux×x ÷ ñ", "“Quoted” — text", "", None, "日本 語", "İx"):
+        assert decontaminate.words(text) == [w.encode() for w in re.findall(r"\w+", (text or "").lower())]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")
