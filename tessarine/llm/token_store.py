@@ -17,6 +17,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -116,21 +117,23 @@ class WordEncoder:
     """Token ids of whole texts by a tokenizer whose pre-tokens never cross ASCII white space.
 
     A text's ids are then the ids of its words one after another, so that each distinct word is encoded
-    once for as long as it stays in a table of at most ``keep`` words. Plain Latin words that are new are
-    encoded together and cut at the ids that end a pre-token; all others are encoded alone.
+    once for as long as it stays in one of two tables of about ``keep`` words: when the younger is full, it
+    replaces the older. Plain Latin words that are new are encoded together and cut at the ids that end a
+    pre-token; all others are encoded alone.
     """
 
     #: Latin letters that case folding and composition map to one letter each, then marks of one pre-token.
-    PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,!?;:%&*#$|]*)")
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%&*#$|]*)")
     #: White space of other kinds than ASCII, and separators that str.split() takes for white space.
     ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
     CUT = re.compile(r"[\x20\x09-\x0D]+")
 
-    def __init__(self, tokenizer_file: str, keep: int = 300_000):
+    def __init__(self, tokenizer_file: str, keep: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.keep, self.known = keep, {}
+        #: Words in use lately, and those before them.
+        self.keep, self.known, self.older = keep, {}, {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -139,27 +142,31 @@ class WordEncoder:
         return [w for w in self.CUT.split(text) if w] if self.ODD.search(text) else text.split()
 
     def learn(self, words: list[str]) -> None:
-        plain, parts, alone = [], [], []
+        """Adds words to the table. A plain word and its marks are two pre-tokens, each known for itself."""
+        plain, marked, alone = [], [], []
         for w in words:
-            if m := self.PLAIN.fullmatch(w):
+            if w.isascii() and w.isalpha():
                 plain.append(w)
-                parts.append(2 if m[1] else 1)
+            elif m := self.PLAIN.fullmatch(w):
+                marked.append((w, m[1], m[2]))
             else:
                 alone.append(w)
-        if plain:
-            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != sum(parts):
-                alone += plain
-            else:
-                raw, at = ids.tobytes(), 0
-                for w, end in zip(plain, ends[np.cumsum(parts) - 1].tolist(), strict=True):
-                    self.known[w] = raw[4 * at : 4 * end]
-                    at = end
+        known = self.known
+        parts = {x for _, *both in marked for x in both if x and x not in known}
+        plain += [x for x in parts if x[0].isalpha()]
+        alone += [x for x in parts if not x[0].isalpha()]
+        blocks = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
+        for block, e in zip(blocks, self.tokenizer.encode_batch_fast([" ".join(b) for b in blocks], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            known.update(zip(block, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
         for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+            known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for w, core, marks in marked:
+            known[w] = known[core] + known[marks] if marks else known[core]
 
-    def encode(self, texts: list[str], block: int = 4_000_000) -> Iterator[bytes]:
+    def encode(self, texts: list[str], block: int = 2_000_000) -> Iterator[bytes]:
         """The little-endian ids of each text. ``block``: characters that are cut into words at once."""
         at = 0
         while at < len(texts):
@@ -169,15 +176,24 @@ class WordEncoder:
                 end += 1
             cut = [self.split(t) for t in texts[at:end]]
             distinct = set().union(*cut)
-            if len(self.known) + len(distinct) > self.keep:
-                self.known = {}
-            self.learn(list(distinct - self.known.keys()))
+            if len(self.known) > self.keep:
+                self.known, self.older = {}, self.known
+            new = distinct - self.known.keys()
+            again = new & self.older.keys()
+            self.known.update((w, self.older[w]) for w in again)
+            self.learn(list(new - again))
             get = self.known.__getitem__
             for words in cut:
                 yield b"".join(map(get, words))
             at = end
 
 
+@lru_cache(maxsize=1)
+def word_encoder(tokenizer_file: str) -> WordEncoder:
+    """The encoder of this process: what it knows serves the worker's later tasks too."""
+    return WordEncoder(tokenizer_file)
+
+
 def write_store(docs: DataFrame, tokenizer_file: str, end_id: int, path: str | None = None, segment_tokens: int = 131_072) -> str:
     """Writes the ids of ``docs`` (doc_id, text) in ascending doc_id order; returns the store's path.
 
@@ -188,7 +204,7 @@ def write_store(docs: DataFrame, tokenizer_file: str, end_id: int, path: str | N
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = WordEncoder(tokenizer_file), TaskContext.get().partitionId(), 0
+        encoder, part, seq = word_encoder(tokenizer_file), TaskContext.get().partitionId(), 0
         ids, pieces, size = [], [], 0
         schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
 
