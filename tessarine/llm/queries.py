@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, simhash, token_store
+from . import decontaminate, simhash, token_store, toxicity
 from .common import documents
 
 #: Id that ends a document in the token store.
@@ -22,6 +23,19 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_key")
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """The model that learns from the labels outside the held-out fold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.fit(docs, labels, held_out=toxicity.held_out_fold(F.col("doc_id")))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = documents(spark, sf_dir)
+    found = toxicity.scored(docs, toxicity_model(spark, docs, sf_dir))
+    return found.select("doc_id", toxicity.held_out_fold(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_passages")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.simhash_components(documents(spark, sf_dir), width=3, radius=2)
@@ -33,5 +47,5 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op5_simhash": op5_simhash, "op9_token_store": op9_token_store}
+QUERIES = {"op3_toxicity": op3_toxicity, "op1_decontaminate": op1_decontaminate, "op5_simhash": op5_simhash, "op9_token_store": op9_token_store}
 ORACLES: dict[str, str] = {}
