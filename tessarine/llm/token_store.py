@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -113,79 +114,69 @@ def pack_segment(doc_ids: list, pieces: list[bytes]) -> bytes:
     ])
 
 
+class _Known(dict):
+    """Word to its ids (little-endian); a word that is asked for the first time is encoded then."""
+
+    #: Latin letters that case folding and composition map to one letter each, then marks of one pre-token.
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%&*#$|]*)")
+
+    def __init__(self, tokenizer, keep: int):
+        super().__init__()
+        self.tokenizer, self.pieces, self.keep, self.older = tokenizer, tokenizer.model.tokenize, keep, {}
+        byte_level = {chr(b): c for b, c in zip(range(0x80, 0x100), self._shown(), strict=True)}
+        self.shown = str.maketrans(byte_level)
+
+    @staticmethod
+    def _shown() -> str:
+        """The characters that stand for the bytes from 0x80 on in a byte-level vocabulary: those that can
+        be seen for themselves, the others from U+0122 on in order (the first 34 places are other bytes')."""
+        seen = {*range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        hidden = iter(range(0x122, 0x200))
+        hidden_first = {b: chr(next(hidden)) for b in [*range(0x80, 0xA1), 0xAD]}
+        return "".join(chr(b) if b in seen else hidden_first[b] for b in range(0x80, 0x100))
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.keep:
+            self.older = dict(self)
+            self.clear()
+        if (ids := self.older.get(word)) is None:
+            if word.isascii() and word.isalpha():
+                ids = array("I", [t.id for t in self.pieces(word.lower())]).tobytes()
+            elif m := self.PLAIN.fullmatch(word):
+                core, marks = m.groups()
+                ids = self[core] + self[marks] if marks else array("I", [t.id for t in self.pieces(core.lower().encode().decode("latin-1").translate(self.shown))]).tobytes()
+            else:
+                ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Token ids of whole texts by a tokenizer whose pre-tokens never cross ASCII white space.
 
-    A text's ids are then the ids of its words one after another, so that each distinct word is encoded
-    once for as long as it stays in one of two tables of about ``keep`` words: when the younger is full, it
-    replaces the older. Plain Latin words that are new are encoded together and cut at the ids that end a
-    pre-token; all others are encoded alone.
+    A text's ids are then the ids of its words one after another, so a word is encoded once for as long as
+    it stays in one of two tables of at most ``keep`` words (when the younger is full, it replaces the
+    older). A plain Latin word is one pre-token and goes straight to the tokenizer's model, marks after it
+    are another; every other word is encoded by the whole tokenizer. The tests compare all this with the
+    encoding of whole texts.
     """
 
-    #: Latin letters that case folding and composition map to one letter each, then marks of one pre-token.
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%&*#$|]*)")
     #: White space of other kinds than ASCII, and separators that str.split() takes for white space.
-    ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+    ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
     CUT = re.compile(r"[\x20\x09-\x0D]+")
 
-    def __init__(self, tokenizer_file: str, keep: int = 150_000):
+    def __init__(self, tokenizer_file: str, keep: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        #: Words in use lately, and those before them.
-        self.keep, self.known, self.older = keep, {}, {}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known = _Known(self.tokenizer, keep)
 
     def split(self, text: str) -> list[str]:
         return [w for w in self.CUT.split(text) if w] if self.ODD.search(text) else text.split()
 
-    def learn(self, words: list[str]) -> None:
-        """Adds words to the table. A plain word and its marks are two pre-tokens, each known for itself."""
-        plain, marked, alone = [], [], []
-        for w in words:
-            if w.isascii() and w.isalpha():
-                plain.append(w)
-            elif m := self.PLAIN.fullmatch(w):
-                marked.append((w, m[1], m[2]))
-            else:
-                alone.append(w)
-        known = self.known
-        parts = {x for _, *both in marked for x in both if x and x not in known}
-        plain += [x for x in parts if x[0].isalpha()]
-        alone += [x for x in parts if not x[0].isalpha()]
-        blocks = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
-        for block, e in zip(blocks, self.tokenizer.encode_batch_fast([" ".join(b) for b in blocks], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype="<u4")
-            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            raw = ids.tobytes()
-            known.update(zip(block, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-        for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        for w, core, marks in marked:
-            known[w] = known[core] + known[marks] if marks else known[core]
-
-    def encode(self, texts: list[str], block: int = 2_000_000) -> Iterator[bytes]:
-        """The little-endian ids of each text. ``block``: characters that are cut into words at once."""
-        at = 0
-        while at < len(texts):
-            end, chars = at, 0
-            while end < len(texts) and (end == at or chars + len(texts[end]) <= block):
-                chars += len(texts[end])
-                end += 1
-            cut = [self.split(t) for t in texts[at:end]]
-            distinct = set().union(*cut)
-            if len(self.known) > self.keep:
-                self.known, self.older = {}, self.known
-            new = distinct - self.known.keys()
-            again = new & self.older.keys()
-            self.known.update((w, self.older[w]) for w in again)
-            self.learn(list(new - again))
-            get = self.known.__getitem__
-            for words in cut:
-                yield b"".join(map(get, words))
-            at = end
+    def encode(self, text: str) -> bytes:
+        """The little-endian ids of a text."""
+        return b"".join(map(self.known.__getitem__, self.split(text)))
 
 
 @lru_cache(maxsize=1)
@@ -214,10 +205,9 @@ def write_store(docs: DataFrame, tokenizer_file: str, end_id: int, path: str | N
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
-                texts = [t or "" for t in some.column("text").to_pylist()]
-                for doc_id, piece in zip(some.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
+                for doc_id, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
                     ids.append(doc_id)
-                    pieces.append(piece + end)
+                    pieces.append(encoder.encode(text or "") + end)
                     size += len(pieces[-1])
                     if size >= 4 * segment_tokens:
                         yield closed()

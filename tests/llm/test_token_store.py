@@ -24,9 +24,10 @@ ODD = ["", "a", "It's we'll 'S 're’s 3rd x2y", "a\x1cb c\x85d e f", "İstan
 
 def test_words_encode_as_whole_texts():
     encoder = token_store.WordEncoder(queries.tokenizer_file(), keep=40)
-    texts = ODD + ["x" * 5000, "The thing " * 3000] + [" ".join(ODD)]
+    latin = "".join(map(chr, [*range(0xC0, 0x100)]))
+    texts = ODD + ["x" * 5000, "The thing " * 3000] + [" ".join(ODD), latin, " ".join(latin), " ".join(f"{a}{b}," for a in latin[::5] for b in latin), latin + "x\xad\xa1"]
     whole = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert list(encoder.encode(texts, block=60)) == whole
+    assert [encoder.encode(t) for t in texts] == whole
 
 
 def test_store_equals_encoding(spark, tmp_path):
@@ -45,3 +46,10 @@ def test_store_equals_encoding(spark, tmp_path):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert token_store.read_store(spark, token_store.write_store(docs, queries.tokenizer_file(), 1)).count() == 0
+
+
+def test_documents_encode_as_whole_texts():
+    duckdb = pytest.importorskip("duckdb")
+    encoder = token_store.WordEncoder(queries.tokenizer_file(), keep=5000)
+    for (text,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet'").fetchall():
+        assert encoder.encode(text) == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
