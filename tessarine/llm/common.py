@@ -41,5 +41,5 @@ def words_native(c: Column) -> Column:
 
 def n_words(c: Column) -> Column:
     """Number of words of a text as a long; 0 for null."""
-    spaced = F.rtrim(F.translate(F.coalesce(c, F.lit("")), SPACE, " " * len(SPACE)))
-    return F.size(F.filter(F.split(spaced, " +"), lambda w: w != "")).cast("long")
+    bare = F.trim(F.coalesce(c, F.lit("")), F.lit(SPACE))
+    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"[\x20\x09-\x0D]+"))).cast("long")

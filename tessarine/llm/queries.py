@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, simhash, token_store, toxicity
+from . import decontaminate, mixing, simhash, token_store, toxicity
 from .common import documents
 
 #: Id that ends a document in the token store.
@@ -23,6 +23,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_key")
 
 
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of the sources to weights 1, 2, 3, repeating, takes of every document."""
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
     """The model that learns from the labels outside the held-out fold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -47,5 +52,5 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op1_decontaminate": op1_decontaminate, "op5_simhash": op5_simhash, "op9_token_store": op9_token_store}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op2_mix": op2_mix, "op3_toxicity": op3_toxicity, "op1_decontaminate": op1_decontaminate, "op5_simhash": op5_simhash, "op9_token_store": op9_token_store}
+ORACLES: dict[str, str] = {"op2_mix": mixing.oracle_sql()}
