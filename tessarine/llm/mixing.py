@@ -47,7 +47,7 @@ def swap_sql(x: str, r: str, n: str, seed: str) -> str:
 
 def permuted(x: str, n: str, seed: str, rounds: int = ROUNDS):
     """``x`` under the pseudorandom permutation of the numbers below ``n`` that ``seed`` names."""
-    return F.expr(f"aggregate(sequence(0, {rounds - 1}), cast({x} as bigint), (acc, r) -> {swap_sql('acc', 'r', n, seed)})")
+    return F.expr(f"aggregate(sequence(0L, {rounds - 1}L), cast({x} as bigint), (acc, r) -> {swap_sql('acc', 'r', n, seed)})")
 
 
 def running_start(rows: DataFrame, keys: list[str], order: list, value: str) -> DataFrame:
@@ -193,20 +193,21 @@ WITH RECURSIVE r AS (
 ), k AS (
   SELECT source_no, blocks, unnest(range(slots)) AS k FROM s5
 ), p AS (
-  SELECT source_no, blocks, k // blocks AS pass_no, k % blocks AS x, 0::BIGINT AS r FROM k
+  SELECT k.source_no, k.blocks, k // k.blocks AS pass_no, k % k.blocks AS x, sum_before + k AS y, (SELECT sum(slots) FROM s5)::BIGINT AS n, 0::BIGINT AS r
+  FROM k JOIN (SELECT source_no, (sum(slots) OVER (ORDER BY source_no) - slots)::BIGINT AS sum_before FROM s5) USING (source_no)
   UNION ALL
-  SELECT source_no, blocks, pass_no, {swap_sql('x', 'r', 'blocks', 'source_no * 4 + pass_no + 1')}, r + 1 FROM p WHERE r < {ROUNDS}
+  SELECT source_no, blocks, pass_no, {swap_sql('x', 'r', 'blocks', 'source_no * 4 + pass_no + 1')}, {swap_sql('y', 'r', 'n', '0')}, n, r + 1 FROM p WHERE r < {ROUNDS}
 ), used AS (
-  SELECT source_no, x AS block_no, count(*) AS times FROM p WHERE r = {ROUNDS} GROUP BY ALL
+  SELECT source_no, x AS block_no, count(*) AS times, min(y // {SHARD_SLOTS}) AS first_shard FROM p WHERE r = {ROUNDS} GROUP BY ALL
 ), placed AS (
   SELECT doc_id, source_no, size, (sum(size) OVER (PARTITION BY source_no ORDER BY {bucket}, doc_id ASC NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
   FROM r JOIN s3 ON r.source IS NOT DISTINCT FROM s3.source
 ), parts AS (
   SELECT *, unnest(range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1)) AS block_no FROM placed WHERE size > 0
 ), taken AS (
-  SELECT doc_id, source_no, start, size, sum((least(start + size, (block_no + 1) * {BLOCK}) - greatest(start, block_no * {BLOCK})) * coalesce(times, 0))::BIGINT AS taken
+  SELECT doc_id, source_no, start, size, sum((least(start + size, (block_no + 1) * {BLOCK}) - greatest(start, block_no * {BLOCK})) * coalesce(times, 0))::BIGINT AS taken, min(first_shard)::BIGINT AS first_shard
   FROM parts LEFT JOIN used USING (source_no, block_no) GROUP BY ALL
-  UNION ALL SELECT doc_id, source_no, start, size, 0 FROM placed WHERE size = 0
+  UNION ALL SELECT doc_id, source_no, start, size, 0, NULL FROM placed WHERE size = 0
 )
-SELECT doc_id, size, source_size, target, taken FROM taken JOIN s3 USING (source_no)
+SELECT doc_id, size, source_size, target, taken, first_shard FROM taken JOIN s3 USING (source_no)
 """
