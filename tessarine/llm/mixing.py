@@ -38,16 +38,27 @@ def mix_sql(x: str, r: str, seed: str) -> str:
     return f"((((({t}) * ({t})) % {P}) * 16807 + {t}) % {P})"
 
 
-def swap_sql(x: str, r: str, n: str, seed: str) -> str:
-    """Round ``r`` of the swap-or-not shuffle of the numbers below ``n``, applied to ``x``."""
+def constants_sql(r: str, n: str, seed: str) -> tuple[str, str, str]:
+    """What round ``r`` of a shuffle of the numbers below ``n`` draws: its key below n, and the factor and summand of its coin."""
     key = f"(({mix_sql(r, '1', seed)} * {P} + {mix_sql(r, '2', seed)}) % ({n}))"
-    partner = f"((({key}) + ({n}) - ({x})) % ({n}))"
-    return f"CASE WHEN ({mix_sql(f'greatest({x}, {partner})', r, seed)} >> 12) % 2 = 1 THEN {partner} ELSE {x} END"
+    return key, f"({mix_sql(r, '3', seed)} % {P - 1} + 1)", mix_sql(r, "4", seed)
 
 
-def permuted(x: str, n: str, seed: str, rounds: int = ROUNDS):
-    """``x`` under the pseudorandom permutation of the numbers below ``n`` that ``seed`` names."""
-    return F.expr(f"aggregate(sequence(0L, {rounds - 1}L), cast({x} as bigint), (acc, r) -> {swap_sql('acc', 'r', n, seed)})")
+def swap_sql(x: str, n: str, key: str, factor: str, summand: str) -> str:
+    """One round of the swap-or-not shuffle: ``x`` or its partner, by a coin that both share."""
+    partner = f"(({key} + {n} - {x}) % {n})"
+    return f"CASE WHEN ((((greatest({x}, {partner}) % {P}) * {factor} + {summand}) % {P}) >> 12) % 2 = 1 THEN {partner} ELSE {x} END"
+
+
+def rounds_of(n: str, seed: str, rounds: int = ROUNDS):
+    """The constants of all rounds as an array, for ``permuted``."""
+    key, factor, summand = constants_sql("r", n, seed)
+    return F.expr(f"transform(sequence(0L, {rounds - 1}L), r -> named_struct('k', {key}, 'a', {factor}, 'b', {summand}))")
+
+
+def permuted(x: str, n: str, constants: str):
+    """``x`` under the pseudorandom permutation of the numbers below ``n`` with these constants."""
+    return F.expr(f"aggregate({constants}, cast({x} as bigint), (acc, c) -> {swap_sql('acc', n, 'c.k', 'c.a', 'c.b')})")
 
 
 def running_start(rows: DataFrame, keys: list[str], order: list, value: str) -> DataFrame:
@@ -97,11 +108,15 @@ def slots(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
     counts = counts.withColumn("slots", F.floor(F.col("target") / F.col("source_size") * F.col("blocks") + 0.5))
     before = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = counts.withColumn("offset", F.sum("slots").over(before) - F.col("slots")).withColumn("all_slots", F.sum("slots").over(Window.partitionBy()))
-    chunks = counts.where("slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / per_row)))).repartition("source_no", "chunk")
-    each = chunks.withColumn("k", F.explode(F.sequence(F.col("chunk") * per_row, F.least((F.col("chunk") + 1) * per_row, F.col("slots")) - 1)))
-    each = each.withColumn("pass_no", F.floor(F.col("k") / F.col("blocks"))).withColumn("g", F.col("offset") + F.col("k"))
-    place = permuted("g", "all_slots", "0")
-    own = permuted("(k % blocks)", "blocks", "source_no * 4 + pass_no + 1")
+    total = counts.agg(F.sum("slots")).first()[0] or 0
+    chunks = counts.where("slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / per_row)))).repartition(int(total) // (8 * per_row) + 1, "source_no", "chunk")
+    # a pass has a permutation of its own; the chunk's passes are a few, at most three
+    passes = F.sequence(F.floor(F.col("chunk") * per_row / F.col("blocks")), F.floor((F.least((F.col("chunk") + 1) * per_row, F.col("slots")) - 1) / F.col("blocks")))
+    chunks = chunks.withColumn("pass_no", F.explode(passes))
+    chunks = chunks.withColumn("shard_rounds", rounds_of("all_slots", "0L")).withColumn("own_rounds", rounds_of("blocks", "source_no * 4 + pass_no + 1"))
+    low, high = F.greatest(F.col("chunk") * per_row, F.col("pass_no") * F.col("blocks")), F.least((F.col("chunk") + 1) * per_row, F.col("slots"), (F.col("pass_no") + 1) * F.col("blocks"))
+    each = chunks.withColumn("k", F.explode(F.sequence(low, high - 1))).withColumn("g", F.col("offset") + F.col("k"))
+    place, own = permuted("g", "all_slots", "shard_rounds"), permuted("k % blocks", "blocks", "own_rounds")
     each = each.select("source_no", own.alias("block_no"), "pass_no", place.alias("at"))
     return each.select("source_no", "block_no", "pass_no", F.floor(F.col("at") / shard_slots).alias("shard"), (F.col("at") % shard_slots).alias("place"))
 
@@ -196,7 +211,7 @@ WITH RECURSIVE r AS (
   SELECT k.source_no, k.blocks, k // k.blocks AS pass_no, k % k.blocks AS x, sum_before + k AS y, (SELECT sum(slots) FROM s5)::BIGINT AS n, 0::BIGINT AS r
   FROM k JOIN (SELECT source_no, (sum(slots) OVER (ORDER BY source_no) - slots)::BIGINT AS sum_before FROM s5) USING (source_no)
   UNION ALL
-  SELECT source_no, blocks, pass_no, {swap_sql('x', 'r', 'blocks', 'source_no * 4 + pass_no + 1')}, {swap_sql('y', 'r', 'n', '0')}, n, r + 1 FROM p WHERE r < {ROUNDS}
+  SELECT source_no, blocks, pass_no, {swap_sql('x', 'blocks', *constants_sql('r', 'blocks', 'source_no * 4 + pass_no + 1'))}, {swap_sql('y', 'n', *constants_sql('r', 'n', '0'))}, n, r + 1 FROM p WHERE r < {ROUNDS}
 ), used AS (
   SELECT source_no, x AS block_no, count(*) AS times, min(y // {SHARD_SLOTS}) AS first_shard FROM p WHERE r = {ROUNDS} GROUP BY ALL
 ), placed AS (

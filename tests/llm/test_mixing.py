@@ -70,7 +70,7 @@ def test_slots_are_permutations_dealt_to_shards(spark):
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 256])
 def test_permutation(spark, n):
-    got = [r[0] for r in spark.range(n).select(mixing.permuted("id", str(n), "5")).collect()]
+    got = [r[0] for r in spark.range(n).withColumn("c", mixing.rounds_of(str(n), "5L")).select(mixing.permuted("id", str(n), "c")).collect()]
     assert sorted(got) == list(range(n)) and (n < 10 or got != sorted(got))
 
 
