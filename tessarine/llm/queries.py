@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, quality, simhash, token_store, toxicity
+from . import decontaminate, license_scan, line_dedup, mixing, quality, simhash, token_store, toxicity
 from .common import documents
 
 #: Id that ends a document in the token store.
@@ -52,6 +52,11 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence labels of every document."""
+    return license_scan.scanned(documents(spark, sf_dir))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's lines, those removed as boilerplate, and length and checksum of what is left."""
     found = line_dedup.without_boilerplate(documents(spark, sf_dir).select("doc_id", "source", "text"))
@@ -63,5 +68,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {"op8_line_dedup": op8_line_dedup, "op10_quality": op10_quality, "op2_mix": op2_mix, "op3_toxicity": op3_toxicity, "op1_decontaminate": op1_decontaminate, "op5_simhash": op5_simhash, "op9_token_store": op9_token_store}
+QUERIES = {"op7_license_scan": op7_license_scan, "op8_line_dedup": op8_line_dedup, "op10_quality": op10_quality, "op2_mix": op2_mix, "op3_toxicity": op3_toxicity, "op1_decontaminate": op1_decontaminate, "op5_simhash": op5_simhash, "op9_token_store": op9_token_store}
 ORACLES: dict[str, str] = {"op2_mix": mixing.oracle_sql(), "op8_line_dedup": line_dedup.oracle_sql(), "op10_quality": quality.oracle_sql()}
