@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_dedup, mixing, quality, simhash, token_store, toxicity
-from .common import documents
+from . import decontaminate, license_scan, line_dedup, lm_score, mixing, quality, simhash, token_store, toxicity
+from .common import documents, fold
 
 #: Id that ends a document in the token store.
 END_ID = 1
@@ -52,6 +52,11 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under a model of the documents outside the held-out fold."""
+    return lm_score.scored(documents(spark, sf_dir), fold(F.col("doc_id")) == 1)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence labels of every document."""
     return license_scan.scanned(documents(spark, sf_dir))
@@ -68,5 +73,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {"op7_license_scan": op7_license_scan, "op8_line_dedup": op8_line_dedup, "op10_quality": op10_quality, "op2_mix": op2_mix, "op3_toxicity": op3_toxicity, "op1_decontaminate": op1_decontaminate, "op5_simhash": op5_simhash, "op9_token_store": op9_token_store}
+QUERIES = {"op6_lm_score": op6_lm_score, "op7_license_scan": op7_license_scan, "op8_line_dedup": op8_line_dedup, "op10_quality": op10_quality, "op2_mix": op2_mix, "op3_toxicity": op3_toxicity, "op1_decontaminate": op1_decontaminate, "op5_simhash": op5_simhash, "op9_token_store": op9_token_store}
 ORACLES: dict[str, str] = {"op2_mix": mixing.oracle_sql(), "op8_line_dedup": line_dedup.oracle_sql(), "op10_quality": quality.oracle_sql()}
