@@ -1,4 +1,290 @@
-"""Every registered knowledge-graph query with the SQL that states the same result."""
+"""Every registered knowledge-graph query with the SQL that states the same result.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The graph is derived from the star-schema tables (``graph_tables.star_triples``); vectors come from the table
+embeddings, labels and scores from documents and labels.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import interactions, losses
+from ..operators import alignment, analysis, classification, encode, graph, ranking, relational, splitting
+from ..operators.components import connected_components
+from ..sources.graph_tables import literal_matrix, star_triples, star_triples_sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+DIM = 64
+_KG = f"kg AS ({star_triples_sql()})"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six places: sums of floats depend on their order beyond that."""
+    return df.select(*(F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+
+
+def _add(name: str, make: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = lambda spark, d: _rounded(make(spark, d))
+    if sql is not None:
+        ORACLES[name] = sql
+
+
+def _kg(name: str, make: Callable[[DataFrame], DataFrame], select: str | None = None, ctes: str = "") -> None:
+    """A query over the triples; ``ctes`` and ``select`` state it over ``kg``."""
+    recursive = "RECURSIVE " if "UNION" in ctes else ""
+    _add(name, lambda spark, d: make(star_triples(spark, d)), f"WITH {recursive}{_KG}{', ' + ctes if ctes else ''} {select}" if select else None)
+
+
+# counts and statistics of relations and entities
+_ENDS = "ends AS (SELECT h AS entity, 'head' AS position, r FROM kg UNION ALL SELECT t, 'tail', r FROM kg)"
+_kg("relation_counts", analysis.relation_counts, 'SELECT r, count(*) AS "count" FROM kg GROUP BY r')
+_kg("entity_counts", analysis.entity_counts, 'SELECT entity, position, count(*) AS "count" FROM ends GROUP BY ALL', _ENDS)
+_kg("entity_relation_cooccurrence", analysis.entity_relation_counts, 'SELECT entity, r, position, count(*) AS "count" FROM ends GROUP BY ALL', _ENDS)
+_kg("relation_functionality", analysis.functionality, "SELECT r, round(count(DISTINCT h) / count(*), 6) AS functionality, round(count(DISTINCT t) / count(*), 6) AS inverse_functionality FROM kg GROUP BY r")
+_INJ = """inj AS (
+  SELECT r, n1 + n2 AS support, hi AS head_injective, ti AS tail_injective FROM
+  (SELECT r, count(*) AS n1, avg(CASE WHEN n = 1 THEN 1.0::DOUBLE ELSE 0 END) AS hi FROM (SELECT r, h, count(*) AS n FROM kg GROUP BY r, h) GROUP BY r) JOIN
+  (SELECT r, count(*) AS n2, avg(CASE WHEN n = 1 THEN 1.0::DOUBLE ELSE 0 END) AS ti FROM (SELECT r, t, count(*) AS n FROM kg GROUP BY r, t) GROUP BY r) USING (r))"""
+_kg("relation_injectivity", analysis.injectivity, "SELECT r, support, round(head_injective, 6) AS head_injective, round(tail_injective, 6) AS tail_injective FROM inj", _INJ)
+_kg("relation_cardinality_types", analysis.cardinality_types, """SELECT r, support, relation_type, round(confidence, 6) AS confidence FROM (
+  SELECT r, support, 'one-to-one' AS relation_type, tail_injective * head_injective AS confidence FROM inj UNION ALL SELECT r, support, 'one-to-many', tail_injective * (1 - head_injective) FROM inj
+  UNION ALL SELECT r, support, 'many-to-one', (1 - tail_injective) * head_injective FROM inj UNION ALL SELECT r, support, 'many-to-many', (1 - tail_injective) * (1 - head_injective) FROM inj) WHERE confidence > 0""", _INJ)
+_SYM = "sym AS (SELECT a.r, count(*) AS support, count(b.h) AS hits FROM kg a LEFT JOIN kg b ON a.h = b.t AND a.t = b.h AND a.r = b.r GROUP BY a.r)"
+_kg("symmetry_patterns", analysis.symmetry, "SELECT r, 'symmetry' AS pattern, support, round(hits / support, 6) AS confidence FROM sym UNION ALL SELECT r, 'anti-symmetry', support, round(1 - hits / support, 6) FROM sym", _SYM)
+_INV = "inv AS (SELECT a.r, b.r AS inverse, count(*) AS hits FROM kg a JOIN kg b ON a.h = b.t AND a.t = b.h WHERE a.r <> b.r GROUP BY ALL), n AS (SELECT r, count(*) AS support FROM kg GROUP BY r)"
+_kg("inversion_patterns", analysis.inversion, "SELECT r, inverse, support, round(hits / support, 6) AS confidence FROM inv JOIN n USING (r)", _INV)
+_COMP = """path AS (SELECT DISTINCT a.r AS r1, b.r AS r2, a.h AS x, b.t AS z FROM kg a JOIN kg b ON a.t = b.h), s AS (SELECT r1, r2, count(*) AS support FROM path GROUP BY ALL),
+  c AS (SELECT r1, r2, kg.r, count(*) AS hits FROM path JOIN kg ON kg.h = x AND kg.t = z GROUP BY ALL)"""
+_kg("composition_patterns", analysis.composition, "SELECT r1, r2, r, support, round(hits / support, 6) AS confidence FROM c JOIN s USING (r1, r2)", _COMP)
+_kg("pattern_skyline", lambda kg: analysis.skyline(analysis.composition(kg), ["r"]), """SELECT r, support, round(confidence, 6) AS confidence FROM (
+  SELECT *, max(confidence) OVER (PARTITION BY r ORDER BY support DESC, confidence DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM (SELECT DISTINCT r, support, hits / support AS confidence FROM c JOIN s USING (r1, r2)))
+  WHERE best IS NULL OR confidence > best""", _COMP)
+
+
+def _jaccard_sql(reverse: bool) -> str:
+    on = "a.h = b.t AND a.t = b.h" if reverse else "a.h = b.h AND a.t = b.t"
+    return f"SELECT r1, r2, x.hits / (n1.support + n2.support - x.hits) AS similarity FROM (SELECT a.r AS r1, b.r AS r2, count(*) AS hits FROM kg a JOIN kg b ON {on} WHERE a.r <> b.r GROUP BY ALL) x JOIN n n1 ON n1.r = r1 JOIN n n2 ON n2.r = r2"
+
+
+_kg("jaccard_relations", analysis.jaccard, f"SELECT r1, r2, round(similarity, 6) AS similarity FROM ({_jaccard_sql(False)})", _INV)
+_kg("jaccard_inverse_relations", lambda kg: analysis.jaccard(kg, reverse=True), f"SELECT r1, r2, round(similarity, 6) AS similarity FROM ({_jaccard_sql(True)})", _INV)
+_LEAK = f"""{_INV}, near AS (SELECT DISTINCT r1, r2 FROM ({_jaccard_sql(False)} UNION ALL {_jaccard_sql(True)}) WHERE similarity >= 0.97),
+  reach AS (SELECT r1 AS a, r1 AS b FROM near UNION SELECT reach.a, near.r2 FROM reach JOIN near ON near.r1 = reach.b), comp AS (SELECT a AS r, min(b) AS component FROM reach GROUP BY a)"""
+_kg("leaking_relations", analysis.leaking_relations, """SELECT r, component, support AS "count" FROM (SELECT r, component, support, row_number() OVER (PARTITION BY component ORDER BY support DESC, r) AS nth FROM comp JOIN n USING (r)) WHERE nth > 1""", _LEAK)
+_kg("unleaked_triples", lambda kg: relational.restrict(kg, relations=analysis.leaking_relations(kg).select(F.col("r").alias("label")), invert_relations=True), """SELECT h, r, t FROM kg WHERE r NOT IN (SELECT r FROM
+  (SELECT r, row_number() OVER (PARTITION BY component ORDER BY support DESC, r) AS nth FROM comp JOIN n USING (r)) WHERE nth > 1)""", _LEAK)
+_kg("bernoulli_probabilities", analysis.bernoulli, """SELECT r, round(tph, 6) AS tph, round(hpt, 6) AS hpt, round(tph / (tph + hpt), 6) AS head_probability FROM
+  (SELECT r, avg(n) AS tph FROM (SELECT r, h, count(*) AS n FROM kg GROUP BY r, h) GROUP BY r) JOIN (SELECT r, avg(n) AS hpt FROM (SELECT r, t, count(*) AS n FROM kg GROUP BY r, t) GROUP BY r) USING (r)""")
+_kg("pseudo_type_index", analysis.pseudo_types, "SELECT r, count(DISTINCT h) AS heads, count(DISTINCT t) AS tails FROM kg GROUP BY r")
+_kg("inverse_relation_frequency", analysis.inverse_frequency, "SELECT r, round(1 / count(*), 6) AS weight FROM kg GROUP BY r")
+_kg("macro_weights", analysis.pair_weights, "SELECT h, r, t, round(1 / count(*) OVER (PARTITION BY h, r), 6) AS weight FROM kg")
+_HEX = "('0x' || substr(md5(concat_ws(chr(9), h, r, t)), {a}, 8))::BIGINT"
+_kg("triple_set_hash", analysis.triple_set_hash, "SELECT count(*) AS n, " + ", ".join(f"(sum({_HEX.format(a=a)}) % 4294967296)::BIGINT AS h{i}" for i, a in enumerate((1, 9, 17, 25))) + " FROM kg")
+
+# dictionaries
+_DICT = "e AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS id FROM (SELECT h AS label FROM kg UNION SELECT t FROM kg)), rel AS (SELECT r AS label, row_number() OVER (ORDER BY r) - 1 AS id FROM (SELECT DISTINCT r FROM kg))"
+_IDS = f"{_DICT}, ids AS (SELECT a.id AS h, rel.id AS r, b.id AS t FROM kg JOIN e a ON kg.h = a.label JOIN rel ON kg.r = rel.label JOIN e b ON kg.t = b.label)"
+
+
+def _encoded(kg: DataFrame) -> DataFrame:
+    return encode.encode(kg, encode.entity_dictionary(kg), encode.relation_dictionary(kg))
+
+
+_kg("dictionary_encode", _encoded, "SELECT h, r, t FROM ids", _IDS)
+_kg("entity_dictionary", encode.entity_dictionary, "SELECT label, id FROM e", _DICT)
+_kg("relation_dictionary", encode.relation_dictionary, "SELECT label, id FROM rel", _DICT)
+_kg("dictionary_round_trip", lambda kg: encode.decode(_encoded(kg), encode.entity_dictionary(kg), encode.relation_dictionary(kg)), """SELECT ids.h, ids.r, ids.t, a.label AS h_label, rel.label AS r_label, b.label AS t_label
+  FROM ids JOIN e a ON ids.h = a.id JOIN rel ON ids.r = rel.id JOIN e b ON ids.t = b.id""", _IDS)
+_kg("inverse_triples", lambda kg: encode.with_inverses(_encoded(kg)), "SELECT h, 2 * r AS r, t FROM ids UNION ALL SELECT t, 2 * r + 1, h FROM ids", _IDS)
+_kg("condense", lambda kg: encode.condense(_encoded(kg).where("r < 4"), relations=True), """SELECT a.new AS h, x.new AS r, b.new AS t FROM few JOIN en a ON a.old = h JOIN rn x ON x.old = r JOIN en b ON b.old = t""",
+    f"{_IDS}, few AS (SELECT ids.* FROM ids JOIN (VALUES (0), (1), (2), (3)) q(k) ON r = k), en AS (SELECT old, row_number() OVER (ORDER BY old) - 1 AS new FROM (SELECT h AS old FROM few UNION SELECT t FROM few)), rn AS (SELECT old, row_number() OVER (ORDER BY old) - 1 AS new FROM (SELECT DISTINCT r AS old FROM few))")
+
+# restriction, set operations, membership
+_NATIONS = "SELECT label FROM (SELECT h AS label FROM kg UNION SELECT t FROM kg) WHERE label LIKE 'n%' OR label LIKE 'g%'"
+_nations = lambda kg: kg.select(F.explode(F.array("h", "t")).alias("label")).distinct().where("label like 'n%' or label like 'g%'")
+_relations = lambda kg, *names: kg.select(F.col("r").alias("label")).distinct().where(F.col("label").isin(*names))
+_kg("restrict_entities", lambda kg: relational.restrict(kg, entities=_nations(kg)), f"SELECT h, r, t FROM kg WHERE h IN ({_NATIONS}) AND t IN ({_NATIONS})")
+_kg("restrict_relations_inverted", lambda kg: relational.restrict(kg, relations=_relations(kg, "has_part", "did"), invert_relations=True), "SELECT h, r, t FROM kg WHERE r NOT IN ('has_part', 'did')")
+_geo = lambda kg: kg.where("r in ('nation_in_region', 'region_has_nation', 'nation_neighbor')")
+_in = lambda kg: kg.where("r in ('nation_in_region', 'cust_in_nation', 'supp_in_nation')")
+_SETS = "a AS (SELECT * FROM kg WHERE r IN ('nation_in_region', 'region_has_nation', 'nation_neighbor')), b AS (SELECT * FROM kg WHERE r IN ('nation_in_region', 'cust_in_nation', 'supp_in_nation'))"
+_kg("merge_distinct", lambda kg: relational.merge(_geo(kg), _in(kg)).distinct(), "SELECT * FROM a UNION SELECT * FROM b", _SETS)
+_kg("merge_all", lambda kg: relational.merge(_geo(kg), _in(kg)), "SELECT * FROM a UNION ALL SELECT * FROM b", _SETS)
+_kg("membership_columns", lambda kg: relational.with_membership(kg, geo=_geo(kg), places=_in(kg)), "SELECT h, r, t, (h, r, t) IN (SELECT (h, r, t) FROM a) AS in_geo, (h, r, t) IN (SELECT (h, r, t) FROM b) AS in_places FROM kg", _SETS)
+_kg("filter_known", lambda kg: relational.without_known(_geo(kg), _in(kg)), "SELECT * FROM a EXCEPT SELECT * FROM b", _SETS)
+_kg("split_similarity", lambda kg: relational.steps(_geo(kg), _in(kg)), """SELECT x AS steps, n AS size, round(1 - x / n, 6) AS similarity FROM (SELECT
+  (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) + (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS x, (SELECT count(*) FROM a) AS n)""", _SETS)
+_kg("filter_index", relational.known_targets, "SELECT h, r, count(DISTINCT t) AS targets FROM kg GROUP BY h, r")
+_kg("lcwa_instances", lambda kg: relational.training_instances(kg).select("h", "r", F.array_join("targets", ",").alias("targets")), "SELECT h, r, string_agg(t, ',' ORDER BY t) AS targets FROM kg GROUP BY h, r")
+
+
+def _candidates(kg: DataFrame) -> DataFrame:
+    return relational.candidate_sizes(kg, kg, encode.entity_dictionary(kg).count())
+
+
+_kg("candidate_set_size", _candidates, """SELECT h, r, t, (SELECT count(*) FROM e) + 1 - count(*) OVER (PARTITION BY r, t) AS head_candidates, (SELECT count(*) FROM e) + 1 - count(*) OVER (PARTITION BY h, r) AS tail_candidates FROM kg""", _DICT)
+
+# ranking
+_RANKS = f"""{_IDS}, ne AS (SELECT count(*) AS n FROM e), ranks AS (
+  SELECT h, r, t, 'tail' AS side, n - t - (row_number() OVER (PARTITION BY h, r ORDER BY t DESC) - 1) AS rank, n - count(*) OVER (PARTITION BY h, r) + 1 AS candidates FROM ids, ne
+  UNION ALL SELECT h, r, t, 'head', n - h - (row_number() OVER (PARTITION BY r, t ORDER BY h DESC) - 1), n - count(*) OVER (PARTITION BY r, t) + 1 FROM ids, ne)"""
+
+
+def _ranks(kg: DataFrame) -> DataFrame:
+    entities = encode.entity_dictionary(kg)
+    return ranking.monotone_ranks(encode.encode(kg, entities, encode.relation_dictionary(kg)), entities.count())
+
+
+_kg("fixed_model_filtered_ranks", _ranks, "SELECT h, r, t, side, rank, candidates FROM ranks", _RANKS)
+
+
+def _metrics_sql(weight: str) -> str:
+    mean = lambda c: f"sum(({c}) * {weight}) / sum({weight})"
+    hc = "(ln(candidates) + 0.5772156649015329::DOUBLE + 1 / (2 * candidates) - 1 / (12 * candidates * candidates)) / candidates"
+    hits = ", ".join(f"{mean(f'(rank <= {k})::INT')} AS hits_{k}, {mean(f'least(1.0::DOUBLE, {k} / candidates)')} AS e{k}" for k in (1, 3, 10))
+    out = ", ".join([f"round({c}, 6) AS {c}" for c in ("mean_rank", "mrr", "geometric_mean_rank", "harmonic_mean_rank", "hits_1", "hits_3", "hits_10")])
+    adjusted = ", ".join(f"round((hits_{k} - e{k}) / (1 - e{k}), 6) AS adjusted_hits_{k}" for k in (1, 3, 10))
+    return f"""SELECT coalesce(side, 'both') AS side, "count", {out}, round(mean_rank / e, 6) AS adjusted_mean_rank, round(1 - (mean_rank - 1) / (e - 1), 6) AS adjusted_mean_rank_index,
+  round((mrr - err) / (1 - err), 6) AS adjusted_mrr, {adjusted} FROM (SELECT side, count(*) AS "count", {mean('rank')} AS mean_rank, {mean('1 / rank')} AS mrr, exp({mean('ln(rank)')}) AS geometric_mean_rank,
+  sum({weight}) / sum({weight} / rank) AS harmonic_mean_rank, {mean('(candidates + 1) / 2')} AS e, {mean(hc)} AS err, {hits} FROM weighted GROUP BY GROUPING SETS ((side), ()))"""
+
+
+_kg("rank_metrics", lambda kg: ranking.metrics(_ranks(kg)), _metrics_sql("w"), f"{_RANKS}, weighted AS (SELECT *, 1.0::DOUBLE AS w FROM ranks)")
+_kg("macro_rank_metrics", lambda kg: ranking.metrics(_ranks(kg).join(_encoded(kg).groupBy("h", "r").agg((1 / F.count("*")).alias("w")), ["h", "r"]), weight="w"), _metrics_sql("w"),
+    f"{_RANKS}, weighted AS (SELECT ranks.*, w FROM ranks JOIN (SELECT h, r, 1 / count(*) AS w FROM ids GROUP BY h, r) USING (h, r))")
+# a hair is added, as many scores are halves of the last place
+_kg("marginal_baseline_scores", lambda kg: ranking.marginal_scores(kg).withColumn("score", F.col("score") + 1e-9), """SELECT h, r, t, round(ph * pr / sum(ph * pr) OVER (PARTITION BY h, r) + 1e-9, 6) AS score FROM (SELECT DISTINCT h, r FROM kg) JOIN
+  (SELECT h, t, count(*) / sum(count(*)) OVER (PARTITION BY h) AS ph FROM kg GROUP BY h, t) USING (h) JOIN (SELECT r, t, count(*) / sum(count(*)) OVER (PARTITION BY r) AS pr FROM kg GROUP BY r, t) USING (r, t)""")
+
+# graph
+_NEAR = "near AS (SELECT h AS a, t AS b FROM kg WHERE h <> t UNION SELECT t, h FROM kg WHERE h <> t)"
+_kg("node_degrees", graph.degrees, "SELECT node, count(*) AS degree FROM (SELECT h AS node FROM kg UNION ALL SELECT t FROM kg) GROUP BY node")
+_kg("degree_anchors", lambda kg: graph.degree_anchors(kg, 32), "SELECT node, count(*) AS degree FROM (SELECT h AS node FROM kg UNION ALL SELECT t FROM kg) GROUP BY node ORDER BY degree DESC, node LIMIT 32")
+_kg("degree_moments", graph.degree_moments, "SELECT count(*) AS nobs, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean, round(var_samp(n), 6) AS variance FROM (SELECT h, r, count(*) AS n FROM kg GROUP BY h, r)")
+_kg("edge_weights", graph.edge_weights, """SELECT h, r, t, round(1 / i, 6) AS inverse_in, round(1 / o, 6) AS inverse_out, round(1 / sqrt(i * o), 6) AS symmetric FROM
+  (SELECT *, count(*) OVER (PARTITION BY t) AS i, count(*) OVER (PARTITION BY h) AS o FROM kg)""")
+_kg("relation_tokens", graph.relation_tokens, "SELECT node, string_agg(DISTINCT token, ',' ORDER BY token) AS tokens FROM (SELECT h AS node, r AS token FROM kg UNION ALL SELECT t, r || '_inverse' FROM kg) GROUP BY node")
+_BFS = f"{_NEAR}, d0 AS (SELECT DISTINCT h AS node, 0 AS distance FROM kg WHERE r = 'region_has_nation')" + "".join(
+    f", d{k} AS (SELECT * FROM d{k - 1} UNION ALL SELECT DISTINCT b, {k} FROM d{k - 1} JOIN near ON node = a WHERE distance = {k - 1} AND b NOT IN (SELECT node FROM d{k - 1}))" for k in (1, 2, 3))
+_kg("bfs_distances", lambda kg: graph.distances(kg, kg.where("r = 'region_has_nation'").select(F.col("h").alias("node")), 3), "SELECT node, distance FROM d3", _BFS)
+_PR = "l AS (SELECT h, t, count(*) OVER (PARTITION BY h) AS o FROM (SELECT DISTINCT h, t FROM kg)), v AS (SELECT DISTINCT h AS node FROM kg UNION SELECT t FROM kg), nv AS (SELECT count(*) AS n FROM v), p0 AS (SELECT node, 1.0::DOUBLE / n AS rank FROM v, nv)" + "".join(
+    f""", p{k} AS (SELECT v.node, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(got, 0) + lost / n) AS rank FROM v CROSS JOIN nv CROSS JOIN (SELECT coalesce(sum(rank), 0) AS lost FROM p{k - 1} WHERE node NOT IN (SELECT h FROM l))
+  LEFT JOIN (SELECT t AS node, sum(rank / o) AS got FROM p{k - 1} JOIN l ON node = h GROUP BY t) g ON g.node = v.node)""" for k in range(1, 11))
+_kg("pagerank", graph.pagerank, "SELECT node, round(rank, 6) AS rank FROM p10", _PR)
+_WL = f"{_NEAR}, c0 AS (SELECT a AS node, CAST(count(*) AS VARCHAR) AS colour FROM near GROUP BY a)" + "".join(
+    f""", c{k} AS (SELECT c.node, md5(c.colour || '|' || x.around) AS colour FROM c{k - 1} c JOIN (SELECT a AS node, string_agg(s, ',' ORDER BY s) AS around FROM
+  (SELECT a, colour || ':' || CAST(count(*) AS VARCHAR) AS s FROM near JOIN c{k - 1} ON b = node GROUP BY a, colour) GROUP BY a) x ON x.node = c.node)""" for k in (1, 2))
+_kg("weisfeiler_lehman", graph.colour_classes, "SELECT colour, count(*) AS nodes FROM c2 GROUP BY colour", _WL)
+_kg("connected_components", lambda kg: connected_components(_geo(kg), "h", "t"), "SELECT a AS node, min(b) AS component FROM reach GROUP BY a",
+    f"{_SETS}, u AS (SELECT h AS x, t AS y FROM a UNION SELECT t, h FROM a), reach AS (SELECT x AS a, x AS b FROM u UNION SELECT reach.a, u.y FROM reach JOIN u ON u.x = reach.b)")
+_kg("graph_components", lambda kg: connected_components(kg, "h", "t").groupBy("component").agg(F.count("*").alias("nodes")))
+_kg("most_frequent_relations", lambda kg: analysis.relation_counts(kg).orderBy(F.desc("count"), "r").limit(3), 'SELECT r, count(*) AS "count" FROM kg GROUP BY r ORDER BY 2 DESC, r LIMIT 3')
+_kg("top_tails_per_relation", lambda kg: graph.top_per_group(kg.groupBy("r", "t").agg(F.count("*").alias("n")), ["r"], [F.desc("n"), "t"], 5).select("r", "t", "n", F.col("nth").cast("long").alias("nth")),
+    "SELECT r, t, n, nth FROM (SELECT r, t, count(*) AS n, row_number() OVER (PARTITION BY r ORDER BY count(*) DESC, t) AS nth FROM kg GROUP BY r, t) WHERE nth <= 5")
+
+# alignment of the graph with itself by nations
+_align = lambda kg: kg.where("r = 'nation_in_region'").select(F.col("h").alias("left"), F.col("h").alias("right"))
+_TWO = """l AS (SELECT 'left:' || h AS h, 'left:' || r AS r, 'left:' || t AS t FROM a UNION ALL SELECT 'right:' || h, 'right:' || r, 'right:' || t FROM b),
+  m AS (SELECT DISTINCT 'left:' || h AS x, 'right:' || h AS y FROM kg WHERE r = 'nation_in_region')"""
+_kg("disjoint_union", lambda kg: alignment.disjoint_union(_geo(kg), _in(kg)), "SELECT * FROM l", f"{_SETS}, {_TWO}")
+_kg("same_as_union", lambda kg: alignment.same_as_union(_geo(kg), _in(kg), _align(kg)), "SELECT * FROM l UNION ALL SELECT x, 'same-as', y FROM m", f"{_SETS}, {_TWO}")
+_kg("swap_union", lambda kg: alignment.swap_union(_geo(kg), _in(kg), _align(kg)), "SELECT * FROM l UNION ALL SELECT mm.y, r, t FROM l JOIN mm ON h = mm.x UNION ALL SELECT h, r, mm.y FROM l JOIN mm ON t = mm.x", f"{_SETS}, {_TWO}, mm AS (SELECT x, y FROM m UNION ALL SELECT y, x FROM m)")
+_kg("collapse_union", lambda kg: alignment.collapse_union(_geo(kg), _in(kg), _align(kg)), "SELECT coalesce(p.x, h) AS h, r, coalesce(q.x, t) AS t FROM l LEFT JOIN m p ON h = p.y LEFT JOIN m q ON t = q.y", f"{_SETS}, {_TWO}")
+
+# splits and negatives: properties that hold whatever the hashes
+_kg("coverage_seed", splitting.cover, """SELECT DISTINCT h, r, t FROM (SELECT h, r, t FROM kg QUALIFY row_number() OVER (PARTITION BY r ORDER BY h, r, t) = 1 UNION ALL
+  SELECT h, r, t FROM kg QUALIFY row_number() OVER (PARTITION BY h ORDER BY h, r, t) = 1 UNION ALL SELECT h, r, t FROM kg QUALIFY row_number() OVER (PARTITION BY t ORDER BY h, r, t) = 1)""")
+_kg("split_sizes", lambda kg: splitting.split(kg, [0.8, 0.1]).groupBy("part").agg(F.count("*").alias("n")), """SELECT part, n FROM (SELECT count(*) AS c FROM kg), LATERAL (VALUES (0, floor(0.8::DOUBLE * c + 1e-9)::BIGINT),
+  (1, (floor((0.8::DOUBLE + 0.1::DOUBLE) * c + 1e-9) - floor(0.8::DOUBLE * c + 1e-9))::BIGINT), (2, (c - floor((0.8::DOUBLE + 0.1::DOUBLE) * c + 1e-9))::BIGINT)) x(part, n)""")
+_kg("split_is_whole", lambda kg: splitting.split(kg, [0.8, 0.1]).select("h", "r", "t"), "SELECT h, r, t FROM kg")
+_kg("random_split", lambda kg: splitting.split(kg, [0.8, 0.1]))
+_kg("coverage_split", lambda kg: splitting.coverage_split(kg, [0.8, 0.1]))
+_kg("semi_inductive_split", lambda kg: splitting.semi_inductive(kg, [0.8, 0.1]))
+_kg("fully_inductive_split", splitting.fully_inductive)
+_kg("cleaned_split", lambda kg: splitting.cleaned(_geo(kg), _in(kg))[1], "SELECT h, r, t FROM b WHERE r IN (SELECT r FROM a) AND h IN (SELECT h FROM a UNION SELECT t FROM a) AND t IN (SELECT h FROM a UNION SELECT t FROM a)", _SETS)
+
+
+def _negatives(kg: DataFrame) -> DataFrame:
+    entities = encode.entity_dictionary(kg)
+    return splitting.basic_negatives(encode.encode(kg, entities, encode.relation_dictionary(kg)), entities.count(), 2)
+
+
+_kg("basic_negatives", _negatives)
+_kg("pseudo_typed_negatives", splitting.pseudo_typed_negatives)
+
+
+def _bernoulli_negatives(kg: DataFrame) -> DataFrame:
+    entities, relations = encode.entity_dictionary(kg), encode.relation_dictionary(kg)
+    odds = analysis.bernoulli(kg).join(relations.select(F.col("label").alias("r"), "id"), "r").select(F.col("id").alias("r"), "head_probability")
+    return splitting.basic_negatives(encode.encode(kg, entities, relations).join(odds, "r"), entities.count(), 1, head_probability=F.col("head_probability"))
+
+
+_kg("bernoulli_negatives", _bernoulli_negatives)
+
+
+# vectors: triple i is (row i, its label's row, row i + 1)
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("long").alias("label"))
+    n = e.agg((F.max("vec_id") + 1).alias("n"))
+    heads = e.crossJoin(F.broadcast(n)).select("vec_id", F.col("v").alias("h"), "label", ((F.col("vec_id") + 1) % F.col("n")).alias("next"))
+    return heads.join(e.select(F.col("vec_id").alias("label"), F.col("v").alias("r")), "label").join(e.select(F.col("vec_id").alias("next"), F.col("v").alias("t")), "next").select("vec_id", "h", "r", "t")
+
+
+_VEC = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), x AS (SELECT a.vec_id, a.v AS h, b.v AS r, c.v AS t FROM e a JOIN e b ON b.vec_id = a.label JOIN e c ON c.vec_id = (a.vec_id + 1) % (SELECT max(vec_id) + 1 FROM e))"
+for _name in interactions.INTERACTIONS:
+    _add(f"score_{_name}", lambda spark, d, n=_name: _vectors(spark, d).select("vec_id", interactions.score(n, DIM).alias("score")), f"WITH {_VEC} SELECT vec_id, round({interactions.score_sql(_name, DIM)}, 6) AS score FROM x")
+_add("score_rescal", lambda spark, d: _vectors(spark, d).select("vec_id", interactions.rescal(8).alias("score")), f"WITH {_VEC} SELECT vec_id, round({interactions.rescal_sql(8)}, 6) AS score FROM x")
+
+
+def _top_targets(name: str, k: int = 10) -> Callable[[SparkSession, str], DataFrame]:
+    """The k best tails among all rows for every row whose id is divisible by 50, with its label's row as relation."""
+
+    def make(spark: SparkSession, d: str) -> DataFrame:
+        asked = _vectors(spark, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "h", "r")
+        every = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("t"))
+        scored = asked.crossJoin(every).select("query", "vec_id", interactions.score(name, DIM).alias("score"))
+        return graph.top_per_group(scored, ["query"], [F.desc("score"), "vec_id"], k).select("query", "vec_id", "score")
+
+    return make
+
+
+for _name in ("transe_l2", "distmult", "complex", "rotate"):
+    _add(f"top_targets_{_name}", _top_targets(_name), f"""WITH {_VEC}, q AS (SELECT x.vec_id AS query, x.h, x.r, e.vec_id, e.v AS t FROM x, e WHERE x.vec_id % 50 = 0)
+  SELECT query, vec_id, round(score, 6) AS score FROM (SELECT query, vec_id, {interactions.score_sql(_name, DIM)} AS score FROM q) QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) <= 10""")
+
+
+# classification and losses: the label is quality, the score falls with length
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", F.col("quality").cast("long").alias("y"))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", (F.col("n_chars") / 1000 - 2).alias("score"))
+    return docs.join(labels, "doc_id")
+
+
+_LAB = "z AS (SELECT d.doc_id, d.lang, n_chars / 1000 - 2 AS score, quality::BIGINT AS y FROM documents d JOIN labels l USING (doc_id))"
+_add("classification_confusion", lambda spark, d: classification.confusion(_labelled(spark, d), 0.0), f"""WITH {_LAB}, c AS (SELECT count(*) FILTER (WHERE score >= 0 AND y = 1) AS tp, count(*) FILTER (WHERE score >= 0 AND y = 0) AS fp, count(*) FILTER (WHERE score < 0 AND y = 1) AS fn, count(*) FILTER (WHERE score < 0 AND y = 0) AS tn FROM z)
+  SELECT tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(tn / (tn + fp), 6) AS specificity, round(2 * tp / (2 * tp + fp + fn), 6) AS f1,
+  round(tp / (tp + fp + fn), 6) AS threat, round((tp::DOUBLE * tn - fp::DOUBLE * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc FROM c""")
+_add("roc_auc", lambda spark, d: classification.roc_auc(_labelled(spark, d)), f"""WITH {_LAB}, g AS (SELECT score, sum(y)::BIGINT AS p, sum(1 - y)::BIGINT AS n FROM z GROUP BY score), c AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM g WINDOW w AS (ORDER BY score DESC))
+  SELECT round(1 - sum(p * (fp - n / 2)) / (sum(p) * sum(n)), 6) AS roc_auc, round(sum(p * tp / (tp + fp)) / sum(p), 6) AS average_precision FROM c""")
+for _name, _loss in losses.POINTWISE.items():
+    _add(f"loss_{_name}", lambda spark, d, f=_loss: _labelled(spark, d).groupBy("lang").agg(F.avg(F.expr(f("score", "y"))).alias("loss")), f"WITH {_LAB} SELECT lang, round(avg({_loss('score', 'y')}), 6) AS loss FROM z GROUP BY lang")
+for _name, _loss in losses.PAIRWISE.items():
+    _add(f"loss_{_name}", lambda spark, d, f=_loss: _labelled(spark, d).groupBy("lang").agg(F.avg(F.expr(f("score", "(doc_id % 7 - 3)"))).alias("loss")), f"WITH {_LAB} SELECT lang, round(avg({_loss('score', '(doc_id % 7 - 3)')}), 6) AS loss FROM z GROUP BY lang")
+_add("label_smoothing", lambda spark, d: _labelled(spark, d).select("doc_id", F.expr(losses.label_smoothing("y", 0.1)).cast("double").alias("y")), f"WITH {_LAB} SELECT doc_id, round(({losses.label_smoothing('y', 0.1)})::DOUBLE, 6) AS y FROM z")
+
+# literals: numeric attributes of parts and customers
+_LITERALS = [("part", "p_partkey", "p", c) for c in ("p_size", "p_retailprice")] + [("customer", "c_custkey", "c", "c_acctbal")]
+
+
+def _literals(spark: SparkSession, d: str) -> DataFrame:
+    parts = [spark.read.parquet(f"{d}/{t}.parquet").select(F.concat(F.lit(p), F.col(k).cast("string")).alias("entity"), F.lit(c).alias("attribute"), F.col(c).cast("double").alias("value")) for t, k, p, c in _LITERALS]
+    return literal_matrix(parts[0].unionByName(parts[1]).unionByName(parts[2]), [c for *_, c in _LITERALS])
+
+
+_add("literals_pivot", _literals, """SELECT 'p' || CAST(p_partkey AS VARCHAR) AS entity, round(p_size::DOUBLE, 6) AS p_size, round(p_retailprice, 6) AS p_retailprice, 0::DOUBLE AS c_acctbal FROM part
+  UNION ALL SELECT 'c' || CAST(c_custkey AS VARCHAR), 0, 0, round(c_acctbal, 6) FROM customer""")
