@@ -77,6 +77,11 @@ def running_start(rows: DataFrame, keys: list[str], order: list, value: str) ->
     return placed.join(starts, [*keys, "bucket"]).withColumn("start", F.col("first") + F.col("within")).drop("first", "within")
 
 
+def _few(sources: DataFrame, most: int = 10_000) -> DataFrame:
+    """A table with a row for each source, to be broadcast if these are few."""
+    return F.broadcast(sources) if sources.count() <= most else sources
+
+
 def source_targets(rows: DataFrame, most: int = MOST) -> DataFrame:
     """One row a source: source, source_no, source_size, target. Sources by code point, null last, weigh 1, 2, 3, repeating."""
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -132,7 +137,7 @@ def placed(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame,
     targets = staged(source_targets(rows))
     buckets = max(1, -(-rows.count() // bucket_rows))
     bucket = F.expr(f"coalesce({mix_sql('abs(doc_id)', '3', '5')} % {buckets}, 0)")
-    named = rows.join(F.broadcast(targets.select("source", "source_no")) if targets.count() <= 10_000 else targets.select("source", "source_no"), rows.source.eqNullSafe(targets.source))
+    named = rows.join(_few(targets.select("source", "source_no")), rows.source.eqNullSafe(targets.source))
     named = named.select("doc_id", "text_key", "source_no", "size", bucket.alias("bucket"))
     order = [F.col("doc_id").asc_nulls_first(), "size", "text_key"]
     return running_start(named, ["source_no"], order, "size").drop("bucket"), targets
@@ -145,7 +150,8 @@ def takings(rows: DataFrame, targets: DataFrame, block: int = BLOCK, shard_slots
     low = F.greatest(F.col("start"), F.col("block_no") * block)
     high = F.least(F.col("start") + F.col("size"), (F.col("block_no") + 1) * block)
     parts = parts.withColumn("first", low - F.col("start")).withColumn("words", high - low)
-    return parts.join(used, ["source_no", "block_no"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    # the slots come from a small table by explosion, so their size would be guessed far too low: never broadcast them
+    return parts.join(used.hint("merge"), ["source_no", "block_no"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
 
 
 def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
@@ -170,7 +176,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHAR
     nth = F.row_number().over(Window.partitionBy("doc_id", "text_key", "source_no").orderBy("start"))
     parts = parts.select("doc_id", "text_key", "source_no", nth.alias("nth"), "parts", "passes")
     marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_key"), F.col("source").cast("string").alias("own_source"))
-    marked = marked.join(F.broadcast(targets.select("source", F.col("source_no").alias("own_no"))), marked.own_source.eqNullSafe(targets.source)).select("row", "own_id", "own_key", "own_no")
+    marked = marked.join(_few(targets.select("source", F.col("source_no").alias("own_no"))), marked.own_source.eqNullSafe(targets.source)).select("row", "own_id", "own_key", "own_no")
     marked = marked.withColumn("own_nth", F.row_number().over(Window.partitionBy("own_id", "own_key", "own_no").orderBy(F.lit(0))))
     joined = marked.join(parts, marked.own_id.eqNullSafe(parts.doc_id) & (marked.own_key == parts.text_key) & (marked.own_no == parts.source_no) & (marked.own_nth == parts.nth))
     each = joined.select("row", "parts", F.explode(F.sequence(F.lit(1).cast("long"), "passes")).alias("pass"))
