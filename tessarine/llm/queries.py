@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_dedup, lm_score, mixing, quality, simhash, token_store, toxicity
+from . import decontaminate, license_scan, line_dedup, lm_score, mixing, passages, quality, simhash, token_store, toxicity
 from .common import documents, fold
 
 #: Id that ends a document in the token store.
@@ -41,6 +41,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out_fold(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_passages")
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that shares a passage of 50 words or more with another, with its class."""
+    return passages.repeated(documents(spark, sf_dir))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.simhash_components(documents(spark, sf_dir), width=3, radius=2)
@@ -73,5 +78,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {"op6_lm_score": op6_lm_score, "op7_license_scan": op7_license_scan, "op8_line_dedup": op8_line_dedup, "op10_quality": op10_quality, "op2_mix": op2_mix, "op3_toxicity": op3_toxicity, "op1_decontaminate": op1_decontaminate, "op5_simhash": op5_simhash, "op9_token_store": op9_token_store}
+QUERIES = {"op4_passages": op4_passages, "op6_lm_score": op6_lm_score, "op7_license_scan": op7_license_scan, "op8_line_dedup": op8_line_dedup, "op10_quality": op10_quality, "op2_mix": op2_mix, "op3_toxicity": op3_toxicity, "op1_decontaminate": op1_decontaminate, "op5_simhash": op5_simhash, "op9_token_store": op9_token_store}
 ORACLES: dict[str, str] = {"op2_mix": mixing.oracle_sql(), "op8_line_dedup": line_dedup.oracle_sql(), "op10_quality": quality.oracle_sql()}
