@@ -13,6 +13,7 @@ POINTWISE = {
     "bce": lambda s, y: f"({softplus(s)} - {y} * {s})",
     "mse": lambda s, y: f"power({s} - {y}, 2)",
     "pointwise_hinge": lambda s, y: f"greatest(0, 1 - (2 * {y} - 1) * {s})",
+    "soft_pointwise_hinge": lambda s, y: softplus(f"1 - (2 * {y} - 1) * {s}"),
     "softplus": lambda s, y: softplus(f"-(2 * {y} - 1) * {s}"),
     "focal": lambda s, y: f"(power({y} + (1 - 2 * {y}) / (1 + exp(-{s})), 2) * ({softplus(s)} - {y} * {s}))",
     "double_margin": lambda s, y: f"({y} * greatest(0, 1 - {s}) + (1 - {y}) * greatest(0, 0.5 + {s}))",
@@ -25,6 +26,17 @@ PAIRWISE = {
 }
 
 
-def label_smoothing(y: str, epsilon: float, classes: int | None = None) -> str:
-    """Labels moved towards the even distribution: of two classes, or of ``classes`` of which one is right."""
-    return f"({y} * (1 - {epsilon}) + {epsilon} / {float(classes or 2)})"
+def label_smoothing(y: str, epsilon: float, classes: int = 2) -> str:
+    """Labels moved towards the other classes: 1 - epsilon where one was right, epsilon / (classes - 1) elsewhere."""
+    return f"((1 - {epsilon}) * {y} + {epsilon / (classes - 1)} * (1 - {y}))"
+
+
+def regularizers(dim: int, v: str = "v") -> dict[str, str]:
+    """Penalties of one vector, in Spark SQL."""
+    total = lambda term: f"aggregate(sequence(0, {dim - 1}), 0D, (a, i) -> a + {term})"
+    return {"lp1": total(f"abs({v}[i])"), "lp2": f"sqrt({total(f'power({v}[i], 2)')})", "powersum3": total(f"power(abs({v}[i]), 3)"), "norm_limit": f"greatest(0, {total(f'power({v}[i], 2)')} - 1)"}
+
+
+def regularizers_sql(dim: int, v: str = "v") -> dict[str, str]:
+    total = lambda term: f"list_sum(list_transform(range(1, {dim + 1}), lambda i: {term}))"
+    return {"lp1": total(f"abs({v}[i])"), "lp2": f"sqrt({total(f'power({v}[i], 2)')})", "powersum3": total(f"power(abs({v}[i]), 3)"), "norm_limit": f"greatest(0, {total(f'power({v}[i], 2)')} - 1)"}

@@ -64,3 +64,32 @@ def marginal_scores(triples: DataFrame) -> DataFrame:
     found = pairs.join(by_h, "h").join(by_r, ["r", "t"])
     total = F.sum(F.col("ph") * F.col("pr")).over(Window.partitionBy("h", "r"))
     return found.select("h", "r", "t", (F.col("ph") * F.col("pr") / total).alias("score"))
+
+
+def dispersion(ranks: DataFrame) -> DataFrame:
+    """Median, population variance and standard deviation, and the scaled median absolute deviation of ranks, by side."""
+    by_side = ranks.groupBy("side").agg(F.median("rank").alias("median_rank"), F.var_pop("rank").alias("variance"), F.stddev_pop("rank").alias("standard_deviation"))
+    spread = ranks.join(by_side, "side").groupBy("side").agg((F.median(F.abs(F.col("rank") - F.col("median_rank"))) / 0.6745).alias("mad"))
+    return by_side.join(spread, "side").select("side", "median_rank", "variance", "standard_deviation", "mad")
+
+
+def z_scores(ranks: DataFrame, k: int = 10) -> DataFrame:
+    """Mean rank and hits at k less their expectations for random ranks, in standard errors (larger is better), by side."""
+    n, p = F.col("candidates").cast("double"), F.least(F.lit(1.0), F.lit(float(k)) / F.col("candidates"))
+    sums = ranks.groupBy("side").agg(
+        F.sum((n + 1) / 2 - F.col("rank")).alias("d"), F.sum((n * n - 1) / 12).alias("v"), F.sum((F.col("rank") <= k).cast("double") - p).alias("dh"), F.sum(p * (1 - p)).alias("vh")
+    )
+    return sums.select("side", (F.col("d") / F.sqrt("v")).alias("z_mean_rank"), (F.col("dh") / F.sqrt("vh")).alias("z_hits"))
+
+
+def bootstrap(ranks: DataFrame, rounds: int = 20, seed: int = 0) -> DataFrame:
+    """Mean reciprocal rank of resamples: each row counts as often as a Poisson draw of mean 1 says, which hashes make repeatable."""
+    u = F.pmod(F.xxhash64(F.lit(seed), "h", "r", "t", "side", "round"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    bounds, p, total = [], 0.36787944117144233, 0.0
+    for i in range(1, 9):
+        total += p
+        bounds.append(total)
+        p /= i
+    times = sum((F.when(u >= b, 1).otherwise(0) for b in bounds[1:]), F.when(u >= bounds[0], 1).otherwise(0))
+    each = ranks.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("times", times)
+    return each.groupBy("round").agg((F.sum(F.col("times") / F.col("rank")) / F.sum("times")).alias("mrr"))

@@ -158,6 +158,11 @@ _kg("rank_metrics", lambda kg: ranking.metrics(_ranks(kg)), _metrics_sql("w"), f
 _kg("macro_rank_metrics", lambda kg: ranking.metrics(_ranks(kg).join(_encoded(kg).groupBy("h", "r").agg((1 / F.count("*")).alias("w")), ["h", "r"]), weight="w"), _metrics_sql("w"),
     f"{_RANKS}, weighted AS (SELECT ranks.*, w FROM ranks JOIN (SELECT h, r, 1 / count(*) AS w FROM ids GROUP BY h, r) USING (h, r))")
 # a hair is added, as many scores are halves of the last place
+_kg("rank_dispersion", lambda kg: ranking.dispersion(_ranks(kg)).withColumns({c: F.round(c, 2) for c in ("variance", "standard_deviation")}), """SELECT side, round(m, 6) AS median_rank, round(var_pop(rank), 2) AS variance, round(stddev_pop(rank), 2) AS standard_deviation, round(median(abs(rank - m)) / 0.6745::DOUBLE, 6) AS mad
+  FROM (SELECT *, median(rank) OVER (PARTITION BY side) AS m FROM ranks) GROUP BY side, m""", _RANKS)
+_kg("rank_z_scores", lambda kg: ranking.z_scores(_ranks(kg)), """SELECT side, round(sum((candidates + 1) / 2 - rank) / sqrt(sum((candidates::DOUBLE * candidates - 1) / 12)), 6) AS z_mean_rank,
+  round(sum((rank <= 10)::INT - p) / sqrt(sum(p * (1 - p))), 6) AS z_hits FROM (SELECT *, least(1.0::DOUBLE, 10 / candidates) AS p FROM ranks) GROUP BY side""", _RANKS)
+_kg("bootstrap_mrr", lambda kg: ranking.bootstrap(_ranks(kg)))
 _kg("marginal_baseline_scores", lambda kg: ranking.marginal_scores(kg).withColumn("score", F.col("score") + 1e-9), """SELECT h, r, t, round(ph * pr / sum(ph * pr) OVER (PARTITION BY h, r) + 1e-9, 6) AS score FROM (SELECT DISTINCT h, r FROM kg) JOIN
   (SELECT h, t, count(*) / sum(count(*)) OVER (PARTITION BY h) AS ph FROM kg GROUP BY h, t) USING (h) JOIN (SELECT r, t, count(*) / sum(count(*)) OVER (PARTITION BY r) AS pr FROM kg GROUP BY r, t) USING (r, t)""")
 
@@ -241,6 +246,14 @@ for _name in interactions.INTERACTIONS:
 _add("score_rescal", lambda spark, d: _vectors(spark, d).select("vec_id", interactions.rescal(8).alias("score")), f"WITH {_VEC} SELECT vec_id, round({interactions.rescal_sql(8)}, 6) AS score FROM x")
 
 
+_add("score_structured", lambda spark, d: _vectors(spark, d).select("vec_id", interactions.structured(5).alias("score")), f"WITH {_VEC} SELECT vec_id, round({interactions.structured_sql(5)}, 6) AS score FROM x")
+_add("score_transh", lambda spark, d: _vectors(spark, d).select("vec_id", interactions.transh(32, w="r").alias("score")), f"WITH {_VEC} SELECT vec_id, round({interactions.transh_sql(32, w='r')}, 6) AS score FROM x")
+_add("score_hole", lambda spark, d: _vectors(spark, d).select("vec_id", interactions.hole(DIM).alias("score")), f"WITH {_VEC} SELECT vec_id, round({interactions.hole_sql(DIM)}, 6) AS score FROM x")
+_add("score_transr", lambda spark, d: _vectors(spark, d).select("vec_id", interactions.transr(8, m="r").alias("score")), f"WITH {_VEC} SELECT vec_id, round({interactions.transr_sql(8, m='r')}, 6) AS score FROM x")
+for _name, _term in losses.regularizers_sql(DIM).items():
+    _add(f"regularizer_{_name}", lambda spark, d, n=_name: spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("embedding").cast("array<double>").alias("v")).agg(F.avg(F.expr(losses.regularizers(DIM)[n])).alias("penalty")), f"WITH {_VEC} SELECT round(avg({_term}), 6) AS penalty FROM e")
+
+
 def _top_targets(name: str, k: int = 10) -> Callable[[SparkSession, str], DataFrame]:
     """The k best tails among all rows for every row whose id is divisible by 50, with its label's row as relation."""
 
