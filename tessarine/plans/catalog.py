@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import interactions, losses
-from ..operators import alignment, analysis, classification, encode, graph, ranking, relational, splitting
+from ..operators import alignment, analysis, classification, encode, graph, ranking, relational, splitting, training
 from ..operators.components import connected_components
 from ..sources.graph_tables import literal_matrix, star_triples, star_triples_sql
 
@@ -232,6 +232,16 @@ def _bernoulli_negatives(kg: DataFrame) -> DataFrame:
 _kg("bernoulli_negatives", _bernoulli_negatives)
 
 
+def _trained(kg: DataFrame) -> DataFrame:
+    """Norms of the entity vectors of a model trained for two epochs."""
+    entities = encode.entity_dictionary(kg)
+    vectors, _, _ = training.train(encode.encode(kg, entities, encode.relation_dictionary(kg)), entities.count(), dim=8, epochs=2)
+    return vectors.select("id", F.sqrt(F.aggregate(F.transform("v", lambda x: x * x), F.lit(0.0), lambda a, x: a + x)).alias("norm"))
+
+
+_kg("distmult_training", _trained)
+
+
 # vectors: triple i is (row i, its label's row, row i + 1)
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("long").alias("label"))
