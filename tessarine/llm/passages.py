@@ -56,76 +56,103 @@ def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)), repeat(42)), np.uint64, n)
 
 
-def compact_windows(values: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pivot, first start, last start) of every run of subsequences with their minimum at one place (the leftmost of equals)."""
+def sliding_minimum(values: np.ndarray, length: int) -> np.ndarray:
+    """The minimum of every subsequence of ``length``, from running minima of blocks in both directions."""
     n = len(values)
-    if n < length:
-        return (np.zeros(0, np.int64),) * 3
     blocks = -(-n // length)
     padded = np.full(blocks * length, np.iinfo(np.uint64).max, np.uint64)
     padded[:n] = values
     grid = padded.reshape(blocks, length)
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
     behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(behind[: n - length + 1], ahead[length - 1 : n])
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    last = np.append(first[1:] - 1, n - length)
-    out = []
-    for a, b in zip(first.tolist(), last.tolist(), strict=True):
-        v = least[a]
-        while a <= b:  # more than once only if the minimum repeats
-            p = a + int(np.argmax(values[a : a + length] == v))
-            out.append((p, a, min(b, p)))
-            a = p + 1
-    return tuple(np.array(x, np.int64) for x in zip(*out, strict=True))
+    return np.minimum(behind[: n - length + 1], ahead[length - 1 : n])
+
 
+def compact_windows(values: np.ndarray, length: int = LENGTH, sizes: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pivot, first start, last start) of every run of subsequences with their minimum at one place (the leftmost of equals).
 
-def window_keys(text: bytes | None, hashes: int, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(key, pivot, first, last) of a text's windows; each has a key for either side that the text has 20 words on."""
-    base = shingles(text)
-    n, out = len(base), []
+    ``sizes``: ``values`` are several sequences of these sizes one after another, which no subsequence crosses.
+    """
+    n = len(values)
+    if n < length:
+        return (np.zeros(0, np.int64),) * 3
+    owner = np.repeat(np.arange(len(sizes)), sizes) if sizes is not None else np.zeros(n, np.int64)
+    least = sliding_minimum(values, length)
+    whole = owner[: n - length + 1] == owner[length - 1 :]
+    change = np.concatenate([[True], (least[1:] != least[:-1]) | (owner[1 : len(least)] != owner[: len(least) - 1]) | (whole[1:] != whole[:-1])])
+    first = np.flatnonzero(change)
+    last = np.append(first[1:] - 1, len(least) - 1)
+    first, last = first[whole[first]], last[whole[first]]
+    pivot = np.empty(len(first), np.int64)
+    for at in range(0, len(first), 50_000):
+        a = first[at : at + 50_000]
+        pivot[at : at + 50_000] = a + np.argmax(values[a[:, None] + np.arange(length)] == least[a][:, None], axis=1)
+    again = np.flatnonzero(last > pivot)  # the minimum repeats: the run goes on with its next place
+    more: list[tuple[int, int, int]] = []
+    for k in again.tolist():
+        a, b = int(pivot[k]) + 1, int(last[k])
+        while a <= b:
+            p = a + int(np.argmax(values[a : a + length] == least[first[k]]))
+            more.append((p, a, min(b, p)))
+            a = p + 1
+    last = np.minimum(last, pivot)
+    if more:
+        pivot, first, last = (np.concatenate([x, np.array(y, np.int64)]) for x, y in zip((pivot, first, last), zip(*more, strict=True), strict=True))
+    return pivot, first, last
+
+
+def window_keys(texts: list[bytes | None], hashes: int, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(row of the text, key, pivot, first, last) of the texts' windows; each has a key for either side that the text has 20 words on."""
+    parts = [shingles(t) for t in texts]
+    sizes = [len(x) for x in parts]
+    base, begins = np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
+    owner, out = np.repeat(np.arange(len(sizes)), sizes), []
     for j in range(hashes):
-        pivot, first, last = compact_windows(_mix(base + np.uint64(j + 1) * np.uint64(0x9E3779B97F4A7C15)), length)
+        pivot, first, last = compact_windows(_mix(base + np.uint64(j + 1) * np.uint64(0x9E3779B97F4A7C15)), length, sizes)
+        row = owner[pivot]
         for side, step in ((0, _SIDE), (1, -_SIDE)):
-            inside = (pivot + step[-1] >= 0) & (pivot + step[-1] < n)
-            p = pivot[inside]
+            far = pivot + step[-1]
+            inside = (far >= begins[row]) & (far < begins[row + 1])
+            p, r = pivot[inside], row[inside]
             key = np.full(len(p), 2 * j + side + 1, np.uint64)
             for k in step:
                 key = _mix(key + base[p + k])
-            out.append((key, p, first[inside], last[inside]))
+            out.append((r, key, p - begins[r], first[inside] - begins[r], last[inside] - begins[r]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def windows(docs: DataFrame, hashes: int, length: int = LENGTH) -> DataFrame:
-    """(key, text_key, pivot, low, high): all windows; low and high are the first and last start less the pivot."""
+    """(key, text_key, place): all windows; place holds the pivot and how far before it the first and last start lie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows = [(k, *window_keys(t, hashes, length)) for k, t in zip(part.column("text_key").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True)]
-                sizes = [len(r[1]) for r in rows]
-                key, pivot, first, last = (np.concatenate([r[i] for r in rows]) for i in (1, 2, 3, 4))
-                owner = np.repeat(np.array([r[0] for r in rows], np.int64), sizes)
-                columns = [key.view(np.int64), owner, *(x.astype(np.int32) for x in (pivot, first - pivot, last - pivot))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "text_key", "pivot", "low", "high"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                row, key, pivot, first, last = window_keys(part.column("text").cast(pa.binary()).to_pylist(), hashes, length)
+                owner = part.column("text_key").to_numpy()[row]
+                place = (pivot * length + (pivot - first)) * length + (pivot - last)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key.view(np.int64), owner, place.astype(np.int64))], names=["key", "text_key", "place"])
 
-    return docs.select(F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, text_key long, pivot int, low int, high int")
+    return docs.select(F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, text_key long, place long")
 
 
 def candidates(docs: DataFrame, hashes: int, length: int = LENGTH) -> DataFrame:
     """(text_key, other, anchors): pairs of texts whose windows overlap, with the places of their pivots in both."""
     found = windows(docs, hashes, length)
     # the frame only grows, so a group is streamed and never held, however large
-    leader = F.first(F.struct("text_key", "pivot", "low", "high")).over(Window.partitionBy("key").orderBy("text_key", "pivot").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    joined = found.withColumn("leader", leader).where((F.col("text_key") != F.col("leader.text_key")) & (F.greatest("low", "leader.low") <= F.least("high", "leader.high")))
-    anchor = F.struct("pivot", F.col("leader.pivot").alias("other_pivot"))
+    leader = F.first(F.struct("text_key", "place")).over(Window.partitionBy("key").orderBy("text_key", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    low, high = (lambda p: -(F.floor(p / length) % length)), (lambda p: -(p % length))
+    joined = found.withColumn("leader", leader).where(F.col("text_key") != F.col("leader.text_key"))
+    mine, other = F.col("place"), F.col("leader.place")
+    joined = joined.where(F.greatest(low(mine), low(other)) <= F.least(high(mine), high(other)))
+    pivot = lambda p: F.floor(p / (length * length)).cast("int")
+    anchor = F.struct(pivot(mine).alias("pivot"), pivot(other).alias("other_pivot"))
     return joined.groupBy("text_key", F.col("leader.text_key").alias("other")).agg(F.collect_set(anchor).alias("anchors"))
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFrame:
     """(owner, starts, values): the shingles within ``length`` of any of a text's wanted pivots, as runs: each run's start, length and hashes."""
-    texts = docs.select(F.xxhash64("text").alias("owner"), F.col("text").cast("string").alias("text")).join(wanted, "owner")
+    texts = docs.select(F.xxhash64("text").alias("owner"), F.col("text").cast("string").alias("text")).join(wanted, "owner").dropDuplicates(["owner"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +170,7 @@ def contexts(docs: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFr
                     values.append(np.concatenate([base[a:b] for a, b in runs]).view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column("owner"), pa.array(starts, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int64()))], names=["owner", "starts", "values"])
 
-    return texts.select("owner", "text", "pivots").mapInArrow(run, "owner long, starts array<int>, values array<bigint>").dropDuplicates(["owner"])
+    return texts.select("owner", "text", "pivots").mapInArrow(run, "owner long, starts array<int>, values array<bigint>")
 
 
 class _Context:
@@ -159,26 +186,40 @@ class _Context:
         return next((a, v) for a, v in self.runs if a <= pivot < a + len(v))
 
 
-def verified(mine: tuple[int, np.ndarray], other: tuple[int, np.ndarray], pivot: int, other_pivot: int, length: int, similarity: float) -> tuple[int, int, float] | None:
-    """(first, end, similarity): the longest run of places of mine whose aligned windows of ``length`` are similar enough and hold the pivot."""
-    (a, x), (b, y) = mine, other
-    i, j = pivot - a, other_pivot - b
-    left, right = min(i, j), min(len(x) - i, len(y) - j)
-    x, y = x[i - left : i + right], y[j - left : j + right]
-    same = x == y
-    # first the exact passage around the pivot
-    gaps = np.flatnonzero(~same)
-    k = np.searchsorted(gaps, left)
-    first, end = (int(gaps[k - 1]) + 1 if k else 0), (int(gaps[k]) if k < len(gaps) else len(same))
-    if end - first >= length:
-        return pivot - left + first, pivot - left + end, 1.0
-    best = None
-    for s in range(max(0, left - length + 1), min(left, len(x) - length) + 1):
+def verified(x: np.ndarray, y: np.ndarray, length: int, similarity: float) -> tuple[int, int, float] | None:
+    """(first, end, similarity): the longest run of aligned windows of ``length`` of two parts that are similar enough, as places in x.
+
+    Windows that are equal in enough places come first; where there are none, those of which enough shingles stand
+    anywhere in the other part are tried (words put in or left out shift the rest). Sets decide in either case.
+    """
+    n = min(len(x), len(y))
+    if n < length:
+        return None
+    x, y = x[:n], y[:n]
+    need = int(np.ceil(2 * length * similarity / (1 + similarity)))
+
+    def sliding(flags):
+        sums = np.concatenate([[0], np.cumsum(flags)])
+        return sums[length:] - sums[:-length]
+
+    def value(s):
         p, q = set(x[s : s + length].tolist()), set(y[s : s + length].tolist())
-        value = len(p & q) / len(p | q)
-        if value >= similarity and (best is None or value > best[2]):
-            best = (pivot - left + s, pivot - left + s + length, value)
-    return best
+        return len(p & q) / len(p | q)
+
+    same = sliding(x == y)
+    good = np.flatnonzero(same >= need)
+    if len(good):
+        cuts = np.flatnonzero(np.diff(good) > 1)
+        runs = sorted(zip(good[np.append(0, cuts + 1)].tolist(), good[np.append(cuts, len(good) - 1)].tolist(), strict=True), key=lambda r: r[0] - r[1])
+        for a, b in runs:
+            found = value(a + int(np.argmax(same[a : b + 1])))
+            if found >= similarity:
+                return a, b + length, found
+    there = sliding(np.isin(x, y))
+    for s in sorted(np.flatnonzero(there >= need).tolist(), key=lambda s: -there[s]):
+        if (found := value(s)) >= similarity:
+            return s, s + length, found
+    return None
 
 
 def links(docs: DataFrame, hashes: int = 3, length: int = LENGTH, similarity: float = 0.8) -> DataFrame:
@@ -197,14 +238,17 @@ def links(docs: DataFrame, hashes: int = 3, length: int = LENGTH, similarity: fl
             for row in range(batch.num_rows):
                 get = lambda c: batch.column(c)[row]  # noqa: E731, B023
                 mine, other = (_Context(get(f"{p}_starts").as_py(), get(f"{p}_values").values.to_numpy()) for p in ("my", "other"))
-                best = None
+                best, seen = None, set()
                 for anchor in get("anchors").as_py():
                     p, q = anchor["pivot"], anchor["other_pivot"]
-                    if best and best[2] == 1.0 and best[0] <= p < best[1]:
+                    (a, x), (b, y) = mine.around(p), other.around(q)
+                    if (q - p, a, b) in seen:
                         continue
-                    found = verified(mine.around(p), other.around(q), p, q, length, similarity)
+                    seen.add((q - p, a, b))
+                    left = min(p - a, q - b)
+                    found = verified(x[p - a - left :], y[q - b - left :], length, similarity)
                     if found and (best is None or found[1] - found[0] > best[1] - best[0]):
-                        best = found
+                        best = (p - left + found[0], p - left + found[1], found[2])
                 if best:
                     out.append((get("text_key").as_py(), get("other").as_py(), best[0], best[1] - 1 + WIDTH - 1, best[2]))
             columns = list(zip(*out, strict=True)) or [()] * 5
