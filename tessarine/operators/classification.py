@@ -19,6 +19,57 @@ def confusion(rows: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+#: Rates from counts as doubles, in SQL that Spark and DuckDB read alike.
+RATES = {
+    "false_positive_rate": "fp / (fp + tn)",
+    "false_negative_rate": "fn / (fn + tp)",
+    "false_discovery_rate": "fp / (fp + tp)",
+    "false_omission_rate": "fn / (fn + tn)",
+    "negative_predictive_value": "tn / (tn + fn)",
+    "balanced_accuracy": "(tp / (tp + fn) + tn / (tn + fp)) / 2",
+    "prevalence": "(tp + fn) / (tp + fp + fn + tn)",
+    "informedness": "tp / (tp + fn) + tn / (tn + fp) - 1",
+    "markedness": "tp / (tp + fp) + tn / (tn + fn) - 1",
+    "fowlkes_mallows": "sqrt(tp / (tp + fp) * tp / (tp + fn))",
+    "g_mean": "sqrt(tp / (tp + fn) * tn / (tn + fp))",
+    "positive_likelihood_ratio": "(tp / (tp + fn)) / (fp / (fp + tn))",
+    "negative_likelihood_ratio": "(fn / (tp + fn)) / (tn / (fp + tn))",
+    "diagnostic_odds_ratio": "(tp * tn) / (fp * fn)",
+    "prevalence_threshold": "sqrt(fp / (fp + tn)) / (sqrt(tp / (tp + fn)) + sqrt(fp / (fp + tn)))",
+    "cohen_kappa": "2 * (tp * tn - fn * fp) / ((tp + fp) * (fp + tn) + (tp + fn) * (fn + tn))",
+    "f2": "5 * tp / (5 * tp + 4 * fn + fp)",
+    "f_half": "1.25 * tp / (1.25 * tp + 0.25 * fn + fp)",
+}
+
+
+def rates(rows: DataFrame, threshold: float) -> DataFrame:
+    """One row of all RATES at a threshold; null where a divisor is zero."""
+    counts = confusion(rows, threshold).select(*(F.col(c).cast("double").alias(c) for c in ("tp", "fp", "fn", "tn")))
+    return counts.select(*(F.expr(_safe(sql)).alias(name) for name, sql in RATES.items()))
+
+
+def _safe(sql: str) -> str:
+    """The rate with null for a division by zero, which Spark's ANSI mode raises: every divisor in nullif(..., 0)."""
+    out, i = "", 0
+    while i < len(sql):
+        if sql[i] != "/":
+            out, i = out + sql[i], i + 1
+            continue
+        i = end = i + 2
+        if sql[i] == "(":
+            depth = 0
+            while True:
+                depth += {"(": 1, ")": -1}.get(sql[end], 0)
+                end += 1
+                if not depth:
+                    break
+        else:
+            while end < len(sql) and (sql[end].isalnum() or sql[end] == "_"):
+                end += 1
+        out, i = f"{out}/ nullif({_safe(sql[i:end])}, 0)", end
+    return out
+
+
 def _levels(rows: DataFrame) -> DataFrame:
     """Positives and negatives at each distinct score and above it. Ties meet in one row first, so the running sums are over
     scores, by ranges: totals of each range, then places within."""

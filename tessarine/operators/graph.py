@@ -47,6 +47,36 @@ def distances(triples: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
+def anchor_distances(triples: DataFrame, anchors: DataFrame, hops: int) -> DataFrame:
+    """(node, anchor, distance) of every anchor (node) within ``hops`` undirected steps of a node."""
+    steps = staged(neighbours(triples))
+    seen = frontier = staged(anchors.select("node", F.col("node").alias("anchor")).distinct().withColumn("distance", F.lit(0)))
+    for d in range(1, hops + 1):
+        reached = frontier.join(steps, F.col("node") == F.col("a")).select(F.col("b").alias("node"), "anchor").distinct()
+        frontier = staged(reached.join(seen, ["node", "anchor"], "left_anti").withColumn("distance", F.lit(d)))
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def nearest_anchors(triples: DataFrame, anchors: DataFrame, hops: int, k: int) -> DataFrame:
+    """The k nearest anchors of every node that reaches one (ties by name), as a comma-joined text in order."""
+    found = top_per_group(anchor_distances(triples, anchors, hops), ["node"], ["distance", "anchor"], k)
+    return found.groupBy("node").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", "anchor"))), lambda x: x["anchor"]), ",").alias("anchors"))
+
+
+def walk_returns(triples: DataFrame, steps: int) -> DataFrame:
+    """(node, step, probability) that an even random walk over undirected edges is back at its node, up to ``steps`` steps; zeros left out."""
+    near = neighbours(triples)
+    moves = staged(near.withColumn("p", 1 / F.count("*").over(Window.partitionBy("a"))))
+    at = moves.select(F.col("a").alias("node"), F.col("b").alias("at"), "p")
+    out = at.where("node = at").select("node", F.lit(1).alias("step"), F.col("p").alias("probability"))
+    for k in range(2, steps + 1):
+        nxt = moves.select(F.col("a").alias("at"), F.col("b").alias("to"), F.col("p").alias("q"))
+        at = staged(at.join(nxt, "at").groupBy("node", "to").agg(F.sum(F.col("p") * F.col("q")).alias("p")).withColumnRenamed("to", "at"))
+        out = out.unionByName(at.where("node = at").select("node", F.lit(k).alias("step"), F.col("p").alias("probability")))
+    return out
+
+
 def pagerank(triples: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """PageRank over distinct directed edges after a fixed number of rounds; what dangling nodes hold is spread evenly."""
     links = edges(triples)

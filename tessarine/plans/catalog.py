@@ -177,6 +177,15 @@ _kg("relation_tokens", graph.relation_tokens, "SELECT node, string_agg(DISTINCT
 _BFS = f"{_NEAR}, d0 AS (SELECT DISTINCT h AS node, 0 AS distance FROM kg WHERE r = 'region_has_nation')" + "".join(
     f", d{k} AS (SELECT * FROM d{k - 1} UNION ALL SELECT DISTINCT b, {k} FROM d{k - 1} JOIN near ON node = a WHERE distance = {k - 1} AND b NOT IN (SELECT node FROM d{k - 1}))" for k in (1, 2, 3))
 _kg("bfs_distances", lambda kg: graph.distances(kg, kg.where("r = 'region_has_nation'").select(F.col("h").alias("node")), 3), "SELECT node, distance FROM d3", _BFS)
+_regions = lambda kg: kg.where("r = 'region_has_nation'").select(F.col("h").alias("node"))
+_ANCHORS = f"{_NEAR}, s0 AS (SELECT DISTINCT h AS node, h AS anchor, 0 AS distance FROM kg WHERE r = 'region_has_nation')" + "".join(
+    f", s{k} AS (SELECT * FROM s{k - 1} UNION ALL SELECT DISTINCT b, anchor, {k} FROM s{k - 1} JOIN near ON node = a WHERE distance = {k - 1} AND (b, anchor) NOT IN (SELECT (node, anchor) FROM s{k - 1}))" for k in (1, 2, 3))
+_kg("anchor_distances", lambda kg: graph.anchor_distances(kg, _regions(kg), 3), "SELECT node, anchor, distance FROM s3", _ANCHORS)
+_kg("nearest_anchors", lambda kg: graph.nearest_anchors(kg, _regions(kg), 3, 2), """SELECT node, string_agg(anchor, ',' ORDER BY nth) AS anchors FROM
+  (SELECT node, anchor, row_number() OVER (PARTITION BY node ORDER BY distance, anchor) AS nth FROM s3) WHERE nth <= 2 GROUP BY node""", _ANCHORS)
+_WALK = f"{_SETS}, m AS (SELECT x AS a, y AS b, 1 / count(*) OVER (PARTITION BY x) AS p FROM (SELECT h AS x, t AS y FROM a WHERE h <> t UNION SELECT t, h FROM a WHERE h <> t)), w1 AS (SELECT a AS node, b AS cur, p FROM m)" + "".join(
+    f", w{k} AS (SELECT node, b AS cur, sum(w{k - 1}.p * m.p) AS p FROM w{k - 1} JOIN m ON cur = a GROUP BY node, b)" for k in (2, 3))
+_kg("random_walk_returns", lambda kg: graph.walk_returns(_geo(kg), 3), " UNION ALL ".join(f"SELECT node, {k} AS step, round(p, 6) AS probability FROM w{k} WHERE node = cur" for k in (1, 2, 3)), _WALK)
 _PR = "l AS (SELECT h, t, count(*) OVER (PARTITION BY h) AS o FROM (SELECT DISTINCT h, t FROM kg)), v AS (SELECT DISTINCT h AS node FROM kg UNION SELECT t FROM kg), nv AS (SELECT count(*) AS n FROM v), p0 AS (SELECT node, 1.0::DOUBLE / n AS rank FROM v, nv)" + "".join(
     f""", p{k} AS (SELECT v.node, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(got, 0) + lost / n) AS rank FROM v CROSS JOIN nv CROSS JOIN (SELECT coalesce(sum(rank), 0) AS lost FROM p{k - 1} WHERE node NOT IN (SELECT h FROM l))
   LEFT JOIN (SELECT t AS node, sum(rank / o) AS got FROM p{k - 1} JOIN l ON node = h GROUP BY t) g ON g.node = v.node)""" for k in range(1, 11))
@@ -292,6 +301,8 @@ _LAB = "z AS (SELECT d.doc_id, d.lang, n_chars / 1000 - 2 AS score, quality::BIG
 _add("classification_confusion", lambda spark, d: classification.confusion(_labelled(spark, d), 0.0), f"""WITH {_LAB}, c AS (SELECT count(*) FILTER (WHERE score >= 0 AND y = 1) AS tp, count(*) FILTER (WHERE score >= 0 AND y = 0) AS fp, count(*) FILTER (WHERE score < 0 AND y = 1) AS fn, count(*) FILTER (WHERE score < 0 AND y = 0) AS tn FROM z)
   SELECT tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(tn / (tn + fp), 6) AS specificity, round(2 * tp / (2 * tp + fp + fn), 6) AS f1,
   round(tp / (tp + fp + fn), 6) AS threat, round((tp::DOUBLE * tn - fp::DOUBLE * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc FROM c""")
+_add("classification_rates", lambda spark, d: classification.rates(_labelled(spark, d), 0.0), f"""WITH {_LAB}, c AS (SELECT (count(*) FILTER (WHERE score >= 0 AND y = 1))::DOUBLE AS tp, (count(*) FILTER (WHERE score >= 0 AND y = 0))::DOUBLE AS fp,
+  (count(*) FILTER (WHERE score < 0 AND y = 1))::DOUBLE AS fn, (count(*) FILTER (WHERE score < 0 AND y = 0))::DOUBLE AS tn FROM z) SELECT {', '.join(f'round({sql}, 6) AS {name}' for name, sql in classification.RATES.items())} FROM c""")
 _add("roc_auc", lambda spark, d: classification.roc_auc(_labelled(spark, d)), f"""WITH {_LAB}, g AS (SELECT score, sum(y)::BIGINT AS p, sum(1 - y)::BIGINT AS n FROM z GROUP BY score), c AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM g WINDOW w AS (ORDER BY score DESC))
   SELECT round(1 - sum(p * (fp - n / 2)) / (sum(p) * sum(n)), 6) AS roc_auc, round(sum(p * tp / (tp + fp)) / sum(p), 6) AS average_precision FROM c""")
 for _name, _loss in losses.POINTWISE.items():
