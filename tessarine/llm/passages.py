@@ -20,6 +20,7 @@ no class. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -189,8 +190,8 @@ class _Context:
 def verified(x: np.ndarray, y: np.ndarray, length: int, similarity: float) -> tuple[int, int, float] | None:
     """(first, end, similarity): the longest run of aligned windows of ``length`` of two parts that are similar enough, as places in x.
 
-    Windows that are equal in enough places come first; where there are none, those of which enough shingles stand
-    anywhere in the other part are tried (words put in or left out shift the rest). Sets decide in either case.
+    Windows that are equal in enough places come first; where there are none, those that share enough shingles at
+    whatever places (words put in or left out shift the rest). Sets decide in either case.
     """
     n = min(len(x), len(y))
     if n < length:
@@ -215,7 +216,14 @@ def verified(x: np.ndarray, y: np.ndarray, length: int, similarity: float) -> tu
             found = value(a + int(np.argmax(same[a : b + 1])))
             if found >= similarity:
                 return a, b + length, found
-    there = sliding(np.isin(x, y))
+    # a shingle of x at i that stands in y at j is shared by the windows that hold both places
+    order = np.argsort(y, kind="stable")
+    at = np.minimum(np.searchsorted(y[order], x), n - 1)
+    i, j = np.arange(n), order[at]
+    low, high = np.maximum(i, j) - length + 1, np.minimum(i, j)
+    held = (y[j] == x) & (low <= high)
+    steps = np.bincount(np.maximum(low[held], 0), minlength=n + 1) - np.bincount(high[held] + 1, minlength=n + 1)
+    there = np.cumsum(steps)[: n - length + 1]
     for s in sorted(np.flatnonzero(there >= need).tolist(), key=lambda s: -there[s]):
         if (found := value(s)) >= similarity:
             return s, s + length, found
@@ -239,13 +247,16 @@ def links(docs: DataFrame, hashes: int = 3, length: int = LENGTH, similarity: fl
                 get = lambda c: batch.column(c)[row]  # noqa: E731, B023
                 mine, other = (_Context(get(f"{p}_starts").as_py(), get(f"{p}_values").values.to_numpy()) for p in ("my", "other"))
                 best, seen = None, set()
-                for anchor in get("anchors").as_py():
-                    p, q = anchor["pivot"], anchor["other_pivot"]
+                anchors = [(a["pivot"], a["other_pivot"]) for a in get("anchors").as_py()]
+                common = Counter(q - p for p, q in anchors)
+                for p, q in sorted(anchors, key=lambda a: (-common[a[1] - a[0]], a)):
                     (a, x), (b, y) = mine.around(p), other.around(q)
                     if (q - p, a, b) in seen:
                         continue
                     seen.add((q - p, a, b))
-                    left = min(p - a, q - b)
+                    left, right = min(p - a, q - b), min(a + len(x) - p, b + len(y) - q)
+                    if best and best[1] - best[0] >= left + right:
+                        continue
                     found = verified(x[p - a - left :], y[q - b - left :], length, similarity)
                     if found and (best is None or found[1] - found[0] > best[1] - best[0]):
                         best = (p - left + found[0], p - left + found[1], found[2])
