@@ -2,17 +2,18 @@
 
 Tokens are a text's words (A-Z lower-cased), then one end token. The lowest order spreads add-half counts of
 all training tokens over the vocabulary and one unknown word. Above it stand n-grams (``order`` words at most)
-whose share of all training tokens is at least ``least_share`` and whose count is at least ``least_count``;
-they are smoothed by absolute discounting, interpolated: what an n-gram's context takes from its continuations
-goes to the next lower order, so every context's probabilities sum to one. N-grams are states: an arc reads a
-continuation and adds its log-probability, a failure arc drops the oldest word and adds the log of what the
-context left. One left-to-right traversal of a text carries the state and the sum.
-
-By their least share, words that take part in n-grams number at most 1 / ``word_share`` and n-grams of an
-order at most 1 / ``least_share``, whatever the corpus: the automaton's size is bounded and it is sent to
-all workers. All other words are only known by their count. They are the long tail of the corpus, stay
-distributed, and are joined by word: the traversal leaves their lowest-order term open, and a join with the
-counts of all words closes it.
+of all words whose count is at least ``least_count``, at any size of the corpus; they are smoothed by absolute
+discounting, interpolated: what an n-gram's context takes from its continuations goes to the next lower order,
+so every context's probabilities sum to one. N-grams are states: an arc reads a continuation and adds its
+log-probability, a failure arc drops the oldest word and adds the log of what the context left (``Automaton``).
+
+The automaton grows with the corpus and is a distributed table. An n-gram that is kept has its context and its
+suffix kept too, so the sum along a text's path is a sum over its n-grams: a word adds its lowest-order term and
+the failure out of it, an n-gram what reading it gains over failing, and the failure out of it as a context.
+Texts are joined with these terms by n-gram. The terms of frequent words (``word_share`` of all tokens) and
+n-grams (``least_share``) number at most 1 / share an order; they are sent to all workers and added at once.
+What is left is filtered by bit sets of fixed size that pass every kept n-gram (and some others, which then
+join nothing). Words are known by 64-bit hashes, n-grams by hashes of theirs.
 
 Null and empty texts are the end token alone. Repeated rows are scored one by one; rows of null ids belong
 to the fold of the empty id. Without training tokens every token has the probability of the unknown word.
@@ -22,9 +23,10 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,25 +45,54 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
 
-def word_counts(texts: DataFrame, flush: int = 200_000) -> DataFrame:
-    """(word, n) of all tokens of ``texts`` (text). ``flush``: distinct words that a task holds before it sends them."""
+#: Bits of the sets that n-grams are filtered by.
+FILTER_BITS = 1 << 27
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+def hash_long(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of a long, for any seed; that of several longs takes each one's hash as the next one's seed."""
+    turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
+    with np.errstate(over="ignore"):
+        h = seed + (_P5 + np.uint64(8))
+        h = turn(h ^ (turn(x * _P2, 31) * _P1), 27) * _P1 + _P4
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
 
-        for batch in batches:
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                seen.update(tokens(text))
-                if len(seen) >= flush:
-                    yield out()
-                    seen = Counter()
-        if seen:
-            yield out()
 
-    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def hashed(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens of the texts and each one's text."""
+    from xxhash import xxh64_intdigest
+
+    found = [tokens(t) for t in texts]
+    sizes = [len(x) for x in found]
+    return np.fromiter(map(xxh64_intdigest, chain.from_iterable(found), repeat(42)), np.uint64, sum(sizes)), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def gram_keys(words: np.ndarray, order: int) -> list[np.ndarray]:
+    """Keys of the n-grams of each order that start at each place (whatever text they end in): a word's own hash, xxhash64 of longer ones' words."""
+    out = [words]
+    key = hash_long(words, np.full(len(words), 42, np.uint64))
+    for n in range(2, order + 1):
+        key = hash_long(words[n - 1 :], key[: max(0, len(words) - n + 1)])
+        out.append(key)
+    return out
+
+
+def key_filter(kept: DataFrame) -> np.ndarray:
+    """A bit set of fixed size that holds the last bits of every key of ``kept``."""
+    at = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    found = kept.select(F.shiftright(at, 6).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def among(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64(FILTER_BITS - 1)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
 @dataclass
@@ -163,130 +194,132 @@ class Automaton:
         return total
 
 
-#: The automaton of this worker, built once for each broadcast.
-_BUILT: dict[str, Automaton] = {}
-
+def gram_counts(texts: DataFrame, n: int, allowed: np.ndarray | None = None, flush: int = 1_000_000) -> DataFrame:
+    """(w1, ..., n): counts of the n-grams of ``texts`` by the hashes of their words.
 
-def _built(name: str, value: tuple) -> Automaton:
-    if name not in _BUILT:
-        _BUILT.clear()
-        found = Automaton(*value)
-        found.build()
-        _BUILT[name] = found
-    return _BUILT[name]
-
-
-def gram_counts(texts: DataFrame, words: list[bytes], n: int, allowed: np.ndarray | None, flush: int = 1_000_000) -> DataFrame:
-    """(key, n): counts of n-grams of ``words``; key is the n-gram in base len(words) + 1.
-
-    ``allowed``: sorted keys of (n - 1)-grams; both ends of an n-gram must be among them.
+    ``allowed``: bits of (n - 1)-grams; both ends of an n-gram must be among them. ``flush``: n-grams that a task holds before it sends them.
     """
-    shared, width = texts.sparkSession.sparkContext.broadcast((words, allowed)), len(words) + 1
+    shared, names = texts.sparkSession.sparkContext.broadcast(allowed), [f"w{k + 1}" for k in range(n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, allowed = shared.value
-        get = {w: i + 1 for i, w in enumerate(words)}.get
-        held, size = [], 0
+        allowed, held, size = shared.value, [], 0
 
         def out():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["key", "n"])
-
-        def among(keys):
-            at = np.minimum(np.searchsorted(allowed, keys), len(allowed) - 1)
-            return allowed[at] == keys
+            key, *columns = (np.concatenate(c) for c in zip(*held, strict=True))
+            _, first, counts = np.unique(key, return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([*(pa.array(c[first].view(np.int64)) for c in columns), pa.array(counts.astype(np.int64))], names=[*names, "n"])
 
         for batch in batches:
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                found = tokens(text)
-                ids = np.fromiter((get(w, 0) for w in found), np.int64, len(found))
-                if len(ids) < n:
-                    continue
-                whole, key = np.ones(len(ids) - n + 1, bool), np.zeros(len(ids) - n + 1, np.int64)
-                for k in range(n):
-                    part = ids[k : len(ids) - n + 1 + k]
-                    whole &= part > 0
-                    key = key * width + part
-                key = key[whole]
-                if allowed is not None and len(key):
-                    if not len(allowed):
-                        continue
-                    key = key[among(key // width)]
-                    key = key[among(key % width ** (n - 1))] if len(key) else key
-                held.append(key)
-                size += len(key)
+            for at in range(0, batch.num_rows, 1024):
+                words, owner = hashed(batch.column("text").slice(at, 1024).cast(pa.binary()).to_pylist())
+                count = max(0, len(words) - n + 1)
+                keys = gram_keys(words, n)
+                whole = owner[:count] == owner[n - 1 :]
+                if n > 1:
+                    ends = among(allowed, keys[n - 2])
+                    whole &= ends[:count] & ends[1 : count + 1]
+                start = np.flatnonzero(whole)
+                held.append((keys[n - 1][start], *(words[start + k] for k in range(n))))
+                size += len(start)
                 if size >= flush:
                     yield out()
                     held, size = [], 0
         if size:
             yield out()
 
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, ", ".join(f"{w} long" for w in names) + ", n long").groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+def model(training: DataFrame, order: int, least_count: int) -> tuple[DataFrame, list[np.ndarray], int, int]:
+    """(level, key, n, base, score) of every word and kept n-gram, the filters of the n-grams of 2 words and more, and the numbers of tokens and words."""
+    counts = staged(gram_counts(training, 1).select(F.col("w1").alias("key"), "n"))
+    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    floor = max(sums.n + 0.5 * (sums.v + 1), 1.0)
+    levels = [counts.withColumn("p", (F.col("n") + 0.5) / F.lit(floor)).withColumn("gain", F.log10("p"))]
+    weights, filters, bits = [], [], key_filter(counts.where(F.col("n") >= least_count))
+    for n in range(2, order + 1):
+        key = lambda a, b: F.xxhash64(*(f"w{k}" for k in range(a, b + 1))) if b > a else F.col(f"w{a}")
+        kept = gram_counts(training, n, bits).where(F.col("n") >= least_count)
+        kept = staged(kept.select(key(1, n).alias("key"), key(1, n - 1).alias("context"), key(2, n).alias("suffix"), "n"))
+        bits = key_filter(kept)
+        filters.append(bits)
+        lower = levels[-1]
+        taken = kept.groupBy("context").agg(F.sum(F.col("n") - DISCOUNT).alias("taken"))
+        left = taken.join(lower.select(F.col("key").alias("context"), F.col("n").alias("count")), "context")
+        left = staged(left.select("context", "count", F.greatest(1 - F.col("taken") / F.col("count"), F.lit(1e-12)).alias("left")))
+        found = kept.join(left, "context").join(lower.select(F.col("key").alias("suffix"), F.col("p").alias("lower")), "suffix")
+        found = found.withColumn("p", (F.col("n") - DISCOUNT) / F.col("count") + F.col("left") * F.col("lower"))
+        levels.append(staged(found.select("key", "n", "p", (F.log10("p") - F.log10("left") - F.log10("lower")).alias("gain"))))
+        weights.append(left.select(F.col("context").alias("key"), F.log10("left").alias("weight")))
+    terms = []
+    for n, level in enumerate(levels, 1):
+        score = F.col("gain")
+        if n < order:
+            level, score = level.join(weights[n - 1], "key", "left"), score + F.coalesce("weight", F.lit(0.0))
+        terms.append(level.select(F.lit(n).alias("level"), "key", "n", F.when(F.lit(n == 1), F.col("gain")).otherwise(0.0).alias("base"), score.alias("score")))
+    return staged(reduce(DataFrame.unionByName, terms)), filters, sums.n, sums.v
 
 
 def scored(docs: DataFrame, held_out: Column, order: int = 3, word_share: float = 1e-5, least_share: float = 1e-5, least_count: int = 3) -> DataFrame:
-    """Every row's doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, by a model of the rows that aren't held out."""
+    """Every row's doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, by a model of the rows that aren't held out.
+
+    The shares only tell which terms are sent to all workers; the scores don't depend on them.
+    """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
-    training = texts.where("not held_out").select("text")
-    counts = staged(word_counts(training))
-    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    total, vocabulary = sums.n, sums.v
-    top = counts.where((F.col("n") >= word_share * total) & (F.octet_length("word") <= 64) | (F.col("word") == F.lit(END))).orderBy(F.desc("n"), "word").collect()
-    words = [bytes(r.word) for r in top]
-    width, grams, allowed = len(words) + 1, [], None
-    for n in range(2, order + 1):
-        if width**n >= 2**63 or not words:
-            break
-        found = gram_counts(training, words, n, allowed).where(F.col("n") >= max(least_count, least_share * total)).orderBy("key").collect()
-        allowed = np.array([r.key for r in found], np.int64)
-        rows = np.array([r.n for r in found], np.int64)
-        grams.append(np.column_stack([*(allowed // width**k % width for k in range(n - 1, -1, -1)), rows]) if len(found) else np.zeros((0, n + 1), np.int64))
-    shared = spark.sparkContext.broadcast((words, [r.n for r in top], total, vocabulary, grams))
-    name = f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id() if shared._jbroadcast is not None else id(shared)}"
+    terms, filters, total, vocabulary = model(texts.where("not held_out").select("text"), order, least_count)
+    frequent = F.col("n") >= F.when(F.col("level") == 1, word_share * total).otherwise(least_share * total)
+    hot = terms.where(frequent).orderBy("level", "key").toArrow()
+    level, columns = hot.column("level").to_numpy(), [hot.column(c).to_numpy() for c in ("key", "base", "score")]
+    shared = spark.sparkContext.broadcast((order, [tuple(c[level == n] for c in columns) for n in range(1, order + 1)], filters))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, number = _built(name, shared.value), TaskContext.get().partitionId() << 40
-        get, base = model.ids.get, model.base
+        (order, hot, filters), number = shared.value, TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                rows, rare = [], {}
-                for text in part.column("text").cast(pa.binary()).to_pylist():
-                    found = tokens(text)
-                    ids = [get(w, 0) for w in found]
-                    known = np.array(ids)
-                    rows.append((number, len(found), int((known > 0).sum()), float(base[known[known > 0]].sum()), model.traverse(ids)))
-                    for w, i in zip(found, ids, strict=True):
-                        if not i:
-                            if w in rare:
-                                rare[w].append(number)
-                            else:
-                                rare[w] = [number]
-                    number += 1
-                n = len(rows)
-                columns = list(zip(*rows, strict=True))
-                none = pa.nulls(n, pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [none, pa.array([[x] for x in columns[0]], pa.list_(pa.int64())), part.column("doc_id"), part.column("held_out"), *(pa.array(c, k) for c, k in zip(columns[1:], (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True))],
-                    schema=_ROWS,
-                )
-                m = len(rare)
-                blank = [pa.nulls(m, f.type) for f in list(_ROWS)[2:]]
-                yield pa.RecordBatch.from_arrays([pa.array(list(rare), pa.binary()), pa.array(list(rare.values()), pa.list_(pa.int64())), *blank], schema=_ROWS)
-
-    out = texts.mapInArrow(run, "word binary, rows array<bigint>, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
-    # rows of documents have no word; a key of their own spreads them
-    out = out.withColumn("at", F.coalesce("word", F.col("rows")[0].cast("string").cast("binary")))
-    joined = out.join(counts.withColumnRenamed("n", "c").withColumnRenamed("word", "known_word"), (F.col("at") == F.col("known_word")) & F.col("word").isNotNull(), "left")
-    log = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(max(total + 0.5 * (vocabulary + 1), 1.0)))
-    rare = F.col("word").isNotNull()
+                words, owner = hashed(part.column("text").cast(pa.binary()).to_pylist())
+                m, rows, open_terms = part.num_rows, number + np.arange(part.num_rows), []
+                number += m
+                known, base, score = np.zeros(m, np.int64), np.zeros(m), np.zeros(m)
+                for n, (key, (keys, bases, scores)) in enumerate(zip(gram_keys(words, order), hot, strict=True), 1):
+                    whole = owner[: len(key)] == owner[n - 1 :]
+                    mine, key = owner[: len(key)][whole], key[whole].view(np.int64)
+                    place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                    hit = keys[place] == key if len(keys) else np.zeros(len(key), bool)
+                    score += np.bincount(mine[hit], scores[place[hit]], m)
+                    if n == 1:
+                        base += np.bincount(mine[hit], bases[place[hit]], m)
+                        known += np.bincount(mine[hit], minlength=m)
+                        rest = ~hit
+                    else:
+                        rest = ~hit & among(filters[n - 2], key.view(np.uint64))
+                    key, mine = key[rest], mine[rest]
+                    by = np.argsort(key, kind="stable")
+                    key, mine = key[by], mine[by]
+                    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+                    open_terms.append((n, key[first], np.append(first, len(key)), rows[mine]))
+                sizes = np.bincount(owner, minlength=m)
+                singles = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32)), pa.array(rows))
+                none = lambda k, f: pa.nulls(k, f.type)
+                yield pa.RecordBatch.from_arrays([none(m, _ROWS[0]), none(m, _ROWS[1]), singles, part.column("doc_id"), part.column("held_out"), *(pa.array(c) for c in (sizes, known, base, score))], schema=_ROWS)
+                for n, key, starts, mine in open_terms:
+                    lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(mine))
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), n, np.int32)), lists, *(none(len(key), f) for f in list(_ROWS)[3:])], schema=_ROWS)
+
+    out = texts.mapInArrow(run, "key long, level int, rows array<bigint>, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    # rows of documents have no key; one of their own spreads them
+    out = out.withColumn("at", F.coalesce("key", F.xxhash64(F.col("rows")[0])))
+    rest = terms.where(~frequent).select(F.col("key").alias("term_key"), F.col("level").alias("term_level"), F.col("base").alias("term_base"), F.col("score").alias("term_score"))
+    joined = out.join(rest, (F.col("at") == F.col("term_key")) & (F.col("level") == F.col("term_level")), "left")
+    unknown = F.when(F.col("level") == 1, float(np.log10(0.5 / max(total + 0.5 * (vocabulary + 1), 1.0)))).otherwise(0.0)
+    term = F.col("level").isNotNull()
     each = joined.select(
-        F.explode("rows").alias("row"), "doc_id", "held_out", "n_tokens", F.when(rare, (F.col("c") > 0).cast("long")).otherwise(F.col("n_known")).alias("n_known"),
-        F.when(rare, log).otherwise(F.col("base")).alias("base"), F.when(rare, log).otherwise(F.col("score")).alias("score"),
+        F.explode("rows").alias("row"), "doc_id", "held_out", "n_tokens", F.when(term, ((F.col("level") == 1) & F.col("term_key").isNotNull()).cast("long")).otherwise(F.col("n_known")).alias("n_known"),
+        F.when(term, F.coalesce("term_base", unknown)).otherwise(F.col("base")).alias("base"), F.when(term, F.coalesce("term_score", unknown)).otherwise(F.col("score")).alias("score"),
     )
     found = each.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return found.select("doc_id", "held_out", "n_tokens", F.coalesce("n_known", F.lit(0)).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-_ROWS = pa.schema([("word", pa.binary()), ("rows", pa.list_(pa.int64())), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+_ROWS = pa.schema([("key", pa.int64()), ("level", pa.int32()), ("rows", pa.list_(pa.int64())), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])

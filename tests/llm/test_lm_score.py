@@ -70,3 +70,24 @@ def test_automaton_is_the_smoothed_model_and_sums_to_one():
         before = model.traverse(context)
         mass = sum(10 ** (model.traverse([*context, w]) - before) for w in range(1, 8)) + unknown * 10 ** (model.traverse([*context, 0]) - before)
         assert np.isclose(mass, 1)
+
+
+def test_every_ngram_of_the_least_count_counts_at_any_size(spark):
+    rng = np.random.default_rng(5)
+    rare = [f"rare{i}" for i in range(6)]
+    texts = [" ".join(["the"] * int(rng.integers(3000, 4000))) for _ in range(100)]
+    texts += [" ".join(rng.choice(rare, rng.integers(0, 12))) for _ in range(40)] + ["x" * 90 + " the rare0"] * 4
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    token = lambda t: [*t.encode().split(), b"\n"]
+    tokens = [token(t) for t in texts]
+    words = sorted({w for t in tokens for w in t})
+    ids = {w: i + 1 for i, w in enumerate(words)}
+    counts = Counter(tuple(ids[w] for w in t[i : i + n]) for t in tokens for n in (1, 2, 3) for i in range(len(t) - n + 1))
+    total = sum(c for g, c in counts.items() if len(g) == 1)
+    assert 3 < 1e-5 * total
+    model = lm_score.Automaton(words, [counts[i + 1,] for i in range(len(words))], total, len(words), [np.array([[*g, c] for g, c in sorted(counts.items()) if len(g) == n and c >= 3]) for n in (2, 3)])
+    model.build()
+    want = [model.traverse([ids[w] for w in t]) for t in tokens]
+    for shares in ({}, {"word_share": 1.0, "least_share": 1.0}):
+        got = {r.doc_id: r.score for r in lm_score.scored(docs, F.lit(False), **shares).collect()}
+        assert np.allclose([got[i] for i in range(len(texts))], want)
