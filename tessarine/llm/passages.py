@@ -8,7 +8,7 @@ linear time; there are about 2 n / length of them. Two windows of different text
 subsequences that share a signature if their ranges of starts, relative to the pivot, overlap.
 
 Windows are joined by their minimum and, so that a frequent line or phrase doesn't join what has nothing else
-in common, by the 20 words that begin or the 20 that end with the pivot's shingle. Two texts that share 50 words
+in common, by the 15 words that begin or the 15 that end with the pivot's shingle. Two texts that share 50 words
 around a pivot share one of these. In each group every window is joined with the first text's, not with all.
 Candidates are verified exactly: a passage counts if a window of ``length`` shingles of one text has a Jaccard
 similarity of at least ``similarity`` with the aligned one of the other. Links between texts make classes.
@@ -34,8 +34,8 @@ from ..sources.staging import staged
 from .common import n_words
 
 WIDTH, LENGTH = 5, 46
-#: Distance of the shingles that stand for the 20 words on one side of a pivot.
-_SIDE = np.array([0, 5, 10, 15])
+#: Distance of the shingles that stand for the 15 words on one side of a pivot.
+_SIDE = np.array([0, 5, 10])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -103,7 +103,7 @@ def compact_windows(values: np.ndarray, length: int = LENGTH, sizes: list[int] |
 
 
 def window_keys(texts: list[bytes | None], hashes: int, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(row of the text, key, pivot, first, last) of the texts' windows; each has a key for either side that the text has 20 words on."""
+    """(row of the text, key, pivot, first, last) of the texts' windows; each has a key for either side that the text has 15 words on."""
     parts = [shingles(t) for t in texts]
     sizes = [len(x) for x in parts]
     base, begins = np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
@@ -230,7 +230,7 @@ def verified(x: np.ndarray, y: np.ndarray, length: int, similarity: float) -> tu
     return None
 
 
-def links(docs: DataFrame, hashes: int = 3, length: int = LENGTH, similarity: float = 0.8) -> DataFrame:
+def links(docs: DataFrame, hashes: int = 5, length: int = LENGTH, similarity: float = 0.8) -> DataFrame:
     """(text_key, other, first_word, last_word, similarity): verified links between different texts, with the longest passage in the first."""
     pairs = staged(candidates(docs, hashes, length))
     ends = F.explode(F.array(F.struct(F.col("text_key").alias("owner"), F.transform("anchors", lambda a: a["pivot"]).alias("p")), F.struct(F.col("other").alias("owner"), F.transform("anchors", lambda a: a["other_pivot"]).alias("p"))))
@@ -270,7 +270,7 @@ def links(docs: DataFrame, hashes: int = 3, length: int = LENGTH, similarity: fl
     return both.select(*columns).mapInArrow(run, "text_key long, other long, first_word int, last_word int, similarity double")
 
 
-def repeated(docs: DataFrame, hashes: int = 3, length: int = LENGTH, similarity: float = 0.8) -> DataFrame:
+def repeated(docs: DataFrame, hashes: int = 5, length: int = LENGTH, similarity: float = 0.8) -> DataFrame:
     """One row for each document that shares a passage with another: doc_id, class_id (the smallest id of its class), n_links, first_word and last_word
     (the longest passage that a link of its text names; null if its text only leads others or has copies alone)."""
     found = staged(links(docs, hashes, length, similarity))

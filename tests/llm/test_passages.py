@@ -84,3 +84,17 @@ def test_near_copies(spark):
         pairs += similar(rows[-1][1], rows[-2][1])
     got = {r.doc_id: r.class_id for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(c in (i, i - 1) for i, c in got.items()) and len(got) >= 2 * 0.95 * pairs
+
+
+def test_changed_passages_of_fifty_words(spark):
+    rng = np.random.default_rng(4)
+    words = lambda n: [f"z{rng.integers(10**6)}" for _ in range(n)]
+    rows = []
+    for i in range(400):
+        part, near = words(50), None
+        near = list(part)
+        near[25 if i % 2 else int(rng.integers(50))] = "changed"
+        rows += [(2 * i, " ".join(words(60) + part + words(60))), (2 * i + 1, " ".join(words(60) + near + words(60)))]
+    alike = {k for k in range(400) if similar(rows[2 * k][1], rows[2 * k + 1][1])}
+    got = {r.doc_id // 2 for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(alike) > 300 and got <= alike and len(got) >= 0.98 * len(alike)
