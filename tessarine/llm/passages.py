@@ -9,8 +9,9 @@ subsequences that share a signature if their ranges of starts, relative to the p
 
 Windows are joined by their minimum and, so that a frequent line or phrase doesn't join what has nothing else
 in common, by the 15 words that begin or the 15 that end with the pivot's shingle. Two texts that share 50 words
-around a pivot share one of these. In each group every window is joined with the first text's, not with all.
-Candidates are verified exactly: a passage counts if a window of ``length`` shingles of one text has a Jaccard
+around a pivot share one of these. In each group every window is joined with the first text's; those of texts
+that aren't linked with the first one are then joined with all of the group that are in other classes, so no class
+depends on which text comes first. Candidates are verified exactly: a passage counts if a window of ``length`` shingles of one text has a Jaccard
 similarity of at least ``similarity`` with the aligned one of the other. Links between texts make classes.
 
 Exact copies are one text here, whose documents form one class if it is long enough to hold a passage. Null,
@@ -137,18 +138,36 @@ def windows(docs: DataFrame, hashes: int, length: int = LENGTH) -> DataFrame:
     return docs.select(F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, text_key long, place long")
 
 
-def candidates(docs: DataFrame, hashes: int, length: int = LENGTH) -> DataFrame:
-    """(text_key, other, anchors): pairs of texts whose windows overlap, with the places of their pivots in both."""
-    found = windows(docs, hashes, length)
+def grouped(docs: DataFrame, hashes: int, length: int = LENGTH) -> DataFrame:
+    """(key, text_key, place, leader): the windows that share their key with another text's, but the first one's; leader is that (text_key, place)."""
     # the frame only grows, so a group is streamed and never held, however large
     leader = F.first(F.struct("text_key", "place")).over(Window.partitionBy("key").orderBy("text_key", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return windows(docs, hashes, length).withColumn("leader", leader).where(F.col("text_key") != F.col("leader.text_key"))
+
+
+def candidates(joined: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(text_key, other, anchors): the pairs of texts in (text_key, place, other, other_place) whose windows overlap, with the places of their pivots in both."""
     low, high = (lambda p: -(F.floor(p / length) % length)), (lambda p: -(p % length))
-    joined = found.withColumn("leader", leader).where(F.col("text_key") != F.col("leader.text_key"))
-    mine, other = F.col("place"), F.col("leader.place")
+    mine, other = F.col("place"), F.col("other_place")
     joined = joined.where(F.greatest(low(mine), low(other)) <= F.least(high(mine), high(other)))
     pivot = lambda p: F.floor(p / (length * length)).cast("int")
     anchor = F.struct(pivot(mine).alias("pivot"), pivot(other).alias("other_pivot"))
-    return joined.groupBy("text_key", F.col("leader.text_key").alias("other")).agg(F.collect_set(anchor).alias("anchors"))
+    return joined.groupBy("text_key", "other").agg(F.collect_set(anchor).alias("anchors"))
+
+
+def led(groups: DataFrame) -> DataFrame:
+    """Every window with its leader."""
+    return groups.select("text_key", "place", F.col("leader.text_key").alias("other"), F.col("leader.place").alias("other_place"))
+
+
+def unled(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """The windows of texts that ``found`` doesn't link with their leader, each with those of its group that are in another class by then; two such texts once."""
+    linked = found.select("text_key", F.col("other").alias("first"), F.lit(True).alias("linked"))
+    classes = connected_components(found, "text_key", "other").select(F.col("node").alias("text_key"), "component")
+    marked = groups.withColumn("first", F.col("leader.text_key")).join(linked, ["text_key", "first"], "left").join(classes, "text_key", "left")
+    marked = staged(marked.select("key", "text_key", "place", F.coalesce("component", "text_key").alias("class"), F.col("linked").isNull().alias("open")).distinct())
+    theirs = marked.select("key", F.col("text_key").alias("other"), F.col("place").alias("other_place"), F.col("class").alias("other_class"), F.col("open").alias("other_open"))
+    return marked.where("open").join(theirs, "key").where("class <> other_class and (text_key > other or not other_open)").select("text_key", "place", "other", "other_place")
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -232,7 +251,16 @@ def verified(x: np.ndarray, y: np.ndarray, length: int, similarity: float) -> tu
 
 def links(docs: DataFrame, hashes: int = 5, length: int = LENGTH, similarity: float = 0.8) -> DataFrame:
     """(text_key, other, first_word, last_word, similarity): verified links between different texts, with the longest passage in the first."""
-    pairs = staged(candidates(docs, hashes, length))
+    groups = staged(grouped(docs, hashes, length))
+    tried = staged(candidates(led(groups), length))
+    found = staged(verified_links(docs, tried, length, similarity))
+    known = found.select("text_key", "other").unionByName(found.select(F.col("other").alias("text_key"), F.col("text_key").alias("other")))
+    rest = candidates(unled(groups, found), length).join(known, ["text_key", "other"], "left_anti")
+    return found.unionByName(verified_links(docs, staged(rest), length, similarity))
+
+
+def verified_links(docs: DataFrame, pairs: DataFrame, length: int, similarity: float) -> DataFrame:
+    """The links of ``links`` among candidates ``pairs``."""
     ends = F.explode(F.array(F.struct(F.col("text_key").alias("owner"), F.transform("anchors", lambda a: a["pivot"]).alias("p")), F.struct(F.col("other").alias("owner"), F.transform("anchors", lambda a: a["other_pivot"]).alias("p"))))
     # each text's pivots once: at most as many as it has windows, however many texts it is paired with
     wanted = pairs.select(ends.alias("x")).select("x.owner", F.explode("x.p").alias("p")).distinct().groupBy("owner").agg(F.collect_list("p").alias("pivots"))

@@ -98,3 +98,15 @@ def test_changed_passages_of_fifty_words(spark):
     alike = {k for k in range(400) if similar(rows[2 * k][1], rows[2 * k + 1][1])}
     got = {r.doc_id // 2 for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(alike) > 300 and got <= alike and len(got) >= 0.98 * len(alike)
+
+
+def test_links_do_not_depend_on_the_first_text_of_a_group(spark):
+    rng = np.random.default_rng(6)
+    words = lambda n: [f"y{rng.integers(10**6)}" for _ in range(n)]
+    rows = []
+    for i in range(20):
+        part = words(50)
+        rows += [(100 * i + k, " ".join(words(40) + part + words(40))) for k in range(2)]
+        rows += [(100 * i + k, " ".join(words(40) + (part[:36] if k % 2 else part[14:]) + words(40))) for k in range(2, 32)]
+    got = {r.doc_id for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string"), hashes=1).collect()}
+    assert {100 * i + k for i in range(20) for k in range(2)} <= got
