@@ -23,7 +23,7 @@ from .common import ascii_lower
 #: Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Label, words of the name as a regular expression, keyword of the name, host of the text.
+#: Label, words of the name as a regular expression, keyword of the name (several: each alternative holds one), host of the text.
 LICENSES = [
     ("0bsd", r"(?:zero[- ]clause bsd|0bsd|bsd zero[- ]clause)", "bsd", "opensource.org/licenses/0bsd"),
     ("afl-3.0", r"academic free licen[cs]e", "academic free", "opensource.org/licenses/afl"),
@@ -37,7 +37,7 @@ LICENSES = [
     ("bsd-4-clause", r"(?:bsd 4[- ]clause|4[- ]clause bsd|original bsd)(?: licen[cs]e)?", "bsd", "directory.fsf.org/wiki/license:bsd-4clause"),
     ("bsl-1.0", r"boost software licen[cs]e", "boost", "boost.org/license_1_0"),
     ("busl-1.1", r"business source licen[cs]e", "business source", "mariadb.com/bsl11"),
-    ("cc0-1.0", r"(?:cc0|creative commons zero)(?: 1\.0)?(?: universal)?", "cc0", "creativecommons.org/publicdomain/zero"),
+    ("cc0-1.0", r"(?:cc0|creative commons zero)(?: 1\.0)?(?: universal)?", ("cc0", "creative commons zero"), "creativecommons.org/publicdomain/zero"),
     ("cc-by-4.0", r"(?:cc[- ]by|creative commons attribution) 4\.0(?: international)?", "4.0", "creativecommons.org/licenses/by/4.0"),
     ("cc-by-3.0", r"(?:cc[- ]by|creative commons attribution) 3\.0(?: unported)?", "3.0", "creativecommons.org/licenses/by/3.0"),
     ("cc-by-2.0", r"(?:cc[- ]by|creative commons attribution) 2\.[05]", "2.", "creativecommons.org/licenses/by/2"),
@@ -68,21 +68,21 @@ LICENSES = [
     ("mit-0", r"mit no attribution(?: licen[cs]e)?|mit-0", "mit", "opensource.org/licenses/mit-0"),
     ("mpl-1.1", r"mozilla public licen[cs]e,?(?: version| v\.?)? ?1\.[01]", "mozilla", "mozilla.org/mpl/1.1"),
     ("mpl-2.0", r"mozilla public licen[cs]e,?(?: version| v\.?)? ?2\.0", "mozilla", "mozilla.org/mpl/2.0"),
-    ("ms-pl", r"microsoft public licen[cs]e|ms-pl", "ms", "opensource.org/licenses/ms-pl"),
+    ("ms-pl", r"microsoft public licen[cs]e|ms-pl", ("ms-pl", "microsoft public"), "opensource.org/licenses/ms-pl"),
     ("ncsa", r"(?:university of illinois/?)?ncsa open source licen[cs]e", "ncsa", "opensource.org/licenses/ncsa"),
-    ("odbl-1.0", r"open (?:data commons open )?database licen[cs]e|odbl", "od", "opendatacommons.org/licenses/odbl"),
+    ("odbl-1.0", r"open (?:data commons open )?database licen[cs]e|odbl", ("odbl", "database licen"), "opendatacommons.org/licenses/odbl"),
     ("ofl-1.1", r"sil open font licen[cs]e", "open font", "scripts.sil.org/ofl"),
     ("osl-3.0", r"open software licen[cs]e", "open software", "opensource.org/licenses/osl"),
     ("php-3.01", r"php licen[cs]e", "php", "php.net/license"),
     ("postgresql", r"postgresql licen[cs]e", "postgresql", "postgresql.org/about/licence"),
-    ("psf-2.0", r"python software foundation licen[cs]e|psf licen[cs]e", "ps", "docs.python.org/3/license"),
+    ("psf-2.0", r"python software foundation licen[cs]e|psf licen[cs]e", ("psf", "python software"), "docs.python.org/3/license"),
     ("ruby", r"ruby licen[cs]e", "ruby", "ruby-lang.org/en/about/license"),
     ("sspl-1.0", r"server side public licen[cs]e", "server side", "mongodb.com/licensing/server-side-public-license"),
     ("unlicense", r"the unlicen[cs]e|unlicense\b", "unlicen", "unlicense.org"),
     ("upl-1.0", r"universal permissive licen[cs]e", "universal permissive", "oss.oracle.com/licenses/upl"),
     ("vim", r"vim licen[cs]e", "vim", "vimdoc.sourceforge.net/htmldoc/uganda"),
     ("w3c", r"w3c software (?:and document )?(?:notice and )?licen[cs]e", "w3c", "w3.org/consortium/legal"),
-    ("wtfpl", r"do what the fuck you want to public licen[cs]e|wtfpl", "wtf", "wtfpl.net"),
+    ("wtfpl", r"do what the fuck you want to public licen[cs]e|wtfpl", ("wtfpl", "do what the fuck"), "wtfpl.net"),
     ("zlib", r"zlib(?:/libpng)? licen[cs]e", "zlib", "zlib.net/zlib_license"),
     ("zpl-2.1", r"zope public licen[cs]e", "zope", "opensource.org/licenses/zpl"),
 ]
@@ -121,12 +121,13 @@ GATES = (
 
 
 def rules() -> list[tuple[int, str, str, float, str]]:
-    """(priority, label, keyword, doubt, expression) of every rule in order; some 370."""
+    """(priority, label, keyword, doubt, expression) of every rule in order; some 380. A rule of several keywords stands once for each, and of equal detections the first is left."""
     out = []
     for label, name, keyword, host in LICENSES:
         for priority, doubt, own, form in FORMS:
             fields = {"label": label.replace(".", r"\."), "name": name, "host": host.replace(".", r"\.")}
-            out.append((priority, label, own or keyword, doubt, form.format(**fields)))
+            for word in [own] if own else [keyword] if isinstance(keyword, str) else keyword:
+                out.append((priority, label, word, doubt, form.format(**fields)))
     return out + [(p, label, keyword, doubt, form) for label, p, doubt, keyword, form in NOTICES]
 
 

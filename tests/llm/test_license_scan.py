@@ -45,3 +45,37 @@ def test_labels_places_and_suppression(spark):
     assert long[1:4] == (1, long[0] - 3, long[0] - 3) and long[5] == "mit,reserved" and 0 <= long[6] <= 1
     assert len(license_scan.rules()) > 300 and all(re.compile(r[4]) for r in license_scan.rules())
     assert license_scan.scanned(docs.where("false")).count() == 0
+
+
+def strings(parsed):
+    """Texts that a parsed expression matches: all of its alternatives."""
+    out = [""]
+    for op, value in parsed:
+        match str(op):
+            case "LITERAL":
+                some = [chr(value)]
+            case "IN":
+                some = [chr(v) if str(o) == "LITERAL" else "1" if "DIGIT" in str(v) else " " for o, v in value]
+            case "BRANCH":
+                some = [s for part in value[1] for s in strings(part)]
+            case "SUBPATTERN":
+                some = strings(value[-1])
+            case "MAX_REPEAT":
+                some = [s for s in strings(value[2])] + [""] * (value[0] == 0)
+            case "AT":
+                some = [""]
+        out = [a + b for a in out for b in some]
+    return out
+
+
+def test_every_alternative_passes_its_own_gate(spark):
+    words = {}
+    for _, label, word, _, form in license_scan.rules():
+        words.setdefault((label, form), []).append(word)
+    for (label, form), keys in words.items():
+        for s in strings(re._parser.parse(form)):
+            assert any(k in s for k in keys) and any(g in s for g in license_scan.GATES), (label, s)
+    names = {"creative commons zero": "cc0-1.0", "microsoft public license": "ms-pl", "open data commons open database license": "odbl-1.0", "python software foundation license": "psf-2.0", "do what the fuck you want to public license": "wtfpl"}
+    docs = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "doc_id long, text string")
+    got = {r.doc_id: r.labels.split(",") for r in license_scan.scanned(docs).collect()}
+    assert all(label in got[i] for i, label in enumerate(names.values())), got
