@@ -77,6 +77,22 @@ def walk_returns(triples: DataFrame, steps: int) -> DataFrame:
     return out
 
 
+def walk_returns_by_triangles(triples: DataFrame) -> DataFrame:
+    """``walk_returns`` of up to three steps without pairs of nodes: a step there and back over each edge, and both ways round each triangle.
+
+    Triangles are found from their node of the least degree, so a hot node's neighbours are never paired with each other.
+    """
+    near = neighbours(triples)
+    d = near.groupBy("a").agg(F.count("*").alias("d"))
+    edge = staged(near.join(d.withColumnRenamed("d", "da"), "a").join(d.select(F.col("a").alias("b"), F.col("d").alias("db")), "b"))
+    back = edge.groupBy(F.col("a").alias("node")).agg(F.sum(1 / (F.col("da") * F.col("db"))).alias("probability"))
+    up = edge.where("da < db or da = db and a < b")
+    wedges = up.alias("x").join(up.alias("y"), F.col("x.a") == F.col("y.a")).where("x.b < y.b").select(F.col("x.a").alias("u"), F.col("x.b").alias("v"), F.col("y.b").alias("w"), F.col("x.da").alias("du"), F.col("x.db").alias("dv"), F.col("y.db").alias("dw"))
+    closed = wedges.join(near.select(F.col("a").alias("v"), F.col("b").alias("w")), ["v", "w"])
+    round_ = closed.select(F.explode(F.array("u", "v", "w")).alias("node"), (2 / (F.col("du") * F.col("dv") * F.col("dw"))).alias("p")).groupBy("node").agg(F.sum("p").alias("probability"))
+    return back.select("node", F.lit(2).alias("step"), "probability").unionByName(round_.select("node", F.lit(3).alias("step"), "probability"))
+
+
 def pagerank(triples: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """PageRank over distinct directed edges after a fixed number of rounds; what dangling nodes hold is spread evenly."""
     links = edges(triples)

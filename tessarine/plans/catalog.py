@@ -186,6 +186,7 @@ _kg("nearest_anchors", lambda kg: graph.nearest_anchors(kg, _regions(kg), 3, 2),
 _WALK = f"{_SETS}, m AS (SELECT x AS a, y AS b, 1 / count(*) OVER (PARTITION BY x) AS p FROM (SELECT h AS x, t AS y FROM a WHERE h <> t UNION SELECT t, h FROM a WHERE h <> t)), w1 AS (SELECT a AS node, b AS cur, p FROM m)" + "".join(
     f", w{k} AS (SELECT node, b AS cur, sum(w{k - 1}.p * m.p) AS p FROM w{k - 1} JOIN m ON cur = a GROUP BY node, b)" for k in (2, 3))
 _kg("random_walk_returns", lambda kg: graph.walk_returns(_geo(kg), 3), " UNION ALL ".join(f"SELECT node, {k} AS step, round(p, 6) AS probability FROM w{k} WHERE node = cur" for k in (1, 2, 3)), _WALK)
+_kg("graph_walk_returns", graph.walk_returns_by_triangles)
 _PR = "l AS (SELECT h, t, count(*) OVER (PARTITION BY h) AS o FROM (SELECT DISTINCT h, t FROM kg)), v AS (SELECT DISTINCT h AS node FROM kg UNION SELECT t FROM kg), nv AS (SELECT count(*) AS n FROM v), p0 AS (SELECT node, 1.0::DOUBLE / n AS rank FROM v, nv)" + "".join(
     f""", p{k} AS (SELECT v.node, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(got, 0) + lost / n) AS rank FROM v CROSS JOIN nv CROSS JOIN (SELECT coalesce(sum(rank), 0) AS lost FROM p{k - 1} WHERE node NOT IN (SELECT h FROM l))
   LEFT JOIN (SELECT t AS node, sum(rank / o) AS got FROM p{k - 1} JOIN l ON node = h GROUP BY t) g ON g.node = v.node)""" for k in range(1, 11))
