@@ -14,7 +14,7 @@ ceil((n - k) / (k + 1)) words must stand in the window as it is, and windows are
 That test loses nothing. A pair within the limit shares many windows (one for each shift up to k), and each
 has ``repeats`` chances; the tests measure the recall against brute force.
 
-Items that are null or have fewer than ``min_words`` words are not searched for; null and empty documents
+Items of fewer than ``min_words`` words are searched for as they are (no edits), null ones and those without words not at all; null and empty documents
 contain nothing. Repeated rows of either table give repeated rows of the result, null ids stay null. The
 benchmark is taken in blocks of at most about ``block_bytes``, each of which is searched for in one pass.
 """
@@ -94,10 +94,10 @@ class Index:
         self.repeats, self.vocabulary, self.ids, self.items, self.most = repeats, {}, [], [], []
         for item_id, text in items:
             found = words(text)
-            if len(found) >= min_words:
+            if found:
                 self.ids.append(item_id)
                 self.items.append(tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found))
-                self.most.append(int(max_rate * len(found)))
+                self.most.append(int(max_rate * len(found)) if len(found) >= min_words else 0)
         #: For each length of a run: the run's words to the items and offsets where they stand.
         self.runs: dict[int, dict[tuple[int, ...], list[tuple[int, int]]]] = {}
         for i, (item, k) in enumerate(zip(self.items, self.most, strict=True)):

@@ -79,3 +79,11 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "a b c d e f g h i j")], "doc_id long, text string")
     assert decontaminate.leaks(none, items).count() == 0 and decontaminate.leaks(some, items).count() == 0
     assert decontaminate.decontaminated(some, items).count() == 1
+
+
+def test_short_items_leak_as_they_are(spark):
+    items = [(1, "Capital of France?"), (2, "日本語"), (3, "..."), (4, "one two three four five six seven")]
+    texts = ["say, capital of france; then", "capital of Spain", "x 日本語 y", "one two three four five six changed", "", "0 one two three four five six seven 8"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.edits, r.first_word, r.last_word) for r in got) == [(0, 1, 0, 1, 3), (2, 2, 0, 1, 1), (5, 4, 0, 1, 7)]
