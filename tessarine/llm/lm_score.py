@@ -10,12 +10,12 @@ log-probability, a failure arc drops the oldest word and adds the log of what th
 The automaton grows with the corpus and is a distributed table. An n-gram that is kept has its context and its
 suffix kept too, so the sum along a text's path is a sum over its n-grams: a word adds its lowest-order term and
 the failure out of it, an n-gram what reading it gains over failing, and the failure out of it as a context.
-Texts are joined with these terms by n-gram. The terms of frequent words (``word_share`` of all tokens) and
-n-grams (``least_share``) number at most 1 / share an order; they are sent to all workers and added at once.
-What is left is filtered by bit sets of fixed size that pass every kept n-gram (and some others, which then
-join nothing). Words are known by 64-bit hashes, n-grams by hashes of theirs.
+Texts are joined with these terms by n-gram. The terms of the most frequent words and n-grams (at most
+1 / ``word_share`` and 1 / ``least_share`` an order) are sent to all workers and added at once. What is left is
+filtered by bit sets of fixed size that pass every kept n-gram (and some others, which then join nothing).
+Words are known by 64-bit hashes, n-grams by hashes of their contexts' and suffixes', rows by those of id and text.
 
-Null and empty texts are the end token alone. Repeated rows are scored one by one; rows of null ids belong
+Null and empty texts are the end token alone. Repeated rows have one score each, which is the same; rows of null ids belong
 to the fold of the empty id. Without training tokens every token has the probability of the unknown word.
 An empty table gives an empty result.
 """
@@ -30,11 +30,10 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import staged
+from ..sources.staging import dropped, staged
 
 #: The end token; no word holds white space.
 END = b"\n"
@@ -70,13 +69,16 @@ def hashed(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(xxh64_intdigest, chain.from_iterable(found), repeat(42)), np.uint64, sum(sizes)), np.repeat(np.arange(len(sizes)), sizes)
 
 
+def pair_keys(contexts: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
+    """Keys of n-grams by those of their contexts and suffixes, as xxhash64 of both in Spark."""
+    return hash_long(suffixes, hash_long(contexts, np.uint64(42)))
+
+
 def gram_keys(words: np.ndarray, order: int) -> list[np.ndarray]:
-    """Keys of the n-grams of each order that start at each place (whatever text they end in): a word's own hash, xxhash64 of longer ones' words."""
+    """Keys of the n-grams of each order that start at each place (whatever text they end in): a word's own hash, ``pair_keys`` of longer ones."""
     out = [words]
-    key = hash_long(words, np.full(len(words), 42, np.uint64))
-    for n in range(2, order + 1):
-        key = hash_long(words[n - 1 :], key[: max(0, len(words) - n + 1)])
-        out.append(key)
+    for _ in range(2, order + 1):
+        out.append(pair_keys(out[-1][:-1], out[-1][1:]))
     return out
 
 
@@ -194,56 +196,71 @@ class Automaton:
         return total
 
 
-def gram_counts(texts: DataFrame, n: int, allowed: np.ndarray | None = None, flush: int = 1_000_000) -> DataFrame:
-    """(w1, ..., n): counts of the n-grams of ``texts`` by the hashes of their words.
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def runs(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+
+
+def gram_counts(texts: DataFrame, n: int, allowed: np.ndarray | None = None, flush: int = 2_000_000) -> DataFrame:
+    """Counts of the n-grams of ``texts``: (key, n) of words, (context, suffix, n) of longer ones.
 
     ``allowed``: bits of (n - 1)-grams; both ends of an n-gram must be among them. ``flush``: n-grams that a task holds before it sends them.
     """
-    shared, names = texts.sparkSession.sparkContext.broadcast(allowed), [f"w{k + 1}" for k in range(n)]
+    shared, names = texts.sparkSession.sparkContext.broadcast(allowed), ["key"] if n == 1 else ["context", "suffix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allowed, held, size = shared.value, [], 0
 
         def out():
-            key, *columns = (np.concatenate(c) for c in zip(*held, strict=True))
-            _, first, counts = np.unique(key, return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([*(pa.array(c[first].view(np.int64)) for c in columns), pa.array(counts.astype(np.int64))], names=[*names, "n"])
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                words, owner = hashed(batch.column("text").slice(at, 1024).cast(pa.binary()).to_pylist())
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            key = columns[0] if n == 1 else pair_keys(*columns)
+            by = np.argsort(key)
+            first = runs(key[by])
+            counts = np.diff(np.append(first, len(by)))
+            return pa.RecordBatch.from_arrays([*(pa.array(c[by[first]].view(np.int64)) for c in columns), pa.array(counts.astype(np.int64))], names=[*names, "n"])
+
+        for part in slices(batches):
+            words, owner = hashed(part.column("text").cast(pa.binary()).to_pylist())
+            if n == 1:
+                held.append((words,))
+            else:
+                keys = gram_keys(words, n - 1)[-1]
                 count = max(0, len(words) - n + 1)
-                keys = gram_keys(words, n)
-                whole = owner[:count] == owner[n - 1 :]
-                if n > 1:
-                    ends = among(allowed, keys[n - 2])
-                    whole &= ends[:count] & ends[1 : count + 1]
-                start = np.flatnonzero(whole)
-                held.append((keys[n - 1][start], *(words[start + k] for k in range(n))))
-                size += len(start)
-                if size >= flush:
-                    yield out()
-                    held, size = [], 0
+                ends = among(allowed, keys)
+                start = np.flatnonzero((owner[:count] == owner[len(owner) - count :]) & ends[:count] & ends[len(ends) - count :])
+                held.append((keys[start], keys[start + 1]))
+            size += len(held[-1][0])
+            if size >= flush:
+                yield out()
+                held, size = [], 0
         if size:
             yield out()
 
-    return texts.mapInArrow(run, ", ".join(f"{w} long" for w in names) + ", n long").groupBy(*names).agg(F.sum("n").alias("n"))
+    rows = texts.mapInArrow(run, ", ".join(f"{w} long" for w in names) + ", n long")
+    # tasks have counted what they hold, so the rows are dealt out as they are
+    return rows.repartition(*names).groupBy(*names).agg(F.sum("n").alias("n"))
 
 
 def model(training: DataFrame, order: int, least_count: int) -> tuple[DataFrame, list[np.ndarray], int, int]:
     """(level, key, n, base, score) of every word and kept n-gram, the filters of the n-grams of 2 words and more, and the numbers of tokens and words."""
-    counts = staged(gram_counts(training, 1).select(F.col("w1").alias("key"), "n"))
+    counts = staged(gram_counts(training, 1))
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     floor = max(sums.n + 0.5 * (sums.v + 1), 1.0)
     levels = [counts.withColumn("p", (F.col("n") + 0.5) / F.lit(floor)).withColumn("gain", F.log10("p"))]
-    weights, filters, bits = [], [], key_filter(counts.where(F.col("n") >= least_count))
+    weights, filters, bits, used = [], [], key_filter(counts.where(F.col("n") >= least_count)), [counts]
     for n in range(2, order + 1):
-        key = lambda a, b: F.xxhash64(*(f"w{k}" for k in range(a, b + 1))) if b > a else F.col(f"w{a}")
         kept = gram_counts(training, n, bits).where(F.col("n") >= least_count)
-        kept = staged(kept.select(key(1, n).alias("key"), key(1, n - 1).alias("context"), key(2, n).alias("suffix"), "n"))
+        kept = staged(kept.select(F.xxhash64("context", "suffix").alias("key"), "context", "suffix", "n"))
         bits = key_filter(kept)
         filters.append(bits)
-        lower = levels[-1]
+        # what an n-gram needs of its context and suffix is as frequent as itself at least
+        lower = levels[-1].where(F.col("n") >= least_count)
         taken = kept.groupBy("context").agg(F.sum(F.col("n") - DISCOUNT).alias("taken"))
         left = taken.join(lower.select(F.col("key").alias("context"), F.col("n").alias("count")), "context")
         left = staged(left.select("context", "count", F.greatest(1 - F.col("taken") / F.col("count"), F.lit(1e-12)).alias("left")))
@@ -251,75 +268,126 @@ def model(training: DataFrame, order: int, least_count: int) -> tuple[DataFrame,
         found = found.withColumn("p", (F.col("n") - DISCOUNT) / F.col("count") + F.col("left") * F.col("lower"))
         levels.append(staged(found.select("key", "n", "p", (F.log10("p") - F.log10("left") - F.log10("lower")).alias("gain"))))
         weights.append(left.select(F.col("context").alias("key"), F.log10("left").alias("weight")))
+        dropped(kept)
+        used += [left, levels[-1]]
     terms = []
     for n, level in enumerate(levels, 1):
         score = F.col("gain")
         if n < order:
             level, score = level.join(weights[n - 1], "key", "left"), score + F.coalesce("weight", F.lit(0.0))
         terms.append(level.select(F.lit(n).alias("level"), "key", "n", F.when(F.lit(n == 1), F.col("gain")).otherwise(0.0).alias("base"), score.alias("score")))
-    return staged(reduce(DataFrame.unionByName, terms)), filters, sums.n, sums.v
-
-
-def scored(docs: DataFrame, held_out: Column, order: int = 3, word_share: float = 1e-5, least_share: float = 1e-5, least_count: int = 3) -> DataFrame:
+    terms = staged(reduce(DataFrame.unionByName, terms))
+    for table in used:
+        dropped(table)
+    return terms, filters, sums.n, sums.v
+
+
+def most_frequent(terms: DataFrame, most: list[int]) -> Column:
+    """Whether a term's count reaches the least power of two that at most ``most`` terms of its level reach."""
+    power = F.floor(F.log2("n")).cast("int")
+    found = terms.groupBy("level", power.alias("power")).count().collect()
+    least = []
+    for level, bound in enumerate(most, 1):
+        sizes = {r.power: r["count"] for r in found if r.level == level}
+        least.append(next(k for k in range(65) if sum(c for p, c in sizes.items() if p >= k) <= bound))
+    return F.element_at(F.array(*(F.lit(2.0**k) for k in least)), F.col("level")) <= F.col("n")
+
+
+class Shared:
+    """Terms of an order by their keys, found by the first bits of these."""
+
+    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+        by = np.argsort(keys)
+        self.keys, self.values = keys[by], [v[by] for v in values]
+        bits = max(1, len(keys).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount((self.keys >> self.shift).astype(np.int64), minlength=1 << bits))])
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's place, or -1."""
+        bucket = (keys >> self.shift).astype(np.int64)
+        at, end, out = self.starts[bucket], self.starts[bucket + 1], np.full(len(keys), -1)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            here = at[left]
+            hit = self.keys[here] == keys[left]
+            out[left[hit]] = here[hit]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
+
+
+def scored(docs: DataFrame, held_out: Column, order: int = 3, word_share: float = 2e-6, least_share: float = 2e-6, least_count: int = 3, flush: int = 500_000) -> DataFrame:
     """Every row's doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, by a model of the rows that aren't held out.
 
-    The shares only tell which terms are sent to all workers; the scores don't depend on them.
+    The shares only tell how many terms of an order are sent to all workers, 1 / share at most; the scores don't depend on them.
+    ``flush``: places of other terms that a task holds before it sends them.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
+    texts = texts.withColumn("row", F.xxhash64("doc_id", "text"))
     terms, filters, total, vocabulary = model(texts.where("not held_out").select("text"), order, least_count)
-    frequent = F.col("n") >= F.when(F.col("level") == 1, word_share * total).otherwise(least_share * total)
-    hot = terms.where(frequent).orderBy("level", "key").toArrow()
-    level, columns = hot.column("level").to_numpy(), [hot.column(c).to_numpy() for c in ("key", "base", "score")]
-    shared = spark.sparkContext.broadcast((order, [tuple(c[level == n] for c in columns) for n in range(1, order + 1)], filters))
+    # every token counts as the unknown word at first; a word's term makes up the difference
+    unknown = float(np.log10(0.5 / max(total + 0.5 * (vocabulary + 1), 1.0)))
+    word = F.col("level") == 1
+    terms = terms.select("level", "key", "n", *(F.when(word, F.col(c) - unknown).otherwise(F.col(c)).alias(c) for c in ("base", "score")))
+    frequent = most_frequent(terms, [int(1 / word_share)] + [int(1 / least_share)] * (order - 1))
+    hot = terms.where(frequent).select("level", "key", "base", "score").toArrow()
+    level, (key, base, score) = hot.column("level").to_numpy(), (hot.column(c).to_numpy() for c in ("key", "base", "score"))
+    columns = [[c[level == n] for c in ((key.view(np.uint64), base, score) if n == 1 else (key.view(np.uint64), score))] for n in range(1, order + 1)]
+    shared = spark.sparkContext.broadcast((columns, filters))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (order, hot, filters), number = shared.value, TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                words, owner = hashed(part.column("text").cast(pa.binary()).to_pylist())
-                m, rows, open_terms = part.num_rows, number + np.arange(part.num_rows), []
-                number += m
-                known, base, score = np.zeros(m, np.int64), np.zeros(m), np.zeros(m)
-                for n, (key, (keys, bases, scores)) in enumerate(zip(gram_keys(words, order), hot, strict=True), 1):
-                    whole = owner[: len(key)] == owner[n - 1 :]
-                    mine, key = owner[: len(key)][whole], key[whole].view(np.int64)
-                    place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-                    hit = keys[place] == key if len(keys) else np.zeros(len(key), bool)
-                    score += np.bincount(mine[hit], scores[place[hit]], m)
-                    if n == 1:
-                        base += np.bincount(mine[hit], bases[place[hit]], m)
-                        known += np.bincount(mine[hit], minlength=m)
-                        rest = ~hit
-                    else:
-                        rest = ~hit & among(filters[n - 2], key.view(np.uint64))
-                    key, mine = key[rest], mine[rest]
-                    by = np.argsort(key, kind="stable")
-                    key, mine = key[by], mine[by]
-                    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-                    open_terms.append((n, key[first], np.append(first, len(key)), rows[mine]))
-                sizes = np.bincount(owner, minlength=m)
-                singles = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32)), pa.array(rows))
-                none = lambda k, f: pa.nulls(k, f.type)
-                yield pa.RecordBatch.from_arrays([none(m, _ROWS[0]), none(m, _ROWS[1]), singles, part.column("doc_id"), part.column("held_out"), *(pa.array(c) for c in (sizes, known, base, score))], schema=_ROWS)
-                for n, key, starts, mine in open_terms:
-                    lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(mine))
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), n, np.int32)), lists, *(none(len(key), f) for f in list(_ROWS)[3:])], schema=_ROWS)
-
-    out = texts.mapInArrow(run, "key long, level int, rows array<bigint>, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
-    # rows of documents have no key; one of their own spreads them
-    out = out.withColumn("at", F.coalesce("key", F.xxhash64(F.col("rows")[0])))
-    rest = terms.where(~frequent).select(F.col("key").alias("term_key"), F.col("level").alias("term_level"), F.col("base").alias("term_base"), F.col("score").alias("term_score"))
-    joined = out.join(rest, (F.col("at") == F.col("term_key")) & (F.col("level") == F.col("term_level")), "left")
-    unknown = F.when(F.col("level") == 1, float(np.log10(0.5 / max(total + 0.5 * (vocabulary + 1), 1.0)))).otherwise(0.0)
-    term = F.col("level").isNotNull()
-    each = joined.select(
-        F.explode("rows").alias("row"), "doc_id", "held_out", "n_tokens", F.when(term, ((F.col("level") == 1) & F.col("term_key").isNotNull()).cast("long")).otherwise(F.col("n_known")).alias("n_known"),
-        F.when(term, F.coalesce("term_base", unknown)).otherwise(F.col("base")).alias("base"), F.when(term, F.coalesce("term_score", unknown)).otherwise(F.col("score")).alias("score"),
-    )
-    found = each.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    return found.select("doc_id", "held_out", "n_tokens", F.coalesce("n_known", F.lit(0)).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-_ROWS = pa.schema([("key", pa.int64()), ("level", pa.int32()), ("rows", pa.list_(pa.int64())), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+        columns, filters = shared.value
+        tables, held, size = [Shared(*c) for c in columns], [], 0
+
+        def out():
+            key, rows = (np.concatenate(c) for c in zip(*held, strict=True))
+            by = np.argsort(key)
+            key, rows = key[by], rows[by]
+            first = runs(key)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(rows))
+            return pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), lists, pa.nulls(len(first), _ROWS[2].type)], schema=_ROWS)
+
+        for part in slices(batches):
+            words, owner = hashed(part.column("text").cast(pa.binary()).to_pylist())
+            m, rows = part.num_rows, part.column("row").to_numpy()
+            sizes = np.bincount(owner, minlength=m)
+            known, base, score = np.zeros(m, np.int64), sizes * unknown, sizes * unknown
+            for n, (key, table) in enumerate(zip(gram_keys(words, order), tables, strict=True), 1):
+                mine = owner[: len(key)]
+                if n > 1:
+                    start = np.flatnonzero((mine == owner[len(owner) - len(key) :]) & among(filters[n - 2], key))
+                    mine, key = mine[start], key[start]
+                place = table.places(key)
+                hit = place >= 0
+                score += np.bincount(mine[hit], table.values[-1][place[hit]], m)
+                if n == 1:
+                    base += np.bincount(mine[hit], table.values[0][place[hit]], m)
+                    known += np.bincount(mine[hit], minlength=m)
+                held.append((key[~hit], rows[mine[~hit]]))
+                size += len(held[-1][0])
+            single = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32)), pa.array(rows))
+            doc = pa.StructArray.from_arrays([pa.array(c) for c in (sizes, known, base, score)], fields=list(_ROWS[2].type))
+            yield pa.RecordBatch.from_arrays([pa.array(rows), single, doc], schema=_ROWS)
+            if size >= flush:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    sent = texts.select("row", "text").mapInArrow(run, "key long, rows array<bigint>, doc struct<n_tokens:bigint,n_known:bigint,base:double,score:double>")
+    # a document's own row has its hash for a key, which spreads these and meets no term
+    rest = terms.where(~frequent).select("key", F.struct(F.when(word, 1).otherwise(0).alias("n_known"), "base", "score").alias("term"))
+    joined = sent.join(rest, (sent.key == rest.key) & F.col("doc").isNull(), "left")
+    part = lambda c: F.coalesce(F.col("doc")[c], F.col("term")[c], F.lit(0)).alias(c)
+    each = joined.where("doc is not null or term is not null").select(F.explode("rows").alias("row"), F.col("doc.n_tokens").alias("n_tokens"), part("n_known"), part("base"), part("score"))
+    # rows of one id and text have one sum, over all of them
+    found = each.groupBy("row").agg(F.max("n_tokens").alias("n_tokens"), F.count("n_tokens").alias("copies"), *(F.sum(c).alias(c) for c in ("n_known", "base", "score")))
+    found = found.select("row", "n_tokens", (F.col("n_known") / F.col("copies")).cast("long").alias("n_known"), (F.col("base") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"))
+    named = texts.select("doc_id", "held_out", "row").join(found, "row")
+    return named.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+_ROWS = pa.schema([("key", pa.int64()), ("rows", pa.list_(pa.int64())), ("doc", pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]))])
