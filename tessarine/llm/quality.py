@@ -1,12 +1,15 @@
 """Quality rules whose cutoffs are chosen under control of false rejections.
 
 Every document gets counts (words, symbols, repeated lines, repeated word windows, ...), each rule a number
-in thousandths that grows with badness. A rule's cutoffs are tested on labelled documents: for a stratum
-(language), rule and cutoff, n good documents of which k would be rejected reject the hypothesis that the
-risk of a false rejection is ``alpha`` or more if P(Binomial(n, alpha) <= k) <= delta / m, where m counts all
-hypotheses of all strata, rules and cutoffs (Bonferroni). So with probability 1 - delta at least no chosen
-cutoff rejects a share of alpha or more of the good documents of its stratum. A rule takes the strictest
-cutoff that passes; where none does, the rule is off in that stratum.
+in thousandths that grows with badness. In every stratum (language) the labelled good documents are halved by a
+hash of their ids. One half proposes: rule after rule takes its strictest cutoff with which the rules so far
+together reject at most a share of ``room`` * ``alpha`` of that half. The other half certifies: of n good documents
+k are rejected by any rule, and P(Binomial(n, alpha) <= k) <= delta / strata rejects the hypothesis that the rules
+together have a risk of ``alpha`` or more. The proposal is tested in a fixed order, with all cutoffs moved to
+looser ones by as many steps as there are, then by one step less, and so on until a test fails, so no further
+correction is needed within a stratum, and strata are corrected for by Bonferroni. So with probability 1 - delta at
+least, no stratum loses a share of alpha or more of its good documents to the rules, all of them together. Where
+not even the loosest cutoffs pass, the rules are off.
 
 The fixed base rules (fewer than 20 words, or over 30 % of the words in repeated windows) hold everywhere.
 Null and empty texts have no words and fail the base rules. A null language is a stratum of its own; labels
@@ -16,13 +19,17 @@ one. Without labels no rule is on. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import staged
 from .common import SPACE
 
 ALPHA, DELTA, WINDOW = 0.01, 0.1, 8
+#: Share of alpha that the proposing half may spend.
+ROOM = 0.75
 #: Cutoffs in thousandths, strictest first; a document above its cutoff is rejected.
 CUTOFFS = {
     "symbols": [10, 20, 50, 100, 200],
@@ -31,6 +38,7 @@ CUTOFFS = {
     "repeats": [20, 50, 100, 200],
     "long_words": [8000, 9000, 10000, 12000, 15000],
 }
+STEPS = max(map(len, CUTOFFS.values()))
 #: Each rule's number from the counts.
 METRICS = {
     "symbols": "1000 * n_symbols {div} greatest(word_chars, 1)",
@@ -80,23 +88,57 @@ def counts(docs: DataFrame) -> DataFrame:
 
 
 def binomial_tail(n: str, k: str, p: float) -> Column:
-    """P(Binomial(n, p) <= k), exact, summed in the domain of logarithms; 1 where k exceeds the mean."""
-    odds = f"ln({p!r}D / {1 - p!r}D)"
-    term = f"a.t + if(i = 0, 0D, ln(cast({n} - i + 1 as double) / i) + {odds})"
-    total = f"aggregate(sequence(0L, {k}), named_struct('t', {n} * ln({1 - p!r}D), 's', 0D), (a, i) -> named_struct('t', {term}, 's', a.s + exp({term})), a -> a.s)"
-    return F.expr(f"if({k} > {n} * {p!r}D, 1D, least(1D, {total}))")
+    """P(Binomial(n, p) <= k), or 1 where k exceeds the mean.
+
+    Below the mean the terms fall by a growing ratio, so those further than ten standard deviations below k add nothing
+    to a double: the sum has some 10 sqrt(n p) terms. The last one comes from Stirling's series, the others from it.
+    """
+    stirling = "({x} + 0.5D) * ln({x}) - {x} + 0.9189385332046728D + 1 / (12 * {x}) - 1 / (360 * power({x}, 3)) + 1 / (1260 * power({x}, 5))"
+    # ln x! by the series at x + 10, less the ten factors
+    factorial = lambda x: "(" + stirling.format(x=f"(cast({x} as double) + 10)") + "".join(f" - ln({x} + {i}D)" for i in range(1, 11)) + ")"
+    last = f"{factorial(n)} - {factorial(k)} - {factorial(f'({n} - {k})')} + {k} * ln({p!r}D) + ({n} - {k}) * ln({1 - p!r}D)"
+    terms = f"sequence(0L, least(cast({k} as bigint), cast(10 * sqrt({n} * {p * (1 - p)!r}D) as bigint) + 10))"
+    ratio = f"cast({k} - i as double) * {(1 - p) / p!r}D / ({n} - {k} + i + 1)"
+    total = f"aggregate({terms}, named_struct('t', 1D, 's', 0D), (a, i) -> named_struct('t', a.t * {ratio}, 's', a.s + a.t), a -> a.s)"
+    return F.expr(f"if({k} > {n} * {p!r}D, 1D, least(1D, exp({last}) * {total}))")
+
+
+def proposals(features: DataFrame, labels: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """One row a stratum: the place in CUTOFFS that the proposing half chooses for each rule (their number: none), and of the certifying half n and, for
+    cutoffs looser by s steps, the rejected good documents k_s.
+
+    A document counts by how many cutoffs of each rule it exceeds, so what follows is over a few thousand patterns a stratum.
+    """
+    good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("q")).where("q >= 0.5").select("doc_id")
+    held = features.join(good, "doc_id", "left_semi")
+    exceeded = [sum(((F.expr(METRICS[r].format(div="div")) > c).cast("int") for c in cs[1:]), (F.expr(METRICS[r].format(div="div")) > cs[0]).cast("int")).alias(r) for r, cs in CUTOFFS.items()]
+    proposes = (F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) < "8").alias("proposes")
+    rows = held.select("stratum", proposes, *exceeded).groupBy("stratum", "proposes", *CUTOFFS).agg(F.count("*").alias("n"))
+    among, over = Window.partitionBy("stratum"), F.lit(False)
+    rows = rows.withColumn("half", F.sum(F.when(F.col("proposes"), F.col("n")).otherwise(0)).over(among))
+    for r, cs in CUTOFFS.items():
+        rejected = [F.sum(F.when(F.col("proposes") & (over | (F.col(r) > c)), F.col("n")).otherwise(0)).over(among) for c in range(len(cs))]
+        at = F.lit(len(cs))
+        for c in reversed(range(len(cs))):
+            at = F.when(rejected[c] <= F.lit(ROOM * alpha) * F.col("half"), c).otherwise(at)
+        rows = rows.withColumn(f"at_{r}", at)
+        over = over | (F.col(r) > F.col(f"at_{r}"))
+    looser = lambda s: reduce(Column.__or__, (F.col(r) > F.col(f"at_{r}") + s for r in CUTOFFS))
+    certified = [F.sum(F.when(~F.col("proposes") & looser(s), F.col("n")).otherwise(0)).alias(f"k_{s}") for s in range(STEPS)]
+    return rows.groupBy("stratum").agg(F.sum(F.when(F.col("proposes"), 0).otherwise(F.col("n"))).alias("n"), *certified, *(F.max(f"at_{r}").alias(f"at_{r}") for r in CUTOFFS))
 
 
 def thresholds(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """stratum, rule and the chosen cutoff (null: the rule is off)."""
-    good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("q")).where("q >= 0.5").select("doc_id")
-    held = features.join(good, "doc_id", "left_semi")
-    rejected = [F.sum((F.expr(METRICS[r].format(div="div")) > c).cast("long")).alias(f"{r}_{c}") for r, cs in CUTOFFS.items() for c in cs]
-    sums = held.groupBy("stratum").agg(F.count("*").alias("n"), *rejected)
-    tests = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{c}").alias("k")) for r, cs in CUTOFFS.items() for c in cs))
-    each = sums.select("stratum", "n", F.explode(tests).alias("t")).select("stratum", "n", "t.*").crossJoin(F.broadcast(sums.agg((F.count("*") * sum(map(len, CUTOFFS.values()))).alias("m"))))
-    safe = binomial_tail("n", "k", alpha) <= F.lit(delta) / F.col("m")
-    return each.groupBy("stratum", "rule").agg(F.min(F.when(safe, F.col("cutoff"))).alias("cutoff"))
+    found = staged(proposals(features, labels, alpha))
+    found = found.crossJoin(F.broadcast(found.agg(F.count("*").alias("strata"))))
+    steps, passed = F.lit(STEPS), F.lit(True)
+    for s in reversed(range(STEPS)):
+        passed = passed & (binomial_tail("n", f"k_{s}", alpha) <= F.lit(delta) / F.col("strata"))
+        steps = F.when(passed, s).otherwise(steps)
+    found = found.withColumn("steps", steps)
+    cutoffs = F.array(*(F.struct(F.lit(r).alias("rule"), F.get(F.array(*map(F.lit, cs)), F.col(f"at_{r}") + F.col("steps")).alias("cutoff")) for r, cs in CUTOFFS.items()))
+    return found.select("stratum", F.explode(cutoffs).alias("x")).select("stratum", "x.rule", "x.cutoff")
 
 
 def judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -116,8 +158,15 @@ def judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: floa
 
 def oracle_sql() -> str:
     metrics = {r: m.format(div="//") for r, m in METRICS.items()}
-    tests = " UNION ALL ".join(f"SELECT lang AS stratum, '{r}' AS rule, {c} AS cutoff, count(*) AS n, count(*) FILTER (WHERE {metrics[r]} > {c}) AS k FROM good GROUP BY lang" for r, cs in CUTOFFS.items() for c in cs)
-    bad = " OR ".join(f"coalesce({metrics[r]} > (SELECT min(cutoff) FROM chosen WHERE rule = '{r}' AND stratum IS NOT DISTINCT FROM f.lang), false)" for r in CUTOFFS)
+    exceeded = ", ".join(" + ".join(f"({metrics[r]} > {c})::INT" for c in cs) + f" AS {r}" for r, cs in CUTOFFS.items())
+    chain, over = "", "false"
+    for i, (r, cs) in enumerate(CUTOFFS.items()):
+        cases = " ".join(f"WHEN sum(CASE WHEN proposes AND ({over} OR {r} > {c}) THEN n ELSE 0 END) OVER (PARTITION BY lang) <= {ROOM * ALPHA!r}::DOUBLE * half THEN {c}" for c in range(len(cs)))
+        chain += f", p{i + 1} AS (SELECT *, CASE {cases} ELSE {len(cs)} END AS at_{r} FROM p{i})"
+        over += f" OR {r} > at_{r}"
+    looser = " OR ".join(f"{r} > at_{r} + s" for r in CUTOFFS)
+    chosen = ", ".join(f"list_extract({cs}, at_{r} + steps + 1) AS cut_{r}" for r, cs in CUTOFFS.items())
+    bad = " OR ".join(f"coalesce({metrics[r]} > cut_{r}, false)" for r in CUTOFFS)
     odds, rest = f"ln({ALPHA!r}::DOUBLE / {1 - ALPHA!r}::DOUBLE)", f"ln({1 - ALPHA!r}::DOUBLE)"
     return f"""
 WITH d AS (
@@ -138,13 +187,22 @@ WITH d AS (
   FROM d LEFT JOIN rep USING (rid)
 ), good AS (
   SELECT f.* FROM f SEMI JOIN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING avg(quality) >= 0.5) g USING (doc_id)
-), tests AS ({tests}), terms AS (
-  SELECT stratum, rule, cutoff, n, k, i, sum(CASE WHEN i = 0 THEN n * {rest} ELSE ln((n - i + 1)::DOUBLE / i) + {odds} END) OVER (PARTITION BY stratum, rule, cutoff ORDER BY i) AS t
-  FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM tests WHERE k <= n * {ALPHA!r}::DOUBLE)
+), p0 AS (
+  SELECT *, (sum(CASE WHEN proposes THEN n ELSE 0 END) OVER (PARTITION BY lang))::BIGINT AS half FROM (
+    SELECT lang, substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '8' AS proposes, {exceeded}, count(*) AS n FROM good GROUP BY ALL)
+){chain}, certified AS (
+  SELECT lang, s, sum(CASE WHEN NOT proposes THEN n ELSE 0 END) AS n, sum(CASE WHEN NOT proposes AND ({looser}) THEN n ELSE 0 END) AS k FROM p{len(CUTOFFS)}, range({STEPS}) q(s) GROUP BY ALL
+), terms AS (
+  SELECT lang, s, sum(CASE WHEN i = 0 THEN n * {rest} ELSE ln((n - i + 1)::DOUBLE / i) + {odds} END) OVER (PARTITION BY lang, s ORDER BY i) AS t
+  FROM (SELECT *, unnest(range(0, k::BIGINT + 1)) AS i FROM certified WHERE k <= n * {ALPHA!r}::DOUBLE)
+), passed AS (
+  SELECT lang, s FROM terms GROUP BY lang, s HAVING sum(exp(t)) <= {DELTA!r}::DOUBLE / (SELECT count(DISTINCT coalesce(lang, '')) FROM p0)
+), steps AS (
+  SELECT lang, min(s) AS steps FROM (SELECT lang, s, row_number() OVER (PARTITION BY lang ORDER BY s DESC) AS nth FROM passed) WHERE nth = {STEPS} - s GROUP BY lang
 ), chosen AS (
-  SELECT stratum, rule, cutoff FROM terms GROUP BY stratum, rule, cutoff HAVING sum(exp(t)) <= {DELTA!r}::DOUBLE / (SELECT count(*) FROM tests)
+  SELECT DISTINCT p.lang, {chosen} FROM p{len(CUTOFFS)} p JOIN steps ON p.lang IS NOT DISTINCT FROM steps.lang
 ), verdict AS (
-  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, {bad} AS bad FROM f
+  SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, {bad} AS bad FROM f LEFT JOIN chosen ON f.lang IS NOT DISTINCT FROM chosen.lang
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept FROM verdict
 """
