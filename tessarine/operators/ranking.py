@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 
 def ranks_from_scores(scores: str = "scores", true: str = "true"):
     """Struct of optimistic, pessimistic, realistic rank and options, of a true score among an array that holds it; NaN scores don't count."""
@@ -66,13 +68,103 @@ def marginal_scores(triples: DataFrame) -> DataFrame:
     return found.select("h", "r", "t", (F.col("ph") * F.col("pr") / total).alias("score"))
 
 
+def medians(rows: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """(keys, median) of ``value``, weighted or not; the mean of the two middle values where half of the weight lies on either side.
+
+    Equal values meet in one row first; running weights are made by ranges of values, so no task or buffer holds a whole group.
+    """
+    w = F.col(weight) if weight else F.lit(1).cast("long")
+    levels = rows.select(*keys, F.col(value).cast("double").alias("x"), w.alias("w")).groupBy(*keys, "x").agg(F.sum("w").alias("w"))
+    levels = staged(levels.repartitionByRange(*keys, "x").withColumn("part", F.spark_partition_id()))
+    parts = levels.groupBy(*keys, "part").agg(F.sum("w").alias("pw"))
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*keys, "part", F.coalesce(F.sum("pw").over(before), F.lit(0)).alias("start"), F.sum("pw").over(Window.partitionBy(*keys)).alias("total"))
+    inner = Window.partitionBy(*keys, "part").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = levels.withColumn("within", F.sum("w").over(inner)).join(parts, [*keys, "part"]).withColumn("twice", 2 * (F.col("start") + F.col("within")))
+    at = lambda c: F.min(F.when(c, F.col("x")))
+    return placed.groupBy(*keys).agg(((at(F.col("twice") >= F.col("total")) + at(F.col("twice") > F.col("total"))) / 2).alias("median"))
+
+
 def dispersion(ranks: DataFrame) -> DataFrame:
     """Median, population variance and standard deviation, and the scaled median absolute deviation of ranks, by side."""
-    by_side = ranks.groupBy("side").agg(F.median("rank").alias("median_rank"), F.var_pop("rank").alias("variance"), F.stddev_pop("rank").alias("standard_deviation"))
-    spread = ranks.join(by_side, "side").groupBy("side").agg((F.median(F.abs(F.col("rank") - F.col("median_rank"))) / 0.6745).alias("mad"))
+    middle = staged(medians(ranks, ["side"], "rank").withColumnRenamed("median", "median_rank"))
+    by_side = ranks.groupBy("side").agg(F.var_pop("rank").alias("variance"), F.stddev_pop("rank").alias("standard_deviation")).join(middle, "side")
+    off = ranks.join(middle, "side").select("side", F.abs(F.col("rank") - F.col("median_rank")).alias("off"))
+    spread = medians(off, ["side"], "off").select("side", (F.col("median") / 0.6745).alias("mad"))
     return by_side.join(spread, "side").select("side", "median_rank", "variance", "standard_deviation", "mad")
 
 
+def power_sum(n: str, p: str, exact: int = 256) -> Column:
+    """The sum of k to the power p for k from 1 to n: the first terms one by one, the rest by the Euler-Maclaurin formula, exact to a double's places."""
+    m = f"least({n}, {exact}L)"
+    head = f"aggregate(sequence(1L, {m}), 0D, (a, k) -> a + power(k, {p}))"
+    whole = f"if({p} = -1D, ln({n} / {m}), (power({n}, {p} + 1) - power({m}, {p} + 1)) / if({p} = -1D, 1D, {p} + 1))"
+    first = f"{p} * (power({n}, {p} - 1) - power({m}, {p} - 1)) / 12"
+    third = f"{p} * ({p} - 1) * ({p} - 2) * (power({n}, {p} - 3) - power({m}, {p} - 3)) / 720"
+    return F.expr(f"{head} + if({n} <= {exact}, 0D, {whole} + (power({n}, {p}) - power({m}, {p})) / 2 + {first} - {third})")
+
+
+def log_mean_power(n: str, p: str, exact: int = 256) -> Column:
+    """The logarithm of the mean of k to the power p for k from 1 to n; by sums of k to the power p less one, so that tiny powers keep their places."""
+    m = f"least({n}, {exact}L)"
+    less = lambda x: f"expm1({p} * ln({x}))"
+    head = f"aggregate(sequence(1L, {m}), 0D, (a, k) -> a + {less('k')})"
+    area = lambda x: f"{x} * ({less(x)} - {p}) / ({p} + 1)"
+    first = f"{p} * (power({n}, {p} - 1) - power({m}, {p} - 1)) / 12"
+    third = f"{p} * ({p} - 1) * ({p} - 2) * (power({n}, {p} - 3) - power({m}, {p} - 3)) / 720"
+    return F.expr(f"log1p(({head} + if({n} <= {exact}, 0D, {area(n)} - {area(m)} + ({less(n)} - {less(m)}) / 2 + {first} - {third})) / {n})")
+
+
+def all_metrics(rows: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10), weight: str | None = None) -> DataFrame:
+    """Every rank metric by side (and over both) and rank type: side, rank_type, metric, value.
+
+    ``rows``: side, rank_type, rank, candidates, and a column of weights if ``weight`` names one. What random ranks would give is in closed form:
+    a metric's expectation adjusts it and its variance gives the z-score (larger is better). Rows of no candidates but the true one count
+    with expectation one and no variance; a metric whose divisor is zero is null. Null ranks are left out.
+    """
+    keys = ["side", "rank_type"]
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = rows.where("rank is not null").select(F.explode(F.array("side", F.lit("both"))).alias("side"), "rank_type", F.col("rank").cast("double").alias("rank"), F.col("candidates").cast("long").alias("n"), w.alias("w"))
+    rows = staged(rows)
+    hits = [F.sum(F.when(F.col("rank") <= k, F.col("w")).otherwise(0.0)).alias(f"hit_{k}") for k in ks]
+    sums = rows.groupBy(*keys).agg(
+        F.count("*").alias("count"), F.sum("w").alias("all_w"), F.sum(F.col("w") * F.col("rank")).alias("sr"), F.sum(F.col("w") * F.log("rank")).alias("sl"),
+        F.sum(F.col("w") / F.col("rank")).alias("si"), F.sum(F.col("w") * F.col("rank") * F.col("rank")).alias("ss"), *hits,
+    )
+    # moments of a uniform rank among n; what follows has a row for each number of candidates and weight
+    sizes = staged(rows.groupBy(*keys, "n", "w").agg(F.count("*").alias("c"))).join(sums.select(*keys, "all_w"), keys).withColumn("share", F.col("w") / F.col("all_w"))
+    size, c = F.col("n").cast("double"), F.col("c")
+    sizes = sizes.withColumn("h1", power_sum("n", "-1D") / size).withColumn("h2", power_sum("n", "-2D") / size)
+    sizes = sizes.withColumn("g1", log_mean_power("n", "share")).withColumn("g2", log_mean_power("n", "(2 * share)"))
+    moment = lambda name, mean, variance: [F.sum(c * F.col("share") * mean).alias(f"e_{name}"), F.sum(c * F.col("share") * F.col("share") * variance).alias(f"v_{name}")]
+    p = {k: F.least(F.lit(1.0), F.lit(float(k)) / size) for k in ks}
+    expected = sizes.groupBy(*keys).agg(
+        *moment("am", (size + 1) / 2, (size * size - 1) / 12), *moment("ih", F.col("h1"), F.col("h2") - F.col("h1") * F.col("h1")),
+        *(x for k in ks for x in moment(f"hit_{k}", p[k], p[k] * (1 - p[k]))), F.exp(F.sum(c * F.col("g1"))).alias("e_gm"), F.expm1(F.sum(c * (F.col("g2") - 2 * F.col("g1")))).alias("v_gm"),
+    )
+    middle = staged(medians(rows, keys, "rank", "w"))
+    off = rows.join(middle, keys).select(*keys, F.abs(F.col("rank") - F.col("median")).alias("off"), "w")
+    spread = medians(off, keys, "off", "w").select(*keys, (F.col("median") / 0.6745).alias("mad"))
+    found = sums.join(expected, keys).join(middle, keys).join(spread, keys)
+    am, gm, ih, hm = F.col("sr") / F.col("all_w"), F.exp(F.col("sl") / F.col("all_w")), F.col("si") / F.col("all_w"), F.col("all_w") / F.col("si")
+    variance = F.greatest(F.col("ss") / F.col("all_w") - am * am, F.lit(0.0))
+    over = lambda a, b: F.when(F.abs(b) > 1e-12, a / b)
+    reindexed = lambda x, e: over(x - F.col(e), 1 - F.col(e))
+    z = lambda x, e, v: over(x - F.col(e), F.sqrt(F.greatest(v, F.lit(0.0))))
+    values = {
+        "count": F.col("count").cast("double"), "arithmetic_mean_rank": am, "inverse_arithmetic_mean_rank": 1 / am, "geometric_mean_rank": gm, "inverse_geometric_mean_rank": 1 / gm,
+        "harmonic_mean_rank": hm, "inverse_harmonic_mean_rank": ih, "median_rank": F.col("median"), "inverse_median_rank": 1 / F.col("median"), "variance": variance, "standard_deviation": F.sqrt(variance),
+        "median_absolute_deviation": F.col("mad"), "adjusted_arithmetic_mean_rank": over(am, F.col("e_am")), "adjusted_arithmetic_mean_rank_index": reindexed(am, "e_am"), "z_arithmetic_mean_rank": -z(am, "e_am", F.col("v_am")),
+        "adjusted_geometric_mean_rank_index": reindexed(gm, "e_gm"), "z_geometric_mean_rank": -z(gm, "e_gm", F.col("v_gm") * F.col("e_gm") * F.col("e_gm")),
+        "adjusted_inverse_harmonic_mean_rank": reindexed(ih, "e_ih"), "z_inverse_harmonic_mean_rank": z(ih, "e_ih", F.col("v_ih")),
+    }
+    for k in ks:
+        share = F.col(f"hit_{k}") / F.col("all_w")
+        values |= {f"hits_at_{k}": share, f"adjusted_hits_at_{k}": reindexed(share, f"e_hit_{k}"), f"z_hits_at_{k}": z(share, f"e_hit_{k}", F.col(f"v_hit_{k}"))}
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in values.items())))
+    return found.select(*keys, each.alias("x")).select(*keys, "x.metric", "x.value")
+
+
 def z_scores(ranks: DataFrame, k: int = 10) -> DataFrame:
     """Mean rank and hits at k less their expectations for random ranks, in standard errors (larger is better), by side."""
     n, p = F.col("candidates").cast("double"), F.least(F.lit(1.0), F.lit(float(k)) / F.col("candidates"))
