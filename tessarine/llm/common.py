@@ -43,3 +43,8 @@ def n_words(c: Column) -> Column:
     """Number of words of a text as a long; 0 for null."""
     bare = F.trim(F.coalesce(c, F.lit("")), F.lit(SPACE))
     return F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"[\x20\x09-\x0D]+"))).cast("long")
+
+
+def row_hash(rows: DataFrame, row: str = "row") -> Column:
+    """A hash of all columns of ``rows``, which ``row`` holds as a struct, so that rows alike in some are dealt alike in reruns. Maps don't take part."""
+    return F.xxhash64(*(F.col(row)[f.name] for f in rows.schema.fields if "map<" not in f.dataType.simpleString()))

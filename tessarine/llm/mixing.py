@@ -14,7 +14,8 @@ reruns agree and SQL can state them. Streams are ordered by buckets of a hash of
 places in them are running totals over buckets and groups of buckets, so no source is ever one task's.
 
 Null and empty texts have size 0 and take nothing; a null source is a source of its own, the last; null ids
-come first in their bucket; repeated rows each have their own place. An empty table gives an empty result.
+come first in their bucket; repeated rows each have their own place, rows alike but for other columns in the order of
+a hash of all. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import staged
-from .common import n_words
+from .common import n_words, row_hash
 
 BLOCK, SHARD_SLOTS, MOST, ROUNDS = 128, 1024, 3, 16
 #: Documents in a bucket of a stream on average, and buckets in a group.
@@ -136,7 +137,7 @@ def placed(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame,
     rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size")))
     targets = staged(source_targets(rows))
     buckets = max(1, -(-rows.count() // bucket_rows))
-    bucket = F.expr(f"coalesce({mix_sql('abs(doc_id)', '3', '5')} % {buckets}, 0)")
+    bucket = F.expr(f"coalesce({mix_sql('doc_id & 9223372036854775807', '3', '5')} % {buckets}, 0)")
     named = rows.join(_few(targets.select("source", "source_no")), rows.source.eqNullSafe(targets.source))
     named = named.select("doc_id", "text_key", "source_no", "size", bucket.alias("bucket"))
     order = [F.col("doc_id").asc_nulls_first(), "size", "text_key"]
@@ -177,7 +178,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHAR
     parts = parts.select("doc_id", "text_key", "source_no", nth.alias("nth"), "parts", "passes")
     marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_key"), F.col("source").cast("string").alias("own_source"))
     marked = marked.join(_few(targets.select("source", F.col("source_no").alias("own_no"))), marked.own_source.eqNullSafe(targets.source)).select("row", "own_id", "own_key", "own_no")
-    marked = marked.withColumn("own_nth", F.row_number().over(Window.partitionBy("own_id", "own_key", "own_no").orderBy(F.lit(0))))
+    marked = marked.withColumn("own_nth", F.row_number().over(Window.partitionBy("own_id", "own_key", "own_no").orderBy(row_hash(docs))))
     joined = marked.join(parts, marked.own_id.eqNullSafe(parts.doc_id) & (marked.own_key == parts.text_key) & (marked.own_no == parts.source_no) & (marked.own_nth == parts.nth))
     each = joined.select("row", "parts", F.explode(F.sequence(F.lit(1).cast("long"), "passes")).alias("pass"))
     words = F.filter(F.split(F.col("row.text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -190,7 +191,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHAR
 
 def oracle_sql() -> str:
     """The mix with the default settings, over the table documents."""
-    bucket = f"coalesce({mix_sql('abs(doc_id)', '3', '5')} % (SELECT greatest(1, (count(*) + {BUCKET_ROWS - 1}) // {BUCKET_ROWS}) FROM r), 0)"
+    bucket = f"coalesce({mix_sql('doc_id & 9223372036854775807', '3', '5')} % (SELECT greatest(1, (count(*) + {BUCKET_ROWS - 1}) // {BUCKET_ROWS}) FROM r), 0)"
     return f"""
 WITH RECURSIVE r AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents

@@ -8,7 +8,8 @@ With an even radius everything that meets is within the radius (triangle inequal
 all the same. At most 1 + 64 fingerprints meet on a word at radius 2, whatever the size of a group of copies.
 
 Null and empty texts are linked like any other fingerprint zero. Repeated rows and ids are all kept; a
-component of null ids alone has the null id. An empty table gives an empty result.
+component of null ids alone has the null id. Other columns of the documents don't take part and stay as they are. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..sources.staging import staged
+from .common import row_hash
 
 BITS = 64
 
@@ -73,8 +75,10 @@ def with_fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 def ball_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """Links (src, dst) between distinct fingerprints ``fp`` within ``radius`` bits, enough to connect all that are.
 
-    What meets on a word is linked in a chain, not in all pairs.
+    What meets on a word is linked in a chain, not in all pairs. An odd radius raises ValueError: half of it reaches no word that both ends share.
     """
+    if radius < 0 or radius % 2:
+        raise ValueError("the radius must be even")
     masks = [0, *(sum(1 << b for b in bits) for n in range(1, radius // 2 + 1) for bits in combinations(range(BITS), n))]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     variants = fps.select("fp", F.explode(F.transform(F.lit(signed).cast("array<bigint>"), lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
@@ -106,5 +110,5 @@ def simhash_dedup(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame
     keep = classes(rows, radius).select(F.col("keep.doc_id").alias("keep_id"), F.col("keep.text_key").alias("keep_key")).distinct()
     marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_key"))
     marked = marked.join(keep, marked.own_id.eqNullSafe(keep.keep_id) & (marked.own_key == keep.keep_key), "left_semi")
-    one = F.row_number().over(Window.partitionBy("own_id", "own_key").orderBy(F.lit(0)))
+    one = F.row_number().over(Window.partitionBy("own_id", "own_key").orderBy(row_hash(docs)))
     return marked.withColumn("nth", one).where("nth = 1").select("row.*")
