@@ -15,7 +15,8 @@ turns the p-value of the best passage and the number of significant passages int
 
 A model learns from a bounded number of labelled rows (``max_labelled``); every document is scored whole.
 Null and empty texts have no passages and score as such. Labels of one id are averaged, null labels and
-null ids ignored; rows of the documents are scored one by one, however often repeated. Without labelled
+null ids ignored, and so are labels without a document; of repeated rows one is learned from. Documents are scored
+one by one, however often repeated; a word of any length and number counts, in memory that grows with one text. Without labelled
 rows of both classes there is no evidence and every score is the sample's rate (0 without any rows).
 """
 
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
 from .common import fold
 from .decontaminate import words
 
@@ -175,8 +177,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, max_
     rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = rows.withColumn("calibrates", F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(4)) == 0)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    labelled = texts.join(F.broadcast(rows), "doc_id").select("text", "toxic", "calibrates")
-    size = {(r.toxic, r.calibrates): r.n for r in rows.groupBy("toxic", "calibrates").agg(F.count("*").alias("n")).collect()}
+    # one row of an id and text, so that the number of labels bounds what follows; read once
+    labelled = texts.join(F.broadcast(rows), "doc_id").withColumn("key", F.xxhash64("text")).dropDuplicates(["doc_id", "key"]).select("text", "toxic", "calibrates")
+    labelled = staged(labelled)
+    size = {(r.toxic, r.calibrates): r.n for r in labelled.groupBy("toxic", "calibrates").agg(F.count("*").alias("n")).collect()}
     y0, y1 = size.get((0, False), 0), size.get((1, False), 0)
     if not y0 or not y1:
         every = sum(size.values())
@@ -199,6 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, max_
     by_node = {n: log_odds(rate_of(n)) - log_odds(rate) - drift for n in counted}
     model = Model(by_node, -drift, rate, significance=significance)
 
+    grid = np.linspace(0.05, 3, 60)
+
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.scorer()
         for batch in batches:
@@ -207,14 +213,14 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, max_
                 s = model.token_scores(text, known)
                 best.append(best_segment(s) if len(s) else 0.0)
                 size.append(len(s))
-                moments.append(np.exp(np.outer(s, np.linspace(0.05, 3, 60))).sum(axis=0).tolist())
+                moments.append(sum((np.exp(np.outer(s[a : a + 10_000], grid)).sum(axis=0) for a in range(0, len(s), 10_000)), np.zeros(len(grid))).tolist())
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(best), pa.array(size, pa.int64()), pa.array(moments, pa.list_(pa.float64()))], names=["toxic", "best", "size", "moments"])
 
     clean = labelled.where("calibrates and toxic = 0").mapInArrow(measured, "toxic int, best double, size long, moments array<double>").where("size > 0")
     sums = clean.agg(F.sum("size").alias("n"), *(F.sum(F.col("moments")[i]).alias(f"m{i}") for i in range(60))).first()
     if sums.n:
         # lambda solves E exp(lambda s) = 1; the moments are convex in it, so the last one below 1 brackets it
-        grid, means = np.linspace(0.05, 3, 60), np.array([sums[f"m{i}"] for i in range(60)]) / sums.n
+        means = np.array([sums[f"m{i}"] for i in range(60)]) / sums.n
         below = np.flatnonzero(means < 1)
         at = int(below[-1]) if len(below) else 0
         model.lam = float(grid[at] if at + 1 == len(grid) else np.interp(0.0, [means[at] - 1, means[at + 1] - 1], [grid[at], grid[at + 1]])) if len(below) else 0.05
