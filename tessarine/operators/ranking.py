@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,18 @@ def marginal_scores(triples: DataFrame) -> DataFrame:
     return found.select("h", "r", "t", (F.col("ph") * F.col("pr") / total).alias("score"))
 
 
+def positions(rows: DataFrame, keys: list[str], order: list[str], place: str = "place") -> DataFrame:
+    """``rows`` with their place, from 0, among those of the same ``keys`` in the order of columns ``order``. Places come from ranges of keys and order, so a hot key is no single task's."""
+    ranged = staged(rows.repartitionByRange(*keys, *order).withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy(*keys, "part").agg(F.count("*").alias("size"))
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*(F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)), F.col("part").alias("of"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    within = ranged.withColumn("within", F.row_number().over(Window.partitionBy(*keys, "part").orderBy(*order)) - 1)
+    same = [F.col(k).eqNullSafe(F.col(f"key_{i}")) for i, k in enumerate(keys)]
+    joined = within.join(starts, (F.col("part") == F.col("of")) & reduce(Column.__and__, same))
+    return joined.select(*rows.columns, (F.col("start") + F.col("within")).cast("long").alias(place))
+
+
 def medians(rows: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
     """(keys, median) of ``value``, weighted or not; the mean of the two middle values where half of the weight lies on either side.
 
