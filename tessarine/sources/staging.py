@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The library's own setting for that folder, read where ``spark.checkpoint.dir`` is unset.
 SETTING = "tessarine.staging.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,10 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back: what follows neither repeats
-    its work nor depends on the executors that did it. A table without a ``path`` of its own lives as long as the driver."""
+    its work nor depends on the executors that did it. Its shuffle files go at once, not when the driver next
+    collects garbage. A table without a ``path`` of its own lives as long as the driver."""
     spark, own = df.sparkSession, path is None
     path = path or shared_dir(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     if own:
         # what nothing has dropped by then goes with the driver
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -49,8 +56,3 @@ def dropped(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
-
-
-def freed(spark: SparkSession) -> None:
-    """Has the driver collect garbage: the shuffle files of finished stages stay on the executors' disks until it does."""
-    spark._jvm.System.gc()
