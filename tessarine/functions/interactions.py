@@ -2,7 +2,8 @@
 
 An interaction is a sum over dimensions of an element-wise term, wrapped once. Terms are SQL that Spark and
 DuckDB read alike, with {h[k]}, {r[k]}, {t[k]} for the element in part k of ``parts`` equal parts of a vector
-(two for complex numbers: real, imaginary; four for quaternions).
+(two for complex numbers: real, imaginary; four for quaternions). What needs matrices, weights or parts of other
+sizes is in ``models.forms``.
 """
 
 from __future__ import annotations
@@ -43,20 +44,14 @@ INTERACTIONS = {
     "unstructured": Interaction(1, "power({h[0]} - {t[0]}, 2)", "-{s}"),
     "toruse_l2": Interaction(1, f"power({_TORUS}, 2)", "-sqrt({s})"),
     "toruse_l1": Interaction(1, _TORUS, "-{s}"),
-    "mure": Interaction(2, "power({h[0]} * {r[0]} + {r[1]} - {t[0]}, 2)", "-{s}"),
     "cp": Interaction(2, "{h[0]} * {r[0]} * {t[1]}"),
     "simple": Interaction(2, "0.5 * ({h[0]} * {r[0]} * {t[1]} + {t[0]} * {r[1]} * {h[1]})"),
     "complex": Interaction(2, "{h[0]} * {r[0]} * {t[0]} + {h[1]} * {r[0]} * {t[1]} + {h[0]} * {r[1]} * {t[1]} - {h[1]} * {r[1]} * {t[0]}"),
     "rotate": Interaction(2, f"power({_ROT_RE}, 2) + power({_ROT_IM}, 2)", "-sqrt({s})"),
-    "pairre": Interaction(2, "abs({h[0]} * {r[0]} - {t[0]} * {r[1]})", "-{s}"),
-    "linearre": Interaction(4, "abs({h[0]} * {r[0]} + {r[1]} - {t[0]} * {r[2]})", "-{s}"),
-    "triplere": Interaction(4, "abs({h[0]} * ({r[0]} + {r[3]}) - {t[0]} * ({r[1]} + {r[3]}) + {r[2]})", "-{s}"),
     "quate": Interaction(4, " + ".join(f"{q} * {{t[{k}]}}" for k, q in enumerate(_Q)), "-{s}"),
     # Gaussians: means, then variances; the difference of the entities against the relation
     "kg2e_likelihood": Interaction(2, f"power({_MEAN}, 2) / ({_VAR_E} + {_VAR_R}) + ln({_VAR_E} + {_VAR_R})"),
     "kg2e_divergence": Interaction(2, f"{_VAR_E} / {_VAR_R} + power({_MEAN}, 2) / {_VAR_R} + ln({_VAR_R}) - ln({_VAR_E})", "-{s}"),
-    "crosse": Interaction(2, "tanh({h[0]} * {r[1]} + {h[0]} * {r[1]} * {r[0]}) * {t[0]}"),
-    "proje": Interaction(4, "tanh({h[0]} * {r[1]} + {r[0]} * {r[2]} + {r[3]}) * {t[0]}"),
 }
 
 
@@ -79,38 +74,6 @@ def score_sql(name: str, dim: int, h: str = "h", r: str = "r", t: str = "t") ->
     return x.wrap.format(s=f"list_sum(list_transform(range(0, {dim // x.parts}), lambda i: {_filled(x, dim, 'i', 1, h, r, t)}))")
 
 
-def rescal(d: int, h: str = "h", m: str = "r", t: str = "t") -> Column:
-    """Bilinear score h M t of ``d``-dimensional vectors with a row-major matrix."""
-    row = f"aggregate(sequence(0, {d - 1}), 0D, (b, j) -> b + {m}[i * {d} + j] * {t}[j])"
-    return F.expr(f"aggregate(sequence(0, {d - 1}), 0D, (a, i) -> a + {h}[i] * {row})")
-
-
-def rescal_sql(d: int, h: str = "h", m: str = "r", t: str = "t") -> str:
-    return f"list_sum(list_transform(range(0, {d * d}), lambda i: {h}[i // {d} + 1] * {m}[i + 1] * {t}[i % {d} + 1]))"
-
-
-def structured(d: int, h: str = "h", m: str = "r", t: str = "t") -> Column:
-    """Negative L1 distance of the head and the tail under two row-major matrices that stand in ``m`` one after the other."""
-    row = f"aggregate(sequence(0, {d - 1}), 0D, (b, j) -> b + {m}[i * {d} + j] * {h}[j] - {m}[{d * d} + i * {d} + j] * {t}[j])"
-    return F.expr(f"-aggregate(sequence(0, {d - 1}), 0D, (a, i) -> a + abs({row}))")
-
-
-def transh(dim: int, h: str = "h", r: str = "r", t: str = "t", w: str = "w") -> Column:
-    """Negative squared distance after projection onto the relation's plane of unit normal ``w``."""
-    along = f"aggregate(sequence(0, {dim - 1}), 0D, (b, j) -> b + ({h}[j] - {t}[j]) * {w}[j])"
-    return F.expr(f"-aggregate(sequence(0, {dim - 1}), 0D, (a, i) -> a + power({h}[i] - {t}[i] + {r}[i] - {along} * {w}[i], 2))")
-
-
-def structured_sql(d: int, h: str = "h", m: str = "r", t: str = "t") -> str:
-    row = f"list_sum(list_transform(range(0, {d}), lambda j: {m}[i * {d} + j + 1] * {h}[j + 1] - {m}[{d * d} + i * {d} + j + 1] * {t}[j + 1]))"
-    return f"-list_sum(list_transform(range(0, {d}), lambda i: abs({row})))"
-
-
-def transh_sql(dim: int, h: str = "h", r: str = "r", t: str = "t", w: str = "w") -> str:
-    along = f"list_sum(list_transform(range(1, {dim + 1}), lambda j: ({h}[j] - {t}[j]) * {w}[j]))"
-    return f"-list_sum(list_transform(range(1, {dim + 1}), lambda i: power({h}[i] - {t}[i] + {r}[i] - {along} * {w}[i], 2)))"
-
-
 def hole(dim: int, h: str = "h", r: str = "r", t: str = "t") -> Column:
     """Relation times the circular correlation of head and tail."""
     row = f"aggregate(sequence(0, {dim - 1}), 0D, (b, j) -> b + {h}[j] * {t}[(i + j) % {dim}])"
@@ -120,29 +83,3 @@ def hole(dim: int, h: str = "h", r: str = "r", t: str = "t") -> Column:
 def hole_sql(dim: int, h: str = "h", r: str = "r", t: str = "t") -> str:
     row = f"list_sum(list_transform(range(0, {dim}), lambda j: {h}[j + 1] * {t}[(i + j) % {dim} + 1]))"
     return f"list_sum(list_transform(range(0, {dim}), lambda i: {r}[i + 1] * {row}))"
-
-
-def transr(d: int, h: str = "h", r: str = "r", m: str = "m", t: str = "t") -> Column:
-    """Negative distance after projection of head and tail by the relation's row-major matrix ``m``."""
-    row = f"aggregate(sequence(0, {d - 1}), 0D, (b, j) -> b + {m}[i * {d} + j] * ({h}[j] - {t}[j]))"
-    return F.expr(f"-sqrt(aggregate(sequence(0, {d - 1}), 0D, (a, i) -> a + power({row} + {r}[i], 2)))")
-
-
-def transr_sql(d: int, h: str = "h", r: str = "r", m: str = "m", t: str = "t") -> str:
-    row = f"list_sum(list_transform(range(0, {d}), lambda j: {m}[i * {d} + j + 1] * ({h}[j + 1] - {t}[j + 1])))"
-    return f"-sqrt(list_sum(list_transform(range(0, {d}), lambda i: power({row} + {r}[i + 1], 2))))"
-
-
-def transd(dim: int, h: str = "h", hp: str = "hp", r: str = "r", rp: str = "rp", t: str = "t", tp: str = "tp") -> Column:
-    """Negative squared distance after dynamic projection e + (e_p . e) r_p of head and tail."""
-    dot = lambda a, b: f"aggregate(sequence(0, {dim - 1}), 0D, (b, j) -> b + {a}[j] * {b}[j])"
-    return F.expr(f"-aggregate(sequence(0, {dim - 1}), 0D, (a, i) -> a + power({h}[i] - {t}[i] + {r}[i] + ({dot(hp, h)} - {dot(tp, t)}) * {rp}[i], 2))")
-
-
-def tucker(d: int, core: str = "core", h: str = "h", r: str = "r", t: str = "t") -> Column:
-    """Sum of core[i, j, k] h[i] r[j] t[k] over a core of d cubed numbers in row-major order."""
-    return F.expr(f"aggregate(sequence(0, {d**3 - 1}), 0D, (a, n) -> a + {core}[n] * {h}[n div {d * d}] * {r}[n div {d} % {d}] * {t}[n % {d}])")
-
-
-def clamped(score_: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(score_, F.lit(low)), F.lit(high))

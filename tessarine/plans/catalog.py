@@ -66,12 +66,15 @@ _kg("pattern_skyline", lambda kg: analysis.skyline(analysis.composition(kg), ["r
   WHERE best IS NULL OR confidence > best""", _COMP)
 
 
-def _jaccard_sql(reverse: bool) -> str:
+def _jaccard_sql(reverse: bool, kg: str = "kg", n: str = "n") -> str:
     on = "a.h = b.t AND a.t = b.h" if reverse else "a.h = b.h AND a.t = b.t"
-    return f"SELECT r1, r2, x.hits / (n1.support + n2.support - x.hits) AS similarity FROM (SELECT a.r AS r1, b.r AS r2, count(*) AS hits FROM kg a JOIN kg b ON {on} WHERE a.r <> b.r GROUP BY ALL) x JOIN n n1 ON n1.r = r1 JOIN n n2 ON n2.r = r2"
+    return f"SELECT r1, r2, x.hits / (n1.support + n2.support - x.hits) AS similarity FROM (SELECT a.r AS r1, b.r AS r2, count(*) AS hits FROM {kg} a JOIN {kg} b ON {on} WHERE a.r <> b.r GROUP BY ALL) x JOIN {n} n1 ON n1.r = r1 JOIN {n} n2 ON n2.r = r2"
 
 
-_kg("jaccard_relations", analysis.jaccard, f"SELECT r1, r2, round(similarity, 6) AS similarity FROM ({_jaccard_sql(False)})", _INV)
+# no two relations share a pair of entities, so every relation has a second one of the pairs in order
+_rising = lambda kg: kg.unionByName(kg.where("h < t").withColumn("r", F.concat("r", F.lit("_rising"))))
+_RISING = "two AS (SELECT * FROM kg UNION ALL SELECT h, r || '_rising', t FROM kg WHERE h < t), m AS (SELECT r, count(*) AS support FROM two GROUP BY r)"
+_kg("jaccard_relations", lambda kg: analysis.jaccard(_rising(kg)), f"SELECT r1, r2, round(similarity, 6) AS similarity FROM ({_jaccard_sql(False, 'two', 'm')})", _RISING)
 _kg("jaccard_inverse_relations", lambda kg: analysis.jaccard(kg, reverse=True), f"SELECT r1, r2, round(similarity, 6) AS similarity FROM ({_jaccard_sql(True)})", _INV)
 _LEAK = f"""{_INV}, near AS (SELECT DISTINCT r1, r2 FROM ({_jaccard_sql(False)} UNION ALL {_jaccard_sql(True)}) WHERE similarity >= 0.97),
   reach AS (SELECT r1 AS a, r1 AS b FROM near UNION SELECT reach.a, near.r2 FROM reach JOIN near ON near.r1 = reach.b), comp AS (SELECT a AS r, min(b) AS component FROM reach GROUP BY a)"""
@@ -101,8 +104,9 @@ _kg("relation_dictionary", encode.relation_dictionary, "SELECT label, id FROM re
 _kg("dictionary_round_trip", lambda kg: encode.decode(_encoded(kg), encode.entity_dictionary(kg), encode.relation_dictionary(kg)), """SELECT ids.h, ids.r, ids.t, a.label AS h_label, rel.label AS r_label, b.label AS t_label
   FROM ids JOIN e a ON ids.h = a.id JOIN rel ON ids.r = rel.id JOIN e b ON ids.t = b.id""", _IDS)
 _kg("inverse_triples", lambda kg: encode.with_inverses(_encoded(kg)), "SELECT h, 2 * r AS r, t FROM ids UNION ALL SELECT t, 2 * r + 1, h FROM ids", _IDS)
-_kg("condense", lambda kg: encode.condense(_encoded(kg).where("r < 4"), relations=True), """SELECT a.new AS h, x.new AS r, b.new AS t FROM few JOIN en a ON a.old = h JOIN rn x ON x.old = r JOIN en b ON b.old = t""",
-    f"{_IDS}, few AS (SELECT ids.* FROM ids JOIN (VALUES (0), (1), (2), (3)) q(k) ON r = k), en AS (SELECT old, row_number() OVER (ORDER BY old) - 1 AS new FROM (SELECT h AS old FROM few UNION SELECT t FROM few)), rn AS (SELECT old, row_number() OVER (ORDER BY old) - 1 AS new FROM (SELECT DISTINCT r AS old FROM few))")
+# ids with gaps: those of entities times three, of relations squared
+_kg("condense", lambda kg: encode.condense(_encoded(kg).select((3 * F.col("h") + 1).alias("h"), (F.col("r") * F.col("r")).alias("r"), (3 * F.col("t") + 1).alias("t")), relations=True), """SELECT a.new AS h, x.new AS r, b.new AS t FROM few JOIN en a ON a.old = h JOIN rn x ON x.old = r JOIN en b ON b.old = t""",
+    f"{_IDS}, few AS (SELECT 3 * h + 1 AS h, r * r AS r, 3 * t + 1 AS t FROM ids), en AS (SELECT old, row_number() OVER (ORDER BY old) - 1 AS new FROM (SELECT h AS old FROM few UNION SELECT t FROM few)), rn AS (SELECT old, row_number() OVER (ORDER BY old) - 1 AS new FROM (SELECT DISTINCT r AS old FROM few))")
 
 # restriction, set operations, membership
 _NATIONS = "SELECT label FROM (SELECT h AS label FROM kg UNION SELECT t FROM kg) WHERE label LIKE 'n%' OR label LIKE 'g%'"
@@ -110,14 +114,15 @@ _nations = lambda kg: kg.select(F.explode(F.array("h", "t")).alias("label")).dis
 _relations = lambda kg, *names: kg.select(F.col("r").alias("label")).distinct().where(F.col("label").isin(*names))
 _kg("restrict_entities", lambda kg: relational.restrict(kg, entities=_nations(kg)), f"SELECT h, r, t FROM kg WHERE h IN ({_NATIONS}) AND t IN ({_NATIONS})")
 _kg("restrict_relations_inverted", lambda kg: relational.restrict(kg, relations=_relations(kg, "has_part", "did"), invert_relations=True), "SELECT h, r, t FROM kg WHERE r NOT IN ('has_part', 'did')")
-_geo = lambda kg: kg.where("r in ('nation_in_region', 'region_has_nation', 'nation_neighbor')")
-_in = lambda kg: kg.where("r in ('nation_in_region', 'cust_in_nation', 'supp_in_nation')")
-_SETS = "a AS (SELECT * FROM kg WHERE r IN ('nation_in_region', 'region_has_nation', 'nation_neighbor')), b AS (SELECT * FROM kg WHERE r IN ('nation_in_region', 'cust_in_nation', 'supp_in_nation'))"
-_kg("merge_distinct", lambda kg: relational.merge(_geo(kg), _in(kg)).distinct(), "SELECT * FROM a UNION SELECT * FROM b", _SETS)
-_kg("merge_all", lambda kg: relational.merge(_geo(kg), _in(kg)), "SELECT * FROM a UNION ALL SELECT * FROM b", _SETS)
-_kg("membership_columns", lambda kg: relational.with_membership(kg, geo=_geo(kg), places=_in(kg)), "SELECT h, r, t, (h, r, t) IN (SELECT (h, r, t) FROM a) AS in_geo, (h, r, t) IN (SELECT (h, r, t) FROM b) AS in_places FROM kg", _SETS)
-_kg("filter_known", lambda kg: relational.without_known(_geo(kg), _in(kg)), "SELECT * FROM a EXCEPT SELECT * FROM b", _SETS)
-_kg("split_similarity", lambda kg: relational.steps(_geo(kg), _in(kg)), """SELECT x AS steps, n AS size, round(1 - x / n, 6) AS similarity FROM (SELECT
+# two graphs over the same entities: the whole one and all of its triples turned round; they share what is symmetric
+_turned = lambda kg: kg.select(F.col("t").alias("h"), "r", F.col("h").alias("t"))
+_SETS = "a AS (SELECT * FROM kg), b AS (SELECT t AS h, r, h AS t FROM kg)"
+_kg("merge_distinct", lambda kg: relational.merge(kg, _turned(kg)).distinct(), "SELECT * FROM a UNION SELECT * FROM b", _SETS)
+_kg("merge_all", lambda kg: relational.merge(kg, _turned(kg)), "SELECT * FROM a UNION ALL SELECT * FROM b", _SETS)
+_kg("membership_columns", lambda kg: relational.with_membership(kg, turned=_turned(kg), rising=kg.where("h < t")), """SELECT kg.h, kg.r, kg.t, x.h IS NOT NULL AS in_turned, y.h IS NOT NULL AS in_rising FROM kg LEFT JOIN (SELECT DISTINCT * FROM b) x ON kg.h = x.h AND kg.r = x.r AND kg.t = x.t
+  LEFT JOIN (SELECT DISTINCT * FROM kg WHERE h < t) y ON kg.h = y.h AND kg.r = y.r AND kg.t = y.t""", _SETS)
+_kg("filter_known", lambda kg: relational.without_known(kg, _turned(kg)), "SELECT * FROM a EXCEPT SELECT * FROM b", _SETS)
+_kg("split_similarity", lambda kg: relational.steps(kg, _turned(kg)), """SELECT x AS steps, n AS size, round(1 - x / n, 6) AS similarity FROM (SELECT
   (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) + (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS x, (SELECT count(*) FROM a) AS n)""", _SETS)
 _kg("filter_index", relational.known_targets, "SELECT h, r, count(DISTINCT t) AS targets FROM kg GROUP BY h, r")
 _kg("lcwa_instances", lambda kg: relational.training_instances(kg).select("h", "r", F.array_join("targets", ",").alias("targets")), "SELECT h, r, string_agg(t, ',' ORDER BY t) AS targets FROM kg GROUP BY h, r")
@@ -183,10 +188,9 @@ _ANCHORS = f"{_NEAR}, s0 AS (SELECT DISTINCT h AS node, h AS anchor, 0 AS distan
 _kg("anchor_distances", lambda kg: graph.anchor_distances(kg, _regions(kg), 3), "SELECT node, anchor, distance FROM s3", _ANCHORS)
 _kg("nearest_anchors", lambda kg: graph.nearest_anchors(kg, _regions(kg), 3, 2), """SELECT node, string_agg(anchor, ',' ORDER BY nth) AS anchors FROM
   (SELECT node, anchor, row_number() OVER (PARTITION BY node ORDER BY distance, anchor) AS nth FROM s3) WHERE nth <= 2 GROUP BY node""", _ANCHORS)
-_WALK = f"{_SETS}, m AS (SELECT x AS a, y AS b, 1 / count(*) OVER (PARTITION BY x) AS p FROM (SELECT h AS x, t AS y FROM a WHERE h <> t UNION SELECT t, h FROM a WHERE h <> t)), w1 AS (SELECT a AS node, b AS cur, p FROM m)" + "".join(
-    f", w{k} AS (SELECT node, b AS cur, sum(w{k - 1}.p * m.p) AS p FROM w{k - 1} JOIN m ON cur = a GROUP BY node, b)" for k in (2, 3))
-_kg("random_walk_returns", lambda kg: graph.walk_returns(_geo(kg), 3), " UNION ALL ".join(f"SELECT node, {k} AS step, round(p, 6) AS probability FROM w{k} WHERE node = cur" for k in (1, 2, 3)), _WALK)
-_kg("graph_walk_returns", graph.walk_returns_by_triangles)
+_WALK = f"{_NEAR}, d AS (SELECT a, count(*) AS d FROM near GROUP BY a)"
+_kg("graph_walk_returns", graph.walk_returns_by_triangles, """SELECT near.a AS node, 2 AS step, round(sum(1 / (x.d::DOUBLE * y.d)), 6) AS probability FROM near JOIN d x ON x.a = near.a JOIN d y ON y.a = near.b GROUP BY near.a UNION ALL
+  SELECT p.a, 3, round(sum(1 / (x.d::DOUBLE * y.d * z.d)), 6) FROM near p JOIN near q ON q.a = p.b JOIN near s ON s.a = q.b AND s.b = p.a JOIN d x ON x.a = p.a JOIN d y ON y.a = p.b JOIN d z ON z.a = q.b GROUP BY p.a""", _WALK)
 _PR = "l AS (SELECT h, t, count(*) OVER (PARTITION BY h) AS o FROM (SELECT DISTINCT h, t FROM kg)), v AS (SELECT DISTINCT h AS node FROM kg UNION SELECT t FROM kg), nv AS (SELECT count(*) AS n FROM v), p0 AS (SELECT node, 1.0::DOUBLE / n AS rank FROM v, nv)" + "".join(
     f""", p{k} AS (SELECT v.node, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(got, 0) + lost / n) AS rank FROM v CROSS JOIN nv CROSS JOIN (SELECT coalesce(sum(rank), 0) AS lost FROM p{k - 1} WHERE node NOT IN (SELECT h FROM l))
   LEFT JOIN (SELECT t AS node, sum(rank / o) AS got FROM p{k - 1} JOIN l ON node = h GROUP BY t) g ON g.node = v.node)""" for k in range(1, 11))
@@ -195,9 +199,11 @@ _WL = f"{_NEAR}, c0 AS (SELECT a AS node, CAST(count(*) AS VARCHAR) AS colour FR
     f""", c{k} AS (SELECT c.node, md5(c.colour || '|' || x.around) AS colour FROM c{k - 1} c JOIN (SELECT a AS node, string_agg(s, ',' ORDER BY s) AS around FROM
   (SELECT a, colour || ':' || CAST(count(*) AS VARCHAR) AS s FROM near JOIN c{k - 1} ON b = node GROUP BY a, colour) GROUP BY a) x ON x.node = c.node)""" for k in (1, 2))
 _kg("weisfeiler_lehman", graph.colour_classes, "SELECT colour, count(*) AS nodes FROM c2 GROUP BY colour", _WL)
-_kg("connected_components", lambda kg: connected_components(_geo(kg), "h", "t"), "SELECT a AS node, min(b) AS component FROM reach GROUP BY a",
-    f"{_SETS}, u AS (SELECT h AS x, t AS y FROM a UNION SELECT t, h FROM a), reach AS (SELECT x AS a, x AS b FROM u UNION SELECT reach.a, u.y FROM reach JOIN u ON u.x = reach.b)")
-_kg("graph_components", lambda kg: connected_components(kg, "h", "t").groupBy("component").agg(F.count("*").alias("nodes")))
+# the least label that is ten steps away at most, which is farther than any two entities are
+_COMPONENTS = f"{_NEAR}, g0 AS (SELECT h AS node, h AS component FROM kg UNION SELECT t, t FROM kg)" + "".join(
+    f", g{k} AS (SELECT g.node, least(g.component, coalesce(m.component, g.component)) AS component FROM g{k - 1} g LEFT JOIN (SELECT b AS node, min(component) AS component FROM near JOIN g{k - 1} ON a = node GROUP BY b) m ON m.node = g.node)" for k in range(1, 11))
+_kg("connected_components", lambda kg: connected_components(kg, "h", "t"), "SELECT node, component FROM g10", _COMPONENTS)
+_kg("graph_components", lambda kg: connected_components(kg, "h", "t").groupBy("component").agg(F.count("*").alias("nodes")), "SELECT component, count(*) AS nodes FROM g10 GROUP BY component", _COMPONENTS)
 _kg("most_frequent_relations", lambda kg: analysis.relation_counts(kg).orderBy(F.desc("count"), "r").limit(3), 'SELECT r, count(*) AS "count" FROM kg GROUP BY r ORDER BY 2 DESC, r LIMIT 3')
 _kg("top_tails_per_relation", lambda kg: graph.top_per_group(kg.groupBy("r", "t").agg(F.count("*").alias("n")), ["r"], [F.desc("n"), "t"], 5).select("r", "t", "n", F.col("nth").cast("long").alias("nth")),
     "SELECT r, t, n, nth FROM (SELECT r, t, count(*) AS n, row_number() OVER (PARTITION BY r ORDER BY count(*) DESC, t) AS nth FROM kg GROUP BY r, t) WHERE nth <= 5")
@@ -206,10 +212,10 @@ _kg("top_tails_per_relation", lambda kg: graph.top_per_group(kg.groupBy("r", "t"
 _align = lambda kg: kg.where("r = 'nation_in_region'").select(F.col("h").alias("left"), F.col("h").alias("right"))
 _TWO = """l AS (SELECT 'left:' || h AS h, 'left:' || r AS r, 'left:' || t AS t FROM a UNION ALL SELECT 'right:' || h, 'right:' || r, 'right:' || t FROM b),
   m AS (SELECT DISTINCT 'left:' || h AS x, 'right:' || h AS y FROM kg WHERE r = 'nation_in_region')"""
-_kg("disjoint_union", lambda kg: alignment.disjoint_union(_geo(kg), _in(kg)), "SELECT * FROM l", f"{_SETS}, {_TWO}")
-_kg("same_as_union", lambda kg: alignment.same_as_union(_geo(kg), _in(kg), _align(kg)), "SELECT * FROM l UNION ALL SELECT x, 'same-as', y FROM m", f"{_SETS}, {_TWO}")
-_kg("swap_union", lambda kg: alignment.swap_union(_geo(kg), _in(kg), _align(kg)), "SELECT * FROM l UNION ALL SELECT mm.y, r, t FROM l JOIN mm ON h = mm.x UNION ALL SELECT h, r, mm.y FROM l JOIN mm ON t = mm.x", f"{_SETS}, {_TWO}, mm AS (SELECT x, y FROM m UNION ALL SELECT y, x FROM m)")
-_kg("collapse_union", lambda kg: alignment.collapse_union(_geo(kg), _in(kg), _align(kg)), "SELECT coalesce(p.x, h) AS h, r, coalesce(q.x, t) AS t FROM l LEFT JOIN m p ON h = p.y LEFT JOIN m q ON t = q.y", f"{_SETS}, {_TWO}")
+_kg("disjoint_union", lambda kg: alignment.disjoint_union(kg, _turned(kg)), "SELECT * FROM l", f"{_SETS}, {_TWO}")
+_kg("same_as_union", lambda kg: alignment.same_as_union(kg, _turned(kg), _align(kg)), "SELECT * FROM l UNION ALL SELECT x, 'same-as', y FROM m", f"{_SETS}, {_TWO}")
+_kg("swap_union", lambda kg: alignment.swap_union(kg, _turned(kg), _align(kg)), "SELECT * FROM l UNION ALL SELECT mm.y, r, t FROM l JOIN mm ON h = mm.x UNION ALL SELECT h, r, mm.y FROM l JOIN mm ON t = mm.x", f"{_SETS}, {_TWO}, mm AS (SELECT x, y FROM m UNION ALL SELECT y, x FROM m)")
+_kg("collapse_union", lambda kg: alignment.collapse_union(kg, _turned(kg), _align(kg)), "SELECT coalesce(p.x, h) AS h, r, coalesce(q.x, t) AS t FROM l LEFT JOIN m p ON h = p.y LEFT JOIN m q ON t = q.y", f"{_SETS}, {_TWO}")
 
 # splits and negatives: properties that hold whatever the hashes
 _kg("coverage_seed", splitting.cover, """SELECT DISTINCT h, r, t FROM (SELECT h, r, t FROM kg QUALIFY row_number() OVER (PARTITION BY r ORDER BY h, r, t) = 1 UNION ALL
@@ -221,7 +227,7 @@ _kg("random_split", lambda kg: splitting.split(kg, [0.8, 0.1]))
 _kg("coverage_split", lambda kg: splitting.coverage_split(kg, [0.8, 0.1]))
 _kg("semi_inductive_split", lambda kg: splitting.semi_inductive(kg, [0.8, 0.1]))
 _kg("fully_inductive_split", splitting.fully_inductive)
-_kg("cleaned_split", lambda kg: splitting.cleaned(_geo(kg), _in(kg))[1], "SELECT h, r, t FROM b WHERE r IN (SELECT r FROM a) AND h IN (SELECT h FROM a UNION SELECT t FROM a) AND t IN (SELECT h FROM a UNION SELECT t FROM a)", _SETS)
+_kg("cleaned_split", lambda kg: splitting.cleaned(kg.where("h < t"), kg.where("h >= t"))[1], "SELECT h, r, t FROM b WHERE r IN (SELECT r FROM a) AND h IN (SELECT h FROM a UNION SELECT t FROM a) AND t IN (SELECT h FROM a UNION SELECT t FROM a)", "a AS (SELECT * FROM kg WHERE h < t), b AS (SELECT * FROM kg WHERE h >= t)")
 
 
 def _negatives(kg: DataFrame) -> DataFrame:
@@ -263,13 +269,9 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 _VEC = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), x AS (SELECT a.vec_id, a.v AS h, b.v AS r, c.v AS t FROM e a JOIN e b ON b.vec_id = a.label JOIN e c ON c.vec_id = (a.vec_id + 1) % (SELECT max(vec_id) + 1 FROM e))"
 for _name in interactions.INTERACTIONS:
     _add(f"score_{_name}", lambda spark, d, n=_name: _vectors(spark, d).select("vec_id", interactions.score(n, DIM).alias("score")), f"WITH {_VEC} SELECT vec_id, round({interactions.score_sql(_name, DIM)}, 6) AS score FROM x")
-_add("score_rescal", lambda spark, d: _vectors(spark, d).select("vec_id", interactions.rescal(8).alias("score")), f"WITH {_VEC} SELECT vec_id, round({interactions.rescal_sql(8)}, 6) AS score FROM x")
 
 
-_add("score_structured", lambda spark, d: _vectors(spark, d).select("vec_id", interactions.structured(5).alias("score")), f"WITH {_VEC} SELECT vec_id, round({interactions.structured_sql(5)}, 6) AS score FROM x")
-_add("score_transh", lambda spark, d: _vectors(spark, d).select("vec_id", interactions.transh(32, w="r").alias("score")), f"WITH {_VEC} SELECT vec_id, round({interactions.transh_sql(32, w='r')}, 6) AS score FROM x")
 _add("score_hole", lambda spark, d: _vectors(spark, d).select("vec_id", interactions.hole(DIM).alias("score")), f"WITH {_VEC} SELECT vec_id, round({interactions.hole_sql(DIM)}, 6) AS score FROM x")
-_add("score_transr", lambda spark, d: _vectors(spark, d).select("vec_id", interactions.transr(8, m="r").alias("score")), f"WITH {_VEC} SELECT vec_id, round({interactions.transr_sql(8, m='r')}, 6) AS score FROM x")
 for _name, _term in losses.regularizers_sql(DIM).items():
     _add(f"regularizer_{_name}", lambda spark, d, n=_name: spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("embedding").cast("array<double>").alias("v")).agg(F.avg(F.expr(losses.regularizers(DIM)[n])).alias("penalty")), f"WITH {_VEC} SELECT round(avg({_term}), 6) AS penalty FROM e")
 
