@@ -294,19 +294,19 @@ def most_frequent(terms: DataFrame, most: list[int]) -> Column:
 
 
 class Shared:
-    """Terms of an order by their keys, found by the first bits of these."""
+    """Terms of an order by their keys, found by the first bits of these. Made once on the driver."""
 
     def __init__(self, keys: np.ndarray, *values: np.ndarray):
         by = np.argsort(keys)
         self.keys, self.values = keys[by], [v[by] for v in values]
-        bits = max(1, len(keys).bit_length() + 1)
+        bits = max(1, len(keys).bit_length())
         self.shift = np.uint64(64 - bits)
-        self.starts = np.concatenate([[0], np.cumsum(np.bincount((self.keys >> self.shift).astype(np.int64), minlength=1 << bits))])
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount((self.keys >> self.shift).astype(np.int64), minlength=1 << bits))]).astype(np.int32)
 
     def places(self, keys: np.ndarray) -> np.ndarray:
         """Each key's place, or -1."""
         bucket = (keys >> self.shift).astype(np.int64)
-        at, end, out = self.starts[bucket], self.starts[bucket + 1], np.full(len(keys), -1)
+        at, end, out = self.starts[bucket], self.starts[bucket + 1], np.full(len(keys), -1, np.int32)
         left = np.flatnonzero(at < end)
         while len(left):
             here = at[left]
@@ -318,7 +318,7 @@ class Shared:
         return out
 
 
-def scored(docs: DataFrame, held_out: Column, order: int = 3, word_share: float = 2e-6, least_share: float = 2e-6, least_count: int = 3, flush: int = 500_000) -> DataFrame:
+def scored(docs: DataFrame, held_out: Column, order: int = 3, word_share: float = 2e-6, least_share: float = 2e-6, least_count: int = 3, flush: int = 1_500_000) -> DataFrame:
     """Every row's doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, by a model of the rows that aren't held out.
 
     The shares only tell how many terms of an order are sent to all workers, 1 / share at most; the scores don't depend on them.
@@ -333,14 +333,15 @@ def scored(docs: DataFrame, held_out: Column, order: int = 3, word_share: float
     word = F.col("level") == 1
     terms = terms.select("level", "key", "n", *(F.when(word, F.col(c) - unknown).otherwise(F.col(c)).alias(c) for c in ("base", "score")))
     frequent = most_frequent(terms, [int(1 / word_share)] + [int(1 / least_share)] * (order - 1))
-    hot = terms.where(frequent).select("level", "key", "base", "score").toArrow()
-    level, (key, base, score) = hot.column("level").to_numpy(), (hot.column(c).to_numpy() for c in ("key", "base", "score"))
-    columns = [[c[level == n] for c in ((key.view(np.uint64), base, score) if n == 1 else (key.view(np.uint64), score))] for n in range(1, order + 1)]
-    shared = spark.sparkContext.broadcast((columns, filters))
+    tables = []
+    for n in range(1, order + 1):
+        hot = terms.where(frequent & (F.col("level") == n)).select("key", *(["base", "score"] if n == 1 else ["score"])).toArrow()
+        key, *values = (hot.column(c).to_numpy() for c in hot.column_names)
+        tables.append(Shared(key.view(np.uint64), *values))
+    shared = spark.sparkContext.broadcast((tables, filters))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns, filters = shared.value
-        tables, held, size = [Shared(*c) for c in columns], [], 0
+        (tables, filters), held, size = shared.value, [], 0
 
         def out():
             key, rows = (np.concatenate(c) for c in zip(*held, strict=True))
