@@ -27,10 +27,9 @@ def entity_relation_counts(triples: DataFrame) -> DataFrame:
 
 def functionality(triples: DataFrame) -> DataFrame:
     """Distinct heads (tails) over triples of every relation. Two levels of counts, so no set is gathered."""
-    n = triples.groupBy("r").agg(F.count("*").alias("n"))
-    heads = triples.select("r", "h").distinct().groupBy("r").agg(F.count("*").alias("heads"))
-    tails = triples.select("r", "t").distinct().groupBy("r").agg(F.count("*").alias("tails"))
-    return n.join(heads, "r").join(tails, "r").select("r", (F.col("heads") / F.col("n")).alias("functionality"), (F.col("tails") / F.col("n")).alias("inverse_functionality"))
+    heads = triples.groupBy("r", "h").agg(F.count("*").alias("n")).groupBy("r").agg(F.sum("n").alias("n"), F.count("h").alias("heads"))
+    tails = triples.select("r", "t").distinct().groupBy("r").agg(F.count("t").alias("tails"))
+    return heads.join(tails, "r").select("r", (F.col("heads") / F.col("n")).alias("functionality"), (F.col("tails") / F.col("n")).alias("inverse_functionality"))
 
 
 def injectivity(triples: DataFrame) -> DataFrame:

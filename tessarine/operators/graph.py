@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.staging import staged
+from ..sources.staging import dropped, staged
 
 
 def edges(triples: DataFrame) -> DataFrame:
@@ -105,8 +105,11 @@ def pagerank(triples: DataFrame, rounds: int = 10, damping: float = 0.85) -> Dat
         given = rank.where("out is not null").select(F.col("node").alias("h"), "rank").join(links, "h").groupBy(F.col("t").alias("node")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
         lost = rank.where("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         rank = nodes.join(given, "node", "left").crossJoin(F.broadcast(lost)).select("node", "out", (F.lit((1 - damping) / max(n, 1)) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.lit(max(n, 1)))).alias("rank"))
-        if k % 3 == 2:
-            rank = staged(rank)
+        # a round reads its ranks twice, so each is a table
+        rank = staged(rank)
+        if k:
+            dropped(before)
+        before = rank
     return rank.select("node", "rank")
 
 

@@ -21,15 +21,16 @@ def ranks_from_scores(scores: str = "scores", true: str = "true"):
 def monotone_ranks(ids: DataFrame, num_entities: int) -> DataFrame:
     """Filtered ranks and candidates of every id triple, for tails and heads, under a score that grows with the predicted id.
 
-    With distinct scores the rank is 1 + greater candidates that aren't known: one window over each pair instead of
-    a row for every candidate.
+    With distinct scores the rank is 1 + greater candidates that aren't known: the place among each pair's known ones instead
+    of a row for every candidate. Repeated triples each have a place; null ids have no rank.
     """
     n = F.lit(num_entities)
     sides = []
     for side, keys, c in (("tail", ["h", "r"], "t"), ("head", ["r", "t"], "h")):
-        w = Window.partitionBy(*keys)
-        known_above = F.row_number().over(w.orderBy(F.desc(c))) - 1
-        sides.append(ids.select("h", "r", "t", F.lit(side).alias("side"), (n - F.col(c) - known_above).alias("rank"), (n - F.count("*").over(w) + 1).alias("candidates")))
+        # places from above by ranges, so that a pair of a hot relation and entity is no single task's
+        placed = positions(ids.select("h", "r", "t", (-F.col(c)).alias("below")), keys, ["below"], "known_above")
+        size = ids.groupBy(*keys).agg(F.count("*").alias("known"))
+        sides.append(placed.join(size, keys).select("h", "r", "t", F.lit(side).alias("side"), (n - F.col(c) - F.col("known_above")).alias("rank"), (n - F.col("known") + 1).alias("candidates")))
     return sides[0].unionByName(sides[1])
 
 

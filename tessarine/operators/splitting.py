@@ -88,24 +88,121 @@ def semi_inductive(triples: DataFrame, ratios: list[float], seed: int = 0) -> Da
     return triples.withColumn("a", a).withColumn("b", b).where(F.least("a", "b") == 0).select("h", "r", "t", F.greatest("a", "b").alias("part"))
 
 
-def fully_inductive(triples: DataFrame, train_share: float = 0.5, seed: int = 0) -> DataFrame:
-    """Triples within one of two disjoint sets of entities: part 0 trains, part 1 is the inference graph."""
+def fully_inductive(triples: DataFrame, train_share: float = 0.5, seed: int = 0, evaluation: list[float] | None = None) -> DataFrame:
+    """Triples within one of two disjoint sets of entities: part 0 trains, part 1 is the inference graph.
+
+    With ``evaluation`` ratios the inference graph's triples are split further, into parts 1, 2 and so on of exact sizes. Triples between the sets go.
+    """
     r = [train_share, 1 - train_share]
-    return triples.withColumn("part", entity_part("h", r, seed)).where(F.col("part") == entity_part("t", r, seed)).select("h", "r", "t", "part")
+    found = triples.withColumn("part", entity_part("h", r, seed)).where(F.col("part") == entity_part("t", r, seed)).select("h", "r", "t", "part")
+    if evaluation is None:
+        return found
+    found = staged(found)
+    inference = split(found.where("part = 1"), evaluation, seed + 1)
+    return found.where("part = 0").select("h", "r", "t", F.lit(0).alias("part")).unionByName(inference.withColumn("part", (F.col("part") + 1).cast("int")))
+
+
+def cleaned_at_random(training: DataFrame, testing: DataFrame, seed: int = 0, most: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Testing triples move to training until no entity or relation of testing is unseen; fewer than ``cleaned`` moves.
+
+    Of the testing triples that name an unseen entity or relation, a round moves the one that a hash puts first, for each of them; what these
+    bring along is seen from then on. More than ``most`` rounds raise RuntimeError.
+    """
+    training, testing = staged(training.select("h", "r", "t")), staged(testing.select("h", "r", "t").distinct())
+    for k in range(most):
+        seen = training.select(F.explode(F.array("h", "t")).alias("e")).distinct()
+        names = F.explode(F.array(F.struct(F.lit("e").alias("kind"), F.col("h").alias("name")), F.struct(F.lit("e").alias("kind"), F.col("t").alias("name")), F.struct(F.lit("r").alias("kind"), F.col("r").alias("name"))))
+        known = seen.select(F.lit("e").alias("kind"), F.col("e").cast("string").alias("name")).unionByName(training.select(F.lit("r").alias("kind"), F.col("r").cast("string").alias("name")).distinct())
+        each = testing.select("h", "r", "t", names.alias("x")).select("h", "r", "t", "x.kind", F.col("x.name").cast("string").alias("name"))
+        unseen = each.join(known, ["kind", "name"], "left_anti")
+        moved = staged(unseen.groupBy("kind", "name").agg(F.min(F.struct(unit_hash("h", "r", "t", seed=seed + k).alias("u"), "h", "r", "t")).alias("x")).select("x.h", "x.r", "x.t").distinct())
+        if moved.isEmpty():
+            return training, testing
+        training, testing = staged(training.unionByName(moved)), staged(testing.join(moved, ["h", "r", "t"], "left_anti"))
+    raise RuntimeError(f"not clean after {most} rounds")
+
+
+def parted(triples: DataFrame, ratios: list[float], method: str = "coverage", seed: int = 0) -> DataFrame:
+    """A split by name: random (exact sizes alone), coverage (part 0 covers all entities and relations), cleanup and random_cleanup (what part 0 lacks moves to it)."""
+    if method == "coverage":
+        return coverage_split(triples, ratios, seed)
+    whole = split(triples, ratios, seed)
+    if method == "random":
+        return whole
+    if method not in ("cleanup", "random_cleanup"):
+        raise ValueError(f"no split {method}")
+    whole = staged(whole)
+    one = lambda k: whole.where(F.col("part") == k).select("h", "r", "t")
+    training, out = one(0), None
+    for k in range(1, len(normalized(ratios))):
+        training, rest = cleaned(training, one(k)) if method == "cleanup" else cleaned_at_random(training, one(k), seed)
+        rest = rest.withColumn("part", F.lit(k))
+        out = rest if out is None else out.unionByName(rest)
+    training = training.withColumn("part", F.lit(0))
+    return training if out is None else training.unionByName(out)
+
+
+def remixed(parts: DataFrame, seed: int = 0) -> DataFrame:
+    """All triples of a split (h, r, t, part) dealt anew into parts of the same sizes."""
+    sizes_ = {r.part: r.n for r in parts.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    n = sum(sizes_.values())
+    ratios = [sizes_[k] / n for k in sorted(sizes_)]
+    found = split(parts.select("h", "r", "t"), ratios if len(ratios) > 1 else [1.0], seed)
+    names = F.array(*(F.lit(k) for k in sorted(sizes_)))
+    return found.select("h", "r", "t", F.get(names, F.col("part")).alias("part"))
+
+
+def deteriorated(parts: DataFrame, share: float, seed: int = 0) -> DataFrame:
+    """A share of part 0 moved to the other parts, in equal chunks by a hash; what doesn't divide stays with the first of them."""
+    others = sorted(r.part for r in parts.select("part").distinct().collect() if r.part != 0)
+    if not others or not 0 <= share <= 1:
+        raise ValueError("a share between 0 and 1, and another part to move triples to")
+    moving = split(parts.where("part = 0").select("h", "r", "t"), [1 - share, share], seed) if 0 < share < 1 else parts.where("part = 0").select("h", "r", "t", F.lit(0 if share == 0 else 1).alias("part"))
+    to = F.get(F.array(*(F.lit(k) for k in others)), F.floor(unit_hash("h", "r", "t", seed=seed + 1) * len(others)).cast("int"))
+    moved = moving.select("h", "r", "t", F.when(F.col("part") == 0, F.lit(0)).otherwise(to).alias("part"))
+    return parts.where("part <> 0").select("h", "r", "t", "part").unionByName(moved)
+
+
+def split_values(ids: DataFrame, column: str, ratios: list[float], seed: int = 0) -> DataFrame:
+    """The distinct values of a column with a part each, of exact sizes in the order of a hash."""
+    keyed = ids.select(F.col(column).alias("value")).where("value is not null").distinct()
+    placed = staged(dense_ids(keyed.select(F.struct(unit_hash("value", seed=seed).alias("u"), "value").alias("key")), "key", "at"))
+    ends, at = [], 0
+    for n in sizes(placed.count(), normalized(ratios)):
+        at += n
+        ends.append(at)
+    part = F.lit(len(ends) - 1)
+    for k in range(len(ends) - 2, -1, -1):
+        part = F.when(F.col("at") < ends[k], k).otherwise(part)
+    return placed.select(F.col("key.value").alias(column), part.alias("part"))
+
+
+def mini_batches(triples: DataFrame, size: int, epoch: int = 0, drop_last: bool = True) -> DataFrame:
+    """Distinct triples with the number of their batch of an epoch; the last batch goes if it isn't full."""
+    keyed = triples.select(F.struct(unit_hash("h", "r", "t", seed=epoch).alias("u"), "h", "r", "t").alias("key"))
+    placed = staged(dense_ids(keyed, "key", "at"))
+    out = placed.select("key.h", "key.r", "key.t", F.floor(F.col("at") / size).alias("batch"))
+    return out.where(F.col("batch") < placed.count() // size) if drop_last else out
+
+
+def generated(spark, num_entities: int, num_relations: int, num_triples: int, seed: int = 0) -> DataFrame:
+    """Distinct random id triples that name every entity and relation; raises ValueError where that takes more triples."""
+    if num_triples < max(num_entities, num_relations) or num_triples > num_entities * num_entities * num_relations:
+        raise ValueError("as many triples as entities and relations at least, and no more than there are")
+    draw = lambda n, k: F.floor(unit_hash("id", seed=seed * 7 + k) * n).cast("long")
+    # the first triples name all in turn; the rest are drawn, with some to spare for repeats
+    first = spark.range(max(num_entities, num_relations)).select((F.col("id") % num_entities).alias("h"), (F.col("id") % num_relations).alias("r"), draw(num_entities, 1).alias("t"))
+    first = first.distinct()
+    rest = spark.range(num_triples * 3 + 100).select(draw(num_entities, 2).alias("h"), draw(num_relations, 3).alias("r"), draw(num_entities, 4).alias("t")).distinct().join(first, ["h", "r", "t"], "left_anti")
+    every = first.withColumn("u", F.lit(-1.0)).unionByName(rest.withColumn("u", unit_hash("h", "r", "t", seed=seed)))
+    return every.orderBy("u", "h", "r", "t").limit(num_triples).select("h", "r", "t")
 
 
 def basic_negatives(ids: DataFrame, num_entities: int, per_positive: int = 1, seed: int = 0, head_probability: Column | None = None) -> DataFrame:
-    """Corrupted copies of id triples: head or tail (even odds, or by ``head_probability``) becomes another uniform id."""
+    """Corrupted copies of id triples: head or tail (even odds, or by ``head_probability``) becomes another uniform id. A single entity has no other and gives none."""
+    if num_entities < 2:
+        ids = ids.limit(0)
     each = ids.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per_positive - 1))))
     head = unit_hash("h", "r", "t", "k", seed=seed) < (head_probability if head_probability is not None else F.lit(0.5))
-    other = lambda c: (F.col(c) + 1 + F.floor(unit_hash("h", "r", "t", "k", seed=seed + 1) * (num_entities - 1))) % num_entities
+    other = lambda c: (F.col(c) + 1 + F.floor(unit_hash("h", "r", "t", "k", seed=seed + 1) * max(1, num_entities - 1))) % num_entities
     return each.select(F.when(head, other("h")).otherwise(F.col("h")).alias("h"), "r", F.when(head, F.col("t")).otherwise(other("t")).alias("t"), head.alias("corrupted_head"), F.col("h").alias("positive_h"), F.col("t").alias("positive_t"))
-
-
-def pseudo_typed_negatives(triples: DataFrame, seed: int = 0) -> DataFrame:
-    """Each triple with its tail replaced by another tail of the relation: that at a hashed place in the relation's pool."""
-    pool = triples.select("r", "t").distinct()
-    size = pool.groupBy("r").agg(F.count("*").alias("n"))
-    pool = pool.withColumn("at", F.row_number().over(Window.partitionBy("r").orderBy("t")) - 1)
-    asked = triples.join(size, "r").withColumn("at", F.floor(unit_hash("h", "r", "t", seed=seed) * F.col("n")).cast("int"))
-    return asked.join(pool.select("r", "at", F.col("t").alias("negative")), ["r", "at"]).where("negative <> t").select("h", "r", "t", "negative")

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import interactions, losses
-from ..operators import alignment, analysis, classification, encode, graph, ranking, relational, splitting, training
+from ..operators import alignment, analysis, classification, encode, graph, negatives, ranking, relational, splitting, training
 from ..operators.components import connected_components
 from ..sources.graph_tables import literal_matrix, star_triples, star_triples_sql
+from ..sources.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,10 +35,19 @@ def _add(name: str, make: Callable[[SparkSession, str], DataFrame], sql: str | N
         ORACLES[name] = sql
 
 
+#: Queries that read the triples three times or more: they are written once, as their derivation shuffles nine tables.
+_REUSED = {
+    "relation_functionality", "relation_injectivity", "relation_cardinality_types", "symmetry_patterns", "inversion_patterns", "composition_patterns", "pattern_skyline", "jaccard_relations", "jaccard_inverse_relations",
+    "leaking_relations", "unleaked_triples", "bernoulli_probabilities", "pseudo_type_index", "dictionary_encode", "dictionary_round_trip", "inverse_triples", "condense", "candidate_set_size", "fixed_model_filtered_ranks",
+    "rank_metrics", "macro_rank_metrics", "all_rank_metrics", "rank_dispersion", "rank_z_scores", "bootstrap_mrr", "marginal_baseline_scores", "pagerank", "basic_negatives", "bernoulli_negatives", "pseudo_typed_negatives", "distmult_training",
+}
+
+
 def _kg(name: str, make: Callable[[DataFrame], DataFrame], select: str | None = None, ctes: str = "") -> None:
     """A query over the triples; ``ctes`` and ``select`` state it over ``kg``."""
     recursive = "RECURSIVE " if "UNION" in ctes else ""
-    _add(name, lambda spark, d: make(star_triples(spark, d)), f"WITH {recursive}{_KG}{', ' + ctes if ctes else ''} {select}" if select else None)
+    triples = (lambda spark, d: staged(star_triples(spark, d))) if name in _REUSED else star_triples
+    _add(name, lambda spark, d: make(triples(spark, d)), f"WITH {recursive}{_KG}{', ' + ctes if ctes else ''} {select}" if select else None)
 
 
 # counts and statistics of relations and entities
@@ -98,10 +108,21 @@ def _encoded(kg: DataFrame) -> DataFrame:
     return encode.encode(kg, encode.entity_dictionary(kg), encode.relation_dictionary(kg))
 
 
+def _round_trip(kg: DataFrame) -> DataFrame:
+    entities, relations = encode.entity_dictionary(kg), encode.relation_dictionary(kg)
+    return encode.decode(encode.encode(kg, entities, relations), entities, relations)
+
+
+def _macro(kg: DataFrame) -> DataFrame:
+    entities = encode.entity_dictionary(kg)
+    ids = staged(encode.encode(kg, entities, encode.relation_dictionary(kg)))
+    return ranking.metrics(ranking.monotone_ranks(ids, entities.count()).join(ids.groupBy("h", "r").agg((1 / F.count("*")).alias("w")), ["h", "r"]), weight="w")
+
+
 _kg("dictionary_encode", _encoded, "SELECT h, r, t FROM ids", _IDS)
 _kg("entity_dictionary", encode.entity_dictionary, "SELECT label, id FROM e", _DICT)
 _kg("relation_dictionary", encode.relation_dictionary, "SELECT label, id FROM rel", _DICT)
-_kg("dictionary_round_trip", lambda kg: encode.decode(_encoded(kg), encode.entity_dictionary(kg), encode.relation_dictionary(kg)), """SELECT ids.h, ids.r, ids.t, a.label AS h_label, rel.label AS r_label, b.label AS t_label
+_kg("dictionary_round_trip", _round_trip, """SELECT ids.h, ids.r, ids.t, a.label AS h_label, rel.label AS r_label, b.label AS t_label
   FROM ids JOIN e a ON ids.h = a.id JOIN rel ON ids.r = rel.id JOIN e b ON ids.t = b.id""", _IDS)
 _kg("inverse_triples", lambda kg: encode.with_inverses(_encoded(kg)), "SELECT h, 2 * r AS r, t FROM ids UNION ALL SELECT t, 2 * r + 1, h FROM ids", _IDS)
 # ids with gaps: those of entities times three, of relations squared
@@ -160,7 +181,7 @@ def _metrics_sql(weight: str) -> str:
 
 
 _kg("rank_metrics", lambda kg: ranking.metrics(_ranks(kg)), _metrics_sql("w"), f"{_RANKS}, weighted AS (SELECT *, 1.0::DOUBLE AS w FROM ranks)")
-_kg("macro_rank_metrics", lambda kg: ranking.metrics(_ranks(kg).join(_encoded(kg).groupBy("h", "r").agg((1 / F.count("*")).alias("w")), ["h", "r"]), weight="w"), _metrics_sql("w"),
+_kg("macro_rank_metrics", _macro, _metrics_sql("w"),
     f"{_RANKS}, weighted AS (SELECT ranks.*, w FROM ranks JOIN (SELECT h, r, 1 / count(*) AS w FROM ids GROUP BY h, r) USING (h, r))")
 # a hair is added, as many scores are halves of the last place
 _kg("rank_dispersion", lambda kg: ranking.dispersion(_ranks(kg)).withColumns({c: F.round(c, 2) for c in ("variance", "standard_deviation")}), """SELECT side, round(m, 6) AS median_rank, round(var_pop(rank), 2) AS variance, round(stddev_pop(rank), 2) AS standard_deviation, round(median(abs(rank - m)) / 0.6745::DOUBLE, 6) AS mad
@@ -230,13 +251,20 @@ _kg("fully_inductive_split", splitting.fully_inductive)
 _kg("cleaned_split", lambda kg: splitting.cleaned(kg.where("h < t"), kg.where("h >= t"))[1], "SELECT h, r, t FROM b WHERE r IN (SELECT r FROM a) AND h IN (SELECT h FROM a UNION SELECT t FROM a) AND t IN (SELECT h FROM a UNION SELECT t FROM a)", "a AS (SELECT * FROM kg WHERE h < t), b AS (SELECT * FROM kg WHERE h >= t)")
 
 
-def _negatives(kg: DataFrame) -> DataFrame:
+def _basic_negatives(kg: DataFrame) -> DataFrame:
     entities = encode.entity_dictionary(kg)
     return splitting.basic_negatives(encode.encode(kg, entities, encode.relation_dictionary(kg)), entities.count(), 2)
 
 
-_kg("basic_negatives", _negatives)
-_kg("pseudo_typed_negatives", splitting.pseudo_typed_negatives)
+_kg("basic_negatives", _basic_negatives)
+_kg("pseudo_typed_negatives", lambda kg: negatives.pseudo_typed(kg))
+_kg("filtered_negatives", lambda kg: negatives.filtered(negatives.pseudo_typed(kg, 2), kg))
+_kg("remixed_split", lambda kg: splitting.remixed(splitting.split(kg, [0.8, 0.1])).groupBy("part").agg(F.count("*").alias("n")), """SELECT part, n FROM (SELECT count(*) AS c FROM kg), LATERAL (VALUES (0, floor(0.8::DOUBLE * c + 1e-9)::BIGINT),
+  (1, (floor((0.8::DOUBLE + 0.1::DOUBLE) * c + 1e-9) - floor(0.8::DOUBLE * c + 1e-9))::BIGINT), (2, (c - floor((0.8::DOUBLE + 0.1::DOUBLE) * c + 1e-9))::BIGINT)) x(part, n)""")
+_kg("deteriorated_split", lambda kg: splitting.deteriorated(splitting.split(kg, [0.8, 0.1]), 0.25).select("h", "r", "t"), "SELECT h, r, t FROM kg")
+_kg("split_entities", lambda kg: splitting.split_values(kg, "h", [0.5]).groupBy("part").agg(F.count("*").alias("n")), "SELECT part, n FROM (SELECT count(DISTINCT h) AS c FROM kg), LATERAL (VALUES (0, floor(0.5::DOUBLE * c + 1e-9)::BIGINT), (1, (c - floor(0.5::DOUBLE * c + 1e-9))::BIGINT)) x(part, n)")
+_kg("mini_batches", lambda kg: splitting.mini_batches(kg, 1024).groupBy("batch").agg(F.count("*").alias("n")), "SELECT k AS batch, 1024::BIGINT AS n FROM range(0, (SELECT count(*) // 1024 FROM kg)) q(k)")
+_kg("cleaned_at_random", lambda kg: splitting.cleaned_at_random(kg.where("h < t"), kg.where("h >= t"))[1])
 
 
 def _bernoulli_negatives(kg: DataFrame) -> DataFrame:

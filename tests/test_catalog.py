@@ -45,7 +45,9 @@ def test_splits_are_disjoint_and_whole(spark):
 def test_inductive_splits(spark):
     semi = catalog.QUERIES["semi_inductive_split"](spark, SF).collect()
     inside = {x for r in semi if r.part == 0 for x in (r.h, r.t)}
-    assert all(r.h in inside or r.t in inside or r.part > 0 for r in semi)
+    for r in semi:
+        assert (r.h in inside) + (r.t in inside) == (2 if r.part == 0 else 1)
+    assert {r.part for r in semi} == {0, 1, 2}
     full = catalog.QUERIES["fully_inductive_split"](spark, SF).collect()
     ends = [{x for r in full if r.part == p for x in (r.h, r.t)} for p in (0, 1)]
     assert ends[0] and ends[1] and not ends[0] & ends[1]
@@ -55,5 +57,11 @@ def test_negatives_differ_from_their_positives(spark):
     for name in ("basic_negatives", "bernoulli_negatives"):
         for r in catalog.QUERIES[name](spark, SF).collect():
             assert (r.h != r.positive_h) if r.corrupted_head else (r.h == r.positive_h and r.t != r.positive_t)
-    kg = {(r.r, r.t) for r in catalog.star_triples(spark, SF).collect()}
-    assert all((r.r, r.negative) in kg and r.negative != r.t for r in catalog.QUERIES["pseudo_typed_negatives"](spark, SF).collect())
+    kg = {tuple(r) for r in catalog.star_triples(spark, SF).select("h", "r", "t").collect()}
+    heads, tails = {(r, h) for h, r, _ in kg}, {(r, t) for _, r, t in kg}
+    found = catalog.QUERIES["pseudo_typed_negatives"](spark, SF).collect()
+    # every positive has its copy, whose new end is one of the relation's and not the positive's
+    assert len(found) == len(kg)
+    for r in found:
+        assert ((r.r, r.h) in heads and r.h != r.positive_h and r.t == r.positive_t) if r.corrupted_head else ((r.r, r.t) in tails and r.t != r.positive_t and r.h == r.positive_h)
+    assert not kg & {(r.h, r.r, r.t) for r in catalog.QUERIES["filtered_negatives"](spark, SF).collect()}
