@@ -9,9 +9,9 @@ subsequences that share a signature if their ranges of starts, relative to the p
 
 Windows are joined by their minimum and, so that a frequent line or phrase doesn't join what has nothing else
 in common, by the 15 words that begin or the 15 that end with the pivot's shingle. Two texts that share 50 words
-around a pivot share one of these. In each group every window is joined with the first text's; those of texts
-that aren't linked with the first one are then joined with all of the group that are in other classes, so no class
-depends on which text comes first. Candidates are verified exactly: a passage counts if a window of ``length`` shingles of one text has a Jaccard
+around a pivot share one of these. In each group every window is joined with the first text's; then all windows that
+aren't in their group's largest class by then are compared with those of other classes, in blocks, by the shingles
+around their pivots, so no class depends on which text comes first. Candidates are verified exactly: a passage counts if a window of ``length`` shingles of one text has a Jaccard
 similarity of at least ``similarity`` with the aligned one of the other. Links between texts make classes.
 
 Exact copies are one text here, whose documents form one class if it is long enough to hold a passage. Null,
@@ -37,6 +37,8 @@ from .common import n_words
 WIDTH, LENGTH = 5, 46
 #: Distance of the shingles that stand for the 15 words on one side of a pivot.
 _SIDE = np.array([0, 5, 10])
+#: Shingles that a window may hold besides a repeated word's and still be of that word alone.
+SHORT = 8
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -103,6 +105,25 @@ def compact_windows(values: np.ndarray, length: int = LENGTH, sizes: list[int] |
     return pivot, first, last
 
 
+def ends_of_repeats(base: np.ndarray, owner: np.ndarray, pivot: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows without those between the first and the last of a chain whose pivots are one shingle over and over, each within ``length`` of the next.
+
+    A word repeated a hundred times is one shingle at a hundred places, each of them a pivot. What lies between the ends holds the same shingles
+    as they do, so a text that shares it shares an end: the first's window holds the repeats from their beginning, the last's what follows them.
+    A run of one word that is too short to fill a window (``SHORT`` shingles less) is one shingle of its window's set among many, and stands
+    in texts without number: its windows go too, as each of the other shingles is as likely to be a pivot.
+    """
+    by = np.argsort(pivot, kind="stable")
+    pivot, first, last = pivot[by], first[by], last[by]
+    chained = (base[pivot[1:]] == base[pivot[:-1]]) & (owner[pivot[1:]] == owner[pivot[:-1]]) & (np.diff(pivot) <= length)
+    out = np.append(False, chained) & np.append(chained, False)
+    if len(base):
+        change = np.flatnonzero(np.append(True, (base[1:] != base[:-1]) | (owner[1:] != owner[:-1])))
+        runs = np.repeat(np.diff(np.append(change, len(base))), np.diff(np.append(change, len(base))))[pivot]
+        out |= (runs >= 3) & (runs < length - SHORT)
+    return pivot[~out], first[~out], last[~out]
+
+
 def window_keys(texts: list[bytes | None], hashes: int, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """(row of the text, key, pivot, first, last) of the texts' windows; each has a key for either side that the text has 15 words on."""
     parts = [shingles(t) for t in texts]
@@ -110,7 +131,9 @@ def window_keys(texts: list[bytes | None], hashes: int, length: int = LENGTH) ->
     base, begins = np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
     owner, out = np.repeat(np.arange(len(sizes)), sizes), []
     for j in range(hashes):
-        pivot, first, last = compact_windows(_mix(base + np.uint64(j + 1) * np.uint64(0x9E3779B97F4A7C15)), length, sizes)
+        seed = np.uint64((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+        pivot, first, last = compact_windows(_mix(base + seed), length, sizes)
+        pivot, first, last = ends_of_repeats(base, owner, pivot, first, last, length)
         row = owner[pivot]
         for side, step in ((0, _SIDE), (1, -_SIDE)):
             far = pivot + step[-1]
@@ -160,14 +183,94 @@ def led(groups: DataFrame) -> DataFrame:
     return groups.select("text_key", "place", F.col("leader.text_key").alias("other"), F.col("leader.place").alias("other_place"))
 
 
-def unled(groups: DataFrame, found: DataFrame) -> DataFrame:
-    """The windows of texts that ``found`` doesn't link with their leader, each with those of its group that are in another class by then; two such texts once."""
-    linked = found.select("text_key", F.col("other").alias("first"), F.lit(True).alias("linked"))
+#: How far apart two places of a shingle may be, relative to the pivots, in windows that are similar enough: words put in shift what follows.
+_SHIFT = 5
+
+
+def divided(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """(text_key, class, wanted): of each text the windows (key, place, minor) in groups that hold several classes, as ``found`` links texts by then.
+
+    ``minor``: the text isn't in its group's largest class. Of two classes of a group one is minor.
+    """
     classes = connected_components(found, "text_key", "other").select(F.col("node").alias("text_key"), "component")
-    marked = groups.withColumn("first", F.col("leader.text_key")).join(linked, ["text_key", "first"], "left").join(classes, "text_key", "left")
-    marked = staged(marked.select("key", "text_key", "place", F.coalesce("component", "text_key").alias("class"), F.col("linked").isNull().alias("open")).distinct())
-    theirs = marked.select("key", F.col("text_key").alias("other"), F.col("place").alias("other_place"), F.col("class").alias("other_class"), F.col("open").alias("other_open"))
-    return marked.where("open").join(theirs, "key").where("class <> other_class and (text_key > other or not other_open)").select("text_key", "place", "other", "other_place")
+    leaders = groups.select("key", F.col("leader.text_key").alias("text_key"), F.col("leader.place").alias("place"))
+    marked = groups.select("key", "text_key", "place").unionByName(leaders).distinct().join(classes, "text_key", "left")
+    marked = staged(marked.select("key", "text_key", "place", F.coalesce("component", "text_key").alias("class")))
+    sizes = marked.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("classes"), F.max(F.struct("n", "class"))["class"].alias("largest")).where("classes > 1")
+    window = F.struct("key", "place", (F.col("class") != F.col("largest")).alias("minor"))
+    return marked.join(sizes.select("key", "largest"), "key").groupBy("text_key", "class").agg(F.collect_list(window).alias("wanted"))
+
+
+def surroundings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """(key, text_key, place, class, minor, around): for each wanted window the shingles within ``length`` of its pivot as numbers of 32 bits, 0 beyond the text."""
+    texts = docs.select(F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text")).join(wanted, "text_key").dropDuplicates(["text_key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                bases = [np.pad((shingles(t) >> np.uint64(32)).astype(np.uint32) | np.uint32(1), length) for t in part.column("text").cast(pa.binary()).to_pylist()]
+                windows_ = part.column("wanted")
+                sizes = np.array([len(x) for x in windows_])
+                key, place, minor = windows_.flatten().flatten()
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                begins = np.concatenate([[0], np.cumsum([len(x) for x in bases])])
+                pivots = place.to_numpy() // (length * length)
+                every = np.concatenate(bases).view(np.int32)
+                around = every[(begins[owner] + pivots)[:, None] + np.arange(2 * length + 1)]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(owner) + 1, dtype=np.int32) * (2 * length + 1)), pa.array(around.ravel()))
+                of = lambda c: pa.array(part.column(c).to_numpy()[owner])  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([key, of("text_key"), place, of("class"), minor, lists], names=["key", "text_key", "place", "class", "minor", "around"])
+
+    return texts.select("text_key", "class", "wanted", "text").mapInArrow(run, "key long, text_key long, place long, class long, minor boolean, around array<int>")
+
+
+def alike(x: np.ndarray, ys: np.ndarray, length: int, need: int) -> np.ndarray:
+    """Which rows of ``ys`` can hold a window similar enough to the aligned one of ``x``: one with ``need`` shingles of x at no more than a shift from their places."""
+    n = len(x)
+    padded = np.zeros((len(ys), n + 2 * _SHIFT), ys.dtype)
+    padded[:, _SHIFT : _SHIFT + n] = ys
+    same = np.zeros(ys.shape, bool)
+    for shift in range(2 * _SHIFT + 1):
+        same |= padded[:, shift : shift + n] == x
+    same &= x != 0
+    sums = np.zeros((len(ys), n + 1), np.int16)
+    np.cumsum(same, axis=1, out=sums[:, 1:])
+    return (sums[:, length:] - sums[:, :-length]).max(axis=1) >= need
+
+
+def across(docs: DataFrame, groups: DataFrame, found: DataFrame, length: int, similarity: float, rows: int = 1024) -> DataFrame:
+    """(text_key, place, other, other_place): windows of one group but different classes whose surroundings can be similar enough.
+
+    Every window that isn't in its group's largest class is compared with all of the group that are in other classes: a block of
+    ``rows`` / 4 of these with a block of ``rows`` of all in one piece of work, so no pair is a row before it is found, and a hot group is many pieces.
+    """
+    held = staged(surroundings(docs, divided(groups, found), length))
+    sizes = held.groupBy("key").agg(F.ceil(F.count("*") / rows).alias("parts"), F.ceil(F.sum(F.col("minor").cast("int")) * 4 / rows).alias("minor_parts"))
+    dealt = held.join(sizes, "key")
+    window = F.struct("text_key", "place", "class", "minor", "around")
+    block = lambda rows_, parts, seed: rows_.groupBy("key", F.pmod(F.xxhash64(F.lit(seed), "text_key"), F.col(parts)).alias("block")).agg(F.collect_list(window).alias("x"))
+    asked = block(dealt.where("minor"), "minor_parts", 1).select("key", F.col("x").alias("mine"))
+    every = block(dealt, "parts", 2).select("key", F.col("x").alias("theirs"))
+    need = int(np.ceil(2 * length * similarity / (1 + similarity)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                (text, place, own, _, around), (text2, place2, own2, minor2, around2) = ([c if k < 4 else c.flatten() for k, c in enumerate(batch.column(c)[row].values.flatten())] for c in ("mine", "theirs"))
+                text, place, own, text2, place2, own2 = (c.to_numpy() for c in (text, place, own, text2, place2, own2))
+                minor2 = minor2.to_numpy(zero_copy_only=False)
+                xs, ys = (a.to_numpy().reshape(-1, 2 * length + 1) for a in (around, around2))
+                out = []
+                for i in range(len(text)):
+                    # two minor windows meet twice; the greater text asks
+                    some = np.flatnonzero((own2 != own[i]) & (~minor2 | (text2 < text[i])))
+                    hit = some[alike(xs[i], ys[some], length, need)] if len(some) else some
+                    out.append((np.full(len(hit), i), hit))
+                i, j = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (text[i], place[i], text2[j], place2[j])], names=["text_key", "place", "other", "other_place"])
+
+    return asked.join(every, "key").select("mine", "theirs").mapInArrow(run, "text_key long, place long, other long, other_place long")
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -255,7 +358,7 @@ def links(docs: DataFrame, hashes: int = 5, length: int = LENGTH, similarity: fl
     tried = staged(candidates(led(groups), length))
     found = staged(verified_links(docs, tried, length, similarity))
     known = found.select("text_key", "other").unionByName(found.select(F.col("other").alias("text_key"), F.col("text_key").alias("other")))
-    rest = candidates(unled(groups, found), length).join(known, ["text_key", "other"], "left_anti")
+    rest = candidates(across(docs, groups, found, length, similarity), length).join(known, ["text_key", "other"], "left_anti")
     return found.unionByName(verified_links(docs, staged(rest), length, similarity))
 
 
