@@ -48,6 +48,18 @@ def rates(rows: DataFrame, threshold: float) -> DataFrame:
     return counts.select(*(F.expr(_safe(sql)).alias(name) for name, sql in RATES.items()))
 
 
+def top_indicator_rates(rows: DataFrame) -> DataFrame:
+    """All RATES, counts, accuracy, precision, recall and the like where as many of the highest scores are taken for true as rows are (y = 1); of equal scores at the border a share is."""
+    x = _levels(rows)
+    true = x.agg(F.sum("p").alias("all_p"))
+    # scores wholly among the first P rows count in full, those at the border by the share that is left
+    taken = x.crossJoin(F.broadcast(true)).withColumn("share", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("all_p") - (F.col("tp") + F.col("fp") - F.col("p") - F.col("n"))) / (F.col("p") + F.col("n")))))
+    sums = taken.agg(F.sum(F.col("p") * F.col("share")).alias("tp"), F.sum(F.col("n") * F.col("share")).alias("fp"), F.sum(F.col("p") * (1 - F.col("share"))).alias("fn"), F.sum(F.col("n") * (1 - F.col("share"))).alias("tn"))
+    more = {"accuracy": "(tp + tn) / (tp + fp + fn + tn)", "precision": "tp / (tp + fp)", "recall": "tp / (tp + fn)", "specificity": "tn / (tn + fp)", "f1": "2 * tp / (2 * tp + fp + fn)", "threat": "tp / (tp + fp + fn)"}
+    mcc = F.expr("try_divide(tp * tn - fp * fn, sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)))")
+    return sums.select("tp", "fp", "fn", "tn", (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("scores"), mcc.alias("mcc"), *(F.expr(_safe(sql)).alias(name) for name, sql in (RATES | more).items()))
+
+
 def _safe(sql: str) -> str:
     """The rate with null for a division by zero, which Spark's ANSI mode raises: every divisor in nullif(..., 0)."""
     out, i = "", 0
