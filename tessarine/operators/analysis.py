@@ -85,6 +85,23 @@ def skyline(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "support", "confidence").distinct().withColumn("best", best).where("best is null or confidence > best").drop("best")
 
 
+def pattern_types(triples: DataFrame, least_support: int = 1, least_confidence: float = 0.0) -> DataFrame:
+    """Every pattern that a relation takes part in as its conclusion: r, pattern (symmetry, anti-symmetry, inversion, composition), support and confidence of its best rule, with enough of both."""
+    one = symmetry(triples).select("r", "pattern", "support", "confidence")
+    two = inversion(triples).select(F.col("inverse").alias("r"), F.lit("inversion").alias("pattern"), "support", "confidence")
+    three = composition(triples).select("r", F.lit("composition").alias("pattern"), "support", "confidence")
+    every = one.unionByName(two).unionByName(three).where((F.col("support") >= least_support) & (F.col("confidence") >= least_confidence) & (F.col("confidence") > 0))
+    best = every.groupBy("r", "pattern").agg(F.max(F.struct("confidence", "support")).alias("x"))
+    return best.select("r", "pattern", F.col("x.support").alias("support"), F.col("x.confidence").alias("confidence"))
+
+
+def graph_info(triples: DataFrame) -> DataFrame:
+    """One row: distinct triples, entities and relations."""
+    pairs = triples.select("h", "r", "t").distinct()
+    ends = pairs.select(F.explode(F.array("h", "t")).alias("e")).agg(F.count_distinct("e").alias("entities"))
+    return pairs.agg(F.count("*").alias("triples"), F.count_distinct("r").alias("relations")).crossJoin(ends)
+
+
 def jaccard(triples: DataFrame, reverse: bool = False) -> DataFrame:
     """Jaccard similarity of the pair sets of two relations that share a pair (the second's pairs reversed, if so asked)."""
     pairs = triples.select("h", "r", "t").distinct()

@@ -64,3 +64,25 @@ def condense(ids: DataFrame, relations: bool = False) -> DataFrame:
     if relations:
         out = out.join(dense_ids(ids.select(F.col("r").alias("old")), "old", "new").select(F.col("old").alias("r"), F.col("new").alias("nr")), "r")
     return out.select(F.col("nh").alias("h"), F.col("nr" if relations else "r").alias("r"), F.col("nt").alias("t"))
+
+
+def reindexed(*graphs: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """Several labelled graphs as ids of one dictionary of entities and one of relations, which come after them."""
+    whole = graphs[0].select("h", "r", "t")
+    for g in graphs[1:]:
+        whole = whole.unionByName(g.select("h", "r", "t"))
+    entities, relations = staged(entity_dictionary(whole)), staged(relation_dictionary(whole))
+    return [encode(g, entities, relations) for g in graphs], entities, relations
+
+
+def inverted(mapping: DataFrame, key: str = "label", value: str = "id") -> DataFrame:
+    """A dictionary with keys and values exchanged; a value that stands for several keys raises ValueError."""
+    if mapping.count() != mapping.select(value).distinct().count():
+        raise ValueError("not one to one")
+    return mapping.select(F.col(value).alias(key), F.col(key).alias(value))
+
+
+def valid_ids(ids: DataFrame, num_entities: int, num_relations: int) -> DataFrame:
+    """The triples whose ids are in range."""
+    inside = lambda c, n: (F.col(c) >= 0) & (F.col(c) < n)
+    return ids.where(inside("h", num_entities) & inside("t", num_entities) & inside("r", num_relations))

@@ -113,6 +113,56 @@ def pagerank(triples: DataFrame, rounds: int = 10, damping: float = 0.85) -> Dat
     return rank.select("node", "rank")
 
 
+def random_anchors(triples: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """The k entities that a hash puts first: (node)."""
+    return triples.select(F.explode(F.array("h", "t")).alias("node")).where("node is not null").distinct().orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(k)
+
+
+def rank_anchors(triples: DataFrame, k: int, rounds: int = 10) -> DataFrame:
+    """The k entities of the highest PageRank (ties by name): (node)."""
+    return pagerank(triples, rounds).orderBy(F.desc("rank"), "node").limit(k).select("node")
+
+
+def mixed_anchors(triples: DataFrame, shares: dict[str, float], k: int, seed: int = 0) -> DataFrame:
+    """k anchors chosen in turn by ways ("degree", "rank", "random") with shares of k; each way passes over what those before it chose, and the last fills up."""
+    left, found = k, None
+    for i, (way, share) in enumerate(shares.items()):
+        n = left if i == len(shares) - 1 else min(left, round(share * k))
+        # each way is asked for enough to make up for those that are taken
+        asked = {"degree": lambda m: degree_anchors(triples, m).select("node", (-F.col("degree")).cast("double").alias("at")), "rank": lambda m: pagerank(triples).orderBy(F.desc("rank"), "node").limit(m).select("node", (-F.col("rank")).alias("at")), "random": lambda m: random_anchors(triples, m, seed).select("node", F.xxhash64(F.lit(seed), "node").cast("double").alias("at"))}[way](k)
+        if found is not None:
+            asked = asked.join(found, "node", "left_anti")
+        chosen = staged(asked.orderBy("at", "node").limit(n).select("node"))
+        found = chosen if found is None else found.unionByName(chosen)
+        left -= n
+    return found
+
+
+def anchor_pageranks(triples: DataFrame, anchors: DataFrame, rounds: int = 3, damping: float = 0.85, least: float = 0.0) -> DataFrame:
+    """(anchor, node, rank): PageRank over undirected edges that restarts at each anchor (node), after some rounds; ranks of ``least`` or less are left out of the next round.
+
+    All anchors' walks go together, a row for each node that one has reached.
+    """
+    near = neighbours(triples)
+    edge = staged(near.join(near.groupBy("a").agg(F.count("*").alias("d")), "a"))
+    start = staged(anchors.select(F.col("node").alias("anchor")).distinct().withColumn("node", F.col("anchor")).withColumn("rank", F.lit(1.0)))
+    found = start
+    for _ in range(rounds):
+        moved = found.join(edge, F.col("node") == F.col("a")).select("anchor", F.col("b").alias("node"), (F.lit(damping) * F.col("rank") / F.col("d")).alias("rank"))
+        back = start.select("anchor", "node", F.lit(1 - damping).alias("rank"))
+        found = staged(moved.unionByName(back).groupBy("anchor", "node").agg(F.sum("rank").alias("rank")).where(F.col("rank") > least))
+    return found
+
+
+def sampled_tokens(triples: DataFrame, k: int, seed: int = 0, padding: str = "") -> DataFrame:
+    """(node, tokens): k relations of every entity, incoming ones marked, that a hash puts first, in its order; entities of fewer have padding behind."""
+    token = F.explode(F.array(F.struct(F.col("h").alias("node"), F.col("r").alias("token")), F.struct(F.col("t").alias("node"), F.concat("r", F.lit("_inverse")).alias("token"))))
+    each = triples.select(token.alias("x")).select("x.node", "x.token").distinct()
+    best = top_per_group(each.withColumn("u", F.xxhash64(F.lit(seed), "node", "token")), ["node"], ["u", "token"], k)
+    held = best.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "token"))), lambda x: x["token"]).alias("x"))
+    return held.select("node", F.concat("x", F.array_repeat(F.lit(padding), F.lit(k) - F.size("x"))).alias("tokens"))
+
+
 def colours(triples: DataFrame, rounds: int = 2) -> DataFrame:
     """Weisfeiler-Lehman colours (node, colour) after some rounds: md5 of a node's colour and the sorted counts of its neighbours' colours; at first its degree."""
     near = staged(neighbours(triples))

@@ -39,7 +39,7 @@ def _add(name: str, make: Callable[[SparkSession, str], DataFrame], sql: str | N
 _REUSED = {
     "relation_functionality", "relation_injectivity", "relation_cardinality_types", "symmetry_patterns", "inversion_patterns", "composition_patterns", "pattern_skyline", "jaccard_relations", "jaccard_inverse_relations",
     "leaking_relations", "unleaked_triples", "bernoulli_probabilities", "pseudo_type_index", "dictionary_encode", "dictionary_round_trip", "inverse_triples", "condense", "candidate_set_size", "fixed_model_filtered_ranks",
-    "rank_metrics", "macro_rank_metrics", "all_rank_metrics", "rank_dispersion", "rank_z_scores", "bootstrap_mrr", "marginal_baseline_scores", "pagerank", "basic_negatives", "bernoulli_negatives", "pseudo_typed_negatives", "distmult_training",
+    "rank_metrics", "macro_rank_metrics", "all_rank_metrics", "rank_dispersion", "rank_z_scores", "bootstrap_mrr", "marginal_baseline_scores", "pagerank", "pattern_types", "graph_info", "rank_anchors", "basic_negatives", "bernoulli_negatives", "pseudo_typed_negatives", "distmult_training",
 }
 
 
@@ -75,6 +75,11 @@ _kg("pattern_skyline", lambda kg: analysis.skyline(analysis.composition(kg), ["r
   SELECT *, max(confidence) OVER (PARTITION BY r ORDER BY support DESC, confidence DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM (SELECT DISTINCT r, support, hits / support AS confidence FROM c JOIN s USING (r1, r2)))
   WHERE best IS NULL OR confidence > best""", _COMP)
 
+_kg("pattern_types", analysis.pattern_types, """SELECT r, pattern, support, round(confidence, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY r, pattern ORDER BY confidence DESC, support DESC) AS nth FROM (
+  SELECT r, 'symmetry' AS pattern, support, hits / support AS confidence FROM sym UNION ALL SELECT r, 'anti-symmetry', support, 1 - hits / support FROM sym UNION ALL SELECT inverse, 'inversion', support, hits / support FROM inv JOIN n USING (r)
+  UNION ALL SELECT r, 'composition', support, hits / support FROM c JOIN s USING (r1, r2)) WHERE confidence > 0) WHERE nth = 1""", f"{_SYM}, {_INV}, {_COMP}")
+_kg("graph_info", analysis.graph_info, "SELECT (SELECT count(*) FROM kg) AS triples, (SELECT count(DISTINCT r) FROM kg) AS relations, (SELECT count(*) FROM (SELECT h FROM kg UNION SELECT t FROM kg)) AS entities")
+
 
 def _jaccard_sql(reverse: bool, kg: str = "kg", n: str = "n") -> str:
     on = "a.h = b.t AND a.t = b.h" if reverse else "a.h = b.h AND a.t = b.t"
@@ -216,6 +221,12 @@ _PR = "l AS (SELECT h, t, count(*) OVER (PARTITION BY h) AS o FROM (SELECT DISTI
     f""", p{k} AS (SELECT v.node, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(got, 0) + lost / n) AS rank FROM v CROSS JOIN nv CROSS JOIN (SELECT coalesce(sum(rank), 0) AS lost FROM p{k - 1} WHERE node NOT IN (SELECT h FROM l))
   LEFT JOIN (SELECT t AS node, sum(rank / o) AS got FROM p{k - 1} JOIN l ON node = h GROUP BY t) g ON g.node = v.node)""" for k in range(1, 11))
 _kg("pagerank", graph.pagerank, "SELECT node, round(rank, 6) AS rank FROM p10", _PR)
+_kg("rank_anchors", lambda kg: graph.rank_anchors(kg, 20), "SELECT node FROM (SELECT node, row_number() OVER (ORDER BY round(rank, 12) DESC, node) AS nth FROM p10) WHERE nth <= 20", _PR)
+_PPR = f"{_NEAR}, e AS (SELECT a, b, count(*) OVER (PARTITION BY a) AS d FROM near), q0 AS (SELECT DISTINCT h AS anchor, h AS node, 1.0::DOUBLE AS rank FROM kg WHERE r = 'region_has_nation')" + "".join(
+    f", q{k} AS (SELECT anchor, node, sum(rank) AS rank FROM (SELECT anchor, b AS node, 0.85::DOUBLE * rank / d AS rank FROM q{k - 1} JOIN e ON node = a UNION ALL SELECT anchor, node, 0.15::DOUBLE FROM q0) GROUP BY anchor, node)" for k in (1, 2, 3))
+_kg("anchor_pageranks", lambda kg: graph.anchor_pageranks(kg, _regions(kg)), "SELECT anchor, node, round(rank, 6) AS rank FROM q3", _PPR)
+_kg("mixed_anchors", lambda kg: graph.mixed_anchors(kg, {"degree": 0.5, "random": 0.5}, 16))
+_kg("sampled_tokens", lambda kg: graph.sampled_tokens(kg, 3).select("node", F.array_join("tokens", ",").alias("tokens")))
 _WL = f"{_NEAR}, c0 AS (SELECT a AS node, CAST(count(*) AS VARCHAR) AS colour FROM near GROUP BY a)" + "".join(
     f""", c{k} AS (SELECT c.node, md5(c.colour || '|' || x.around) AS colour FROM c{k - 1} c JOIN (SELECT a AS node, string_agg(s, ',' ORDER BY s) AS around FROM
   (SELECT a, colour || ':' || CAST(count(*) AS VARCHAR) AS s FROM near JOIN c{k - 1} ON b = node GROUP BY a, colour) GROUP BY a) x ON x.node = c.node)""" for k in (1, 2))

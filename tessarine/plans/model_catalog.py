@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import losses
-from ..models import engine
+from ..models import engine, fitting
 from ..models.engine import Model
 from ..models.forms import FORMS, dimensions
-from ..operators import evaluation, prediction, ranking
-from .catalog import _KG, _RANKS, _add, _kg, _labelled, _LAB, _ranks
+from ..operators import evaluation, messages, prediction, ranking
+from .catalog import _KG, _LAB, _RANKS, QUERIES, _add, _kg, _labelled, _ranks
 
 DIM = 64
+_BEFORE = frozenset(QUERIES)
 
 #: Dimensions that the queries use, by form.
 SIZES: dict[str, dict[str, int]] = {
@@ -347,3 +348,69 @@ _NEGATIVES = "array(doc_id % 7 - 3D, doc_id % 5 - 2D, doc_id % 3 - 1D)"
 for _name in losses.SETWISE:
     _add(f"loss_{_name}", lambda spark, d, n=_name: _labelled(spark, d).withColumn("others", F.expr(_NEGATIVES)).groupBy("lang").agg(F.avg(F.expr(losses.setwise(n, "score", "others"))).alias("loss")),
          f"WITH {_LAB}, y AS (SELECT *, [doc_id % 7 - 3::DOUBLE, doc_id % 5 - 2::DOUBLE, doc_id % 3 - 1::DOUBLE] AS others FROM z) SELECT lang, round(avg({losses.setwise(_name, 'score', 'others', duck=True)}), 6) AS loss FROM y GROUP BY lang")
+
+
+# message passing over the triples, with vectors of eight numbers and matrices of sines
+_WIDE = 8
+_V8 = f"{_E}, v AS (SELECT vec_id, {_folded_sql('v', _WIDE)} AS v FROM e), x AS (SELECT vec_id, unnest(range({_WIDE})) AS i, unnest(v) AS x FROM v)"
+
+
+def _eight(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e")).select("id", F.expr(_folded("e", _WIDE)).alias("v"))
+
+
+def _listed(df: DataFrame) -> DataFrame:
+    """An element a row."""
+    return df.select("id", F.posexplode("v").alias("i", "x")).select("id", F.col("i").cast("long").alias("i"), "x")
+
+
+def _sines(at: int, *shape: int) -> np.ndarray:
+    n = int(np.prod(shape))
+    return 0.5 * np.sin(0.7 * np.arange(at + 1, at + n + 1)).reshape(shape)
+
+
+def _matrix_sql(at: int) -> str:
+    return f"0.5 * sin(0.7 * ({at} + o * {_WIDE} + i + 1))"
+
+
+_add("neighbour_means", lambda spark, d: _listed(messages.neighbour_means(facts(spark, d), _eight(spark, d), _WIDE)), f"WITH {_V8} SELECT f.t AS id, i, round(avg(x), 6) AS x FROM f JOIN x ON x.vec_id = f.h GROUP BY f.t, i")
+_add("weighted_messages", lambda spark, d: _listed(messages.weighted_messages(facts(spark, d).withColumn("w", 1 / (F.col("r") + 1)), _eight(spark, d), _WIDE, "w")), f"WITH {_V8} SELECT f.t AS id, i, round(sum(x / (f.r + 1)), 6) AS x FROM f JOIN x ON x.vec_id = f.h GROUP BY f.t, i")
+_add("token_vectors", lambda spark, d: _listed(messages.token_vectors(facts(spark, d).select(F.col("h").alias("id"), F.col("r").alias("token")).distinct(), _eight(spark, d), _WIDE)), f"WITH {_V8} SELECT q.h AS id, i, round(avg(x), 6) AS x FROM (SELECT DISTINCT h, r FROM f) q JOIN x ON x.vec_id = q.r GROUP BY q.h, i")
+
+
+def _relational(spark: SparkSession, d: str) -> DataFrame:
+    """Matrices of relation r: the first of two bases times the sine of r + 1, the second times its cosine."""
+    n = int(facts(spark, d).agg(F.max("r")).first()[0] or 0) + 1
+    r = np.arange(1, n + 1)
+    w = messages.basis_weights(np.stack([np.sin(r), np.cos(r)], 1), _sines(0, 2, _WIDE, _WIDE))
+    return _listed(messages.relational_layer(facts(spark, d), _eight(spark, d), _WIDE, w, _sines(128, _WIDE, _WIDE)))
+
+
+_add("relational_layer", _relational, f"""WITH {_V8}, m AS (SELECT f.t, f.r, i, avg(x) AS x FROM f JOIN x ON x.vec_id = f.h GROUP BY f.t, f.r, i), o AS (SELECT unnest(range({_WIDE})) AS o),
+  s AS (SELECT t AS id, o, sum((sin(r + 1) * {_matrix_sql(0)} + cos(r + 1) * {_matrix_sql(64)}) * x) AS x FROM m, o GROUP BY t, o UNION ALL SELECT vec_id, o, sum({_matrix_sql(128)} * x) FROM x, o GROUP BY vec_id, o)
+  SELECT id, o AS i, round(greatest(sum(x), 0), 6) AS x FROM s GROUP BY id, o""")
+
+
+def _composed(spark: SparkSession, d: str) -> DataFrame:
+    v = _eight(spark, d)
+    found, _ = messages.composed_layer(facts(spark, d), v, v, _WIDE, messages.multiply, *(_sines(64 * k, _WIDE, _WIDE) for k in range(3)), _sines(192, _WIDE), _sines(200, _WIDE, _WIDE))
+    return _listed(found)
+
+
+_add("composed_layer", _composed, f"""WITH {_V8}, o AS (SELECT unnest(range({_WIDE})) AS o), g AS (SELECT h, r, t, count(*) OVER (PARTITION BY h) AS a, count(*) OVER (PARTITION BY t) AS b FROM f),
+  fw AS (SELECT t AS id, p.i, sum(p.x * q.x / sqrt(a * b)) AS x FROM g JOIN x p ON p.vec_id = h JOIN x q ON q.vec_id = r AND q.i = p.i GROUP BY t, p.i), bw AS (SELECT h AS id, p.i, sum(p.x * q.x / sqrt(a * b)) AS x FROM g JOIN x p ON p.vec_id = t JOIN x q ON q.vec_id = r AND q.i = p.i GROUP BY h, p.i),
+  s AS (SELECT id, o, sum({_matrix_sql(0)} * x) AS x FROM fw, o GROUP BY id, o UNION ALL SELECT id, o, sum({_matrix_sql(64)} * x) FROM bw, o GROUP BY id, o UNION ALL SELECT vec_id, o, sum({_matrix_sql(128)} * x * 0.5 * sin(0.7 * (192 + i + 1))) FROM x, o GROUP BY vec_id, o)
+  SELECT id, o AS i, round(tanh(sum(x) / 3), 6) AS x FROM s GROUP BY id, o""")
+
+
+# one gradient step from vectors of embeddings: norms, which SQL can't state for sampled losses
+def _trained_norms(name: str, loss: str, assumption: str, spark: SparkSession, d: str) -> DataFrame:
+    trained, _ = fitting.train(embedded(spark, d, name), facts(spark, d), fitting.Trainer(loss=loss, optimizer="adagrad", rate=0.05, negatives=2), 1, assumption)
+    return trained.entities.select("id", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
+
+
+_add("train_sampled_transe", partial(_trained_norms, "transe", "nssa", "sampled"))
+_add("train_all_distmult", partial(_trained_norms, "distmult", "bce", "all"))
+
+#: The queries of this module.
+NAMES = tuple(n for n in QUERIES if n not in _BEFORE)
