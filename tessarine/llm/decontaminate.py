@@ -22,12 +22,14 @@ benchmark is taken in blocks of at most about ``block_bytes``, each of which is
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +72,7 @@ def cgk_embedding(windows: np.ndarray, steps: int, repeats: int) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def best_passage(item: tuple[int, ...], region: tuple[int, ...]) -> tuple[int, int, int]:
     """Least edits between the item and any passage of the region, and that passage's first and end word (leftmost end)."""
     cost, start = list(range(len(item) + 1)), [0] * (len(item) + 1)
@@ -199,6 +201,17 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[
         yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
 
 
+#: The index that this worker built last, by the name of its block: the tasks after the first find it there.
+_BUILT: dict[str, Index] = {}
+
+
+def built(name: str, shared: Broadcast, setting: tuple) -> Index:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Index(shared.value, *setting)
+    return _BUILT[name]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, max_rate: float = 0.2, min_words: int = 8, repeats: int = 16, sampled: int = 2, block_bytes: int = 8_000_000) -> DataFrame:
     """One row for each document and item that leaks into it: the best passage's edits and words (last_word included).
 
@@ -207,10 +220,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_rate: float = 0.2, min_word
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     found = []
     for block in benchmark_blocks(benchmark, block_bytes):
-        setting = (block, max_rate, min_words, repeats, sampled)
+        shared, name, setting = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex, (max_rate, min_words, repeats, sampled)
 
-        def run(batches: Iterator[pa.RecordBatch], setting=setting) -> Iterator[pa.RecordBatch]:
-            index = Index(*setting)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name, setting=setting) -> Iterator[pa.RecordBatch]:
+            index = built(name, shared, setting)
             for batch in batches:
                 rows = []
                 for at in range(0, batch.num_rows, 1024):
