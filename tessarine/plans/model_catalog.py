@@ -16,7 +16,7 @@ from ..functions import losses
 from ..models import engine, fitting
 from ..models.engine import Model
 from ..models.forms import FORMS, dimensions
-from ..operators import evaluation, messages, prediction, ranking
+from ..operators import classification, evaluation, messages, prediction, ranking
 from .catalog import _KG, _LAB, _RANKS, QUERIES, _add, _kg, _labelled, _ranks
 
 DIM = 64
@@ -247,7 +247,10 @@ def _relation_ranks(spark: SparkSession, d: str) -> DataFrame:
     return _evaluated("distmult", spark, d, ("relation",))
 
 
-_add("evaluate_relations_distmult", _relation_ranks)
+_add("evaluate_relations_distmult", _relation_ranks, f"""WITH {_E}, p AS (SELECT DISTINCT f.h, e.vec_id AS r, f.t, f.r AS own FROM f, e WHERE f.h % 50 = 0), x AS ({_with_vectors('distmult', 'p', 'q.h AS h, q.r AS r, q.t AS t, q.own AS own')}),
+  s AS (SELECT h, r, t, own, round({_SQLS['distmult']}, 9) AS score, (h, r, t) IN (SELECT (h, r, t) FROM f) AS known FROM x), y AS (SELECT *, max(CASE WHEN r = own THEN score END) OVER (PARTITION BY h, own, t) AS true_score FROM s), z AS (SELECT * FROM y WHERE r <> own AND NOT known)
+  SELECT h, own AS r, t, 'relation' AS side, count(*) FILTER (WHERE score > true_score) + 1::DOUBLE AS optimistic, count(*) FILTER (WHERE score >= true_score) + 1::DOUBLE AS pessimistic,
+  round((count(*) FILTER (WHERE score > true_score) + count(*) FILTER (WHERE score >= true_score)) / 2 + 1, 6) AS realistic, count(*) + 1 AS candidates FROM z GROUP BY ALL""")
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -403,6 +406,16 @@ _add("composed_layer", _composed, f"""WITH {_V8}, o AS (SELECT unnest(range({_WI
   SELECT id, o AS i, round(tanh(sum(x) / 3), 6) AS x FROM s GROUP BY id, o""")
 
 
+def _top_rates(spark: SparkSession, d: str) -> DataFrame:
+    return classification.top_indicator_rates(_labelled(spark, d)).select("tp", "fp", "fn", "tn", "scores", "accuracy", "precision", "recall", "specificity", "f1", "threat", "mcc")
+
+
+_add("classification_top_rates", _top_rates, f"""WITH {_LAB}, g AS (SELECT score, sum(y)::DOUBLE AS p, sum(1 - y)::DOUBLE AS n FROM z GROUP BY score), c AS (SELECT *, sum(p + n) OVER (ORDER BY score DESC) - p - n AS before, sum(p) OVER () AS every FROM g),
+  s AS (SELECT *, greatest(0, least(1, (every - before) / (p + n))) AS share FROM c), m AS (SELECT sum(p * share) AS tp, sum(n * share) AS fp, sum(p * (1 - share)) AS fn, sum(n * (1 - share)) AS tn FROM s)
+  SELECT round(tp, 6) AS tp, round(fp, 6) AS fp, round(fn, 6) AS fn, round(tn, 6) AS tn, round(tp + fp + fn + tn, 6) AS scores, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(tn / (tn + fp), 6) AS specificity,
+  round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(tp / (tp + fp + fn), 6) AS threat, round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc FROM m""")
+
+
 # one gradient step from vectors of embeddings: norms, which SQL can't state for sampled losses
 def _trained_norms(name: str, loss: str, assumption: str, spark: SparkSession, d: str) -> DataFrame:
     trained, _ = fitting.train(embedded(spark, d, name), facts(spark, d), fitting.Trainer(loss=loss, optimizer="adagrad", rate=0.05, negatives=2), 1, assumption)
