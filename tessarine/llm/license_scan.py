@@ -15,6 +15,8 @@ have no words and no labels (empty text); repeated rows are scanned one by one;
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,27 +115,134 @@ NOTICES = [
 ]
 
 
+#: Sentences that stand in the texts and notices of licences: label, keyword, expression; a space stands for any white space.
+CLAUSES = [
+    ("mit", "permission", r"permission is hereby granted,? free of charge,? to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "permission", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions"),
+    ("mit-0", "furnished", r"to permit persons to whom the software is furnished to do so\. the software is provided"),
+    ("isc", "permission", r"permission to use,? copy,? modify,?(?: and/or| and) distribute this software for any purpose with or without fee is hereby granted"),
+    ("0bsd", "permission", r"permission to use,? copy,? modify,?(?: and/or| and) distribute this software for any purpose with or without fee is hereby granted\. the software"),
+    ("bsd-2-clause", "redistribution", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-2-clause", "redistribution", r"redistributions of source code must retain the above copyright notice"),
+    ("bsd-3-clause", "permission", r"neither the names? of [^\n\r]{1,80} nor the names of (?:its|their|any) contributors may be used to endorse or promote [^\n\r]{1,60} without specific prior written permission"),
+    ("bsd-4-clause", "acknowledg", r"all advertising materials mentioning features or use of this software must display the following acknowledg"),
+    ("apache-2.0", "licen", r"unless required by applicable law or agreed to in writing,? software distributed under the licen[cs]e"),
+    ("apache-2.0", "licen", r"you may not use this file except in compliance with the licen[cs]e"),
+    ("apache-2.0", "apache", r"the asf licenses this file to you under the apache licen[cs]e"),
+    ("apache-1.1", "apache", r"this product includes software developed by the apache software foundation"),
+    ("gpl-2.0", "licen", r"either version 2 of the licen[cs]e,? or (?:\(at your option\) )?any later version"),
+    ("gpl-3.0", "licen", r"either version 3 of the licen[cs]e,? or (?:\(at your option\) )?any later version"),
+    ("gpl-text", "gnu", r"you should have received a copy of the gnu general public licen[cs]e along with this program"),
+    ("gpl-text", "gnu", r"see the gnu general public licen[cs]e for more details"),
+    ("gpl-text", "copyleft", r"the gnu general public licen[cs]e is a free,? copyleft licen[cs]e"),
+    ("lgpl-2.1", "licen", r"either version 2\.1 of the licen[cs]e,? or (?:\(at your option\) )?any later version"),
+    ("lgpl-text", "gnu", r"see the gnu (?:lesser|library) general public licen[cs]e for more details"),
+    ("lgpl-text", "gnu", r"you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e"),
+    ("agpl-3.0", "gnu", r"see the gnu affero general public licen[cs]e for more details"),
+    ("agpl-3.0", "remotely", r"if your software can interact with users remotely through a computer network"),
+    ("gfdl-1.3", "gnu", r"permission is granted to copy,? distribute and/or modify this document under the terms of the gnu free documentation licen[cs]e"),
+    ("mpl-1.1", "mozilla", r"the contents of this file are subject to the mozilla public licen[cs]e"),
+    ("mpl-2.0", "mozilla", r"this source code form is subject to the terms of the mozilla public licen[cs]e"),
+    ("mpl-2.0", "mozilla", r"if a copy of the mpl was not distributed with this file,? you can obtain one at https?://mozilla"),
+    ("cddl-1.0", "common", r"the contents of this file are subject to the terms of the common development and distribution licen[cs]e"),
+    ("epl-2.0", "licen", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e"),
+    ("cpl-1.0", "common", r"the accompanying program is provided under the terms of this common public licen[cs]e"),
+    ("eupl-1.2", "licen", r"licensed under the eupl"),
+    ("bsl-1.0", "licen", r"to any person or organization obtaining a copy of the software and accompanying documentation covered by this licen[cs]e"),
+    ("busl-1.1", "licen", r"use of the licensed work [^\n\r]{0,80}additional use grant"),
+    ("sspl-1.0", "licen", r"server side public licen[cs]e version 1"),
+    ("zlib", "warranty", r"this software is provided 'as-is',? without any express or implied warranty\. in no event will the authors be held liable"),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
+    ("zlib", "altered", r"altered source versions must be plainly marked as such"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", "unencumbered", r"free and unencumbered software"),
+    ("wtfpl", "fuck", r"0\. you just do what the fuck you want to"),
+    ("postgresql", "permission", r"permission to use,? copy,? modify,? and distribute this software and its documentation for any purpose,? without fee,? and without a written agreement"),
+    ("hpnd", "permission", r"permission to use,? copy,? modify,? and distribute this software and its documentation for any purpose and without fee is hereby granted"),
+    ("ntp", "permission", r"the name [^\n\r]{1,60} not be used in advertising or publicity pertaining to distribution of the software without specific,? written prior permission"),
+    ("x11", "advertising", r"except as contained in this notice,? the name of [^\n\r]{1,60} shall not be used in advertising or otherwise"),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project"),
+    ("openssl", "openssl", r"openssl toolkit"),
+    ("curl", "copyright", r"copyright and permission notice copyright \(c\)"),
+    ("ruby", "copyrighted", r"ruby is copyrighted free software"),
+    ("psf-2.0", "psf", r"psf is making python available to licensee on an [\"']?as is"),
+    ("artistic-2.0", "copyright", r"the copyright holder intends that [^\n\r]{0,40}package remain available as open source"),
+    ("afl-3.0", "academic", r"licensed under the academic free licen[cs]e version"),
+    ("osl-3.0", "open", r"licensed under the open software licen[cs]e version"),
+    ("ofl-1.1", "licen", r"this font software is licensed under the sil open font licen[cs]e"),
+    ("lppl-1.3c", "latex", r"this work may be distributed and/or modified under the conditions of the latex project public licen[cs]e"),
+    ("w3c", "w3c", r"by obtaining,? using and/or copying this work,? you [^\n\r]{0,200}w3c"),
+    ("cc0-1.0", "waive", r"to the extent possible under law,? [^\n\r]{1,80} has waived all copyright and related or neighbou?ring rights"),
+    ("cc-unversioned", "licen", r"this (?:work|article|text) is licensed under a creative commons"),
+    ("cc-by-text", "licen", r"you must give appropriate credit,? provide a link to the licen[cs]e,? and indicate if changes were made"),
+    ("cc-by-sa-text", "licen", r"if you remix,? transform,? or build upon the material,? you must distribute your contributions under the same licen[cs]e"),
+    ("cc-by-nd-text", "remix", r"if you remix,? transform,? or build upon the material,? you may not distribute the modified material"),
+    ("odbl-1.0", "licen", r"is made available under the open database licen[cs]e"),
+    ("pddl-1.0", "commons", r"open data commons public domain dedication"),
+    ("ogl-uk-3.0", "licen", r"contains public sector information licensed under the open government licen[cs]e"),
+    ("commercial", "licen", r"end[- ]user licen[cs]e agreement"),
+    ("commercial", "licen", r"this software is licensed,? not sold"),
+    ("proprietary", "reproduced", r"(?:no part of this|may not be) [^\n\r]{0,60}reproduced [^\n\r]{0,60}without (?:the )?(?:prior )?(?:express )?(?:written )?permission"),
+    ("proprietary", "prohibited", r"unauthori[sz]ed (?:copying|reproduction|use) [^\n\r]{0,60}is strictly prohibited"),
+    ("proprietary", "secret", r"contains? (?:proprietary|confidential) [^\n\r]{0,30}trade secrets?"),
+    ("no-warranty", "warrant", r"without warranty of any kind,? express or implied"),
+    ("no-warranty", "warranty", r"without even the implied warranty of merchantability"),
+    ("no-warranty", "liable", r"in no event shall the (?:authors?|copyright (?:holders?|owner)) [^\n\r]{0,40}be liable"),
+]
+
+
 #: Whatever a rule matches holds one of these; other texts are not looked at further.
 GATES = (
     "licen", "copyright", "bsd", "cc-by", "cc by", "creative commons", "cc0", "cecill", "gpl", "mit-0", "mit no attribution", "ms-pl", "odbl", "wtf", "http", "(c)",
-    "proprietary", "public domain", "permission is hereby", "redistribution", "redistribute it", "as is",
+    "proprietary", "public domain", "permission", "redistribution", "redistribute it", "as is", "acknowledg", "warrant", "furnished", "remotely", "misrepresented", "altered", "unencumbered", "fuck", "openssl", "psf", "apache",
+    "w3c", "remix", "commons", "prohibited", "secret", "reproduced", "liable", "advertising",
 )
 
 
-def rules() -> list[tuple[int, str, str, float, str]]:
-    """(priority, label, keyword, doubt, expression) of every rule in order; some 380. A rule of several keywords stands once for each, and of equal detections the first is left."""
+def _fields(label: str, name: str, host: str) -> dict[str, str]:
+    return {"label": label.replace(".", r"\."), "name": name, "host": host.replace(".", r"\.")}
+
+
+def _grouped() -> list[tuple[int, tuple[int, str, str, float, str]]]:
+    """Every rule in order with the number of its group: the rules of one form, the notices, the clauses. A rule of several keywords stands once for each, and of equal detections the first is left."""
     out = []
     for label, name, keyword, host in LICENSES:
-        for priority, doubt, own, form in FORMS:
-            fields = {"label": label.replace(".", r"\."), "name": name, "host": host.replace(".", r"\.")}
+        for group, (priority, doubt, own, form) in enumerate(FORMS):
             for word in [own] if own else [keyword] if isinstance(keyword, str) else keyword:
-                out.append((priority, label, word, doubt, form.format(**fields)))
-    return out + [(p, label, keyword, doubt, form) for label, p, doubt, keyword, form in NOTICES]
+                out.append((group, (priority, label, word, doubt, form.format(**_fields(label, name, host)))))
+    out += [(len(FORMS), (p, label, keyword, doubt, form)) for label, p, doubt, keyword, form in NOTICES]
+    return out + [(len(FORMS) + 1, (3, label, keyword, 0.1, form.replace(" ", r"\s+"))) for label, keyword, form in CLAUSES]
+
+
+def rules() -> list[tuple[int, str, str, float, str]]:
+    """(priority, label, keyword, doubt, expression) of every rule in order; some 450."""
+    return [rule for _, rule in _grouped()]
+
+
+def unions() -> list[str]:
+    """One expression a group, which matches wherever any of its rules does: a form's with all names, labels and hosts."""
+    every = [_fields(label, name, host) for label, name, _, host in LICENSES]
+    fields = {k: "(?:" + "|".join(dict.fromkeys(f[k] for f in every)) + ")" for k in ("label", "name", "host")}
+    rest: dict[int, list[str]] = {}
+    for group, rule in _grouped():
+        if group >= len(FORMS):
+            rest.setdefault(group, []).append(rule[-1])
+    return [form.format(**fields) for *_, form in FORMS] + ["|".join(f"(?:{x})" for x in rest[g]) for g in sorted(rest)]
 
 
 def _detections(text: Column) -> Column:
     """All detections of a lower-cased text as an array of (start, end, priority, rule, label, doubt)."""
-    table = F.array(*(F.struct(F.lit(k).alias("rule"), F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(word).alias("keyword"), F.lit(doubt).alias("doubt"), F.lit(form).alias("form")) for k, (p, label, word, doubt, form) in enumerate(rules())))
+    cells = lambda k, p, label, word, doubt, form: F.struct(F.lit(k).alias("rule"), F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(word).alias("keyword"), F.lit(doubt).alias("doubt"), F.lit(form).alias("form"))
+    groups: dict[int, list[Column]] = {}
+    for k, (group, rule) in enumerate(_grouped()):
+        groups.setdefault(group, []).append(cells(k, *rule))
+    empty = F.array().cast("array<struct<rule:int,priority:int,label:string,keyword:string,doubt:double,form:string>>")
+    words: dict[int, dict[str, None]] = {}
+    for group, rule in _grouped():
+        words.setdefault(group, {})[rule[2]] = None
+    has = lambda g: reduce(Column.__or__, (F.contains(text, F.lit(w)) for w in words[g]))
+    # a group's own expression is compiled once a task; those of its rules, which come from a column, only for texts that it matches
+    table = F.concat(*(F.when(has(g) & F.rlike(text, F.lit(union)), F.array(*groups[g])).otherwise(empty) for g, union in enumerate(unions())))
     gated = F.filter(table, lambda r: F.contains(text, r["keyword"]) & F.rlike(text, r["form"]))
 
     def places(r: Column) -> Column:
