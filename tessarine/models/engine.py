@@ -35,6 +35,8 @@ class Model:
     relations: DataFrame
     weights: dict[str, np.ndarray] = field(default_factory=dict)
     settings: dict[str, object] = field(default_factory=dict)
+    #: Vectors of tokens, where entities are made of them.
+    vocabulary: DataFrame | None = None
 
     @property
     def form(self) -> Form:

@@ -361,18 +361,36 @@ def _with_states(table: DataFrame) -> DataFrame:
     return table.select("id", "v", zeros.alias("a"), zeros.alias("b"))
 
 
-def train(model: Model, triples: DataFrame, trainer: Trainer, epochs: int, assumption: str = "sampled", sides: tuple[str, ...] = ("t",), listeners: tuple = (), first_epoch: int = 0) -> tuple[Model, list[float]]:
+def to_tokens(gradients: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Gradients of entities (id, g) as those of their tokens (id, token), of whose vectors an entity's is the mean."""
+    n = tokens.groupBy("id").agg(F.count("*").alias("n"))
+    shared = gradients.select("id", "g").join(n, "id").join(tokens, "id")
+    return shared.select(F.col("token").alias("id"), F.transform("g", lambda x: x / F.col("n")).alias("g"))
+
+
+def train(
+    model: Model, triples: DataFrame, trainer: Trainer, epochs: int, assumption: str = "sampled", sides: tuple[str, ...] = ("t",), listeners: tuple = (), first_epoch: int = 0, tokens: DataFrame | None = None, vocabulary: DataFrame | None = None
+) -> tuple[Model, list[float]]:
     """The model after some epochs and the mean loss of each.
 
     ``assumption``: "sampled" takes each triple against corrupted copies, "all" scores all entities for the given ``sides`` of every pair.
     Listeners are called as ``listener(epoch, loss, model)`` after each epoch; one that returns True ends the training. Repeated
     triples count once; an empty table trains nothing and has the loss 0.
+
+    With ``tokens`` (id, token) an entity's vector is the mean of those of its tokens in ``vocabulary`` (id, v), which is trained in place of
+    the entities; the model returned has the entities that tokens make, and the vocabulary's vectors as its attribute ``vocabulary``.
     """
     wide, narrow = model.form.widths(model.dims)
     triples = staged(triples.select("h", "r", "t").distinct())
     n, num_entities = triples.count(), model.entities.count()
     statistics = sampler_statistics(triples, trainer.sampler) if assumption == "sampled" else None
     entities, relations = staged(_with_states(model.entities)), staged(_with_states(model.relations))
+    made = None
+    if tokens is not None:
+        from ..operators.messages import token_vectors
+
+        tokens, made = staged(tokens.select("id", "token").distinct()), staged(_with_states(vocabulary))
+        entities = staged(_with_states(token_vectors(tokens, made, wide)))
     states = {k: (np.zeros_like(w), np.zeros_like(w)) for k, w in model.weights.items()}
     terms = {"pointwise": 1 + trainer.negatives, "pairwise": trainer.negatives, "setwise": 1}[LOSSES[trainer.loss].kind] if assumption == "sampled" else 1
     if assumption != "sampled":
@@ -407,7 +425,13 @@ def train(model: Model, triples: DataFrame, trainer: Trainer, epochs: int, assum
                     current.weights = current.weights | {name: w.reshape(shape)}
                     states[name] = a.reshape(shape), c.reshape(shape)
             before = entities, relations, found
-            entities = staged(merged(entities, found.where(F.col("kind") == _ENTITY), wide, trainer, rate, step, trainer.constrain, trainer.frozen))
+            own = found.where(F.col("kind") == _ENTITY)
+            if tokens is None:
+                entities = staged(merged(entities, own, wide, trainer, rate, step, trainer.constrain, trainer.frozen))
+            else:
+                old, made = made, staged(merged(made, to_tokens(own, tokens), wide, trainer, rate, step, trainer.constrain, trainer.frozen))
+                entities = staged(_with_states(token_vectors(tokens, made, wide)))
+                dropped(old)
             if narrow:
                 relations = staged(merged(relations, found.where(F.col("kind") == _RELATION), narrow, trainer, rate, step))
             current = replace(current, entities=entities, relations=relations)
@@ -418,7 +442,9 @@ def train(model: Model, triples: DataFrame, trainer: Trainer, epochs: int, assum
         if any([listener(epoch, losses[-1], current) for listener in listeners]):
             break
     plain = lambda t: t.select("id", "v")
-    return replace(current, entities=plain(entities), relations=plain(relations)), losses
+    out = replace(current, entities=plain(entities), relations=plain(relations))
+    out.vocabulary = plain(made) if made is not None else None
+    return out, losses
 
 
 def _weight_rows(found: DataFrame) -> list:

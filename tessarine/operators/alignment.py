@@ -1,4 +1,8 @@
-"""Union of two graphs under an alignment (left, right) of their entities."""
+"""Union of two graphs under an alignment (left, right) of their entities.
+
+Pairs with a null end align nothing, repeated pairs count once, and an entity may stand in several pairs. Repeated triples stay; a null label makes
+a null label.
+"""
 
 from __future__ import annotations
 

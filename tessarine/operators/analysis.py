@@ -1,4 +1,9 @@
-"""Counts, relation patterns, cardinalities, functionality, leakage and sampling statistics of triples."""
+"""Counts, relation patterns, cardinalities, functionality, leakage and sampling statistics of triples.
+
+The counts, ``functionality``'s divisor, ``inverse_frequency`` and ``pair_weights`` take every row, repeated ones too; patterns,
+injectivity, similarities and sampling statistics take triples once. Null labels are a label of their own in counts and
+take part in no pattern, similarity or join. Ties are broken by name where one of several is chosen. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Classification metrics from scores and 0/1 labels."""
+"""Classification metrics from scores and 0/1 labels.
+
+Rows with a null score or label count nowhere. Equal scores are one level, so ties make no difference to the area or the precision. A rate
+without a divisor is null.
+"""
 
 from __future__ import annotations
 
@@ -87,7 +91,7 @@ def _levels(rows: DataFrame) -> DataFrame:
     scores, by ranges: totals of each range, then places within."""
     from ..sources.staging import staged
 
-    level = rows.groupBy("score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
+    level = rows.where("score is not null and y is not null").groupBy("score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
     level = staged(level.repartitionByRange(F.desc("score")).withColumn("part", F.spark_partition_id()))
     parts = level.groupBy("part").agg(F.sum("p").alias("pp"), F.sum("n").alias("pn"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,4 +1,8 @@
-"""Dictionary encoding, decoding, condensing and inverse triples."""
+"""Dictionary encoding, decoding, condensing and inverse triples.
+
+Null labels have no id, and triples with one are dropped on encoding. Repeated triples are one after ``encode`` and stay in the
+other functions. Empty tables give empty dictionaries and results.
+"""
 
 from __future__ import annotations
 

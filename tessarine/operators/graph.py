@@ -1,4 +1,8 @@
-"""Degrees, distances, PageRank, colour refinement and edge weights over triples."""
+"""Degrees, distances, PageRank, colour refinement and edge weights over triples.
+
+Nodes are heads and tails; a null one has no edges. Repeated triples count in degrees and edge weights and make one edge
+elsewhere; loops are no edges of the undirected graph. Ties go to the smaller name. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Ranks of true triples among filtered candidates, and metrics of ranks."""
+"""Ranks of true triples among filtered candidates, and metrics of ranks.
+
+Every row is a rank, repeated ones too; null ranks are left out. Undefined values (no rows, a divisor of zero) are null, and an empty table gives
+no rows. Ties of scores part the optimistic from the pessimistic rank; their mean is the realistic one.
+"""
 
 from __future__ import annotations
 
@@ -71,6 +75,23 @@ def marginal_scores(triples: DataFrame) -> DataFrame:
     return found.select("h", "r", "t", (F.col("ph") * F.col("pr") / total).alias("score"))
 
 
+def soft_inverse_scores(triples: DataFrame, least: float = 0.0) -> DataFrame:
+    """(h, r, t, score): for every pair of ends that some triple has, how much relations alike to ``r`` speak for it.
+
+    A triple (h, s, t) speaks for (h, r, t) by the Jaccard similarity of the pairs of r and s, and for (t, r, h) by that of the pairs of r
+    and the turned pairs of s; sums over all s but r itself. Similarities of ``least`` or less don't speak. Repeated triples speak once.
+    """
+    from .analysis import jaccard
+
+    pairs = triples.select("h", "r", "t").distinct()
+    same = jaccard(triples).where(F.col("similarity") > least).select(F.col("r1").alias("to"), F.col("r2").alias("r"), "similarity")
+    turned = jaccard(triples, reverse=True).where(F.col("similarity") > least).select(F.col("r1").alias("to"), F.col("r2").alias("r"), "similarity")
+    # one row a pair of relations that are alike: few
+    ahead = pairs.join(same, "r").select("h", F.col("to").alias("r"), "t", "similarity")
+    back = pairs.join(turned, "r").select(F.col("t").alias("h"), F.col("to").alias("r"), F.col("h").alias("t"), "similarity")
+    return ahead.unionByName(back).groupBy("h", "r", "t").agg(F.sum("similarity").alias("score"))
+
+
 def positions(rows: DataFrame, keys: list[str], order: list[str], place: str = "place") -> DataFrame:
     """``rows`` with their place, from 0, among those of the same ``keys`` in the order of columns ``order``. Places come from ranges of keys and order, so a hot key is no single task's."""
     ranged = staged(rows.repartitionByRange(*keys, *order).withColumn("part", F.spark_partition_id()))

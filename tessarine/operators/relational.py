@@ -1,4 +1,10 @@
-"""Restriction, set operations, membership and filters over triples."""
+"""Restriction, set operations, membership and filters over triples.
+
+Labels join by equality, so a triple with a null label is in no restriction and no table of known triples: inverted
+restrictions and ``without_known`` keep it, others drop it. Repeated triples stay as often as they are, except in ``steps``,
+``candidate_sizes`` and ``training_instances``, which take sets. Columns besides h, r and t are dropped. Empty tables give empty results; ``steps``
+gives one row, whose similarity is null for an empty first table.
+"""
 
 from __future__ import annotations
 

@@ -39,7 +39,7 @@ def _add(name: str, make: Callable[[SparkSession, str], DataFrame], sql: str | N
 _REUSED = {
     "relation_functionality", "relation_injectivity", "relation_cardinality_types", "symmetry_patterns", "inversion_patterns", "composition_patterns", "pattern_skyline", "jaccard_relations", "jaccard_inverse_relations",
     "leaking_relations", "unleaked_triples", "bernoulli_probabilities", "pseudo_type_index", "dictionary_encode", "dictionary_round_trip", "inverse_triples", "condense", "candidate_set_size", "fixed_model_filtered_ranks",
-    "rank_metrics", "macro_rank_metrics", "all_rank_metrics", "rank_dispersion", "rank_z_scores", "bootstrap_mrr", "marginal_baseline_scores", "pagerank", "pattern_types", "graph_info", "rank_anchors", "basic_negatives", "bernoulli_negatives", "pseudo_typed_negatives", "distmult_training",
+    "rank_metrics", "macro_rank_metrics", "all_rank_metrics", "rank_dispersion", "rank_z_scores", "bootstrap_mrr", "marginal_baseline_scores", "pagerank", "soft_inverse_scores", "pattern_types", "graph_info", "rank_anchors", "basic_negatives", "bernoulli_negatives", "pseudo_typed_negatives", "distmult_training",
 }
 
 
@@ -90,6 +90,8 @@ def _jaccard_sql(reverse: bool, kg: str = "kg", n: str = "n") -> str:
 _rising = lambda kg: kg.unionByName(kg.where("h < t").withColumn("r", F.concat("r", F.lit("_rising"))))
 _RISING = "two AS (SELECT * FROM kg UNION ALL SELECT h, r || '_rising', t FROM kg WHERE h < t), m AS (SELECT r, count(*) AS support FROM two GROUP BY r)"
 _kg("jaccard_relations", lambda kg: analysis.jaccard(_rising(kg)), f"SELECT r1, r2, round(similarity, 6) AS similarity FROM ({_jaccard_sql(False, 'two', 'm')})", _RISING)
+_kg("soft_inverse_scores", lambda kg: ranking.soft_inverse_scores(_rising(kg)), f"""SELECT h, r, t, round(sum(similarity), 6) AS score FROM (SELECT h, r1 AS r, t, similarity FROM two JOIN ({_jaccard_sql(False, 'two', 'm')}) x ON x.r2 = two.r
+  UNION ALL SELECT t, r1, h, similarity FROM two JOIN ({_jaccard_sql(True, 'two', 'm')}) x ON x.r2 = two.r) GROUP BY h, r, t""", _RISING)
 _kg("jaccard_inverse_relations", lambda kg: analysis.jaccard(kg, reverse=True), f"SELECT r1, r2, round(similarity, 6) AS similarity FROM ({_jaccard_sql(True)})", _INV)
 _LEAK = f"""{_INV}, near AS (SELECT DISTINCT r1, r2 FROM ({_jaccard_sql(False)} UNION ALL {_jaccard_sql(True)}) WHERE similarity >= 0.97),
   reach AS (SELECT r1 AS a, r1 AS b FROM near UNION SELECT reach.a, near.r2 FROM reach JOIN near ON near.r1 = reach.b), comp AS (SELECT a AS r, min(b) AS component FROM reach GROUP BY a)"""

@@ -131,3 +131,27 @@ def test_positions(spark):
     for k, i, o in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
         want[k, i] = sum(1 for x in want if x[0] == k)
     assert {(r.k, r.i): r.place for r in got} == want
+
+
+def test_entities_of_tokens_are_trained_through_them(spark):
+    triples, n, _ = graph(spark)
+    tokens = spark.createDataFrame([(i, t) for i in range(n) for t in {i % 5, 5 + i % 3, 8 + i % 7}], "id long, token long")
+    vocabulary = engine.initial(spark.range(15), 6, 4)
+    model = engine.created("distmult", spark.range(n), spark.range(3), 6, seed=1)
+    trained, losses = fitting.train(model, triples, Trainer(loss="bce", negatives=4, rate=0.05), 5, tokens=tokens, vocabulary=vocabulary)
+    assert losses[-1] < losses[0] and trained.vocabulary.count() == 15
+    v = {r.id: np.array(r.v) for r in trained.vocabulary.collect()}
+    made = {}
+    for r in tokens.collect():
+        made.setdefault(r.id, []).append(v[r.token])
+    assert all(np.allclose(r.v, np.mean(made[r.id], axis=0)) for r in trained.entities.collect())
+    # entities that training never saw have vectors by their tokens
+    from tessarine.operators.messages import token_vectors
+
+    new = token_vectors(spark.createDataFrame([(99, 1), (99, 6)], "id long, token long"), trained.vocabulary, 6).first()
+    assert np.allclose(new.v, (v[1] + v[6]) / 2)
+    g = spark.createDataFrame([(0, [3.0] * 6), (1, [6.0] * 6)], "id long, g array<double>")
+    sums = {}
+    for r in fitting.to_tokens(g, tokens).collect():
+        sums[r.id] = sums.get(r.id, 0) + r.g[0]
+    assert sums == {0: 1.0, 1: 2.0, 5: 1.0, 6: 2.0, 8: 1.0, 9: 2.0}
