@@ -201,9 +201,24 @@ def divided(groups: DataFrame, found: DataFrame) -> DataFrame:
     return marked.join(sizes.select("key", "largest"), "key").groupBy("text_key", "class").agg(F.collect_list(window).alias("wanted"))
 
 
-def surroundings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """(text_key, doc_id): the smallest id of every text, null if it has no other."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("doc_id"))).alias("least")
+    return docs.groupBy(F.xxhash64("text").alias("text_key")).agg(least).select("text_key", F.col("least.doc_id").alias("doc_id"))
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``wanted`` (text_key and more) with each text, by the row that ``chosen`` names: copies of a text are dealt by their ids and never meet in one task."""
+    named = wanted.join(chosen, "text_key")
+    rows = docs.select(F.xxhash64("text").alias("key"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    found = rows.join(named, (F.col("key") == F.col("text_key")) & F.col("id").eqNullSafe(F.col("doc_id")))
+    # repeated rows of one id and text
+    return found.dropDuplicates(["text_key", "doc_id"]).select(*wanted.columns, "text")
+
+
+def surroundings(docs: DataFrame, wanted: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
     """(key, text_key, place, class, minor, around): for each wanted window the shingles within ``length`` of its pivot as numbers of 32 bits, 0 beyond the text."""
-    texts = docs.select(F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text")).join(wanted, "text_key").dropDuplicates(["text_key"])
+    texts = texts_of(docs, wanted, chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,13 +254,13 @@ def alike(x: np.ndarray, ys: np.ndarray, length: int, need: int) -> np.ndarray:
     return (sums[:, length:] - sums[:, :-length]).max(axis=1) >= need
 
 
-def across(docs: DataFrame, groups: DataFrame, found: DataFrame, length: int, similarity: float, rows: int = 1024) -> DataFrame:
+def across(docs: DataFrame, groups: DataFrame, found: DataFrame, chosen: DataFrame, length: int, similarity: float, rows: int = 1024) -> DataFrame:
     """(text_key, place, other, other_place): windows of one group but different classes whose surroundings can be similar enough.
 
     Every window that isn't in its group's largest class is compared with all of the group that are in other classes: a block of
     ``rows`` / 4 of these with a block of ``rows`` of all in one piece of work, so no pair is a row before it is found, and a hot group is many pieces.
     """
-    held = staged(surroundings(docs, divided(groups, found), length))
+    held = staged(surroundings(docs, divided(groups, found), chosen, length))
     sizes = held.groupBy("key").agg(F.ceil(F.count("*") / rows).alias("parts"), F.ceil(F.sum(F.col("minor").cast("int")) * 4 / rows).alias("minor_parts"))
     dealt = held.join(sizes, "key")
     window = F.struct("text_key", "place", "class", "minor", "around")
@@ -273,9 +288,9 @@ def across(docs: DataFrame, groups: DataFrame, found: DataFrame, length: int, si
     return asked.join(every, "key").select("mine", "theirs").mapInArrow(run, "text_key long, place long, other long, other_place long")
 
 
-def contexts(docs: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFrame:
+def contexts(docs: DataFrame, wanted: DataFrame, chosen: DataFrame, length: int = LENGTH) -> DataFrame:
     """(owner, starts, values): the shingles within ``length`` of any of a text's wanted pivots, as runs: each run's start, length and hashes."""
-    texts = docs.select(F.xxhash64("text").alias("owner"), F.col("text").cast("string").alias("text")).join(wanted, "owner").dropDuplicates(["owner"])
+    texts = texts_of(docs, wanted.withColumnRenamed("owner", "text_key"), chosen).withColumnRenamed("text_key", "owner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,18 +371,19 @@ def links(docs: DataFrame, hashes: int = 5, length: int = LENGTH, similarity: fl
     """(text_key, other, first_word, last_word, similarity): verified links between different texts, with the longest passage in the first."""
     groups = staged(grouped(docs, hashes, length))
     tried = staged(candidates(led(groups), length))
-    found = staged(verified_links(docs, tried, length, similarity))
+    chosen = staged(one_of_each(docs))
+    found = staged(verified_links(docs, tried, chosen, length, similarity))
     known = found.select("text_key", "other").unionByName(found.select(F.col("other").alias("text_key"), F.col("text_key").alias("other")))
-    rest = candidates(across(docs, groups, found, length, similarity), length).join(known, ["text_key", "other"], "left_anti")
-    return found.unionByName(verified_links(docs, staged(rest), length, similarity))
+    rest = candidates(across(docs, groups, found, chosen, length, similarity), length).join(known, ["text_key", "other"], "left_anti")
+    return found.unionByName(verified_links(docs, staged(rest), chosen, length, similarity))
 
 
-def verified_links(docs: DataFrame, pairs: DataFrame, length: int, similarity: float) -> DataFrame:
+def verified_links(docs: DataFrame, pairs: DataFrame, chosen: DataFrame, length: int, similarity: float) -> DataFrame:
     """The links of ``links`` among candidates ``pairs``."""
     ends = F.explode(F.array(F.struct(F.col("text_key").alias("owner"), F.transform("anchors", lambda a: a["pivot"]).alias("p")), F.struct(F.col("other").alias("owner"), F.transform("anchors", lambda a: a["other_pivot"]).alias("p"))))
     # each text's pivots once: at most as many as it has windows, however many texts it is paired with
     wanted = pairs.select(ends.alias("x")).select("x.owner", F.explode("x.p").alias("p")).distinct().groupBy("owner").agg(F.collect_list("p").alias("pivots"))
-    held = staged(contexts(docs, wanted, length))
+    held = staged(contexts(docs, wanted, chosen, length))
     side = lambda name, prefix: held.select(F.col("owner").alias(name), F.col("starts").alias(f"{prefix}_starts"), F.col("values").alias(f"{prefix}_values"))
     both = pairs.join(side("text_key", "my"), "text_key").join(side("other", "other"), "other")
 
