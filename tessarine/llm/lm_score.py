@@ -12,7 +12,8 @@ suffix kept too, so the sum along a text's path is a sum over its n-grams: a wor
 the failure out of it, an n-gram what reading it gains over failing, and the failure out of it as a context.
 Texts are joined with these terms by n-gram. The terms of the most frequent words and n-grams (at most
 1 / ``word_share`` and 1 / ``least_share`` an order) are sent to all workers and added at once. What is left is
-filtered by bit sets of fixed size that pass every kept n-gram (and some others, which then join nothing).
+filtered by bit sets of fixed size that pass every kept n-gram (and some others, which then meet nothing), and
+meets its terms in buckets of keys, each of a bounded number of tokens.
 Words are known by 64-bit hashes, n-grams by hashes of their contexts' and suffixes', rows by those of id and text.
 
 Null and empty texts are the end token alone. Repeated rows have one score each, which is the same; rows of null ids belong
@@ -318,11 +319,35 @@ class Shared:
         return out
 
 
-def scored(docs: DataFrame, held_out: Column, order: int = 3, word_share: float = 2e-6, least_share: float = 2e-6, least_count: int = 3, flush: int = 1_500_000) -> DataFrame:
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each key: buckets are ranges of keys, of one width."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers of eight bytes, byte by byte of all, so that bytes that are alike compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def flat(held: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(held, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Ascending keys as the planes of their differences, whose high bytes are zero."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked(held: bytes) -> np.ndarray:
+    return np.cumsum(flat(held, np.uint64), dtype=np.uint64)
+
+
+def scored(docs: DataFrame, held_out: Column, order: int = 3, word_share: float = 2e-6, least_share: float = 2e-6, least_count: int = 3, flush: int = 1_500_000, bucket_tokens: int = 1_000_000) -> DataFrame:
     """Every row's doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, by a model of the rows that aren't held out.
 
     The shares only tell how many terms of an order are sent to all workers, 1 / share at most; the scores don't depend on them.
-    ``flush``: places of other terms that a task holds before it sends them.
+    ``flush``: places of other terms that a task holds before it sends them, packed by buckets of keys; ``bucket_tokens``: training
+    tokens a bucket, whose terms and places one task holds at a time.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
@@ -340,6 +365,9 @@ def scored(docs: DataFrame, held_out: Column, order: int = 3, word_share: float
         tables.append(Shared(key.view(np.uint64), *values))
     shared = spark.sparkContext.broadcast((tables, filters))
 
+    buckets = max(1, -(-total // bucket_tokens))
+    parts = -(-buckets // 4)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (tables, filters), held, size = shared.value, [], 0
 
@@ -347,9 +375,12 @@ def scored(docs: DataFrame, held_out: Column, order: int = 3, word_share: float
             key, rows = (np.concatenate(c) for c in zip(*held, strict=True))
             by = np.argsort(key)
             key, rows = key[by], rows[by]
-            first = runs(key)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(rows))
-            return pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), lists, pa.nulls(len(first), _ROWS[2].type)], schema=_ROWS)
+            bucket = bucket_of(key, buckets)
+            first = runs(bucket)
+            pieces = list(zip(first.tolist(), np.append(first[1:], len(key)).tolist(), strict=True))
+            none = [b""] * len(pieces)
+            columns = [bucket[first], [packed(key[a:z]) for a, z in pieces], [rows[a:z].tobytes() for a, z in pieces], none, none, none, none]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SENT, strict=True)], schema=_SENT)
 
         for part in slices(batches):
             words, owner = hashed(part.column("text").cast(pa.binary()).to_pylist())
@@ -369,26 +400,58 @@ def scored(docs: DataFrame, held_out: Column, order: int = 3, word_share: float
                     known += np.bincount(mine[hit], minlength=m)
                 held.append((key[~hit], rows[mine[~hit]]))
                 size += len(held[-1][0])
-            single = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32)), pa.array(rows))
-            doc = pa.StructArray.from_arrays([pa.array(c) for c in (sizes, known, base, score)], fields=list(_ROWS[2].type))
-            yield pa.RecordBatch.from_arrays([pa.array(rows), single, doc], schema=_ROWS)
+            # the documents' own sums go to a bucket of their first one's
+            at = int(bucket_of(rows[:1].view(np.uint64), buckets)[0])
+            columns = [at, b"", rows.tobytes(), sizes.astype(np.int64).tobytes(), known.tobytes(), base.tobytes(), score.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(columns, _SENT, strict=True)], schema=_SENT)
             if size >= flush:
                 yield out()
                 held, size = [], 0
         if size:
             yield out()
 
-    sent = texts.select("row", "text").mapInArrow(run, "key long, rows array<bigint>, doc struct<n_tokens:bigint,n_known:bigint,base:double,score:double>")
-    # a document's own row has its hash for a key, which spreads these and meets no term
-    rest = terms.where(~frequent).select("key", F.struct(F.when(word, 1).otherwise(0).alias("n_known"), "base", "score").alias("term"))
-    joined = sent.join(rest, (sent.key == rest.key) & F.col("doc").isNull(), "left")
-    part = lambda c: F.coalesce(F.col("doc")[c], F.col("term")[c], F.lit(0)).alias(c)
-    each = joined.where("doc is not null or term is not null").select(F.explode("rows").alias("row"), F.col("doc.n_tokens").alias("n_tokens"), part("n_known"), part("base"), part("score"))
-    # rows of one id and text have one sum, over all of them
-    found = each.groupBy("row").agg(F.max("n_tokens").alias("n_tokens"), F.count("n_tokens").alias("copies"), *(F.sum(c).alias(c) for c in ("n_known", "base", "score")))
-    found = found.select("row", "n_tokens", (F.col("n_known") / F.col("copies")).cast("long").alias("n_known"), (F.col("base") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"))
+    def met(sent: pa.Table, terms: pa.Table) -> pa.Table:
+        """The sums by document of a bucket's terms, and the documents' own."""
+        held = {c: [np.frombuffer(x, kind) for x in sent.column(c).to_pylist()] for c, kind in (("rows", np.int64), ("sizes", np.int64), ("known", np.int64), ("base", np.float64), ("score", np.float64))}
+        own = [len(x) > 0 for x in held["sizes"]]
+        whole = lambda arrays, kind, wanted: np.concatenate([np.zeros(0, kind), *(x for x, o in zip(arrays, own, strict=True) if o is wanted)])
+        docs = {c: whole(x, np.float64 if c in ("base", "score") else np.int64, True) for c, x in held.items()}
+        row = whole(held["rows"], np.int64, False)
+        key = whole([unpacked(x) for x in sent.column("keys").to_pylist()], np.uint64, False)
+        known = terms.column("key").to_numpy().view(np.uint64)
+        by = np.argsort(known)
+        place = np.searchsorted(known, key, sorter=by)
+        hit = np.flatnonzero(place < len(by))
+        hit = hit[known[by[place[hit]]] == key[hit]]
+        place = by[place[hit]]
+        whose, at = np.unique(row[hit], return_inverse=True)
+        sums = {c: np.bincount(at, terms.column(c).to_numpy()[place], len(whose)) for c in ("known", "base", "score")}
+        both = {"rows": np.concatenate([docs["rows"], whose]).view(np.uint64), "sizes": np.concatenate([docs["sizes"], np.zeros(len(whose), np.int64)])}
+        both |= {c: np.concatenate([docs[c], sums[c].astype(docs[c].dtype)]) for c in sums}
+        # packed by ranges of documents, so that a bucket is no row for each of its documents
+        by = np.argsort(both["rows"])
+        both = {c: x[by] for c, x in both.items()}
+        part = bucket_of(both["rows"], parts)
+        first = runs(part)
+        pieces = list(zip(first.tolist(), np.append(first[1:], len(part)).tolist(), strict=True))
+        columns = [pa.array(part[first])] + [pa.array([(packed if c == "rows" else planes)(x[a:z]) for a, z in pieces], pa.binary()) for c, x in both.items()]
+        return pa.table(columns, names=["part", *both])
+
+    def summed(pieces: pa.Table) -> pa.Table:
+        """Every document of a range with the sums of all buckets; rows of one id and text have one sum, over all of them."""
+        whole = {c: np.concatenate([unpacked(x) if c == "rows" else flat(x, kind) for x in pieces.column(c).to_pylist()]) for c, kind in (("rows", None), ("sizes", np.int64), ("known", np.int64), ("base", np.float64), ("score", np.float64))}
+        rows, at = np.unique(whole["rows"], return_inverse=True)
+        copies = np.bincount(at, whole["sizes"] > 0, len(rows))
+        sums = [np.bincount(at, whole[c], len(rows)) / copies for c in ("sizes", "known", "base", "score")]
+        return pa.table([pa.array(rows.view(np.int64)), *(pa.array(np.rint(x).astype(np.int64)) for x in sums[:2]), *map(pa.array, sums[2:])], names=["row", "n_tokens", "n_known", "base_score", "score"])
+
+    sent = texts.select("row", "text").mapInArrow(run, "bucket long, keys binary, rows binary, sizes binary, known binary, base binary, score binary")
+    bucket = F.shiftright(F.call_function("shiftrightunsigned", "key", F.lit(32)) * F.lit(buckets), 32)
+    rest = terms.where(~frequent).select(bucket.alias("bucket"), "key", F.when(word, 1).otherwise(0).cast("long").alias("known"), "base", "score")
+    met_ = sent.groupBy("bucket").cogroup(rest.groupBy("bucket")).applyInArrow(met, "part long, rows binary, sizes binary, known binary, base binary, score binary")
+    found = met_.groupBy("part").applyInArrow(summed, "row long, n_tokens long, n_known long, base_score double, score double")
     named = texts.select("doc_id", "held_out", "row").join(found, "row")
     return named.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-_ROWS = pa.schema([("key", pa.int64()), ("rows", pa.list_(pa.int64())), ("doc", pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]))])
+_SENT = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("keys", "rows", "sizes", "known", "base", "score"))])
