@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..sources.staging import staged
-from .common import n_words
 
 WIDTH, LENGTH = 5, 46
 #: Distance of the shingles that stand for the 15 words on one side of a pivot.
@@ -105,7 +104,14 @@ def compact_windows(values: np.ndarray, length: int = LENGTH, sizes: list[int] |
     return pivot, first, last
 
 
-def ends_of_repeats(base: np.ndarray, owner: np.ndarray, pivot: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def run_lengths(base: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """At each place how many equal shingles stand in a row there."""
+    change = np.flatnonzero(np.append(True, (base[1:] != base[:-1]) | (owner[1:] != owner[:-1]))) if len(base) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(change, len(base)))
+    return np.repeat(sizes, sizes)
+
+
+def ends_of_repeats(base: np.ndarray, owner: np.ndarray, runs: np.ndarray, pivot: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The windows without those between the first and the last of a chain whose pivots are one shingle over and over, each within ``length`` of the next.
 
     A word repeated a hundred times is one shingle at a hundred places, each of them a pivot. What lies between the ends holds the same shingles
@@ -117,10 +123,7 @@ def ends_of_repeats(base: np.ndarray, owner: np.ndarray, pivot: np.ndarray, firs
     pivot, first, last = pivot[by], first[by], last[by]
     chained = (base[pivot[1:]] == base[pivot[:-1]]) & (owner[pivot[1:]] == owner[pivot[:-1]]) & (np.diff(pivot) <= length)
     out = np.append(False, chained) & np.append(chained, False)
-    if len(base):
-        change = np.flatnonzero(np.append(True, (base[1:] != base[:-1]) | (owner[1:] != owner[:-1])))
-        runs = np.repeat(np.diff(np.append(change, len(base))), np.diff(np.append(change, len(base))))[pivot]
-        out |= (runs >= 3) & (runs < length - SHORT)
+    out |= (runs[pivot] >= 3) & (runs[pivot] < length - SHORT)
     return pivot[~out], first[~out], last[~out]
 
 
@@ -130,10 +133,11 @@ def window_keys(texts: list[bytes | None], hashes: int, length: int = LENGTH) ->
     sizes = [len(x) for x in parts]
     base, begins = np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
     owner, out = np.repeat(np.arange(len(sizes)), sizes), []
+    repeats = run_lengths(base, owner)
     for j in range(hashes):
         seed = np.uint64((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
         pivot, first, last = compact_windows(_mix(base + seed), length, sizes)
-        pivot, first, last = ends_of_repeats(base, owner, pivot, first, last, length)
+        pivot, first, last = ends_of_repeats(base, owner, repeats, pivot, first, last, length)
         row = owner[pivot]
         for side, step in ((0, _SIDE), (1, -_SIDE)):
             far = pivot + step[-1]
@@ -417,12 +421,17 @@ def verified_links(docs: DataFrame, pairs: DataFrame, chosen: DataFrame, length:
     return both.select(*columns).mapInArrow(run, "text_key long, other long, first_word int, last_word int, similarity double")
 
 
+def _least_words(n: int) -> str:
+    """An expression that a text of ``n`` words or more matches, read no further than that."""
+    return rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{n - 1}}}[^\x20\x09-\x0D]"
+
+
 def repeated(docs: DataFrame, hashes: int = 5, length: int = LENGTH, similarity: float = 0.8) -> DataFrame:
     """One row for each document that shares a passage with another: doc_id, class_id (the smallest id of its class), n_links, first_word and last_word
     (the longest passage that a link of its text names; null if its text only leads others or has copies alone)."""
     found = staged(links(docs, hashes, length, similarity))
     parts = connected_components(found, "text_key", "other").withColumnRenamed("node", "text_key")
-    rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), n_words(F.col("text").cast("string")).alias("n")).where(F.col("n") >= length + WIDTH - 1).drop("n"))
+    rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").rlike(_least_words(length + WIDTH - 1)).alias("long")).where("long").drop("long"))
     ends = F.explode(F.array(F.struct(F.col("text_key").alias("k"), F.struct(F.col("last_word") - F.col("first_word"), "first_word", "last_word").alias("span")), F.struct(F.col("other").alias("k"), F.lit(None).cast("struct<col1:int,first_word:int,last_word:int>").alias("span"))))
     own = found.select(ends.alias("x")).groupBy(F.col("x.k").alias("text_key")).agg(F.count("*").alias("links"), F.max("x.span").alias("span"))
     copies = rows.groupBy("text_key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
