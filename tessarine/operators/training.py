@@ -59,13 +59,11 @@ def train(ids: DataFrame, num_entities: int, dim: int = 16, epochs: int = 5, rat
 
 
 def predictions(asked: DataFrame, entities: DataFrame, relations: DataFrame, known: DataFrame, k: int) -> DataFrame:
-    """The k best unknown tails of every asked (h, r), with score; known (h, r, t) are left out."""
-    query = asked.select("h", "r").distinct().join(entities.select(F.col("id").alias("h"), F.col("v").alias("hv")), "h").join(relations.select(F.col("id").alias("r"), F.col("v").alias("rv")), "r")
-    query = query.select("h", "r", F.zip_with("hv", "rv", lambda a, b: a * b).alias("q"))
-    every = query.crossJoin(entities.select(F.col("id").alias("t"), F.col("v").alias("tv")))
-    found = every.select("h", "r", "t", F.expr("aggregate(sequence(0, size(q) - 1), 0D, (a, i) -> a + q[i] * tv[i])").alias("score")).join(known.select("h", "r", "t"), ["h", "r", "t"], "left_anti")
-    from .graph import top_per_group
-
-    return top_per_group(found, ["h", "r"], [F.desc("score"), "t"], k).select("h", "r", "t", "score")
-
-
+    """The k best unknown tails of every asked (h, r), with score; known (h, r, t) are left out. Scored block by block, so no query is a row for each entity."""
+    from ..models.engine import Model
+    from ..models.forms import FORMS, dimensions
+    from .prediction import predict_target
+
+    size = entities.select(F.size("v").alias("n")).first()
+    model = Model("distmult", dimensions(FORMS["distmult"], size.n if size else 1), entities, relations)
+    return predict_target(model, asked, "tail", k, known=known, drop_known=True)
