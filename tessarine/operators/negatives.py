@@ -37,6 +37,17 @@ def pseudo_typed(triples: DataFrame, per_positive: int = 1, seed: int = 0) -> Da
     return found.select(F.when(F.col("on_head"), F.col("e")).otherwise(F.col("h")).alias("h"), "r", F.when(F.col("on_head"), F.col("t")).otherwise(F.col("e")).alias("t"), F.col("on_head").alias("corrupted_head"), F.col("h").alias("positive_h"), F.col("t").alias("positive_t"))
 
 
+def pseudo_typed_tails(triples: DataFrame, seed: int = 0) -> DataFrame:
+    """(h, r, t, negative): each triple with another tail of its relation, at a hashed place in the relation's pool that isn't its own tail's. Relations of one tail have none."""
+    pool = triples.select("r", F.col("t").alias("negative")).where("negative is not null").distinct()
+    placed = positions(pool, ["r"], ["negative"])
+    asked = triples.select("h", "r", "t").join(pool.groupBy("r").agg(F.count("*").alias("n")), "r").where("n > 1")
+    asked = asked.join(placed.select("r", F.col("negative").alias("t"), F.col("place").alias("own")), ["r", "t"])
+    draw = F.floor(unit_hash("h", "r", "t", seed=seed) * (F.col("n") - 1)).cast("long")
+    asked = asked.withColumn("draw", draw).withColumn("place", F.col("draw") + (F.col("draw") >= F.col("own")).cast("long"))
+    return asked.join(placed, ["r", "place"]).select("h", "r", "t", "negative")
+
+
 def filtered(negatives: DataFrame, known: DataFrame) -> DataFrame:
     """The negatives that are no known triples."""
     return negatives.join(known.select("h", "r", "t").distinct(), ["h", "r", "t"], "left_anti")

@@ -226,7 +226,8 @@ _kg("pagerank", graph.pagerank, "SELECT node, round(rank, 6) AS rank FROM p10",
 _kg("rank_anchors", lambda kg: graph.rank_anchors(kg, 20), "SELECT node FROM (SELECT node, row_number() OVER (ORDER BY round(rank, 12) DESC, node) AS nth FROM p10) WHERE nth <= 20", _PR)
 _PPR = f"{_NEAR}, e AS (SELECT a, b, count(*) OVER (PARTITION BY a) AS d FROM near), q0 AS (SELECT DISTINCT h AS anchor, h AS node, 1.0::DOUBLE AS rank FROM kg WHERE r = 'region_has_nation')" + "".join(
     f", q{k} AS (SELECT anchor, node, sum(rank) AS rank FROM (SELECT anchor, b AS node, 0.85::DOUBLE * rank / d AS rank FROM q{k - 1} JOIN e ON node = a UNION ALL SELECT anchor, node, 0.15::DOUBLE FROM q0) GROUP BY anchor, node)" for k in (1, 2, 3))
-_kg("anchor_pageranks", lambda kg: graph.anchor_pageranks(kg, _regions(kg)), "SELECT anchor, node, round(rank, 6) AS rank FROM q3", _PPR)
+# a hair is added, as some ranks are halves of the last place
+_kg("anchor_pageranks", lambda kg: graph.anchor_pageranks(kg, _regions(kg)).withColumn("rank", F.col("rank") + 1e-9), "SELECT anchor, node, round(rank + 1e-9, 6) AS rank FROM q3", _PPR)
 _kg("mixed_anchors", lambda kg: graph.mixed_anchors(kg, {"degree": 0.5, "random": 0.5}, 16))
 _kg("sampled_tokens", lambda kg: graph.sampled_tokens(kg, 3).select("node", F.array_join("tokens", ",").alias("tokens")))
 _WL = f"{_NEAR}, c0 AS (SELECT a AS node, CAST(count(*) AS VARCHAR) AS colour FROM near GROUP BY a)" + "".join(
@@ -270,7 +271,8 @@ def _basic_negatives(kg: DataFrame) -> DataFrame:
 
 
 _kg("basic_negatives", _basic_negatives)
-_kg("pseudo_typed_negatives", lambda kg: negatives.pseudo_typed(kg))
+_kg("pseudo_typed_negatives", negatives.pseudo_typed_tails)
+_kg("typed_negatives", lambda kg: negatives.pseudo_typed(kg))
 _kg("filtered_negatives", lambda kg: negatives.filtered(negatives.pseudo_typed(kg, 2), kg))
 _kg("remixed_split", lambda kg: splitting.remixed(splitting.split(kg, [0.8, 0.1])).groupBy("part").agg(F.count("*").alias("n")), """SELECT part, n FROM (SELECT count(*) AS c FROM kg), LATERAL (VALUES (0, floor(0.8::DOUBLE * c + 1e-9)::BIGINT),
   (1, (floor((0.8::DOUBLE + 0.1::DOUBLE) * c + 1e-9) - floor(0.8::DOUBLE * c + 1e-9))::BIGINT), (2, (c - floor((0.8::DOUBLE + 0.1::DOUBLE) * c + 1e-9))::BIGINT)) x(part, n)""")

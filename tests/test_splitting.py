@@ -2,6 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessarine.operators import negatives, splitting
+from tessarine.plans import catalog
+
+SF = "/root/testdata/sf0.001"
 
 
 def graph(spark, n=200):
@@ -84,3 +87,25 @@ def test_bloom_filter(spark):
     assert negatives.BloomFilter(kg.where("false"), 1).without_members(other).count() == 20_000
     assert negatives.filtered(other.limit(3), other.limit(3).select("h", "r", "t")).count() <= 3
     assert splitting.basic_negatives(kg.limit(2), 1).count() == 0
+
+
+def test_registered_negatives_are_of_their_relations_and_whole(spark):
+    kg = {tuple(r) for r in catalog.star_triples(spark, SF).select("h", "r", "t").collect()}
+    heads, tails = {(r, h) for h, r, _ in kg}, {(r, t) for _, r, t in kg}
+    found = catalog.QUERIES["typed_negatives"](spark, SF).collect()
+    # every positive has its copy, whose new end is one of the relation's and not the positive's
+    assert len(found) == len(kg)
+    for r in found:
+        assert ((r.r, r.h) in heads and r.h != r.positive_h and r.t == r.positive_t) if r.corrupted_head else ((r.r, r.t) in tails and r.t != r.positive_t and r.h == r.positive_h)
+    several = {r for r in {r for r, _ in tails} if sum(x == r for x, _ in tails) > 1}
+    assert catalog.QUERIES["pseudo_typed_negatives"](spark, SF).count() == sum(r in several for _, r, _ in kg)
+    assert not kg & {(r.h, r.r, r.t) for r in catalog.QUERIES["filtered_negatives"](spark, SF).collect()}
+
+
+def test_parts_of_a_semi_inductive_split_have_one_end_inside(spark):
+    semi = catalog.QUERIES["semi_inductive_split"](spark, SF).collect()
+    inside = {x for r in semi if r.part == 0 for x in (r.h, r.t)}
+    ends = [(r.part, (r.h in inside) + (r.t in inside)) for r in semi]
+    # an end of part 0 may stand in no triple of that part
+    assert all(n == 2 if part == 0 else n <= 1 for part, n in ends) and {p for p, _ in ends} == {0, 1, 2}
+    assert any(part > 0 and n == 1 for part, n in ends)
