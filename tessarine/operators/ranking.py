@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,12 +153,36 @@ def log_mean_power(n: str, p: str, exact: int = 256) -> Column:
     return F.expr(f"log1p(({head} + if({n} <= {exact}, 0D, {area(n)} - {area(m)} + ({less(n)} - {less(m)}) / 2 + {first} - {third})) / {n})")
 
 
-def all_metrics(rows: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10), weight: str | None = None) -> DataFrame:
+def log_means_in_order(sizes: DataFrame) -> DataFrame:
+    """Sizes (n, share, ...) with the columns g1 and g2 of ``log_mean_power`` for share and twice share, from powers that are added one by one from k = 1.
+
+    Plain sums lose the last places as a plain SQL sum does. All sizes of one share are read off one sweep; they are distinct counts, so few.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        n, share = table.column("n").to_numpy(), table.column("share")[0].as_py()
+        most, totals, found = int(n.max()), [0.0, 0.0], [np.zeros(len(n)), np.zeros(len(n))]
+        for at in range(1, most + 1, 1 << 20):
+            k = np.arange(at, min(at + (1 << 20), most + 1), dtype=np.float64)
+            mine = np.flatnonzero((n >= at) & (n < at + len(k)))
+            for i, p in enumerate((share, 2 * share)):
+                # a cumulative sum adds in order
+                sums = np.cumsum(np.append(totals[i], k**p))
+                found[i][mine] = np.log(sums[n[mine] - at + 1] / n[mine])
+                totals[i] = sums[-1]
+        return pa.table({"n": table.column("n"), "share": table.column("share"), "g1": pa.array(found[0]), "g2": pa.array(found[1])})
+
+    each = sizes.select("n", "share").where("n > 0").distinct().groupBy("share").applyInArrow(run, "n long, share double, g1 double, g2 double")
+    return sizes.join(each, ["n", "share"], "left")
+
+
+def all_metrics(rows: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10), weight: str | None = None, in_order: bool = False) -> DataFrame:
     """Every rank metric by side (and over both) and rank type: side, rank_type, metric, value.
 
     ``rows``: side, rank_type, rank, candidates, and a column of weights if ``weight`` names one. What random ranks would give is in closed form:
     a metric's expectation adjusts it and its variance gives the z-score (larger is better). Rows of no candidates but the true one count
-    with expectation one and no variance; a metric whose divisor is zero is null. Null ranks are left out.
+    with expectation one and no variance; a metric whose divisor is zero is null. Null ranks are left out. ``in_order``: what random ranks
+    would give the geometric mean comes from sums term by term, as SQL has it, with the places that those lose.
     """
     keys = ["side", "rank_type"]
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -171,7 +197,7 @@ def all_metrics(rows: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10), weight: st
     sizes = staged(rows.groupBy(*keys, "n", "w").agg(F.count("*").alias("c"))).join(sums.select(*keys, "all_w"), keys).withColumn("share", F.col("w") / F.col("all_w"))
     size, c = F.col("n").cast("double"), F.col("c")
     sizes = sizes.withColumn("h1", power_sum("n", "-1D") / size).withColumn("h2", power_sum("n", "-2D") / size)
-    sizes = sizes.withColumn("g1", log_mean_power("n", "share")).withColumn("g2", log_mean_power("n", "(2 * share)"))
+    sizes = log_means_in_order(sizes) if in_order else sizes.withColumn("g1", log_mean_power("n", "share")).withColumn("g2", log_mean_power("n", "(2 * share)"))
     moment = lambda name, mean, variance: [F.sum(c * F.col("share") * mean).alias(f"e_{name}"), F.sum(c * F.col("share") * F.col("share") * variance).alias(f"v_{name}")]
     p = {k: F.least(F.lit(1.0), F.lit(float(k)) / size) for k in ks}
     expected = sizes.groupBy(*keys).agg(

@@ -313,7 +313,7 @@ def _significant(df: DataFrame) -> DataFrame:
     return df.withColumn("value", F.when(F.col("metric") == "z_geometric_mean_rank", F.format_string("%.1e", "value")).otherwise(F.format_string("%.7e", "value")))
 
 
-_kg("all_rank_metrics", lambda kg: _significant(ranking.all_metrics(_ranks(kg).withColumn("rank_type", F.lit("realistic")), _KS)), f"SELECT side, rank_type, metric, CASE WHEN metric = 'z_geometric_mean_rank' THEN format('{{:.1e}}', value) ELSE format('{{:.7e}}', value) END AS value FROM ({_all_metrics_sql(f'WITH {_KG}, {_RANKS}')})")
+_kg("all_rank_metrics", lambda kg: _significant(ranking.all_metrics(_ranks(kg).withColumn("rank_type", F.lit("realistic")), _KS, in_order=True)), f"SELECT side, rank_type, metric, CASE WHEN metric = 'z_geometric_mean_rank' THEN format('{{:.1e}}', value) ELSE format('{{:.7e}}', value) END AS value FROM ({_all_metrics_sql(f'WITH {_KG}, {_RANKS}')})")
 
 # predictions
 
