@@ -24,7 +24,7 @@ Shape = tuple[str, ...]
 
 @dataclass(frozen=True)
 class Form:
-    """``score(h, r, t, w, **settings)``; ``sides``: the places of an entity's parts that heads and tails use (all if empty)."""
+    """``score(h, r, t, w, **settings)``; ``sides``: the places of an entity's parts that heads and tails use (all if empty); ``product``: the score is the sum of h r t, so blocks are matrix products."""
 
     score: Callable[..., Value]
     entity: tuple[Shape, ...] = (("d",),)
@@ -32,6 +32,7 @@ class Form:
     weights: dict[str, Shape] = field(default_factory=dict)
     settings: dict[str, object] = field(default_factory=dict)
     sides: tuple[tuple[int, ...], tuple[int, ...]] = ((), ())
+    product: bool = False
 
     def sizes(self, dims: dict[str, int]) -> tuple[list[tuple[int, ...]], list[tuple[int, ...]], dict[str, tuple[int, ...]]]:
         """Shapes as numbers: of the entity's parts, the relation's parts and the weights."""
@@ -367,7 +368,7 @@ FORMS: dict[str, Form] = {
     "transe_l2": Form(_distance),
     "um": Form(_um, relation=()),
     "transf": Form(_transf),
-    "distmult": Form(_product),
+    "distmult": Form(_product, product=True),
     "distma": Form(_distma),
     "complex": Form(_complex, (_D, _D), (_D, _D)),
     "rotate": Form(_rotate, (_D, _D)),

@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..models.engine import CELLS, Model, against_all, matrix, score_triples, top_candidates, with_vectors
+from ..models.engine import CELLS, Model, against_all, blocked, lists, matrix, score_triples, top_candidates, with_vectors
+from ..sources.staging import staged
 from .graph import top_per_group
 
 _FIXED = {"h": ["r", "t"], "t": ["h", "r"], "r": ["h", "t"]}
@@ -71,8 +72,14 @@ def all_scores(model: Model, queries: DataFrame, s: str, fixed: list[str], candi
 
 
 def predict_all(model: Model, k: int, relations: DataFrame | None = None) -> DataFrame:
-    """The ``k`` best of all triples (h, r, t, score). Each pair of blocks sends its k best, whatever the number of entities."""
+    """The ``k`` best of all triples (h, r, t, score). Each pair of blocks sends its k best, whatever the number of entities.
+
+    Where scores are sums of h r t, those that cannot be among the best are told by the lengths of their vectors, which loses nothing, and the rest are matrix products.
+    """
     wanted = model.relations if relations is None else model.relations.join(relations.select("id").distinct(), "id", "left_semi")
+    schema = "h long, r long, t long, score double"
+    if model.form.product:
+        return _best_products(model, k, wanted, schema).orderBy(F.desc("score"), "h", "r", "t").limit(k)
     # the queries are each block of heads with each relation, made where they are scored
     heads = model.entities.select(F.col("id").alias("h"), F.col("v").alias("hv"))
     queries = heads.crossJoin(wanted.select(F.col("id").alias("r"), F.col("v").alias("rv")))
@@ -83,13 +90,107 @@ def predict_all(model: Model, k: int, relations: DataFrame | None = None) -> Dat
         # all that tie with the last one take part in the choice by ids
         some = np.flatnonzero(flat >= flat[some].min())
         i, j = some // scores.shape[1], some % scores.shape[1]
-        order = np.lexsort((ids[j], columns["r"][i], columns["h"][i], -flat[some]))[:k]
-        return pa.RecordBatch.from_arrays([pa.array(columns["h"][i[order]]), pa.array(columns["r"][i[order]]), pa.array(ids[j[order]]), pa.array(flat[some][order])], names=["h", "r", "t", "score"])
+        return _best_rows(k, columns["h"][i], columns["r"][i], ids[j], flat[some])
 
-    found = against_all(model, queries, "t", consume, "h long, r long, t long, score double", ["h", "r"])
+    found = against_all(model, queries, "t", consume, schema, ["h", "r"])
     return found.orderBy(F.desc("score"), "h", "r", "t").limit(k)
 
 
+def _best_rows(k: int, h: np.ndarray, r: np.ndarray, t: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    order = np.lexsort((t, r, h, -score))[:k]
+    return pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (h, r, t, score)], names=["h", "r", "t", "score"])
+
+
+def _best_products(model: Model, k: int, wanted: DataFrame, schema: str, rows: int = 2048, some: int = 1024) -> DataFrame:
+    """The k best triples of each task under a score that is the sum of h r t.
+
+    By Cauchy and Schwarz a score is at most the product of the lengths of h and t with their numbers weighed by the root of |r|. Triples of the
+    entities that are longest so give the k-th best score of some triples; of all others only those whose bound reaches it are scored. As h and t
+    may change places, each pair of blocks is multiplied once. Scores are the form's own: matrix products only choose, with a margin for their rounding.
+    """
+    score = model.scorer()
+    table = staged(blocked(model.entities.select("id", "v"), ["v"], ["id"], rows).withColumn("block", F.monotonically_increasing_id()))
+    asked = staged(blocked(wanted.select(F.col("id").alias("r"), F.col("v").alias("rv")), ["rv"], ["r"], 64))
+
+    def lengths(v: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        return np.sqrt(v * v @ weight)
+
+    def blocks(batches: Iterator[pa.RecordBatch], *columns: str | tuple[str, str]) -> Iterator[list]:
+        """Ids and rows of vectors of each pair of columns, and the values of single ones, a row's blocks at a time."""
+        for batch in batches:
+            for row in range(batch.num_rows):
+                out = []
+                for c in columns:
+                    if isinstance(c, str):
+                        out.append(batch.column(c)[row].as_py())
+                    else:
+                        ids = batch.column(c[0])[row].values.to_numpy()
+                        out += ids, batch.column(c[1])[row].values.to_numpy().reshape(len(ids), -1)
+                yield out
+
+    def longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, v, r, rv in blocks(batches, ("id", "v"), ("r", "rv")):
+            for i in range(len(r)):
+                size = lengths(v, np.abs(rv[i]))
+                best = np.lexsort((ids, -size))[:64]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), r[i])), pa.array(size[best]), pa.array(ids[best]), lists(v[best]), lists(np.repeat(rv[i : i + 1], len(best), axis=0))], names=["r", "size", "id", "v", "rv"])
+
+    def among(group: pa.Table) -> pa.Table:
+        v, rv = matrix(group.column("v")), matrix(group.column("rv"))[0]
+        flat = (v * rv @ v.T).ravel()
+        return pa.table({"score": pa.array(np.sort(flat)[-k:])})
+
+    width = model.form.widths(model.dims)[1]
+    long_ = table.crossJoin(asked).mapInArrow(longest, "r long, size double, id long, v array<double>, rv array<double>")
+    # only a bound is found from these, so how many they are changes no result
+    top = top_per_group(long_, ["r"], [F.desc("size"), "id"], some).select("r", "v", "rv").groupBy("r").applyInArrow(among, "score double")
+    least = [x.score for x in top.orderBy(F.desc("score")).limit(k).collect()]
+    least = least[-1] if len(least) == k else -np.inf
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bound = None, least
+        for hb, hs, hv, tb, ts, tv, r, rv in blocks(batches, "hb", ("h", "hv"), "tb", ("t", "tv"), ("r", "rv")):
+            for i in range(len(r)):
+                weight = np.abs(rv[i])
+                hn, tn = lengths(hv, weight), lengths(tv, weight)
+                # rounding of a sum of width products, generously
+                margin = 1e-15 * (width + 8) * float(hn.max() * tn.max())
+                h_by, t_by = np.argsort(-hn), np.argsort(-tn)
+                pairs = []
+                for at in range(0, len(h_by), 64):
+                    rows_ = h_by[at : at + 64]
+                    # the tails that reach the bound with the longest of these heads
+                    m = int(np.searchsorted(-(tn[t_by] * hn[rows_[0]]), -(bound - margin), side="right"))
+                    if not m:
+                        break
+                    products = (hv[rows_] * rv[i]) @ tv[t_by[:m]].T
+                    a, b = np.nonzero(products >= bound - margin)
+                    pairs.append((rows_[a], t_by[b]))
+                    if len(a) > k:
+                        # k scores of this block are all at least the k-th of their products
+                        bound = max(bound, float(np.partition(products[a, b], len(a) - k)[len(a) - k]) - margin)
+                if not pairs or not sum(len(a) for a, _ in pairs):
+                    continue
+                a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                step = max(1, CELLS // max(1, width))
+                exact = np.concatenate([score(hv[a[x : x + step]], rv[i : i + 1], tv[b[x : x + step]]) for x in range(0, len(a), step)])
+                new = [hs[a], np.full(len(a), r[i]), ts[b], exact]
+                if hb != tb:
+                    # the other way round, rounded as the form does it
+                    turned = np.concatenate([score(tv[b[x : x + step]], rv[i : i + 1], hv[a[x : x + step]]) for x in range(0, len(a), step)])
+                    new = [np.concatenate(x) for x in zip(new, [ts[b], new[1], hs[a], turned], strict=True)]
+                held = _best_rows(k, *(new if held is None else [np.concatenate([held.column(c).to_numpy(), x]) for c, x in enumerate(new)]))
+                if held.num_rows == k:
+                    bound = max(bound, held.column(3)[k - 1].as_py())
+        if held is not None:
+            yield held
+
+    spread = max(2, 2 * table.sparkSession.sparkContext.defaultParallelism)
+    heads = table.select(F.col("block").alias("hb"), F.col("id").alias("h"), F.col("v").alias("hv")).repartition(spread)
+    tails = table.select(F.col("block").alias("tb"), F.col("id").alias("t"), F.col("v").alias("tv"))
+    return heads.crossJoin(tails).where("hb <= tb").crossJoin(asked).mapInArrow(run, schema)
+
+
 def predict_triples(model: Model, triples: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Scores of given triples and, if ``known`` is given, in_known."""
     found = score_triples(model, triples)
