@@ -129,6 +129,39 @@ def _out(parts: dict[int, list[tuple[np.ndarray, np.ndarray]]], weights: dict[st
     yield _rows(_LOSS, np.array([0]), np.array([[loss]]))
 
 
+class _Sums:
+    """Sums of gradients by id over a task's pieces of work, of bounded size: rows go out when three quarters of ``CELLS`` numbers of different ids are held, or at the end."""
+
+    def __init__(self):
+        self.held, self.numbers, self.weights, self.loss = {}, 0, {}, 0.0
+
+    def add(self, parts: dict[int, list[tuple[np.ndarray, np.ndarray]]], weights: dict[str, Value], loss: float) -> Iterator[pa.RecordBatch]:
+        self.loss += loss
+        for k, w in enumerate(weights.values()):
+            if w.grad is not None:
+                self.weights[k] = self.weights.get(k, 0.0) + w.grad.reshape(1, -1)
+        for kind, new in parts.items():
+            self.held.setdefault(kind, []).extend(x for x in new if x[1].shape[1])
+            self.numbers += sum(g.size for _, g in new)
+        if self.numbers > CELLS:
+            self.numbers = 0
+            for kind, held in self.held.items():
+                if held:
+                    self.held[kind] = [_summed(np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held]))]
+                    self.numbers += self.held[kind][0][1].size
+            if self.numbers > CELLS * 3 // 4:
+                yield from self.out()
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        for kind, held in self.held.items():
+            if held:
+                yield _rows(kind, *_summed(np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held])))
+        for k, g in self.weights.items():
+            yield _rows(_WEIGHT, np.array([k]), g)
+        yield _rows(_LOSS, np.array([0]), np.array([[self.loss]]))
+        self.__init__()
+
+
 def pair_gradients(model: Model, positives: DataFrame, negatives: DataFrame, trainer: Trainer, scale: float, terms: int) -> DataFrame:
     """Gradients of ``scale`` times the loss's sum of ``terms`` a positive over positives and their negatives (h, r, t, j, on_head, other)."""
     gathered = negatives.join(model.entities.select(F.col("id").alias("other"), F.col("v").alias("ov")), "other")
@@ -169,14 +202,21 @@ def pair_gradients(model: Model, positives: DataFrame, negatives: DataFrame, tra
     return batch.mapInArrow(run, _GRADIENTS)
 
 
-def _dense(model: Model, queries: DataFrame, side: str, seeds: Callable, columns: list[str], scale: float = 1.0, query_rows: int = 128, entity_rows: int = 2048) -> DataFrame:
-    """Gradients of scores of all entities for queries, whose losses and seeds ``seeds(scores, columns)`` gives, block by block."""
+def _dense(model: Model, queries: DataFrame, side: str, seeds: Callable, columns: list[str], num_entities: int, scale: float = 1.0, query_rows: int = 256, entity_rows: int = 2048) -> DataFrame:
+    """Gradients of scores of all entities for queries, whose losses and seeds ``seeds(scores, columns)`` gives, block by block.
+
+    A task takes a part of the queries and as many entities as it can hold sums for, so rows are those of the entities once a part of
+    queries (one a core) and those of the queries once a part of entities, not once a pair of blocks.
+    """
     fixed = [s for s in "hrt" if s != side]
-    asked = blocked(queries, [f"{s}v" for s in fixed], [*fixed, *columns], query_rows)
-    every = blocked(model.entities.select(F.col("id").alias("candidate"), F.col("v").alias("candidate_v")), ["candidate_v"], ["candidate"], entity_rows)
     form, dims, weights = model.form, model.dims, model.weights
+    entity_parts = max(1, -(-num_entities * max(1, form.widths(dims)[0]) * 2 // CELLS))
+    asked = blocked(queries.repartition(max(2, queries.sparkSession.sparkContext.defaultParallelism)), [f"{s}v" for s in fixed], [*fixed, *columns], query_rows)
+    every = blocked(model.entities.select(F.col("id").alias("candidate"), F.col("v").alias("candidate_v")), ["candidate_v"], ["candidate"], entity_rows).repartition(entity_parts)
+    product = form.product
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums()
         for batch in batches:
             for row in range(batch.num_rows):
                 get = lambda c: batch.column(c)[row].values  # noqa: B023, E731
@@ -185,19 +225,30 @@ def _dense(model: Model, queries: DataFrame, side: str, seeds: Callable, columns
                 whole = get("candidate_v").to_numpy().reshape(m, -1)
                 given = {c: get(c).to_numpy() for c in columns}
                 own = {s: get(f"{s}v").to_numpy().reshape(n, -1) for s in fixed}
-                step = max(1, CELLS // (max(1, whole.shape[1] + sum(v.shape[1] for v in own.values())) * max(1, m)))
+                wide = 8 if product else max(1, whole.shape[1] + sum(v.shape[1] for v in own.values()))
+                step = max(1, CELLS // (wide * max(1, m)))
                 for a in range(0, n, step):
-                    values = {s: Value(v[a : a + step][:, None], True) for s, v in own.items()} | {side: Value(whole[None], True)}
-                    w = {k: Value(x, True) for k, x in weights.items()}
-                    scores = form(values["h"], values["r"], values["t"], w, dims)
-                    loss, seed = seeds(scores.x, {c: x[a : a + step][:, None] for c, x in given.items()})
-                    scores.backward(seed * scale)
+                    few = {c: x[a : a + step][:, None] for c, x in given.items()}
+                    if product:
+                        x, y = (own[s][a : a + step] for s in fixed)
+                        both = x * y
+                        loss, seed = seeds(both @ whole.T, few)
+                        g = seed @ whole * scale
+                        grads = {fixed[0]: g * y, fixed[1]: g * x, side: seed.T @ both * scale}
+                        w = {}
+                    else:
+                        values = {s: Value(v[a : a + step][:, None], True) for s, v in own.items()} | {side: Value(whole[None], True)}
+                        w = {k: Value(x, True) for k, x in weights.items()}
+                        scores = form(values["h"], values["r"], values["t"], w, dims)
+                        loss, seed = seeds(scores.x, few)
+                        scores.backward(seed * scale)
+                        grads = {s: v.grad for s, v in values.items() if v.grad is not None}
                     parts = {}
-                    for s, v in values.items():
-                        if v.grad is not None:
-                            who = candidates if s == side else ids[s][a : a + step]
-                            parts.setdefault(_RELATION if s == "r" else _ENTITY, []).append((who, v.grad.reshape(len(who), -1)))
-                    yield from _out(parts, w, float(loss) * scale)
+                    for s, v in grads.items():
+                        who = candidates if s == side else ids[s][a : a + step]
+                        parts.setdefault(_RELATION if s == "r" else _ENTITY, []).append((who, v.reshape(len(who), -1)))
+                    yield from sums.add(parts, w, float(loss) * scale)
+        yield from sums.out()
 
     return asked.crossJoin(every).mapInArrow(run, _GRADIENTS)
 
@@ -239,7 +290,7 @@ def all_gradients(model: Model, triples: DataFrame, side: str, trainer: Trainer,
             (t1, s1), (t0, s0) = slopes(x, labels[1]), slopes(x, labels[0])
             return (t1 - t0).sum(), s1 - s0
 
-        return _dense(model, queries, side, as_false, ["n"], scale).unionByName(_given(model, distinct, correction, [], scale))
+        return _dense(model, queries, side, as_false, ["n"], num_entities, scale).unionByName(_given(model, distinct, correction, [], scale))
     if name != "cross_entropy":
         raise ValueError(f"{name} is no loss of all candidates")
 
@@ -260,7 +311,7 @@ def all_gradients(model: Model, triples: DataFrame, side: str, trainer: Trainer,
     def true(x, columns):
         return ((columns["lse"][:, 0] - x) / columns["n"][:, 0]).sum(), -1 / columns["n"][:, 0]
 
-    every = _dense(model, queries.join(lse, fixed), side, spread, ["lse"], scale)
+    every = _dense(model, queries.join(lse, fixed), side, spread, ["lse"], num_entities, scale)
     return every.unionByName(_given(model, distinct.join(n, fixed).join(lse, fixed), true, ["lse", "n"], scale))
 
 
