@@ -7,9 +7,15 @@ take part in no pattern, similarity or join. Ties are broken by name where one o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import dropped, staged
 from .components import connected_components
 
 
@@ -72,15 +78,75 @@ def inversion(triples: DataFrame) -> DataFrame:
     return hits.join(relation_counts(pairs).withColumnRenamed("count", "support"), "r").select("r", "inverse", "support", (F.col("hits") / F.col("support")).alias("confidence"))
 
 
-def composition(triples: DataFrame) -> DataFrame:
-    """Confidence of r1(x, y), r2(y, z) => r(x, z), by distinct ends (x, z) of two-step paths; rules without a hit are left out."""
-    pairs = triples.select("h", "r", "t").distinct()
-    first = pairs.select(F.col("h").alias("x"), F.col("r").alias("r1"), F.col("t").alias("y"))
-    second = pairs.select(F.col("h").alias("y"), F.col("r").alias("r2"), F.col("t").alias("z"))
-    paths = first.join(second, "y").select("r1", "r2", "x", "z").distinct()
-    support = paths.groupBy("r1", "r2").agg(F.count("*").alias("support"))
-    closed = paths.join(pairs.select(F.col("h").alias("x"), "r", F.col("t").alias("z")), ["x", "z"]).groupBy("r1", "r2", "r").agg(F.count("*").alias("hits"))
-    return closed.join(support, ["r1", "r2"]).select("r1", "r2", "r", "support", (F.col("hits") / F.col("support")).alias("confidence"))
+def composition(triples: DataFrame, at_once: int = 100_000_000, in_task: int = 3_000_000) -> DataFrame:
+    """Confidence of r1(x, y), r2(y, z) => r(x, z), by distinct ends (x, z) of two-step paths; rules without a hit are left out.
+
+    Two-step paths far outnumber triples, so they are never rows: (x, y) meets y's tails as lists of ids, which go to the task of x and a range of z
+    and are told apart there, some ``in_task`` a task. Starts x are taken in as many rounds as leave some ``at_once`` paths in each, whose shuffle files go with it.
+    """
+    from .encode import encode, entity_dictionary, relation_dictionary
+
+    spark = triples.sparkSession
+    entities, relations = staged(entity_dictionary(triples)), staged(relation_dictionary(triples))
+    edges = staged(encode(triples, entities, relations).select(*(F.col(c).cast("long").alias(c) for c in "hrt")))
+    n, n_r = entities.count(), relations.count()
+    dropped(entities)
+    far = F.shiftright("t", 16).alias("part")
+    # dealt first, so that rows are shuffled and not parts of lists; edges are distinct
+    dealt = edges.select(F.col("h").alias("y"), F.col("r").alias("r2"), far, "t").repartition("y", "r2", "part")
+    lists = staged(dealt.groupBy("y", "r2", "part").agg(F.collect_list("t").alias("z")))
+    steps = edges.groupBy(F.col("t").alias("y")).agg(F.count("*").alias("n")).join(edges.groupBy(F.col("h").alias("y")).agg(F.count("*").alias("m")), "y")
+    paths = steps.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    rounds = max(1, -(-paths // at_once))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-paths // (rounds * in_task)))
+    n_bits, code_bits = max(1, n.bit_length()), (n_r * n_r + n_r).bit_length()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, xs = [], None
+        for batch in batches:
+            z = batch.column("z")
+            size = pc.list_value_length(z).to_numpy()
+            held.append((np.repeat(batch.column("x").to_numpy(), size), z.flatten().to_numpy(), np.repeat(batch.column("code").to_numpy(), size)))
+        if not held:
+            return
+        x, z, code = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        if 2 * n_bits + code_bits > 62:
+            xs, x = np.unique(x, return_inverse=True)
+        keys = np.sort((x << (n_bits + code_bits)) | (z << code_bits) | code)
+        if not len(keys):
+            return
+        keys = keys[np.append(True, keys[1:] != keys[:-1])]
+        ends, code = keys >> code_bits, keys & ((1 << code_bits) - 1)
+        direct = code >= n_r * n_r
+        pairs, sums = np.unique(code[~direct], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(np.full(len(pairs), -1)), pa.array(sums)], names=["pair", "r", "n"])
+        # each triple meets the paths between its ends, which lie beside it
+        path_ends, path_code = ends[~direct], code[~direct]
+        low, high = (np.searchsorted(path_ends, ends[direct], side=s) for s in ("left", "right"))
+        many = high - low
+        r = np.repeat(code[direct] - n_r * n_r, many)
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+        found, sums = np.unique(path_code[at] * n_r + r, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found // max(1, n_r)), pa.array(found % max(1, n_r)), pa.array(sums)], names=["pair", "r", "n"])
+
+    total = None
+    for k in range(rounds):
+        mine = edges.where(F.pmod("h", F.lit(rounds)) == k)
+        ways = mine.select(F.col("h").alias("x"), F.col("r").alias("r1"), F.col("t").alias("y")).join(lists, "y").select("x", (F.col("r1") * n_r + F.col("r2")).alias("code"), "part", "z")
+        own = mine.select(F.col("h").alias("x"), (F.col("r") + n_r * n_r).alias("code"), far, F.array("t").alias("z"))
+        sums = ways.unionByName(own).repartition(tasks, "x", "part").mapInArrow(count, "pair long, r long, n long")
+        sums = staged(sums.groupBy("pair", "r").agg(F.sum("n").alias("n")))
+        total = sums if total is None else total.unionByName(sums)
+    total = staged(total.groupBy("pair", "r").agg(F.sum("n").alias("n")))
+    dropped(lists)
+    dropped(edges)
+    support = total.where("r < 0").select("pair", F.col("n").alias("support"))
+    name = lambda c: relations.select(F.col("label").alias(c), F.col("id").cast("long").alias(f"{c}_id"))
+    found = total.where("r >= 0").withColumnRenamed("r", "r_id").join(support, "pair").withColumn("r1_id", F.expr(f"pair div {max(1, n_r)}")).withColumn("r2_id", F.col("pair") % max(1, n_r))
+    for c in ("r1", "r2", "r"):
+        found = found.join(name(c), f"{c}_id")
+    return found.select("r1", "r2", "r", "support", (F.col("n") / F.col("support")).alias("confidence"))
 
 
 def skyline(rows: DataFrame, keys: list[str]) -> DataFrame:
