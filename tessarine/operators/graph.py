@@ -6,7 +6,11 @@ elsewhere; loops are no edges of the undirected graph. Ties go to the smaller na
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import dropped, staged
@@ -81,18 +85,75 @@ def walk_returns(triples: DataFrame, steps: int) -> DataFrame:
     return out
 
 
+#: Rows that one round of shuffles may hold, and the most rounds: beyond, the share of a round is fixed and its rows grow with the graph.
+_ROUND_ROWS, _ROUNDS = 48_000_000, 8
+#: Relations told apart by ``_triangle_kinds``; the rest count as one.
+_RELATIONS = 30
+
+
+def _rounds(rows: int) -> int:
+    return max(1, min(_ROUNDS, -(-rows // _ROUND_ROWS)))
+
+
+def _in_rounds(n: int, make: Callable[[Callable[..., Column]], DataFrame]) -> DataFrame:
+    """The rows of n rounds, each a table before the next begins: ``make`` gets what tells whether columns belong to a round."""
+    return reduce(DataFrame.unionByName, (staged(make(lambda *c, k=k: F.pmod(F.xxhash64(*c), F.lit(n)) == k)) for k in range(n)))
+
+
+def _triangle_kinds(together: list[int]) -> int:
+    """The kinds (as bits) of edges that can be a triangle's side, given the kinds that stand at one node together with each kind.
+
+    A kind is a relation as seen from one end; its opposite lies half the bits away. A triangle's two sides at each node stand
+    there together, so a kind without two others that do so at all three nodes is in none.
+    """
+    n, half = len(together), len(together) // 2
+    co = np.array([[x >> j & 1 for j in range(n)] for x in together], np.int64)
+    other = [(i + half) % n for i in range(n)]
+    # from a along p to b and q to c, and from b along s to c
+    ways = co @ co[np.ix_(other, other)] @ co.T  # q at a's side, s at b's side, by (p, opposite of p)
+    return sum(1 << p for p in range(n) if ways[p, other[p]] > 0)
+
+
 def walk_returns_by_triangles(triples: DataFrame) -> DataFrame:
     """``walk_returns`` of up to three steps without pairs of nodes: a step there and back over each edge, and both ways round each triangle.
 
-    Triangles are found from their node of the least degree, so a hot node's neighbours are never paired with each other.
+    Edges of relations that can close no triangle are left out of the search for triangles, and these are found from their node of
+    the least degree, so a hot node's neighbours are never paired with each other. Large graphs go in rounds, each with a part of
+    the nodes, so only a part of the edges is ever shuffled at once.
     """
-    near = neighbours(triples)
-    d = near.groupBy("a").agg(F.count("*").alias("d"))
-    edge = staged(near.join(d.withColumnRenamed("d", "da"), "a").join(d.select(F.col("a").alias("b"), F.col("d").alias("db")), "b"))
-    back = edge.groupBy(F.col("a").alias("node")).agg(F.sum(1 / (F.col("da") * F.col("db"))).alias("probability"))
-    up = edge.where("da < db or da = db and a < b")
-    wedges = up.alias("x").join(up.alias("y"), F.col("x.a") == F.col("y.a")).where("x.b < y.b").select(F.col("x.a").alias("u"), F.col("x.b").alias("v"), F.col("y.b").alias("w"), F.col("x.da").alias("du"), F.col("x.db").alias("dv"), F.col("y.db").alias("dw"))
-    closed = wedges.join(near.select(F.col("a").alias("v"), F.col("b").alias("w")), ["v", "w"])
+    half = _RELATIONS + 1
+    names = [r.r for r in triples.select("r").where("r is not null").distinct().orderBy("r").limit(_RELATIONS).collect()]
+    relation = F.coalesce(F.array_position(F.array(*map(F.lit, names)), F.col("r")), F.lit(0)) if names else F.lit(0)
+    bit = (relation + F.when(F.col("h") < F.col("t"), 0).otherwise(half)).cast("int")
+    pairs = triples.where("h <> t").select(F.least("h", "t").alias("a"), F.greatest("h", "t").alias("b"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("kind"))
+    edge = _in_rounds(_rounds(triples.count()), lambda mine: pairs.where(mine("a", "b")).groupBy("a", "b").agg(F.bit_or("kind").alias("kind")))
+    n = _rounds(2 * edge.count())
+    turned = F.shiftright("kind", half).bitwiseOR(F.call_function("shiftleft", F.col("kind").bitwiseAND(F.lit((1 << half) - 1)), F.lit(half)))
+
+    def ends(mine: Callable[..., Column]) -> DataFrame:
+        there = edge.where(mine("a")).select(F.col("a").alias("node"), F.col("b").alias("other"), "kind")
+        return there.unionByName(edge.where(mine("b")).select(F.col("b").alias("node"), F.col("a").alias("other"), turned.alias("kind")))
+
+    node = _in_rounds(n, lambda mine: ends(mine).groupBy("node").agg(F.count("*").alias("d"), F.bit_or("kind").alias("kinds")))
+    known = node.select(F.col("node").alias("other"), F.col("d").alias("od"))
+
+    def returned(mine: Callable[..., Column]) -> DataFrame:
+        sums = ends(mine).select("node", "other").join(known, "other").groupBy("node").agg(F.sum(1 / F.col("od")).alias("s"))
+        return sums.join(node.where(mine("node")).select("node", "d"), "node").select("node", (F.col("s") / F.col("d")).alias("probability"))
+
+    back = _in_rounds(n, returned)
+    has = lambda i: F.col("kinds").bitwiseAND(F.lit(1 << i)) != 0
+    together = [x or 0 for x in node.agg(*(F.bit_or(F.when(has(i), F.col("kinds"))).alias(f"k{i}") for i in range(2 * half))).first()]
+    kept = edge.where(F.col("kind").bitwiseAND(F.lit(_triangle_kinds(together)).cast("long")) != 0).select("a", "b")
+    degree = lambda c: node.select(F.col("node").alias(c), F.col("d").alias(f"d{c}"))
+    sides = staged(kept.join(degree("a"), "a").join(degree("b"), "b"))
+    dropped(edge)
+    dropped(node)
+    first = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    up = sides.select(pick("a", "b").alias("u"), pick("b", "a").alias("v"), pick("da", "db").alias("du"), pick("db", "da").alias("dv"))
+    wedges = up.join(up.select("u", F.col("v").alias("w"), F.col("dv").alias("dw")), "u").where("v < w")
+    closed = wedges.join(sides.select(F.col("a").alias("v"), F.col("b").alias("w")), ["v", "w"])
     round_ = closed.select(F.explode(F.array("u", "v", "w")).alias("node"), (2 / (F.col("du") * F.col("dv") * F.col("dw"))).alias("p")).groupBy("node").agg(F.sum("p").alias("probability"))
     return back.select("node", F.lit(2).alias("step"), "probability").unionByName(round_.select("node", F.lit(3).alias("step"), "probability"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import interactions, losses
 from ..operators import alignment, analysis, classification, encode, graph, negatives, ranking, relational, splitting, training
 from ..operators.components import connected_components
-from ..sources.graph_tables import literal_matrix, star_triples, star_triples_sql
+from ..sources.graph_tables import literal_matrix, repeated_star_triples, star_triples, star_triples_sql
 from ..sources.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,11 +42,14 @@ _REUSED = {
     "rank_metrics", "macro_rank_metrics", "all_rank_metrics", "rank_dispersion", "rank_z_scores", "bootstrap_mrr", "marginal_baseline_scores", "pagerank", "soft_inverse_scores", "pattern_types", "graph_info", "rank_anchors", "basic_negatives", "bernoulli_negatives", "pseudo_typed_negatives", "distmult_training",
 }
 
+#: Queries to whose operators repeated triples make no difference: the shuffle that would tell them apart is left out.
+_REPEATS = {"graph_walk_returns"}
+
 
 def _kg(name: str, make: Callable[[DataFrame], DataFrame], select: str | None = None, ctes: str = "") -> None:
     """A query over the triples; ``ctes`` and ``select`` state it over ``kg``."""
     recursive = "RECURSIVE " if "UNION" in ctes else ""
-    triples = (lambda spark, d: staged(star_triples(spark, d))) if name in _REUSED else star_triples
+    triples = (lambda spark, d: staged(star_triples(spark, d))) if name in _REUSED else repeated_star_triples if name in _REPEATS else star_triples
     _add(name, lambda spark, d: make(triples(spark, d)), f"WITH {recursive}{_KG}{', ' + ctes if ctes else ''} {select}" if select else None)
 
 

@@ -24,13 +24,18 @@ EDGES = [
 
 def star_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct labelled triples of the graph derived from the star-schema tables."""
+    return repeated_star_triples(spark, sf_dir).distinct()
+
+
+def repeated_star_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as often as the tables give them, for operators to which repeats make no difference."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     label = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     parts = [read(t).select(label(hp, hc).alias("h"), F.lit(r).alias("r"), label(tp, tc).alias("t")) for t, r, hp, hc, tp, tc in EDGES]
     a = read("nation").select(F.col("n_nationkey").alias("a"), F.col("n_regionkey").alias("g"))
     b = read("nation").select(F.col("n_nationkey").alias("b"), F.col("n_regionkey").alias("g"))
     parts.append(a.join(b, "g").where("a <> b").select(label("n", "a").alias("h"), F.lit("nation_neighbor").alias("r"), label("n", "b").alias("t")))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def star_triples_sql() -> str:
