@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +52,23 @@ def n_words(c: Column) -> Column:
 def row_hash(rows: DataFrame, row: str = "row") -> Column:
     """A hash of all columns of ``rows``, which ``row`` holds as a struct, so that rows alike in some are dealt alike in reruns. Maps don't take part."""
     return F.xxhash64(*(F.col(row)[f.name] for f in rows.schema.fields if "map<" not in f.dataType.simpleString()))
+
+
+def release() -> None:
+    """Gives memory that this process has freed back to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, whose worker gives back what a task has freed: Spark keeps idle workers beside those of the next stages."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return go

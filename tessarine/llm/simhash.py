@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..sources.staging import staged
-from .common import row_hash
+from .common import row_hash, trimmed
 
 BITS = 64
 
@@ -69,7 +69,7 @@ def with_fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(fps.view(np.int64))], names=["doc_id", "text_key", "fp"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, text_key long, fp long")
+    return texts.mapInArrow(trimmed(run), "doc_id long, text_key long, fp long")
 
 
 def ball_links(fps: DataFrame, radius: int = 2) -> DataFrame:

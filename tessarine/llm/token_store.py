@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, trimmed
 
 #: First bytes of a segment; the number is the format's version.
 MAGIC = b"TDAC0001"
@@ -218,7 +218,7 @@ def write_store(docs: DataFrame, tokenizer_file: str, end_id: int, path: str | N
     path = path or shared_dir(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    ordered.mapInArrow(run, SEGMENTS).write.parquet(path)
+    ordered.mapInArrow(trimmed(run), SEGMENTS).write.parquet(path)
     return path
 
 
@@ -244,5 +244,5 @@ def read_store(spark, path: str) -> DataFrame:
                     names=["part", "seq", "doc_id", "inner", "n_tokens", "ids_crc32"],
                 )
 
-    docs = table.select("part", "seq", "payload").mapInArrow(run, "part int, seq int, doc_id long, inner long, n_tokens long, ids_crc32 long")
+    docs = table.select("part", "seq", "payload").mapInArrow(trimmed(run), "part int, seq int, doc_id long, inner long, n_tokens long, ids_crc32 long")
     return docs.join(heads, ["part", "seq"]).select("doc_id", (F.col("first") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32", "part", "seq")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import staged
-from .common import fold
+from .common import fold, trimmed
 from .decontaminate import words
 
 #: Lengths of the beginnings of a word that have evidence of their own, in UTF-8 characters.
@@ -160,7 +160,7 @@ def _counts(texts: DataFrame) -> DataFrame:
             every = list(seen[0].keys() | seen[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([c[n] for n in every], pa.int64()) for c in seen)], names=["node", "clean", "toxic"])
 
-    return texts.mapInArrow(run, "node string, clean long, toxic long").groupBy("node").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    return texts.mapInArrow(trimmed(run), "node string, clean long, toxic long").groupBy("node").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, max_labelled: int = 100_000, alpha: float = 10.0, min_docs: int = 5, drift: float = 0.5, significance: float = 0.01) -> Model:
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, max_
                 moments.append(sum((np.exp(np.outer(s[a : a + 10_000], grid)).sum(axis=0) for a in range(0, len(s), 10_000)), np.zeros(len(grid))).tolist())
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(best), pa.array(size, pa.int64()), pa.array(moments, pa.list_(pa.float64()))], names=["toxic", "best", "size", "moments"])
 
-    clean = labelled.where("calibrates and toxic = 0").mapInArrow(measured, "toxic int, best double, size long, moments array<double>").where("size > 0")
+    clean = labelled.where("calibrates and toxic = 0").mapInArrow(trimmed(measured), "toxic int, best double, size long, moments array<double>").where("size > 0")
     sums = clean.agg(F.sum("size").alias("n"), *(F.sum(F.col("moments")[i]).alias(f"m{i}") for i in range(60))).first()
     if sums.n:
         # lambda solves E exp(lambda s) = 1; the moments are convex in it, so the last one below 1 brackets it
@@ -233,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, max_
             x = [model.features(t, known) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in x], pa.float64()), pa.array([b for _, b in x], pa.float64()), batch.column("toxic")], names=["best", "passages", "toxic"])
 
-    seen = np.array([tuple(r) for r in labelled.where("calibrates").select("text", "toxic").mapInArrow(featured, "best double, passages double, toxic int").collect()] or [(0.0, 0.0, 0)])
+    seen = np.array([tuple(r) for r in labelled.where("calibrates").select("text", "toxic").mapInArrow(trimmed(featured), "best double, passages double, toxic int").collect()] or [(0.0, 0.0, 0)])
     model.weights = logistic(np.column_stack([np.ones(len(seen)), seen[:, :2]]), seen[:, 2])
     return model
 
@@ -250,7 +250,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "predicted", "n_passages"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, score double, predicted int, n_passages long")
+    return texts.mapInArrow(trimmed(run), "doc_id long, score double, predicted int, n_passages long")
 
 
 def passages(docs: DataFrame, model: Model) -> DataFrame:
@@ -265,7 +265,7 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "first_word", "last_word", "score", "log_p"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, first_word long, last_word long, score double, log_p double")
+    return texts.mapInArrow(trimmed(run), "doc_id long, first_word long, last_word long, score double, log_p double")
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -277,7 +277,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([model.probability(model.features(t, known)) < 0.5 for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def held_out_fold(doc_id: Column) -> Column:
