@@ -39,11 +39,11 @@ def _add(name: str, make: Callable[[SparkSession, str], DataFrame], sql: str | N
 _REUSED = {
     "relation_functionality", "relation_injectivity", "relation_cardinality_types", "symmetry_patterns", "inversion_patterns", "composition_patterns", "pattern_skyline", "jaccard_relations", "jaccard_inverse_relations",
     "leaking_relations", "unleaked_triples", "bernoulli_probabilities", "pseudo_type_index", "dictionary_encode", "dictionary_round_trip", "inverse_triples", "condense", "candidate_set_size", "fixed_model_filtered_ranks",
-    "rank_metrics", "macro_rank_metrics", "all_rank_metrics", "rank_dispersion", "rank_z_scores", "bootstrap_mrr", "marginal_baseline_scores", "pagerank", "soft_inverse_scores", "pattern_types", "graph_info", "rank_anchors", "basic_negatives", "bernoulli_negatives", "pseudo_typed_negatives", "distmult_training",
+    "rank_metrics", "macro_rank_metrics", "all_rank_metrics", "rank_dispersion", "rank_z_scores", "bootstrap_mrr", "marginal_baseline_scores", "pagerank", "soft_inverse_scores", "pattern_types", "graph_info", "rank_anchors", "basic_negatives", "bernoulli_negatives", "pseudo_typed_negatives",
 }
 
 #: Queries to whose operators repeated triples make no difference: the shuffle that would tell them apart is left out.
-_REPEATS = {"graph_walk_returns"}
+_REPEATS = {"graph_walk_returns", "distmult_training"}
 
 
 def _kg(name: str, make: Callable[[DataFrame], DataFrame], select: str | None = None, ctes: str = "") -> None:
