@@ -91,16 +91,16 @@ def compact_windows(values: np.ndarray, length: int = LENGTH, sizes: list[int] |
         a = first[at : at + 50_000]
         pivot[at : at + 50_000] = a + np.argmax(values[a[:, None] + np.arange(length)] == least[a][:, None], axis=1)
     again = np.flatnonzero(last > pivot)  # the minimum repeats: the run goes on with its next place
-    more: list[tuple[int, int, int]] = []
-    for k in again.tolist():
-        a, b = int(pivot[k]) + 1, int(last[k])
-        while a <= b:
-            p = a + int(np.argmax(values[a : a + length] == least[first[k]]))
-            more.append((p, a, min(b, p)))
-            a = p + 1
+    more: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for k, at, b in zip(again.tolist(), pivot[again].tolist(), last[again].tolist(), strict=True):
+        # all places of the minimum after the first; each stands for the starts from the place before on
+        p = at + 1 + np.flatnonzero(values[at + 1 : b + length] == least[first[k]])
+        a = np.concatenate([[at], p[:-1]]) + 1
+        p, a = p[a <= b], a[a <= b]
+        more.append((p, a, np.minimum(p, b)))
     last = np.minimum(last, pivot)
     if more:
-        pivot, first, last = (np.concatenate([x, np.array(y, np.int64)]) for x, y in zip((pivot, first, last), zip(*more, strict=True), strict=True))
+        pivot, first, last = (np.concatenate([x, *y]) for x, y in zip((pivot, first, last), zip(*more, strict=True), strict=True))
     return pivot, first, last
 
 
