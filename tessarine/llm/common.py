@@ -62,6 +62,16 @@ def release() -> None:
         trim(0)
 
 
+#: Rows that a worker turns into Python objects at once: a batch of Spark's may hold 64 MB of text.
+ROWS = 512
+
+
+def in_parts(batch: pa.RecordBatch, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of a bounded number of rows, none of them copied."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` for mapInArrow, whose worker gives back what a task has freed: Spark keeps idle workers beside those of the next stages."""
 

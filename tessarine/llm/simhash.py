@@ -15,7 +15,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import chain, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..sources.staging import staged
-from .common import row_hash, trimmed
+from .common import in_parts, row_hash, trimmed
 
 BITS = 64
 
@@ -64,7 +64,7 @@ def with_fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, text_key, fp) of every row; text_key is a hash of the text that tells apart rows of one id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(in_parts, batches)):
             fps = fingerprints(batch.column("text").cast(pa.binary()).to_pylist(), width)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(fps.view(np.int64))], names=["doc_id", "text_key", "fp"])
 

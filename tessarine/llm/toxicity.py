@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import staged
-from .common import fold, trimmed
+from .common import fold, in_parts, trimmed
 from .decontaminate import words
 
 #: Lengths of the beginnings of a word that have evidence of their own, in UTF-8 characters.
@@ -243,7 +244,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.scorer()
-        for batch in batches:
+        for batch in chain.from_iterable(map(in_parts, batches)):
             x = [model.features(t, known) for t in batch.column("text").to_pylist()]
             p = [model.probability(f) for f in x]
             columns = [batch.column("doc_id"), pa.array(p, pa.float64()), pa.array([int(v >= 0.5) for v in p], pa.int32()), pa.array([round(np.expm1(b)) for _, b in x], pa.int64())]
@@ -273,7 +274,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.scorer()
-        for batch in batches:
+        for batch in chain.from_iterable(map(in_parts, batches)):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([model.probability(model.features(t, known)) < 0.5 for t in texts], pa.bool_()))
 
