@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import dropped, staged
+from .common import in_parts, release, trimmed
 
 #: The end token; no word holds white space.
 END = b"\n"
@@ -45,6 +46,8 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
 
+#: Rows of numbers that a worker sends at once.
+SENT_ROWS = 65_536
 #: Bits of the sets that n-grams are filtered by.
 FILTER_BITS = 1 << 27
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -220,11 +223,15 @@ def gram_counts(texts: DataFrame, n: int, allowed: np.ndarray | None = None, flu
 
         def out():
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            held.clear()
             key = columns[0] if n == 1 else pair_keys(*columns)
             by = np.argsort(key)
             first = runs(key[by])
+            del key
             counts = np.diff(np.append(first, len(by)))
-            return pa.RecordBatch.from_arrays([*(pa.array(c[by[first]].view(np.int64)) for c in columns), pa.array(counts.astype(np.int64))], names=[*names, "n"])
+            by = by[first]
+            # in parts, or the JVM holds all of them outside its heap
+            yield from in_parts(pa.RecordBatch.from_arrays([*(pa.array(c[by].view(np.int64)) for c in columns), pa.array(counts.astype(np.int64))], names=[*names, "n"]), SENT_ROWS)
 
         for part in slices(batches):
             words, owner = hashed(part.column("text").cast(pa.binary()).to_pylist())
@@ -238,12 +245,12 @@ def gram_counts(texts: DataFrame, n: int, allowed: np.ndarray | None = None, flu
                 held.append((keys[start], keys[start + 1]))
             size += len(held[-1][0])
             if size >= flush:
-                yield out()
-                held, size = [], 0
+                yield from out()
+                size = 0
         if size:
-            yield out()
+            yield from out()
 
-    rows = texts.mapInArrow(run, ", ".join(f"{w} long" for w in names) + ", n long")
+    rows = texts.mapInArrow(trimmed(run), ", ".join(f"{w} long" for w in names) + ", n long")
     # tasks have counted what they hold, so the rows are dealt out as they are
     return rows.repartition(*names).groupBy(*names).agg(F.sum("n").alias("n"))
 
@@ -342,6 +349,27 @@ def unpacked(held: bytes) -> np.ndarray:
     return np.cumsum(flat(held, np.uint64), dtype=np.uint64)
 
 
+def indexed(places: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the numbers below ``n`` are among ``places``, ascending, and each place's position among these, in few bytes."""
+    among_ = np.zeros(n, bool)
+    among_[places] = True
+    mine = np.flatnonzero(among_)
+    return mine, (np.cumsum(among_) - 1)[places].astype(np.min_scalar_type(max(0, len(mine) - 1)))
+
+
+def matched(piece: dict, known: np.ndarray, values: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The sums by document of a piece's places whose keys are among ``known``, which ascend; documents without any are left out."""
+    key, rows = unpacked(piece["keys"]), unpacked(piece["rows"])
+    at = np.frombuffer(piece["at"], f"u{len(piece['at']) // len(key)}")
+    place = np.searchsorted(known, key)
+    hit = np.flatnonzero(place < len(known))
+    hit = hit[known[place[hit]] == key[hit]]
+    place, at = place[hit], at[hit]
+    some = np.flatnonzero(np.bincount(at, minlength=len(rows)))
+    sums = {c: np.bincount(at, x[place], len(rows))[some].astype(x.dtype) for c, x in values.items()}
+    return {"rows": rows[some], "sizes": np.zeros(len(some), np.int64), **sums}
+
+
 def scored(docs: DataFrame, held_out: Column, order: int = 3, word_share: float = 2e-6, least_share: float = 2e-6, least_count: int = 3, flush: int = 1_500_000, bucket_tokens: int = 1_000_000) -> DataFrame:
     """Every row's doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, by a model of the rows that aren't held out.
 
@@ -369,18 +397,26 @@ def scored(docs: DataFrame, held_out: Column, order: int = 3, word_share: float
     parts = -(-buckets // 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (tables, filters), held, size = shared.value, [], 0
+        (tables, filters), held, seen, size, n_seen = shared.value, [], [], 0, 0
 
         def out():
-            key, rows = (np.concatenate(c) for c in zip(*held, strict=True))
+            key, at = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            rows, place = np.unique(np.concatenate(seen), return_inverse=True)
+            seen.clear()
             by = np.argsort(key)
-            key, rows = key[by], rows[by]
+            key, at = key[by], place.astype(np.int32)[at[by]]
+            del by
             bucket = bucket_of(key, buckets)
             first = runs(bucket)
-            pieces = list(zip(first.tolist(), np.append(first[1:], len(key)).tolist(), strict=True))
-            none = [b""] * len(pieces)
-            columns = [bucket[first], [packed(key[a:z]) for a, z in pieces], [rows[a:z].tobytes() for a, z in pieces], none, none, none, none]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SENT, strict=True)], schema=_SENT)
+            bucket, pieces, n = bucket[first], [], 0
+            for b, a, z in zip(bucket.tolist(), first.tolist(), np.append(first[1:], len(key)).tolist(), strict=True):
+                mine, index = indexed(at[a:z], len(rows))
+                pieces.append([b, packed(key[a:z]), packed(rows[mine]), index.tobytes(), *[b""] * 4])
+                n += z - a
+                if n >= SENT_ROWS or z == len(key):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pieces, strict=True), _SENT, strict=True)], schema=_SENT)
+                    pieces, n = [], 0
 
         for part in slices(batches):
             words, owner = hashed(part.column("text").cast(pa.binary()).to_pylist())
@@ -398,36 +434,39 @@ def scored(docs: DataFrame, held_out: Column, order: int = 3, word_share: float
                 if n == 1:
                     base += np.bincount(mine[hit], table.values[0][place[hit]], m)
                     known += np.bincount(mine[hit], minlength=m)
-                held.append((key[~hit], rows[mine[~hit]]))
+                held.append((key[~hit], (n_seen + mine[~hit]).astype(np.int32)))
                 size += len(held[-1][0])
+            seen.append(rows.view(np.uint64))
+            n_seen += m
             # the documents' own sums go to a bucket of their first one's
             at = int(bucket_of(rows[:1].view(np.uint64), buckets)[0])
-            columns = [at, b"", rows.tobytes(), sizes.astype(np.int64).tobytes(), known.tobytes(), base.tobytes(), score.tobytes()]
+            columns = [at, b"", rows.tobytes(), b"", sizes.astype(np.int64).tobytes(), known.tobytes(), base.tobytes(), score.tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(columns, _SENT, strict=True)], schema=_SENT)
             if size >= flush:
-                yield out()
-                held, size = [], 0
+                yield from out()
+                size, n_seen = 0, 0
         if size:
-            yield out()
+            yield from out()
 
     def met(sent: pa.Table, terms: pa.Table) -> pa.Table:
         """The sums by document of a bucket's terms, and the documents' own."""
-        held = {c: [np.frombuffer(x, kind) for x in sent.column(c).to_pylist()] for c, kind in (("rows", np.int64), ("sizes", np.int64), ("known", np.int64), ("base", np.float64), ("score", np.float64))}
-        own = [len(x) > 0 for x in held["sizes"]]
-        whole = lambda arrays, kind, wanted: np.concatenate([np.zeros(0, kind), *(x for x, o in zip(arrays, own, strict=True) if o is wanted)])
-        docs = {c: whole(x, np.float64 if c in ("base", "score") else np.int64, True) for c, x in held.items()}
-        row = whole(held["rows"], np.int64, False)
-        key = whole([unpacked(x) for x in sent.column("keys").to_pylist()], np.uint64, False)
         known = terms.column("key").to_numpy().view(np.uint64)
         by = np.argsort(known)
-        place = np.searchsorted(known, key, sorter=by)
-        hit = np.flatnonzero(place < len(by))
-        hit = hit[known[by[place[hit]]] == key[hit]]
-        place = by[place[hit]]
-        whose, at = np.unique(row[hit], return_inverse=True)
-        sums = {c: np.bincount(at, terms.column(c).to_numpy()[place], len(whose)) for c in ("known", "base", "score")}
-        both = {"rows": np.concatenate([docs["rows"], whose]).view(np.uint64), "sizes": np.concatenate([docs["sizes"], np.zeros(len(whose), np.int64)])}
-        both |= {c: np.concatenate([docs[c], sums[c].astype(docs[c].dtype)]) for c in sums}
+        known = known[by]
+        values = {c: terms.column(c).to_numpy()[by] for c in ("known", "base", "score")}
+        kinds = {"rows": np.uint64, "sizes": np.int64, "known": np.int64, "base": np.float64, "score": np.float64}
+        found: dict[str, list[np.ndarray]] = {c: [np.zeros(0, kind)] for c, kind in kinds.items()}
+        # piece by piece, so that only sums by document are held for all of them
+        for at in range(sent.num_rows):
+            piece = {c: sent.column(c)[at].as_buffer() for c in sent.column_names[1:]}
+            if len(piece["sizes"]):
+                sums = {c: np.frombuffer(piece[c], kind) for c, kind in kinds.items()}
+            else:
+                sums = matched(piece, known, values)
+            for c, x in sums.items():
+                found[c].append(x)
+        both = {c: np.concatenate(x) for c, x in found.items()}
+        del found
         # packed by ranges of documents, so that a bucket is no row for each of its documents
         by = np.argsort(both["rows"])
         both = {c: x[by] for c, x in both.items()}
@@ -435,17 +474,28 @@ def scored(docs: DataFrame, held_out: Column, order: int = 3, word_share: float
         first = runs(part)
         pieces = list(zip(first.tolist(), np.append(first[1:], len(part)).tolist(), strict=True))
         columns = [pa.array(part[first])] + [pa.array([(packed if c == "rows" else planes)(x[a:z]) for a, z in pieces], pa.binary()) for c, x in both.items()]
-        return pa.table(columns, names=["part", *both])
+        del both, by
+        release()
+        return pa.table(columns, names=["part", *kinds])
 
     def summed(pieces: pa.Table) -> pa.Table:
         """Every document of a range with the sums of all buckets; rows of one id and text have one sum, over all of them."""
-        whole = {c: np.concatenate([unpacked(x) if c == "rows" else flat(x, kind) for x in pieces.column(c).to_pylist()]) for c, kind in (("rows", None), ("sizes", np.int64), ("known", np.int64), ("base", np.float64), ("score", np.float64))}
-        rows, at = np.unique(whole["rows"], return_inverse=True)
-        copies = np.bincount(at, whole["sizes"] > 0, len(rows))
-        sums = [np.bincount(at, whole[c], len(rows)) / copies for c in ("sizes", "known", "base", "score")]
-        return pa.table([pa.array(rows.view(np.int64)), *(pa.array(np.rint(x).astype(np.int64)) for x in sums[:2]), *map(pa.array, sums[2:])], names=["row", "n_tokens", "n_known", "base_score", "score"])
-
-    sent = texts.select("row", "text").mapInArrow(run, "bucket long, keys binary, rows binary, sizes binary, known binary, base binary, score binary")
+        ids = [unpacked(x.as_buffer()) for x in pieces.column("rows")]
+        sizes = [flat(x.as_buffer(), np.int64) for x in pieces.column("sizes")]
+        # every document's own sums are among them
+        rows = np.unique(np.concatenate([x[n > 0] for x, n in zip(ids, sizes, strict=True)]))
+        copies, sums = np.zeros(len(rows)), {c: np.zeros(len(rows)) for c in ("sizes", "known", "base", "score")}
+        for k, (mine, size) in enumerate(zip(ids, sizes, strict=True)):
+            at = np.searchsorted(rows, mine)
+            copies += np.bincount(at, size > 0, len(rows))
+            for c, kind in (("sizes", None), ("known", np.int64), ("base", np.float64), ("score", np.float64)):
+                sums[c] += np.bincount(at, size if kind is None else flat(pieces.column(c)[k].as_buffer(), kind), len(rows))
+            ids[k] = sizes[k] = None
+        out = [x / copies for x in sums.values()]
+        release()
+        return pa.table([pa.array(rows.view(np.int64)), *(pa.array(np.rint(x).astype(np.int64)) for x in out[:2]), *map(pa.array, out[2:])], names=["row", "n_tokens", "n_known", "base_score", "score"])
+
+    sent = texts.select("row", "text").mapInArrow(trimmed(run), "bucket long, keys binary, rows binary, at binary, sizes binary, known binary, base binary, score binary")
     bucket = F.shiftright(F.call_function("shiftrightunsigned", "key", F.lit(32)) * F.lit(buckets), 32)
     rest = terms.where(~frequent).select(bucket.alias("bucket"), "key", F.when(word, 1).otherwise(0).cast("long").alias("known"), "base", "score")
     met_ = sent.groupBy("bucket").cogroup(rest.groupBy("bucket")).applyInArrow(met, "part long, rows binary, sizes binary, known binary, base binary, score binary")
@@ -454,4 +504,4 @@ def scored(docs: DataFrame, held_out: Column, order: int = 3, word_share: float
     return named.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-_SENT = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("keys", "rows", "sizes", "known", "base", "score"))])
+_SENT = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("keys", "rows", "at", "sizes", "known", "base", "score"))])
