@@ -13,15 +13,16 @@ Text may be null or empty (a document of the end id alone); ids may be null (the
 
 from __future__ import annotations
 
-import re
+import os
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -114,74 +115,142 @@ def pack_segment(doc_ids: list, pieces: list[bytes]) -> bytes:
     ])
 
 
-class _Known(dict):
-    """Word to its ids (little-endian); a word that is asked for the first time is encoded then."""
-
-    #: Latin letters that case folding and composition map to one letter each, then marks of one pre-token.
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%&*#$|]*)")
-
-    def __init__(self, tokenizer, keep: int):
-        super().__init__()
-        self.tokenizer, self.pieces, self.keep, self.older = tokenizer, tokenizer.model.tokenize, keep, {}
-        byte_level = {chr(b): c for b, c in zip(range(0x80, 0x100), self._shown(), strict=True)}
-        self.shown = str.maketrans(byte_level)
-
-    @staticmethod
-    def _shown() -> str:
-        """The characters that stand for the bytes from 0x80 on in a byte-level vocabulary: those that can
-        be seen for themselves, the others from U+0122 on in order (the first 34 places are other bytes')."""
-        seen = {*range(0xA1, 0xAD), *range(0xAE, 0x100)}
-        hidden = iter(range(0x122, 0x200))
-        hidden_first = {b: chr(next(hidden)) for b in [*range(0x80, 0xA1), 0xAD]}
-        return "".join(chr(b) if b in seen else hidden_first[b] for b in range(0x80, 0x100))
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.keep:
-            self.older = dict(self)
-            self.clear()
-        if (ids := self.older.get(word)) is None:
-            if word.isascii() and word.isalpha():
-                ids = array("I", [t.id for t in self.pieces(word.lower())]).tobytes()
-            elif m := self.PLAIN.fullmatch(word):
-                core, marks = m.groups()
-                ids = self[core] + self[marks] if marks else array("I", [t.id for t in self.pieces(core.lower().encode().decode("latin-1").translate(self.shown))]).tobytes()
-            else:
-                ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        self[word] = ids
-        return ids
+class _Known:
+    """Word to its ids (little-endian), in two tables of at most ``keep`` words: when the younger is full, it replaces the older."""
+
+    def __init__(self, keep: int):
+        self.keep, self.young, self.old = keep, {}, {}
+
+    def of(self, words: list[str], encoded: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The ids of different words; ``encoded`` gives those of words that aren't in the tables."""
+        out = list(map(self.young.get, words))
+        new = [k for k, ids in enumerate(out) if ids is None]
+        for k in new:
+            out[k] = self.old.get(words[k])
+        missing = [k for k in new if out[k] is None]
+        for k, ids in zip(missing, encoded([words[k] for k in missing]), strict=True):
+            out[k] = ids
+        for k in new:
+            if len(self.young) >= self.keep:
+                self.old, self.young = self.young, {}
+            self.young[words[k]] = out[k]
+        return out
+
+
+def _shown() -> np.ndarray:
+    """The characters that stand for bytes in a byte-level vocabulary: for those that can be seen themselves,
+    for the others from 0x80 on U+0122 and on in order (the first 34 places are other bytes'). White space stays."""
+    hidden = [*range(0x80, 0xA1), 0xAD]
+    out = np.arange(256, dtype="<u4")
+    out[hidden] = np.arange(0x122, 0x122 + len(hidden))
+    return out
 
 
 class WordEncoder:
     """Token ids of whole texts by a tokenizer whose pre-tokens never cross ASCII white space.
 
-    A text's ids are then the ids of its words one after another, so a word is encoded once for as long as
-    it stays in one of two tables of at most ``keep`` words (when the younger is full, it replaces the
-    older). A plain Latin word is one pre-token and goes straight to the tokenizer's model, marks after it
-    are another; every other word is encoded by the whole tokenizer. The tests compare all this with the
-    encoding of whole texts.
+    A text's ids are then the ids of its words one after another. Arrow splits the texts and tells words
+    apart, so Python sees different words only. Plain Latin letters are one pre-token and marks after them
+    another: such a word is its letters in lower case, then its marks. Different runs of letters go to the
+    tokenizer's model many at a time, and the ids are cut where a token ends a word. Marks and every other
+    word are encoded by the whole tokenizer. What has been encoded is kept in tables of bounded size. The
+    tests compare all this with the encoding of whole texts.
     """
 
-    #: White space of other kinds than ASCII, and separators that str.split() takes for white space.
-    ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-    CUT = re.compile(r"[\x20\x09-\x0D]+")
+    #: Latin letters that case folding and composition map to one letter each, and marks of one pre-token.
+    LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", ".,!?;:%&*#$|"
 
     def __init__(self, tokenizer_file: str, keep: int = 250_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.known = _Known(self.tokenizer, keep)
-
-    def split(self, text: str) -> list[str]:
-        return [w for w in self.CUT.split(text) if w] if self.ODD.search(text) else text.split()
+        self.letters, self.others = _Known(keep), _Known(max(1, keep // 4))
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = WhitespaceSplit()
+        suffix, vocabulary = self.tokenizer.model.end_of_word_suffix or "", self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.shown = _shown()
+
+    def whole(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, by the whole tokenizer."""
+        return [array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes() for w in words]
+
+    def modelled(self, words: list[str], at_once: int = 256) -> list[bytes]:
+        """The same of runs of plain letters in lower case, by the tokenizer's model."""
+        out = []
+        for at in range(0, len(words), at_once):
+            some = words[at : at + at_once]
+            text = " ".join(some)
+            if not text.isascii():
+                text = self.shown[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-32-le")
+            ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            if len(ends) == len(some) and ends[-1] == 4 * len(ids):
+                held = ids.tobytes()
+                out += [held[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+            else:
+                out += self.whole(some)
+        return out
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different words one after another, and each word's number of ids; piece by piece: letters, marks after them, words of other kinds."""
+        core = pc.ascii_rtrim(words, characters=self.MARKS)
+        is_plain = pc.match_substring_regex(core, f"^{self.LETTERS}$")
+        plain = is_plain.to_numpy(zero_copy_only=False)
+        marked = np.flatnonzero(plain & (pc.binary_length(words).to_numpy() > pc.binary_length(core).to_numpy()))
+        letters = pc.utf8_lower(core.filter(is_plain)).dictionary_encode()
+        marks = pc.replace_substring_regex(words.take(pa.array(marked)), f"^{self.LETTERS}", "").dictionary_encode()
+        pieces = self.letters.of(letters.dictionary.to_pylist(), self.modelled)
+        pieces += self.others.of(marks.dictionary.to_pylist(), self.whole) + self.others.of(words.filter(pc.invert(is_plain)).to_pylist(), self.whole)
+        ids, sizes = np.frombuffer(b"".join(pieces), "<u4"), np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        first, second = np.zeros(len(words), np.int64), len(letters.dictionary) + marks.indices.to_numpy()
+        first[plain] = letters.indices.to_numpy()
+        first[~plain] = len(letters.dictionary) + len(marks.dictionary) + np.arange(np.count_nonzero(~plain))
+        out = sizes[first]
+        out[marked] += sizes[second]
+        return gathered(ids, sizes, np.insert(first, marked + 1, second)), out
+
+    def encode_all(self, texts: pa.Array, at_once: int = 262_144) -> list[bytes]:
+        """The little-endian ids of each text; null is empty. ``at_once``: words whose ids are put together at a time."""
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        found = cut.flatten().dictionary_encode()
+        ids, sizes = self.words(found.dictionary)
+        of = found.indices.to_numpy()
+        out = [gathered(ids, sizes, of[at : at + at_once]) for at in range(0, len(of), at_once)]
+        ends = np.cumsum(np.concatenate([[0], sizes[of]]))[np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())])]
+        whole = memoryview(np.concatenate([np.zeros(0, "<u4"), *out])).cast("B")
+        return [bytes(whole[4 * a : 4 * z]) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def encode(self, text: str) -> bytes:
         """The little-endian ids of a text."""
-        return b"".join(map(self.known.__getitem__, self.split(text)))
+        return self.encode_all(pa.array([text]))[0]
+
+
+def gathered(ids: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Runs of ``ids``, whose ``sizes`` are given, one after another as ``order`` names them."""
+    n = sizes[order]
+    ends = np.cumsum(n)
+    starts = (np.cumsum(sizes) - sizes)[order]
+    return ids[np.repeat(starts - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def in_bytes(texts: pa.Array, most: int = 1 << 24, rows: int = 8192) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``rows`` texts, which hold ``most`` bytes together or are one text."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < len(total):
+        before = int(total[at - 1]) if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(total, before + most, "right"))))
+        yield at, end
+        at = end
 
 
 @lru_cache(maxsize=1)
 def word_encoder(tokenizer_file: str) -> WordEncoder:
     """The encoder of this process: what it knows serves the worker's later tasks too."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return WordEncoder(tokenizer_file)
 
 
@@ -203,11 +272,11 @@ def write_store(docs: DataFrame, tokenizer_file: str, end_id: int, path: str | N
             return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((part, seq, len(ids), size // 4, pack_segment(ids, pieces)), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
-                for doc_id, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
+            for at, z in in_bytes(batch.column("text")):
+                some = batch.slice(at, z - at)
+                for doc_id, codes in zip(some.column("doc_id").to_pylist(), encoder.encode_all(some.column("text")), strict=True):
                     ids.append(doc_id)
-                    pieces.append(encoder.encode(text or "") + end)
+                    pieces.append(codes + end)
                     size += len(pieces[-1])
                     if size >= 4 * segment_tokens:
                         yield closed()
