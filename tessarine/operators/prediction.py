@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..models.engine import CELLS, Model, against_all, blocked, lists, matrix, score_triples, top_candidates, with_vectors
+from ..models.engine import CELLS, Model, against_all, blocked, matrix, score_triples, top_candidates, with_vectors
 from ..sources.staging import staged
 from .graph import top_per_group
 
@@ -101,16 +101,42 @@ def _best_rows(k: int, h: np.ndarray, r: np.ndarray, t: np.ndarray, score: np.nd
     return pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (h, r, t, score)], names=["h", "r", "t", "score"])
 
 
-def _best_products(model: Model, k: int, wanted: DataFrame, schema: str, rows: int = 2048, some: int = 1024) -> DataFrame:
+def _best_products(model: Model, k: int, wanted: DataFrame, schema: str, rows: int = 32768, some: int = 2048) -> DataFrame:
     """The k best triples of each task under a score that is the sum of h r t.
 
-    By Cauchy and Schwarz a score is at most the product of the lengths of h and t with their numbers weighed by the root of |r|. Triples of the
-    entities that are longest so give the k-th best score of some triples; of all others only those whose bound reaches it are scored. As h and t
-    may change places, each pair of blocks is multiplied once. Scores are the form's own: matrix products only choose, with a margin for their rounding.
+    Triples of the entities with the largest numbers give a k-th best score. By Cauchy and Schwarz a score is at most the length of h r (element by
+    element) times that of t, and that of r t times that of h: for a relation, only entities whose product with it is long enough are heads or tails of
+    others. It is also at most the product of the lengths of h and t with their numbers weighed by the root of |r|, which leaves out pairs of these.
+    As h and t may change places, each pair is multiplied once. Scores are the form's own: matrix products only choose, with a margin for their rounding.
     """
-    score = model.scorer()
-    table = staged(blocked(model.entities.select("id", "v"), ["v"], ["id"], rows).withColumn("block", F.monotonically_increasing_id()))
-    asked = staged(blocked(wanted.select(F.col("id").alias("r"), F.col("v").alias("rv")), ["rv"], ["r"], 64))
+    score, width = model.scorer(), model.form.widths(model.dims)[1]
+    spread = 4 * max(1, model.entities.sparkSession.sparkContext.defaultParallelism)
+    step = max(1, CELLS // max(1, width))
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                part = batch.slice(0, rows - n)
+                held.append(part)
+                n, batch = n + part.num_rows, batch.slice(part.num_rows)
+                if n == rows:
+                    yield block(held)
+                    held, n = [], 0
+        if held:
+            yield block(held)
+
+    def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids, v = (pa.concat_arrays(x) for x in ([p.column(0) for p in parts], [p.column(1).flatten() for p in parts]))
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, v)], names=["id", "v"])
+
+    entities = staged(model.entities.select("id", "v"))
+    # partitions are filled to seven eighths, so that each is one block though they aren't of quite one size
+    parts = -(-entities.count() * 8 // (7 * rows)) or 1
+    table = staged(entities.repartition(parts).mapInArrow(gathered, "id array<long>, v array<double>").withColumn("block", F.monotonically_increasing_id()))
+    asked = staged(blocked(wanted.select(F.col("id").alias("r"), F.col("v").alias("rv")).repartition(spread), ["rv"], ["r"], 2048))
+    size = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x * x * x))
+    strong = blocked(entities.orderBy(size.desc(), "id").limit(some).coalesce(1), ["v"], ["id"], some)
 
     def lengths(v: np.ndarray, weight: np.ndarray) -> np.ndarray:
         return np.sqrt(v * v @ weight)
@@ -125,70 +151,116 @@ def _best_products(model: Model, k: int, wanted: DataFrame, schema: str, rows: i
                         out.append(batch.column(c)[row].as_py())
                     else:
                         ids = batch.column(c[0])[row].values.to_numpy()
-                        out += ids, batch.column(c[1])[row].values.to_numpy().reshape(len(ids), -1)
+                        out += ids, batch.column(c[1])[row].values.to_numpy().reshape(len(ids), width)
                 yield out
 
-    def longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, v, r, rv in blocks(batches, ("id", "v"), ("r", "rv")):
-            for i in range(len(r)):
-                size = lengths(v, np.abs(rv[i]))
-                best = np.lexsort((ids, -size))[:64]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), r[i])), pa.array(size[best]), pa.array(ids[best]), lists(v[best]), lists(np.repeat(rv[i : i + 1], len(best), axis=0))], names=["r", "size", "id", "v", "rv"])
+    def scores(hv: np.ndarray, rv: np.ndarray, tv: np.ndarray, h: np.ndarray, r: np.ndarray, t: np.ndarray) -> np.ndarray:
+        return np.concatenate([score(hv[h[x : x + step]], rv[r[x : x + step]], tv[t[x : x + step]]) for x in range(0, len(h), step)])
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k best scores of triples of strong entities, those that are longest under each relation."""
+        best = np.zeros(0)
+        for _, v, _, rv in blocks(batches, ("id", "v"), ("r", "rv")):
+            n = min(12, len(v))
+            for at in range(0, len(rv), 256):
+                w = rv[at : at + 256]
+                long_ = np.argpartition(-(np.abs(w) @ (v * v).T), n - 1, axis=1)[:, :n]
+                x = v[long_]
+                products = ((x * w[:, None]) @ x.transpose(0, 2, 1)).ravel()
+                top = np.argpartition(-products, min(k, len(products)) - 1)[:k]
+                i, a, b = top // (n * n), top // n % n, top % n
+                best = np.sort(np.concatenate([best, scores(v, w, v, long_[i, a], i, long_[i, b])]))[-k:]
+        yield pa.RecordBatch.from_arrays([pa.array(best[~np.isnan(best)])], names=["score"])
 
-    def among(group: pa.Table) -> pa.Table:
-        v, rv = matrix(group.column("v")), matrix(group.column("rv"))[0]
-        flat = (v * rv @ v.T).ravel()
-        return pa.table({"score": pa.array(np.sort(flat)[-k:])})
-
-    width = model.form.widths(model.dims)[1]
-    long_ = table.crossJoin(asked).mapInArrow(longest, "r long, size double, id long, v array<double>, rv array<double>")
     # only a bound is found from these, so how many they are changes no result
-    top = top_per_group(long_, ["r"], [F.desc("size"), "id"], some).select("r", "v", "rv").groupBy("r").applyInArrow(among, "score double")
-    least = [x.score for x in top.orderBy(F.desc("score")).limit(k).collect()]
+    least = [x.score for x in asked.crossJoin(F.broadcast(strong)).mapInArrow(reached, "score double").orderBy(F.desc("score")).limit(k).collect()]
     least = least[-1] if len(least) == k else -np.inf
 
+    def scaled(v: np.ndarray) -> tuple[np.ndarray, float]:
+        """Squares of the numbers by the longest row's length, which small floats can hold, and that length."""
+        longest = float(np.sqrt((v * v).sum(1).max()))
+        return np.square(v / (longest or 1.0)).astype(np.float32), longest
+
+    def partners(v2: np.ndarray, r2: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of entities whose product with a relation is at least ``share`` of the longest there could be, by relation, and where each relation's end."""
+        with np.errstate(invalid="ignore"):
+            # not "at least", so that what is no number stays
+            at = np.flatnonzero(~(r2 @ v2.T < np.float32(max(0.0, share) ** 2 * (1 - 4e-7 * (width + 8)) - 1e-30)))
+        return at % len(v2), np.searchsorted(at, len(v2) * np.arange(1, len(r2)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, bound = None, least
+
+        def keep(i: int, r: int, hs, ts, hv, rv, tv, a: np.ndarray, b: np.ndarray) -> None:
+            nonlocal held, bound
+            exact = scores(hv, rv, tv, a, np.full(len(a), i), b)
+            some_ = np.flatnonzero(exact >= bound)
+            if len(some_) > k:
+                # all that tie with the last one take part in the choice by ids
+                some_ = some_[exact[some_] >= np.partition(exact[some_], len(some_) - k)[len(some_) - k]]
+            new = [hs[a[some_]], np.full(len(some_), r), ts[b[some_]], exact[some_]]
+            held = _best_rows(k, *(new if held is None else [np.concatenate([held.column(c).to_numpy(), x]) for c, x in enumerate(new)]))
+            if held.num_rows == k:
+                bound = max(bound, held.column(3)[k - 1].as_py())
+
         for hb, hs, hv, tb, ts, tv, r, rv in blocks(batches, "hb", ("h", "hv"), "tb", ("t", "tv"), ("r", "rv")):
-            for i in range(len(r)):
-                weight = np.abs(rv[i])
-                hn, tn = lengths(hv, weight), lengths(tv, weight)
-                # rounding of a sum of width products, generously
-                margin = 1e-15 * (width + 8) * float(hn.max() * tn.max())
-                h_by, t_by = np.argsort(-hn), np.argsort(-tn)
-                pairs = []
-                for at in range(0, len(h_by), 64):
-                    rows_ = h_by[at : at + 64]
-                    # the tails that reach the bound with the longest of these heads
-                    m = int(np.searchsorted(-(tn[t_by] * hn[rows_[0]]), -(bound - margin), side="right"))
-                    if not m:
-                        break
-                    products = (hv[rows_] * rv[i]) @ tv[t_by[:m]].T
-                    a, b = np.nonzero(products >= bound - margin)
-                    pairs.append((rows_[a], t_by[b]))
-                    if len(a) > k:
-                        # k scores of this block are all at least the k-th of their products
-                        bound = max(bound, float(np.partition(products[a, b], len(a) - k)[len(a) - k]) - margin)
-                if not pairs or not sum(len(a) for a, _ in pairs):
-                    continue
-                a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-                step = max(1, CELLS // max(1, width))
-                exact = np.concatenate([score(hv[a[x : x + step]], rv[i : i + 1], tv[b[x : x + step]]) for x in range(0, len(a), step)])
-                new = [hs[a], np.full(len(a), r[i]), ts[b], exact]
-                if hb != tb:
-                    # the other way round, rounded as the form does it
-                    turned = np.concatenate([score(tv[b[x : x + step]], rv[i : i + 1], hv[a[x : x + step]]) for x in range(0, len(a), step)])
-                    new = [np.concatenate(x) for x in zip(new, [ts[b], new[1], hs[a], turned], strict=True)]
-                held = _best_rows(k, *(new if held is None else [np.concatenate([held.column(c).to_numpy(), x]) for c, x in enumerate(new)]))
-                if held.num_rows == k:
-                    bound = max(bound, held.column(3)[k - 1].as_py())
+            same = hb == tb
+            if same:
+                ts, tv = hs, hv
+            (h2, h_long), (r2, r_long) = scaled(hv), scaled(rv)
+            t2, t_long = (h2, h_long) if same else scaled(tv)
+            most = h_long * r_long * t_long
+            some_r = max(1, CELLS // max(1, len(hs), len(ts)))
+            for first in range(0, len(r), some_r):
+                share = bound / most - 1e-15 * (width + 8) if 0 < most < np.inf else 0.0
+                h_in, h_ends = partners(h2, r2[first : first + some_r], share)
+                t_in, t_ends = (h_in, h_ends) if same else partners(t2, r2[first : first + some_r], share)
+                for i, (h_some, t_some) in enumerate(zip(np.split(h_in, h_ends), np.split(t_in, t_ends), strict=True), first):
+                    if not len(h_some) or not len(t_some):
+                        continue
+                    weight = np.abs(rv[i])
+                    hx = hv[h_some]
+                    hn = lengths(hx, weight)
+                    by = np.argsort(-hn)
+                    h_some, hx, hn = h_some[by], hx[by], hn[by]
+                    if same:
+                        t_some, tx, tn = h_some, hx, hn
+                    else:
+                        tx = tv[t_some]
+                        tn = lengths(tx, weight)
+                        by = np.argsort(-tn)
+                        t_some, tx, tn = t_some[by], tx[by], tn[by]
+                    # rounding of a sum of width products, generously
+                    margin = 1e-15 * (width + 8) * float(hn[0] * tn[0])
+                    for at in range(0, len(hn), 64):
+                        # the tails that reach the bound with the longest of these heads; of the same block, those before were heads
+                        start = at if same else 0
+                        m = int(np.searchsorted(-(tn * hn[at]), -(bound - margin), side="right"))
+                        if m <= start:
+                            break
+                        products = (hx[at : at + 64] * rv[i]) @ tx[start:m].T
+                        a, b = np.nonzero(products >= bound - margin)
+                        if not len(a):
+                            continue
+                        if len(a) > k:
+                            # k scores of these are all at least the k-th of their products
+                            bound = max(bound, float(np.partition(products[a, b], len(a) - k)[len(a) - k]) - margin)
+                            chosen = products[a, b] >= bound - margin
+                            a, b = a[chosen], b[chosen]
+                        a, b = a + at, b + start
+                        keep(i, r[i], hs, ts, hv, rv, tv, h_some[a], t_some[b])
+                        # the other way round, rounded as the form does it
+                        if len(turned := np.flatnonzero(b >= at + 64) if same else np.arange(len(b))):
+                            keep(i, r[i], ts, hs, tv, rv, hv, t_some[b[turned]], h_some[a[turned]])
         if held is not None:
             yield held
 
-    spread = max(2, 2 * table.sparkSession.sparkContext.defaultParallelism)
-    heads = table.select(F.col("block").alias("hb"), F.col("id").alias("h"), F.col("v").alias("hv")).repartition(spread)
+    heads = table.select(F.col("block").alias("hb"), F.col("id").alias("h"), F.col("v").alias("hv"))
     tails = table.select(F.col("block").alias("tb"), F.col("id").alias("t"), F.col("v").alias("tv"))
-    return heads.crossJoin(tails).where("hb <= tb").crossJoin(asked).mapInArrow(run, schema)
+    none = lambda c, kind: F.when(F.col("hb") != F.col("tb"), F.col(c)).otherwise(F.array().cast(kind)).alias(c)
+    pairs = heads.coalesce(parts).crossJoin(tails.coalesce(parts)).where("hb <= tb").select("hb", "h", "hv", "tb", none("t", "array<long>"), none("tv", "array<double>"))
+    # neither side is sent whole to all: a task has some of the relations and of the pairs, as many tasks as keep all cores busy, since each reads its pairs anew
+    return asked.coalesce(-(-2 * spread // (parts * (parts + 1)))).hint("shuffle_replicate_nl").crossJoin(pairs).mapInArrow(run, schema)
 
 
 def predict_triples(model: Model, triples: DataFrame, known: DataFrame | None = None) -> DataFrame:

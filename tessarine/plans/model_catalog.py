@@ -337,12 +337,11 @@ _add("predict_new_tails", partial(_predicted, "tail", drop=True), _predict_sql("
 
 
 def _best_triples(spark: SparkSession, d: str) -> DataFrame:
-    """The hundred best triples of all heads, ten relations and all tails."""
-    model = embedded(spark, d, "distmult")
-    return prediction.predict_all(model, 100, spark.range(10))
+    """The hundred best triples of all heads, relations and tails."""
+    return prediction.predict_all(embedded(spark, d, "distmult"), 100)
 
 
-_add("predict_all", _best_triples, f"""WITH {_E}, p AS (SELECT a.vec_id AS h, b.vec_id AS r, c.vec_id AS t FROM e a, e b, e c WHERE b.vec_id < 10), x AS (SELECT h, r, t, list_sum(list_transform(list_zip(hr, c.v), lambda z: z[1] * z[2])) AS score FROM p JOIN (SELECT a.vec_id AS h, b.vec_id AS r, list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]) AS hr FROM e a, e b WHERE b.vec_id < 10) USING (h, r) JOIN e c ON c.vec_id = t)
+_add("predict_all", _best_triples, f"""WITH {_E}, p AS (SELECT a.vec_id AS h, b.vec_id AS r, c.vec_id AS t FROM e a, e b, e c), x AS (SELECT h, r, t, list_sum(list_transform(list_zip(hr, c.v), lambda z: z[1] * z[2])) AS score FROM p JOIN (SELECT a.vec_id AS h, b.vec_id AS r, list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]) AS hr FROM e a, e b) USING (h, r) JOIN e c ON c.vec_id = t)
   SELECT h, r, t, round(score, 6) AS score FROM x ORDER BY score DESC, h, r, t LIMIT 100""")
 _add("predict_uncertain", lambda spark, d: prediction.predict_uncertain(embedded(spark, d, "transe_l2"), facts(spark, d)))
 
